@@ -1,6 +1,10 @@
-"""Queries of the core, by name."""
+"""Queries of the core, by name, and their SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from .plans import data_quality
+
+_MODULES = (data_quality,)
+
+QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}
