@@ -11,7 +11,21 @@ def p6_found(spark, d):
     return faulty_readings(read(spark, d, "splats"), read(spark, d, "trajectories"), read(spark, d, "chunk_groups"))
 
 
-QUERIES = {f.__name__: f for f in (p6_found,)}
+def _drift(spark, d):
+    from ..operators.drift import Drift
+
+    return Drift(read(spark, d, "ply_files"), read(spark, d, "ply_properties"), read(spark, d, "ply_vertices"))
+
+
+def p3_found(spark, d):
+    return _drift(spark, d).changes
+
+
+def p3_unified(spark, d):
+    return _drift(spark, d).unified()
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_unified, p6_found)}
 
 SQL = {
     "p6_found": """
