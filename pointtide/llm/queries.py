@@ -7,6 +7,12 @@ from ..util import read
 ALIKE = [("positions", 3, 1.0), ("color_dc", 3, 0.5)]
 
 
+def p1_found(spark, d):
+    from .neighbours import similar_pairs
+
+    return similar_pairs(read(spark, d, "trajectories"), "vec_id", "positions", 24, 5)
+
+
 def p4_found(spark, d):
     from .clusters import similarity_clusters
 
@@ -25,5 +31,5 @@ def p4_leaves(spark, d):
     return bisecting_leaves(read(spark, d, "splats"), "splat_id", ALIKE)
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_clusters, p4_leaves)}
+QUERIES = {f.__name__: f for f in (p1_found, p4_found, p4_clusters, p4_leaves)}
 SQL: dict[str, str] = {}
