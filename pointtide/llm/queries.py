@@ -13,6 +13,20 @@ def p1_found(spark, d):
     return similar_pairs(read(spark, d, "trajectories"), "vec_id", "positions", 24, 5)
 
 
+def _pieces(spark, d, later):
+    from .pieces import split_oversized
+
+    return split_oversized(read(spark, d, "chunk_samples"), "chunk_id", "interval_no", "tick", "stored_size", ("generation", "take_label"), 4_000_000, 2, later)
+
+
+def p2_found(spark, d):
+    return _pieces(spark, d, 0.0)
+
+
+def p2_balanced(spark, d):
+    return _pieces(spark, d, 1.0)
+
+
 def p4_found(spark, d):
     from .clusters import similarity_clusters
 
@@ -31,5 +45,5 @@ def p4_leaves(spark, d):
     return bisecting_leaves(read(spark, d, "splats"), "splat_id", ALIKE)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p4_found, p4_clusters, p4_leaves)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_balanced, p4_found, p4_clusters, p4_leaves)}
 SQL: dict[str, str] = {}
