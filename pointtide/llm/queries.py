@@ -45,5 +45,14 @@ def p4_leaves(spark, d):
     return bisecting_leaves(read(spark, d, "splats"), "splat_id", ALIKE)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_balanced, p4_found, p4_clusters, p4_leaves)}
+def p5_percentiles(spark, d):
+    from pyspark.sql import functions as F
+
+    from .percentiles import percentiles
+
+    fields = {f"scale_{i}": F.col("scales")[i] for i in range(3)} | {"opacity": F.col("opacity")}
+    return percentiles(read(spark, d, "splats"), "splat_id", "capture_id", "observed_at", fields, [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99])
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_balanced, p4_found, p4_clusters, p4_leaves, p5_percentiles)}
 SQL: dict[str, str] = {}
