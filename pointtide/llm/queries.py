@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import os
+
 from ..util import read
 
+#: Folder of the public vocabulary files.
+TOKENIZERS = os.environ.get("POINTTIDE_TOKENIZERS", "/opt/tokenizers")
 ALIKE = [("positions", 3, 1.0), ("color_dc", 3, 0.5)]
 
 
@@ -54,5 +58,11 @@ def p5_percentiles(spark, d):
     return percentiles(read(spark, d, "splats"), "splat_id", "capture_id", "observed_at", fields, [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99])
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_balanced, p4_found, p4_clusters, p4_leaves, p5_percentiles)}
+def p7_ids(spark, d, path=TOKENIZERS + "/byte_bpe_50k.tiktoken"):
+    from .tokens import encode_corpus
+
+    return encode_corpus(read(spark, d, "documents"), "doc_id", "text", path)
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_balanced, p4_found, p4_clusters, p4_leaves, p5_percentiles, p7_ids)}
 SQL: dict[str, str] = {}
