@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..util import small_enough
+from ..util import cut, small_enough
 from .graph import connected_components
 from .ordered import carry_forward
 
@@ -92,33 +92,33 @@ class Drift:
     prop_type) and ``vertices`` (file_id, row_no, line)."""
 
     def __init__(self, files: DataFrame, properties: DataFrame, vertices: DataFrame):
-        self.files = files.where("file_id is not null and sequence_id is not null and frame_no is not null").groupBy("file_id").agg(F.min("sequence_id").alias("sequence_id"), F.min("frame_no").alias("frame_no")).persist()
+        self.files = files.where("file_id is not null and sequence_id is not null and frame_no is not null").groupBy("file_id").agg(F.min("sequence_id").alias("sequence_id"), F.min("frame_no").alias("frame_no"))
         self.properties = (
             properties.where("file_id is not null and prop_name is not null and ordinal is not null")
             .groupBy("file_id", "prop_name").agg(F.min("ordinal").alias("ordinal"), F.max(canonical_type(F.col("prop_type"))).alias("type"))
         )
         self.vertices = vertices.where("file_id is not null and row_no is not null and line is not null").select("file_id", "row_no", "line")
-        self.header = (
+        self.header = cut(
             self.properties.join(self.files, "file_id").groupBy("sequence_id", "frame_no", F.col("prop_name").alias("name"))
-            .agg(F.max("type").alias("type"), F.min_by(F.struct("file_id", "ordinal"), "file_id").alias("at")).persist()
+            .agg(F.max("type").alias("type"), F.min_by(F.struct("file_id", "ordinal"), "file_id").alias("at"))
         )
         self._changes()
 
     def _changes(self) -> None:
         frames = self.files.groupBy("sequence_id", "frame_no").agg(F.min("file_id").alias("file_id"))
-        frames = carry_forward(frames, ["sequence_id"], "frame_no", F.struct("frame_no", "file_id"), "was").persist()
+        frames = cut(carry_forward(frames, ["sequence_id"], "frame_no", F.struct("frame_no", "file_id"), "was"))
         now = self.header.select("sequence_id", "frame_no", "name", "type", "at")
         follows = frames.where("was is not null").select("sequence_id", F.col("frame_no").alias("next"), F.col("was.frame_no").alias("frame_no"))
         then = now.join(follows, ["sequence_id", "frame_no"]).select("sequence_id", F.col("next").alias("frame_no"), "name", F.col("type").alias("old_type"), F.col("at").alias("old_at"))
         first = frames.where("was is null").select("sequence_id", "frame_no", F.lit(True).alias("first"))
-        both = now.withColumn("here", F.lit(True)).join(then.withColumn("there", F.lit(True)), ["sequence_id", "frame_no", "name"], "full_outer")
+        both = cut(now.withColumn("here", F.lit(True)).join(then.withColumn("there", F.lit(True)), ["sequence_id", "frame_no", "name"], "full_outer").where("here is null or there is null"))
         came = both.where("here and there is null").drop("there", "here", "old_type", "old_at")
         came = came.join(first, ["sequence_id", "frame_no"], "left")
         self.starts = came.select("sequence_id", "frame_no", "name")
-        came = came.where("first is null").drop("first").persist()
-        gone = both.where("there and here is null").select("sequence_id", "frame_no", "name", F.col("old_type").alias("type"), F.col("old_at").alias("at")).persist()
+        came = came.where("first is null").drop("first")
+        gone = both.where("there and here is null").select("sequence_id", "frame_no", "name", F.col("old_type").alias("type"), F.col("old_at").alias("at"))
         self.came, self.gone = came, gone
-        self.renames = self._renames().persist()
+        self.renames = cut(self._renames())
         keys = ["sequence_id", "frame_no"]
         renamed = self.renames.select(*keys, F.lit("renamed").alias("change_kind"), F.col("new").alias("prop_name"))
         added = came.join(self.renames.select(*keys, F.col("new").alias("name")), [*keys, "name"], "left_anti").select(*keys, F.lit("added"), "name")
@@ -128,22 +128,21 @@ class Drift:
         spans = self.starts.withColumn("since", F.col("frame_no"))
         rows = self.header.join(spans.select("sequence_id", "frame_no", "name", "since"), ["sequence_id", "frame_no", "name"], "left")
         rows = carry_forward(rows, ["sequence_id", "name"], "frame_no", F.col("since"), "earlier").withColumn("since", F.coalesce("since", "earlier")).drop("earlier")
-        rows = rows.withColumn("span", span).persist()
-        self.rows = rows
+        rows = cut(rows.withColumn("span", span))
         ends = rows.select("sequence_id", F.col("frame_no").alias("was_frame"), F.col("name").alias("old"), F.col("span").alias("dst"))
         prior = frames.where("was is not null").select("sequence_id", "frame_no", F.col("was.frame_no").alias("was_frame"))
         ties = self.renames.join(prior, keys).join(ends, ["sequence_id", "was_frame", "old"]).select(F.xxhash64("sequence_id", "new", "frame_no").alias("src"), "dst")
         lines = connected_components(ties).select(F.col("node").alias("span"), "component")
-        self.lines = rows.join(lines, "span", "left").withColumn("line", F.coalesce("component", "span")).drop("component").persist()
+        self.lines = rows.join(lines, "span", "left").withColumn("line", F.coalesce("component", "span")).drop("component")
         typed = carry_forward(self.lines, ["line"], "frame_no", F.col("type"), "known")
         retyped = typed.where("type != known").select(*keys, F.lit("retyped"), "name")
         self.changes = renamed.union(added).union(removed).union(retyped)
 
     def _renames(self) -> DataFrame:
         keys = ["sequence_id", "frame_no"]
-        pair = self.gone.select(*keys, F.col("name").alias("old"), F.col("type").alias("old_type"), F.col("at").alias("old_at")).join(
+        pair = cut(self.gone.select(*keys, F.col("name").alias("old"), F.col("type").alias("old_type"), F.col("at").alias("old_at")).join(
             self.came.select(*keys, F.col("name").alias("new"), F.col("type").alias("new_type"), F.col("at").alias("new_at")), keys
-        ).persist()
+        ))
         ask = (
             pair.select(*keys, F.col("old_at.file_id").alias("file_id"), F.col("old_at.ordinal").alias("ordinal"), F.col("old").alias("name"), F.lit(True).alias("past"))
             .union(pair.select(*keys, "new_at.file_id", "new_at.ordinal", "new", F.lit(False))).distinct()
