@@ -64,5 +64,11 @@ def p7_ids(spark, d, path=TOKENIZERS + "/byte_bpe_50k.tiktoken"):
     return encode_corpus(read(spark, d, "documents"), "doc_id", "text", path)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_balanced, p4_found, p4_clusters, p4_leaves, p5_percentiles, p7_ids)}
+def p8_found(spark, d):
+    from .leaks import leaked
+
+    return leaked(read(spark, d, "documents"), "doc_id", "text", read(spark, d, "eval_items"), "item_id", "text")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_balanced, p4_found, p4_clusters, p4_leaves, p5_percentiles, p7_ids, p8_found)}
 SQL: dict[str, str] = {}
