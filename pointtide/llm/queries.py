@@ -70,5 +70,17 @@ def p8_found(spark, d):
     return leaked(read(spark, d, "documents"), "doc_id", "text", read(spark, d, "eval_items"), "item_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_balanced, p4_found, p4_clusters, p4_leaves, p5_percentiles, p7_ids, p8_found)}
+def p9_found(spark, d):
+    from .garbled import garbled_documents
+
+    return garbled_documents(read(spark, d, "documents"), "doc_id", "text")
+
+
+def p9_restored(spark, d):
+    from .garbled import restored_documents
+
+    return restored_documents(read(spark, d, "documents"), "doc_id", "text")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_balanced, p4_found, p4_clusters, p4_leaves, p5_percentiles, p7_ids, p8_found, p9_found, p9_restored)}
 SQL: dict[str, str] = {}
