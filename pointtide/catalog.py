@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import data_quality, frames
+from .plans import data_quality, edits, frames
 
-_MODULES = (data_quality, frames)
+_MODULES = (data_quality, edits, frames)
 
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}

@@ -14,6 +14,12 @@ C0 = 0.28209479177387814
 LUMA = (0.2126, 0.7152, 0.0722)
 
 
+def bind(values: dict, then):
+    """``then`` of a struct whose fields are ``values``, each evaluated once. A formula that names its inputs many times would
+    otherwise copy their expressions into every place, and nested formulas outgrow generated code."""
+    return F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), then)[0]
+
+
 def sigmoid(c: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-c))
 
@@ -48,9 +54,12 @@ def saturation(r: Column, g: Column, b: Column) -> Column:
 def green_matches(r: Column, g: Column, b: Column, least_saturation: float = 0.5, tolerance: float = 45.0, linear: bool = True) -> Column:
     """Whether the colour is near green: saturated enough, its hue within the tolerance of 120 degrees around the circle."""
     one = srgb_to_linear if linear else (lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)))
-    r, g, b = one(r), one(g), one(b)
-    away = F.abs(hue(r, g, b) - 120)
-    return F.coalesce((saturation(r, g, b) >= least_saturation) & (F.least(away, F.lit(360.0) - away) <= tolerance), F.lit(False))
+
+    def matches(c):
+        away = F.abs(hue(c["r"], c["g"], c["b"]) - 120)
+        return F.coalesce((saturation(c["r"], c["g"], c["b"]) >= least_saturation) & (F.least(away, F.lit(360.0) - away) <= tolerance), F.lit(False))
+
+    return bind({"r": one(r), "g": one(g), "b": one(b)}, matches)
 
 
 def colour_matrix(exposure: float = 0.0, temperature: float = 0.0, tint: float = 0.0, saturation: float = 1.0) -> np.ndarray:
@@ -72,19 +81,26 @@ def despill(r: Column, g: Column, b: Column, gate: float = 1.0) -> list[Column]:
     """Green spill removal in two steps. Colours of green hue lose saturation, the more the nearer they are to pure green;
     what green then stands above a mean of red and blue (drawn to the larger of them by the saturation to the power ``gate``) is
     taken off, and half of it handed back to red and blue."""
-    h, s, v = hue(r, g, b), saturation(r, g, b), F.greatest(r, g, b)
-    near = F.lit(1.0) - F.abs(F.lit(120.0) - h) / 60
-    calm = s * (F.lit(1.0) - F.sqrt(F.greatest(F.lit(0.0), near)))
-    part = h / 60 - F.floor(h / 60)
-    p, q, t = v * (F.lit(1.0) - calm), v * (F.lit(1.0) - calm * part), v * (F.lit(1.0) - calm * (F.lit(1.0) - part))
-    wedge = F.coalesce((h >= 60) & (h <= 180), F.lit(False))
-    sector = F.floor(h / 60)
-    r1 = F.when(wedge, F.when(sector == 1, q).otherwise(p)).otherwise(r)
-    g1 = F.when(wedge, F.when(sector == 3, q).otherwise(v)).otherwise(g)
-    b1 = F.when(wedge, F.when(sector == 1, p).when(sector == 2, t).otherwise(v)).otherwise(b)
-    w = F.pow(s, F.lit(gate))
-    mean = lambda x, y: (F.lit(1.0) - w) * (x + y) / 2 + w * F.greatest(x, y)
-    spill = g1 - mean(r1, b1)
-    r2, b2 = F.least(F.lit(1.0), r1 + spill * 0.25), F.least(F.lit(1.0), b1 + spill * 0.25)
-    over = spill > 0
-    return [F.when(over, r2).otherwise(r1), F.when(over, mean(r2, b2)).otherwise(g1), F.when(over, b2).otherwise(b1)]
+
+    def wedge(c):
+        h, s, v = c["h"], c["s"], c["v"]
+        calm = s * (F.lit(1.0) - F.sqrt(F.greatest(F.lit(0.0), F.lit(1.0) - F.abs(F.lit(120.0) - h) / 60)))
+        part, sector = h / 60 - F.floor(h / 60), F.floor(h / 60)
+        p, q, t = v * (F.lit(1.0) - calm), v * (F.lit(1.0) - calm * part), v * (F.lit(1.0) - calm * (F.lit(1.0) - part))
+        green = F.coalesce((h >= 60) & (h <= 180), F.lit(False))
+        return F.struct(
+            F.when(green, F.when(sector == 1, q).otherwise(p)).otherwise(c["r"]).alias("r"),
+            F.when(green, F.when(sector == 3, q).otherwise(v)).otherwise(c["g"]).alias("g"),
+            F.when(green, F.when(sector == 1, p).when(sector == 2, t).otherwise(v)).otherwise(c["b"]).alias("b"),
+            F.pow(s, F.lit(gate)).alias("w"),
+        )
+
+    def hand_back(c):
+        mean = lambda x, y: (F.lit(1.0) - c["w"]) * (x + y) / 2 + c["w"] * F.greatest(x, y)
+        spill = c["g"] - mean(c["r"], c["b"])
+        r2, b2, over = F.least(F.lit(1.0), c["r"] + spill * 0.25), F.least(F.lit(1.0), c["b"] + spill * 0.25), spill > 0
+        return F.struct(F.when(over, r2).otherwise(c["r"]).alias("r"), F.when(over, mean(r2, b2)).otherwise(c["g"]).alias("g"), F.when(over, b2).otherwise(c["b"]).alias("b"))
+
+    first = bind({"r": r, "g": g, "b": b, "h": hue(r, g, b), "s": saturation(r, g, b), "v": F.greatest(r, g, b)}, wedge)
+    out = F.transform(F.array(first), hand_back)[0]
+    return [out["r"], out["g"], out["b"]]
