@@ -25,7 +25,6 @@ def systematic_sample(df: DataFrame, groups: list[str], order: str, limit: int)
     w = Window.partitionBy(*groups)
     r = df.withColumn("_n", F.row_number().over(w.orderBy(order)) - 1).withColumn("_all", F.count(F.lit(1)).over(w))
     # row n is taken if some i has floor(i * N / limit) = n: the least such i is ceil(n * limit / N)
-    i = F.ceil(F.col("_n") * limit / F.col("_all"))
     i = F.floor((F.col("_n") * limit + F.col("_all") - 1) / F.col("_all"))
     taken = (i < limit) & (F.floor(i * F.col("_all") / limit) == F.col("_n"))
     return r.where((F.col("_all") <= limit) | taken).drop("_n", "_all")
