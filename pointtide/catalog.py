@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import data_quality, edits, frames, ordered
+from .plans import data_quality, edits, frames, ordered, profile
 
-_MODULES = (data_quality, edits, frames, ordered)
+_MODULES = (data_quality, edits, frames, ordered, profile)
 
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}
