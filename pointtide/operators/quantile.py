@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..util import small_enough
+from ..util import join_null_safe, small_enough
 
 __all__ = ["grouped_median"]
 
@@ -30,7 +30,7 @@ def _heavy(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     placed = counts.withColumn("upto", F.sum("n").over(upto)).withColumn("total", F.sum("n").over(w))
     lo, hi = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)  # ranks of the two middle values, from 0
     mid = placed.where((F.col("upto") > lo) & (F.col("upto") - F.col("n") <= hi)).select(*keys, "b", (F.col("upto") - F.col("n")).alias("before"), lo.alias("lo"), hi.alias("hi"))
-    inside = v.join(F.broadcast(mid) if small_enough(mid, BROADCAST_ROWS) else mid, [*keys, "b"])
+    inside = join_null_safe(v, mid, [*keys, "b"], broadcast=small_enough(mid, BROADCAST_ROWS))
     values = inside.groupBy(*keys, "b", "before", "lo", "hi", "v").agg(F.count(F.lit(1)).alias("n"))
     within = Window.partitionBy(*keys, "b").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     at = values.withColumn("upto", F.sum("n").over(within) + F.col("before")).withColumn("from", F.col("upto") - F.col("n"))
@@ -55,5 +55,5 @@ def grouped_median(df: DataFrame, keys: list[str], values: list[str], light_rows
     out = heavy
     for v in values:
         m = _heavy(big.where(F.col(v).isNotNull()), keys, v).withColumnRenamed("median", v)
-        out = out.join(m, keys, "left")
+        out = join_null_safe(out, m, keys, "left")
     return light.unionByName(out.select(*light.columns))

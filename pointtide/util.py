@@ -8,7 +8,7 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-__all__ = ["read", "ensure_checkpoint_dir", "cut", "finite", "small_enough", "row_estimate"]
+__all__ = ["read", "ensure_checkpoint_dir", "cut", "finite", "small_enough", "join_null_safe"]
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +47,10 @@ def small_enough(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def row_estimate(df: DataFrame) -> int:
-    """Number of rows (parquet scans answer from their footers)."""
-    return df.count()
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", broadcast: bool = False) -> DataFrame:
+    """An equi join in which null keys equal each other; the keys appear once."""
+    r = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    return left.join(F.broadcast(r) if broadcast else r, on, how).drop(*[f"_r_{k}" for k in keys])
