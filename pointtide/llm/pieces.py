@@ -130,54 +130,54 @@ def _long(rows: DataFrame, limit: int, overlap: int, later: float, segment: int)
     rows = rows.withColumn("blk", block).withColumn("r", rank).join(upto, ["item", "blk"]).withColumn("i", F.col("base") + F.col("r")).drop("blk", "r", "base").persist()
     done: DataFrame | None = None
     while True:
-        seg = F.floor(F.col("i") / segment).cast("bigint")
-        seen = F.array_distinct(F.array(seg, F.greatest(seg - 1, F.lit(0)), F.floor((F.col("i") + overlap) / segment).cast("bigint")))
-        spread = rows.withColumn("seg", F.explode(seen))
-
-        def table(pdf: pd.DataFrame):
-            g, sz, nat = _arrays(pdf)
-            first, sg, n = int(g.i.iloc[0]), int(g.seg.iloc[0]), int(g.n.iloc[0])
-            lo, hi = sg * segment - first, min((sg + 1) * segment, n) - first
-            closed = first + len(g) >= n
-            start, end, sure = best_ends(sz, nat, limit, overlap, later, closed)
-            return g, first, sg, lo, hi, start, end, sure
-
-        def exits(pdf: pd.DataFrame) -> pd.DataFrame:
-            g, first, sg, lo, hi, start, end, sure = table(pdf)
-            leave = end.copy()
-            for c in range(hi - 1, lo - 1, -1):
-                if leave[c] < hi:
-                    leave[c] = leave[leave[c]]
-            own = leave[lo:hi]
-            change = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-            return pd.DataFrame({"item": g.item.iloc[0], "seg": sg, "since": first + lo + change, "leave": first + own[change], "sure": bool(sure[lo:hi].all())})
-
-        maps = spread.groupBy("item", "seg").applyInPandas(exits, "item bigint, seg bigint, since bigint, leave bigint, sure boolean").persist()
-        unsure = maps.where("not sure").select("item").distinct().persist()
-        good = maps.join(unsure, "item", "left_anti")
-
-        def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("since")
-            since, leave, seg_of = pdf.since.to_numpy(), pdf.leave.to_numpy(), pdf.seg.to_numpy()
-            at, out = 0, []
-            while True:
-                k = np.searchsorted(since, at, side="right") - 1
-                if at // segment != seg_of[k]:
-                    break
-                out.append((int(seg_of[k]), at))
-                at = int(leave[k])
-            return pd.DataFrame({"item": pdf.item.iloc[0], "seg": [o[0] for o in out], "entry": [o[1] for o in out]})
-
-        entries = good.groupBy("item").applyInPandas(walk, "item bigint, seg bigint, entry bigint")
-
-        def write(pdf: pd.DataFrame) -> pd.DataFrame:
-            g, first, sg, lo, hi, start, end, sure = table(pdf)
-            a, b, _ = _follow(start, end, int(g.entry.iloc[0]) - first, hi)
-            return pd.DataFrame({"item": g.item.iloc[0], "piece_start_tick": g.tick.to_numpy()[a], "piece_intervals": np.subtract(b, a)})
-
-        pieces = spread.join(entries, ["item", "seg"]).groupBy("item", "seg").applyInPandas(write, "item bigint, piece_start_tick bigint, piece_intervals bigint")
-        done = pieces if done is None else done.union(pieces)
+        made, unsure = _pass(rows, limit, overlap, later, segment)
+        done = made if done is None else done.union(made)
         if small_enough(unsure, 0):
             return done
         rows = rows.join(unsure, "item", "left_semi").persist()
         segment *= 8
+
+
+def _pass(rows: DataFrame, limit: int, overlap: int, later: float, segment: int) -> tuple[DataFrame, DataFrame]:
+    """Pieces by segments of one length, and the items for which it was too short."""
+    seg = F.floor(F.col("i") / segment).cast("bigint")
+    seen = F.array_distinct(F.array(seg, F.greatest(seg - 1, F.lit(0)), F.floor((F.col("i") + overlap) / segment).cast("bigint")))
+    spread = rows.withColumn("seg", F.explode(seen)).where(F.col("seg") * segment < F.col("n"))
+
+    def table(pdf: pd.DataFrame):
+        g, sz, nat = _arrays(pdf)
+        first, sg, n = int(g.i.iloc[0]), int(g.seg.iloc[0]), int(g.n.iloc[0])
+        lo, hi = sg * segment - first, min((sg + 1) * segment, n) - first
+        start, end, sure = best_ends(sz, nat, limit, overlap, later, first + len(g) >= n)
+        return g, first, sg, lo, hi, start, end, sure
+
+    def exits(pdf: pd.DataFrame) -> pd.DataFrame:
+        g, first, sg, lo, hi, _, end, sure = table(pdf)
+        leave = end.copy()
+        for c in range(hi - 1, lo - 1, -1):
+            if leave[c] < hi:
+                leave[c] = leave[leave[c]]
+        own = leave[lo:hi]
+        change = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        return pd.DataFrame({"item": g.item.iloc[0], "seg": sg, "n": g.n.iloc[0], "since": first + lo + change, "leave": first + own[change], "sure": bool(sure[lo:hi].all())})
+
+    maps = spread.groupBy("item", "seg").applyInPandas(exits, "item bigint, seg bigint, n bigint, since bigint, leave bigint, sure boolean").persist()
+    unsure = maps.where("not sure").select("item").distinct().persist()
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("since")
+        since, leave, n = pdf.since.to_numpy(), pdf.leave.to_numpy(), int(pdf.n.iloc[0])
+        at, out = 0, []
+        while at < n:
+            out.append((at // segment, at))
+            at = int(leave[np.searchsorted(since, at, side="right") - 1])
+        return pd.DataFrame({"item": pdf.item.iloc[0], "seg": [o[0] for o in out], "entry": [o[1] for o in out]})
+
+    entries = maps.join(unsure, "item", "left_anti").groupBy("item").applyInPandas(walk, "item bigint, seg bigint, entry bigint")
+
+    def write(pdf: pd.DataFrame) -> pd.DataFrame:
+        g, first, _, _, hi, start, end, _ = table(pdf)
+        a, b, _ = _follow(start, end, int(g.entry.iloc[0]) - first, hi)
+        return pd.DataFrame({"item": g.item.iloc[0], "piece_start_tick": g.tick.to_numpy()[a], "piece_intervals": np.subtract(b, a)})
+
+    return spread.join(entries, ["item", "seg"]).groupBy("item", "seg").applyInPandas(write, "item bigint, piece_start_tick bigint, piece_intervals bigint"), unsure
