@@ -8,8 +8,11 @@ from ..streaming.identity import run_to_table, track_identities, windowed_counts
 from ..util import read
 
 GAP = 12 * 3600
-#: Seconds since 1970 of a time without a zone, whatever the session's zone.
-_EPOCH = F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")
+
+
+def _epoch():
+    """Seconds since 1970 of a time without a zone, whatever the session's zone."""
+    return F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")
 
 
 def _events(spark, d):
@@ -19,14 +22,14 @@ def _events(spark, d):
 
 
 def identity_stream(spark, d):
-    s = _events(spark, d).select(F.col("user_id").alias("key"), _EPOCH.alias("at"), F.col("event_type").alias("mark"))
+    s = _events(spark, d).select(F.col("user_id").alias("key"), _epoch().alias("at"), F.col("event_type").alias("mark"))
     last = lambda t: t.groupBy("key", "generation").agg(F.max_by(F.struct("first", "last", "mark", "n"), "batch").alias("s"))
     return run_to_table(spark, track_identities(s, GAP), "update", last).select("key", "generation", "s.first", "s.last", "s.mark", "s.n")
 
 
 def window_stream(spark, d):
     last = lambda t: t.groupBy("start", "event_type").agg(F.max_by("n", "batch").alias("n"))
-    out = run_to_table(spark, windowed_counts(_events(spark, d).withColumn("ts", F.timestamp_seconds(_EPOCH)), "ts", "1 day", "2 days", ["event_type"]), "update", last)
+    out = run_to_table(spark, windowed_counts(_events(spark, d).withColumn("ts", F.timestamp_seconds(_epoch())), "ts", "1 day", "2 days", ["event_type"]), "update", last)
     return out.select(F.expr("timestamp_ntz'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, unix_seconds(start))").alias("start"), "event_type", "n")
 
 
