@@ -114,8 +114,9 @@ class Lists:
         # where even the farthest neighbour counts, the rest of the centres are tried as well
         wide = np.flatnonzero(take[:, -1]) if len(self.centres) > near.shape[1] + 1 else np.empty(0, np.int64)
         parts = [(row, lists)]
-        for lo in range(0, len(wide), 256):
-            w = wide[lo:lo + 256]
+        step = max(1, 4_000_000 // self.centres.size)
+        for lo in range(0, len(wide), step):
+            w = wide[lo:lo + step]
             d = np.sqrt(((x[w][:, None, :] - self.centres[None]) ** 2).sum(2))
             gap = np.sqrt(((self.centres[at[w]][:, None, :] - self.centres[None]) ** 2).sum(2))
             ok = (ratio * (d - radius[w][:, None]) < best[w][:, None] + radius[w][:, None]) & ((d**2 - best[w][:, None] ** 2) / (2 * np.maximum(gap, 1e-300)) <= radius[w][:, None])
@@ -131,7 +132,7 @@ def _vectors(column, d: int) -> np.ndarray:
     return c.flatten().to_numpy(zero_copy_only=False).reshape(-1, d).astype(np.float64)
 
 
-def _nearest(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, k: int, step: int = 512):
+def _nearest(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, k: int):
     """(query row, data row, distance) of the k nearest data rows of each query, itself excluded; ties to the smaller id."""
     order = np.argsort(xid, kind="stable")
     x, xid = x[order], xid[order]
@@ -139,6 +140,7 @@ def _nearest(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, k:
     xc, qc = x - centre, q - centre
     x2 = _square(xc)
     rows, cols, dist = [], [], []
+    step = max(8, min(512, 10_000_000 // max(len(x), 1)))  # a block of distances stays below 80 MB
     for lo in range(0, len(q), step):
         part = slice(lo, lo + step)
         d = _square(qc[part])[:, None] + x2 - 2 * (qc[part] @ xc.T)
