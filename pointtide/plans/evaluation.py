@@ -49,7 +49,41 @@ def median_cut_palette(spark, d):
     return s.groupBy("chunk_id").applyInArrow(cut, "chunk_id bigint, code bigint, uses bigint, r double, g double, b double")
 
 
-_F = (trajectory_at, lasso_pick, capped_segments, motion_atoms, covariance_bake, median_cut_palette)
+def contribution_scores(spark, d):
+    from ..operators.surface import contribution_scores as scores, ring_of_views
+
+    c = scores(splats(spark, d), ["chunk_id"], "splat_id", ring_of_views(4), 16)
+    return c.select("splat_id", F.round("score", 6).alias("score"))
+
+
+def oriented_normals(spark, d):
+    from ..operators.surface import oriented_normals as normals
+
+    return normals(splats(spark, d), ["chunk_id"], "splat_id")
+
+
+def likest_partner(spark, d):
+    """Of every record alive at the start of its chunk the likest that is alive at sample 20."""
+    from ..operators.frames import alive_at
+    from ..operators.surface import likest_partner as partner
+
+    s = splats(spark, d)
+    out = partner(s.where(alive_at(F.lit(0))), s.where(alive_at(F.lit(20))), ["chunk_id"], "splat_id")
+    return out.select("splat_id", "partner", F.round("distance", 6).alias("distance"))
+
+
+def recovered_colour(spark, d):
+    """Warm records stand for the surfaces that colour is recovered from, after despilling."""
+    from ..functions.colour import despill
+    from ..operators.surface import recover_colour
+
+    s = splats(spark, d)
+    out = despill(F.col("r"), F.col("g"), F.col("b"))
+    s = s.withColumns({f"{c}0": F.col(c) for c in "rgb"}).withColumns({f"_{c}": v for c, v in zip("rgb", out)}).withColumns({c: F.col(f"_{c}") for c in "rgb"}).drop("_r", "_g", "_b")
+    return recover_colour(s, ["chunk_id"], "splat_id", (F.col("r") > F.col("b")) & (F.col("o") > 0.15), F.col("r") >= F.col("b") - 0.015, link=0.2, least=10, extent=0.12, reach=0.4, eighth=0.4)
+
+
+_F = (contribution_scores, oriented_normals, likest_partner, recovered_colour, trajectory_at, lasso_pick, capped_segments, motion_atoms, covariance_bake, median_cut_palette)
 QUERIES = {f.__name__: f for f in _F}
 
 
@@ -61,8 +95,21 @@ def _edges():
     return " + ".join(out)
 
 
+def _rays():
+    from ..operators.surface import ring_of_views
+
+    dot = lambda v: " + ".join(f"(({float(c)!r})::DOUBLE * {a})" for c, a in zip(v, ("rx", "ry", "rz")))
+    return " UNION ALL ".join(f"SELECT chunk_id, splat_id, o, {i} AS v, floor((({dot(r)}) / span + 0.9) * 16)::INT AS px, floor((({dot(u)}) / span + 0.9) * 16)::INT AS py, {dot(f)} AS depth FROM d" for i, (r, u, f) in enumerate(ring_of_views(4)))
+
+
 _A = 0.37 * 7 - 2
 SQL = {
+    "contribution_scores": query(SPLATS) + """, b AS (SELECT chunk_id, (max(x) + min(x)) / 2 AS cx, (max(y) + min(y)) / 2 AS cy, (max(z) + min(z)) / 2 AS cz, greatest(max(x) - min(x), max(y) - min(y), max(z) - min(z), 1e-9) AS span FROM s GROUP BY chunk_id),
+d AS (SELECT chunk_id, splat_id, o, x - cx AS rx, y - cy AS ry, z - cz AS rz, span FROM s JOIN b USING (chunk_id)), rays AS (""" + _rays() + """),
+t AS (SELECT splat_id, greatest(0, least(1, o)) AS a, coalesce(max(CASE WHEN o >= 1 THEN 1 ELSE 0 END) OVER w, 0) AS solid, coalesce(sum(CASE WHEN o < 1 THEN ln(1 - greatest(0, o)) END) OVER w, 0) AS l FROM rays
+WINDOW w AS (PARTITION BY chunk_id, v, px, py ORDER BY depth, splat_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT splat_id, round(sum(a * CASE WHEN solid = 1 THEN 0 ELSE exp(l) END) / 4, 6) AS score FROM t GROUP BY splat_id""",
+    "likest_partner": query(SPLATS) + """, c AS (SELECT a.splat_id, b.splat_id AS partner, sqrt((a.x-b.x)**2 + (a.y-b.y)**2 + (a.z-b.z)**2 + 0.0025::DOUBLE * ((greatest(0, least(1, a.r)) - greatest(0, least(1, b.r)))**2 + (greatest(0, least(1, a.g)) - greatest(0, least(1, b.g)))**2 + (greatest(0, least(1, a.b)) - greatest(0, least(1, b.b)))**2)) AS q
+FROM s a JOIN s b ON a.chunk_id = b.chunk_id WHERE a.life_start <= 0 AND a.life_end >= 1 AND b.life_start <= 20 AND b.life_end >= 21) SELECT splat_id, partner, round(q, 6) AS distance FROM c QUALIFY row_number() OVER (PARTITION BY splat_id ORDER BY q, partner) = 1""",
     "trajectory_at": query(TRAJECTORIES) + "SELECT vec_id, " + ", ".join(f"round({1 - _A!r}::DOUBLE * p[{7 + k}]::DOUBLE + {_A!r}::DOUBLE * p[{10 + k}]::DOUBLE, 5) AS {n}" for k, n in enumerate("xyz")) + " FROM tr",
     "lasso_pick": query(SPLATS) + f"SELECT splat_id FROM s WHERE ({_edges()}) % 2 = 1",
     "capped_segments": query(INTERVALS) + """, f AS (SELECT *, CASE WHEN row_number() OVER w = 1 OR generation IS DISTINCT FROM lag(generation) OVER w THEN 1 ELSE 0 END AS f FROM iv WINDOW w AS (PARTITION BY chunk_id ORDER BY interval_no)),
