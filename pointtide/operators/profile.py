@@ -18,7 +18,7 @@ def costs(df: DataFrame, a: str, b: str, size: str) -> DataFrame:
 def compact_dictionary(df: DataFrame, groups: list[str], entry: str) -> DataFrame:
     """(groups, entry, code, uses): entries in use, numbered densely from 0 in their order."""
     used = df.where(F.col(entry).isNotNull()).groupBy(*groups, entry).agg(F.count(F.lit(1)).alias("uses"))
-    return used.withColumn("code", F.row_number().over(Window.partitionBy(*groups).orderBy(entry)) - 1)
+    return used.withColumn("code", (F.row_number().over(Window.partitionBy(*groups).orderBy(entry)) - 1).cast("bigint"))
 
 
 def normalised_frequencies(df: DataFrame, groups: list[str], symbol: str, total: int) -> DataFrame:

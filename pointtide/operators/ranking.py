@@ -43,7 +43,7 @@ def zorder_rank(df: DataFrame, groups: list[str], key: str, bits: int = 10) -> D
     bounds = df.groupBy(*groups).agg(*[f(a).alias(f"_{a}{n}") for a in "xyz" for f, n in ((F.min, 0), (F.max, 1))])
     q = [quantise(F.col(a), F.col(f"_{a}0"), F.col(f"_{a}1"), bits) for a in "xyz"]
     m = df.select(*groups, key, "x", "y", "z").join(bounds, groups).select(*groups, key, morton3(*q).alias("morton"))
-    return m.withColumn("rank", F.row_number().over(Window.partitionBy(*groups).orderBy("morton", key)))
+    return m.withColumn("rank", F.row_number().over(Window.partitionBy(*groups).orderBy("morton", key)).cast("bigint"))
 
 
 def transmittance(df: DataFrame, groups: list[str], depth: str, key: str, alpha: Column) -> DataFrame:
