@@ -55,7 +55,7 @@ def p5_percentiles(spark, d):
     from .percentiles import percentiles
 
     fields = {f"scale_{i}": F.col("scales")[i] for i in range(3)} | {"opacity": F.col("opacity")}
-    return percentiles(read(spark, d, "splats"), "splat_id", "capture_id", "observed_at", fields, [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99])
+    return percentiles(read(spark, d, "splats"), "splat_id", "capture_id", "observed_at", fields, [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99], keep=2000)
 
 
 def p7_ids(spark, d, path=TOKENIZERS + "/byte_bpe_50k.tiktoken"):
@@ -83,4 +83,37 @@ def p9_restored(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_balanced, p4_found, p4_clusters, p4_leaves, p5_percentiles, p7_ids, p8_found, p9_found, p9_restored)}
-SQL: dict[str, str] = {}
+#: The SQL of p1 compares all pairs of vectors, that of p4 follows all links; both are bearable on the small tables only. That of p5
+#: ranks all values, which the summaries equal as long as no group has more than they keep.
+SQL: dict[str, str] = {
+    "p1_found": """
+WITH t AS (SELECT DISTINCT vec_id AS k, positions::DOUBLE[] AS p FROM trajectories WHERE len(positions) = 24 AND isfinite(list_sum(positions::DOUBLE[]))),
+q AS (SELECT a.k AS a, b.k AS b, list_distance(a.p, b.p) AS d FROM t a JOIN t b ON a.k <> b.k),
+n AS (SELECT a, b FROM q QUALIFY row_number() OVER (PARTITION BY a ORDER BY d, b) <= 5)
+SELECT DISTINCT least(a, b) AS vec_id_a, greatest(a, b) AS vec_id_b FROM n""",
+    "p2_found": """
+WITH RECURSIVE d AS (SELECT chunk_id, interval_no AS i, min(tick) AS tick, min(stored_size) AS sz, min(generation) AS gen, min(take_label) AS label FROM chunk_samples GROUP BY ALL),
+big AS (SELECT chunk_id, count(*) AS n, sum(sz) AS total FROM d GROUP BY chunk_id HAVING sum(sz) > 4000000),
+f AS (SELECT d.chunk_id, i, tick, sz, n, gen, coalesce(last_value(label IGNORE NULLS) OVER w, NULL) AS lab, sum(sz) OVER w AS upto FROM d JOIN big ON d.chunk_id = big.chunk_id WINDOW w AS (PARTITION BY d.chunk_id ORDER BY i ROWS UNBOUNDED PRECEDING)),
+g AS (SELECT *, upto - sz AS before, i > 0 AND (gen <> lag(gen) OVER w OR lab IS DISTINCT FROM lag(lab) OVER w) AS nat FROM f WINDOW w AS (PARTITION BY chunk_id ORDER BY i)),
+ends AS (SELECT chunk_id, i AS e, before AS p, nat FROM g UNION ALL SELECT chunk_id, n, total, true FROM big),
+s AS (SELECT c.chunk_id, c.i AS c, min(a.i) AS s FROM g c JOIN g a ON a.chunk_id = c.chunk_id AND a.i BETWEEN c.i - 2 AND c.i AND (a.i = c.i OR c.upto - a.before <= 4000000) GROUP BY ALL),
+far AS (SELECT s.chunk_id, c, s, max(e) AS far, max(e) FILTER (ends.nat) AS last FROM s JOIN g ON g.chunk_id = s.chunk_id AND g.i = s JOIN ends ON ends.chunk_id = s.chunk_id AND e > c AND (p - g.before <= 4000000 OR e = c + 1) GROUP BY ALL),
+nxt AS (SELECT chunk_id, c, s, coalesce(last, far) AS e FROM far),
+walk AS (SELECT chunk_id, c, s, e FROM nxt WHERE c = 0 UNION ALL SELECT n.chunk_id, n.c, n.s, n.e FROM walk w JOIN nxt n ON n.chunk_id = w.chunk_id AND n.c = w.e)
+SELECT w.chunk_id, g.tick AS piece_start_tick, (w.e - w.s)::BIGINT AS piece_intervals FROM walk w JOIN g ON g.chunk_id = w.chunk_id AND g.i = w.s""",
+    "p4_found": """
+WITH RECURSIVE t AS (SELECT DISTINCT splat_id AS k, positions[1]::DOUBLE AS x, positions[2]::DOUBLE AS y, positions[3]::DOUBLE AS z, color_dc[1]::DOUBLE / 2 AS r, color_dc[2]::DOUBLE / 2 AS g, color_dc[3]::DOUBLE / 2 AS b FROM splats
+WHERE isfinite(positions[1]) AND isfinite(positions[2]) AND isfinite(positions[3]) AND isfinite(color_dc[1]) AND isfinite(color_dc[2]) AND isfinite(color_dc[3])),
+c AS (SELECT *, floor(x / 0.0601) AS cx, floor(y / 0.0601) AS cy, floor(z / 0.0601) AS cz FROM t),
+o AS (SELECT i FROM (VALUES (-1), (0), (1)) v(i)), m AS (SELECT c.*, cx + a.i AS nx, cy + e.i AS ny, cz + f.i AS nz FROM c, o a, o e, o f),
+e AS (SELECT m.k AS a, c.k AS b FROM m JOIN c ON m.nx = c.cx AND m.ny = c.cy AND m.nz = c.cz WHERE m.k <> c.k AND (m.x-c.x)*(m.x-c.x) + (m.y-c.y)*(m.y-c.y) + (m.z-c.z)*(m.z-c.z) + (m.r-c.r)*(m.r-c.r) + (m.g-c.g)*(m.g-c.g) + (m.b-c.b)*(m.b-c.b) <= 0.06::DOUBLE * 0.06::DOUBLE),
+reach AS (SELECT DISTINCT a, a AS b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a),
+l AS (SELECT a AS splat_id, min(b) AS cluster_id FROM reach GROUP BY a)
+SELECT splat_id, cluster_id FROM l QUALIFY count(*) OVER (PARTITION BY cluster_id) >= 6""",
+    "p5_percentiles": """
+WITH s AS (SELECT DISTINCT splat_id, coalesce(capture_id, -1) AS capture_id, observed_at::DATE AS day, scales, opacity FROM splats),
+v AS (SELECT capture_id, day, 'scale_' || i AS field, scales[i + 1]::DOUBLE AS v FROM s, range(3) r(i) WHERE isfinite(scales[i + 1]) UNION ALL SELECT capture_id, day, 'opacity', opacity::DOUBLE FROM s WHERE isfinite(opacity)),
+g AS (SELECT capture_id, day, field, list_sort(list(v)) AS l FROM v GROUP BY ALL UNION ALL SELECT capture_id, NULL, field, list_sort(list(v)) FROM v GROUP BY ALL)
+SELECT capture_id, day, field, len(l)::BIGINT AS n, p::DOUBLE AS p, l[greatest(1, ceil(p::DOUBLE * len(l) - 1e-9))::BIGINT] AS value, 0::BIGINT AS rank_error FROM g, (VALUES (0.01), (0.05), (0.25), (0.5), (0.75), (0.95), (0.99)) q(p)""",
+}

@@ -321,3 +321,16 @@ def test_runs(spark, small, name):
     if name.startswith("p7") and not os.path.exists(VOCAB):
         pytest.skip("no vocabulary file")
     assert queries.QUERIES[name](spark, small).collect() is not None
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_against_sql(spark, small, name):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    for t in ("trajectories", "chunk_samples", "splats"):
+        con.execute(f"create view {t} as select * from read_parquet('{small}/{t}.parquet')")
+    df = queries.QUERIES[name](spark, small)
+    rel = con.execute(queries.SQL[name])
+    names = [d[0] for d in rel.description]
+    assert sorted(names) == sorted(df.columns)
+    assert sorted(map(repr, (tuple(r[c] for c in names) for r in df.collect()))) == sorted(map(repr, rel.fetchall()))
