@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.geometry import clamp
 from ..functions.timeaxis import playback
 from ..operators.frames import activity, alive_at, axis_bounds, locate_instants
-from .base import CAPTURES, CHUNKS, SPLATS, captures, chunks, query, splats
+from ..util import read
+from .base import ABSURD, CAPTURES, CHUNKS, SPLATS, captures, chunks, query, splats
 
 _TICK = "CASE WHEN abs({s} / (time_numerator / time_denominator) - floor({s} / (time_numerator / time_denominator) + 0.5)) <= 1e-9 * greatest(1.0, abs(floor({s} / (time_numerator / time_denominator) + 0.5))) THEN floor({s} / (time_numerator / time_denominator) + 0.5) ELSE {s} / (time_numerator / time_denominator) END"
 
@@ -37,7 +38,11 @@ def frame_at_instant(spark, d):
 
 
 def positions_only(spark, d):
-    return splats(spark, d).where(alive_at(F.lit(5))).select("splat_id", "x", "y", "z")
+    """Positions of the records that live through sample 5; the scan reads positions, lives and keys, and nothing else."""
+    s = read(spark, d, "splats").where(alive_at(F.lit(5)))
+    xyz = [F.get("positions", F.lit(i)).cast("double").alias(a) for i, a in enumerate("xyz")]
+    s = s.select("splat_id", *xyz).where((F.abs("x") < ABSURD) & (F.abs("y") < ABSURD) & (F.abs("z") < ABSURD))
+    return s.dropDuplicates(["splat_id"])
 
 
 def active_counts(spark, d):
@@ -90,8 +95,6 @@ def tick_gaps(spark, d):
 
 def count_check(spark, d):
     """Chunks whose stated number of records differs from that of the records at hand, either way round."""
-    from ..util import read
-
     have = read(spark, d, "splats").select("splat_id", "chunk_id").distinct().groupBy("chunk_id").agg(F.count(F.lit(1)).alias("found"))
     both = chunks(spark, d).select("chunk_id", F.col("splat_count").alias("stated")).join(have, "chunk_id", "full_outer")
     return both.where(~F.col("stated").eqNullSafe(F.col("found")))
@@ -104,7 +107,7 @@ _B = "count(*) AS records, min(x) AS x_min, max(x) AS x_max, min(y) AS y_min, ma
 SQL = {
     "instant_bracketing": _located_sql(0.37, 12) + "SELECT capture_id, round(seconds, 6) AS seconds, chunk_id, floor(off)::BIGINT AS sample_a, least(floor(off) + 1, intervals)::BIGINT AS sample_b, round(off - floor(off), 6) AS alpha FROM loc",
     "frame_at_instant": _located_sql(1.5, 0) + f", {SPLATS} SELECT splat_id, s.chunk_id, floor(off)::BIGINT AS sample_a, x, y, z, greatest(0.0, least(1.0, o)) AS opacity, r, g, b FROM s JOIN loc ON s.chunk_id = loc.chunk_id WHERE floor(off) >= life_start AND floor(off) + 1 <= life_end",
-    "positions_only": query(SPLATS) + "SELECT splat_id, x, y, z FROM s WHERE 5 >= life_start AND 6 <= life_end",
+    "positions_only": "SELECT DISTINCT splat_id, positions[1]::DOUBLE AS x, positions[2]::DOUBLE AS y, positions[3]::DOUBLE AS z FROM splats WHERE 5 >= life_start AND 6 <= life_end AND " + " AND ".join(f"isfinite(positions[{i}]) AND abs(positions[{i}]::DOUBLE) < 1e6" for i in (1, 2, 3)),
     "active_counts": query(SPLATS) + _ACTIVE + "SELECT capture_id, chunk_id, frame::INT AS frame, count(*) AS active FROM lives GROUP BY ALL",
     "active_peak": query(SPLATS) + _ACTIVE + "SELECT capture_id, max(n) AS peak FROM (SELECT capture_id, chunk_id, frame, count(*) AS n FROM lives GROUP BY ALL) GROUP BY capture_id",
     "chunk_bounds": query(SPLATS) + f"SELECT capture_id, chunk_id, {_B} FROM s GROUP BY ROLLUP (capture_id, chunk_id)",
