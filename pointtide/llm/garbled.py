@@ -9,6 +9,10 @@ decoder dropped) count as garbled though they can't be restored.
 
 Training is done twice; the second time without the sample's documents that the first model finds garbled.
 
+A unit whose odds say garbled is spared if its word is what the writers mean in its context. That is decided by how words stand
+side by side in the whole texts of all documents: the counts are Spark aggregates over the table, not the sample's, and each
+distinct text counts once, digits and white space aside.
+
 Defined results: null, empty and ASCII texts are not garbled; repeated rows count once; characters that no chain can make
 (other scripts, emoji, combining marks) are left alone; whole texts are read; an empty table gives an empty result; other
 columns are ignored.
@@ -17,6 +21,7 @@ columns are ignored.
 from __future__ import annotations
 
 import codecs
+import hashlib
 import re
 import zlib
 
@@ -25,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..util import cut, small_enough
+
 __all__ = ["CHAINS", "garble", "invert", "units", "Model", "train", "garbled_documents", "restored_documents"]
 
 #: The single-byte and multi-byte encodings in common use for the scripts concerned.
@@ -39,11 +46,16 @@ BITS = 15
 TRIED = 8
 #: Log odds that what comes out must have over what went in.
 ODDS = 6.0
-#: A form that the sample holds so often between the same words, where the restored one never stands, is what the writers meant.
+#: A form that so many texts hold between the same words, where the restored one never stands, is what the writers meant.
 MEANT = 3
 #: Documents of the training sample, and characters that training takes from one of them; what is judged is always the whole text.
 SAMPLE_DOCS = 10_000
 SAMPLE_CHARS = 8_000
+#: Part of the training sample that copies of one text make up at most: a rare text in some copies should shape the model, a hot one
+#: should not.
+COPIES = 0.001
+#: Contexts, or pairs of words, up to which a side of a join is broadcast.
+BROADCAST = 500_000
 LOST = "�"
 
 
@@ -120,18 +132,29 @@ _BLANK = " \t\r\n\f\v"
 
 
 def hash_pair(a: str, b: str) -> int:
-    return zlib.crc32(a.encode("utf-8", "replace")) << 32 | zlib.crc32(b.encode("utf-8", "replace"))
+    """A signed number of 64 bits."""
+    k = zlib.crc32(a.encode("utf-8", "replace")) << 32 | zlib.crc32(b.encode("utf-8", "replace"))
+    return k - (1 << 64) if k >> 63 else k
+
+
+def _pairs(text: str) -> set[int]:
+    """The words that stand side by side in a text, of pairs with a character outside ASCII."""
+    words = ["", *_WHITE.split(text.strip(_BLANK).translate(_DIGIT)), ""]
+    return {hash_pair(a, b) for a, b in set(zip(words, words[1:])) if not (a.isascii() and b.isascii())}
+
+
+def _identity(text: str) -> int:
+    """Equal for copies of a text, digits and white space aside."""
+    same = _WHITE.sub(" ", text.strip(_BLANK).translate(_DIGIT))
+    return int.from_bytes(hashlib.blake2b(same.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
 def _neighbours(texts: list[str]) -> dict[int, int]:
-    """How often words stand side by side, of pairs with a character outside ASCII."""
+    """In how many distinct texts words stand side by side, of pairs with a character outside ASCII."""
     out: dict[int, int] = {}
-    for t in texts:
-        words = ["", *_WHITE.split(t.strip(_BLANK).translate(_DIGIT)), ""]
-        for a, b in zip(words, words[1:]):
-            if not (a.isascii() and b.isascii()):
-                k = hash_pair(a, b)
-                out[k] = out.get(k, 0) + 1
+    for t in {_identity(t): t for t in texts}.values():
+        for k in _pairs(t):
+            out[k] = out.get(k, 0) + 1
     return out
 
 
@@ -282,8 +305,8 @@ class Model:
         for i, u in enumerate(todo):
             self.cache[u] = best.get(i, (-99.0, -1, False))
 
-    def _meant(self, text: str, start: int, end: int, chain: int) -> bool:
-        """Whether the unit at a place is a form that the writers mean in such a context."""
+    def _context(self, text: str, start: int, end: int, chain: int) -> tuple[list[int], list[int]]:
+        """The pairs of words in which the unit at a place stands, and those in which its restored form would."""
         lo, hi = start, end
         while lo > 0 and text[lo - 1] not in _BLANK:
             lo -= 1
@@ -295,10 +318,26 @@ class Model:
         before = before[max(map(before.rfind, _BLANK)) + 1:] if before else ""
         after = _WHITE.split(after, maxsplit=1)[0]
         undo = lambda w: w if w.isascii() else (invert(w, CHAINS[chain]) or w)
-        count = lambda a, b: self.beside.get(hash_pair(a.translate(_DIGIT), b.translate(_DIGIT)), 0)
-        seen = max(count(before, word), count(word, after))
-        other = max(count(x, back) for x in (before, undo(before))) + max(count(back, x) for x in (after, undo(after)))
-        return seen >= MEANT and not other
+        pair = lambda a, b: hash_pair(a.translate(_DIGIT), b.translate(_DIGIT))
+        other = [pair(x, back) for x in (before, undo(before))] + [pair(back, x) for x in (after, undo(after))]
+        return [pair(before, word), pair(word, after)], sorted(set(other))
+
+    def _meant(self, text: str, start: int, end: int, chain: int) -> bool:
+        """Whether the unit at a place is a form that the writers of the model's own texts mean in such a context."""
+        seen, other = self._context(text, start, end, chain)
+        return max(self.beside.get(k, 0) for k in seen) >= MEANT and not any(k in self.beside for k in other)
+
+    def doubtful(self, text: str) -> list[tuple[int, list[int], list[int]]]:
+        """(place, pairs, restored pairs) of the units that are garbled unless the writers mean them; place -1 without pairs where
+        bytes were lost."""
+        out: list[tuple[int, list[int], list[int]]] = [(-1, [], [])] if LOST in text else []
+        at = [(m.group().translate(_DIGIT), m.start(), m.end()) for m in _UNIT.finditer(text)]
+        known = self.judge([u for u, _, _ in at]) if at else {}
+        for u, a, b in at:
+            odds, chain, _ = known[u]
+            if odds >= ODDS:
+                out.append((a, *self._context(text, a, b, chain)))
+        return out
 
     def garbled(self, text: str) -> bool:
         return self.odds(text) >= ODDS
@@ -317,8 +356,9 @@ class Model:
                 return odds
         return -99.0
 
-    def restore(self, text: str) -> tuple[str, bool]:
-        """The text with every garbled unit restored where its chain decodes strictly; whether all were."""
+    def restore(self, text: str, spared: set[int] | None = None) -> tuple[str, bool]:
+        """The text with every garbled unit restored where its chain decodes strictly; whether all were. ``spared``: the places of
+        units that are meant, where the model's own texts aren't to decide."""
         whole = LOST not in text
         parts = units(text)
         if not parts:
@@ -328,7 +368,7 @@ class Model:
         def one(m):
             nonlocal whole
             odds, k, strict = known[m.group().translate(_DIGIT)]
-            if odds < ODDS or self._meant(text, m.start(), m.end(), k):
+            if odds < ODDS or (self._meant(text, m.start(), m.end(), k) if spared is None else m.start() in spared):
                 return m.group()
             t = invert(m.group(), CHAINS[k]) if strict else None
             whole = whole and t is not None
@@ -342,52 +382,96 @@ def train(texts: list[str]) -> Model:
     return Model([t for t in texts if not first.garbled(t)], beside=first.beside)
 
 
-def _model(df: DataFrame, key: str, text: str, sample_docs: int) -> Model | None:
-    docs = df.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).where("t is not null")
+def _model(docs: DataFrame, sample_docs: int) -> Model | None:
+    """The model of a sample of the documents (k, t). Repeated rows count once, and copies of a text up to COPIES of the sample: one that fills a
+    large part of the table would else make its own garbled forms look plausible."""
     n = docs.count()
     part = min(1.0, sample_docs / max(n, 1))
     if part < 1:
         docs = docs.where(F.pmod(F.xxhash64("k", F.lit(9)), F.lit(1 << 30)) < int(part * (1 << 30)))
-    texts = docs.select(F.substring("t", 1, SAMPLE_CHARS).alias("t")).limit(2 * sample_docs).toArrow().column(0).to_pylist()
+    each = docs.groupBy("t").agg(F.least(F.greatest(F.count_distinct("k"), F.lit(1)), F.lit(max(1, int(COPIES * min(n, sample_docs))))).alias("n"))
+    got = each.select(F.substring("t", 1, SAMPLE_CHARS).alias("t"), "n").limit(2 * sample_docs).toArrow()
+    texts = [t for t, k in zip(got.column("t").to_pylist(), got.column("n").to_pylist()) for _ in range(k)]
     return train(sorted(texts)) if texts else None
 
 
-def garbled_documents(df: DataFrame, key: str, text: str, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """(key) of the documents that were, wholly or in part, read in a wrong encoding."""
-    model = _model(df, key, text, sample_docs)
-    kind = dict(df.dtypes)[key]
-    rows = df.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).where("k is not null and t is not null")
+def _with(side: DataFrame) -> DataFrame:
+    return F.broadcast(side) if small_enough(side, BROADCAST) else side
+
+
+def _judged(df: DataFrame, key: str, text: str, sample_docs: int):
+    """(rows, doubtful units, contexts that are meant, the shared model): what both results are made of.
+
+    Every row's doubtful units are found once and kept, with the pairs of words that decide on them. Pairs in which a unit stands
+    are counted over these units, since whatever text holds such a pair has the unit in doubt; the restored pairs are looked for in
+    all texts."""
+    docs = df.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).where("t is not null")
+    model = _model(docs, sample_docs)
     # ASCII alone can't be garbled; the test spares most of the texts the way to Python
-    rows = rows.where(F.col("t").rlike(r"[^\x00-\x7f]"))
+    rows = docs.where("k is not null").where(F.col("t").rlike(r"[^\x00-\x7f]"))
     shared = df.sparkSession.sparkContext.broadcast(model)
+    kind = dict(docs.dtypes)["k"]
 
-    def judge(batches):
+    def doubts(batches):
         m = shared.value
         for b in batches:
-            hit = [m is not None and m.garbled(t) for t in b.column("t").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("k").filter(pa.array(hit, pa.bool_()))], names=["k"])
+            at, place, same, seen, other = [], [], [], [], []
+            for i, t in enumerate(b.column("t").to_pylist()):
+                found = m.doubtful(t) if m is not None else []
+                me = _identity(t) if found else 0
+                for p, s, o in found:
+                    at.append(i)
+                    place.append(p)
+                    same.append(me)
+                    seen.append(s)
+                    other.append(o)
+            many = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("k").take(pa.array(at, pa.int64())), pa.array(place, pa.int32()), pa.array(same, pa.int64()), pa.array(seen, many), pa.array(other, many)], names=["k", "place", "same", "seen", "other"])
+
+    def pairs(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(set().union(*map(_pairs, b.column("t").to_pylist()))), pa.int64())], names=["pair"])
+
+    units_ = cut(rows.mapInArrow(doubts, f"k {kind}, place int, same bigint, seen array<bigint>, other array<bigint>").withColumn("ctx", F.md5(F.concat_ws(",", "seen", F.lit("|"), "other"))))
+    often = units_.select(F.explode("seen").alias("pair"), "same").groupBy("pair").agg(F.count_distinct("same").alias("n")).where(F.col("n") >= MEANT).select("pair")
+    contexts = units_.where("place >= 0").select("ctx", "seen", "other").dropDuplicates(["ctx"])
+    maybe = contexts.select("ctx", "other", F.explode("seen").alias("pair")).join(_with(often), "pair", "left_semi").select("ctx", "other").dropDuplicates(["ctx"])
+    maybe = cut(maybe.select("ctx", F.explode("other").alias("pair")))
+    there = rows.select("t").mapInArrow(pairs, "pair bigint").join(_with(maybe.select("pair").distinct()), "pair", "left_semi").distinct()
+    refuted = maybe.join(there, "pair", "left_semi").select("ctx")
+    meant = cut(maybe.select("ctx").distinct().join(refuted, "ctx", "left_anti"))
+    return rows, units_, _with(meant), shared
+
 
-    return rows.mapInArrow(judge, f"k {kind}").distinct().select(F.col("k").alias(key))
+def garbled_documents(df: DataFrame, key: str, text: str, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+    """(key) of the documents that were, wholly or in part, read in a wrong encoding."""
+    _, doubtful, meant, _ = _judged(df, key, text, sample_docs)
+    return doubtful.join(meant, "ctx", "left_anti").select(F.col("k").alias(key)).distinct()
 
 
 def restored_documents(df: DataFrame, key: str, text: str, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """(key, restored, complete) of the garbled documents: the text with every garbled part restored that can be."""
-    model = _model(df, key, text, sample_docs)
-    kind = dict(df.dtypes)[key]
-    rows = df.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).where("k is not null and t is not null").where(F.col("t").rlike(r"[^\x00-\x7f]"))
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    rows, doubtful, meant, shared = _judged(df, key, text, sample_docs)
+    kind = dict(rows.dtypes)["k"]
+    found = doubtful.join(meant, "ctx", "left_anti").select("k").distinct()
+    spared = doubtful.join(meant, "ctx", "left_semi").groupBy("k", F.col("same").alias("_same")).agg(F.collect_set("place").alias("spared"))
+    spared = spared.groupBy("k").agg(F.collect_list(F.struct("_same", "spared")).alias("spared"))
+    rows = rows.join(found, "k", "left_semi").join(spared, "k", "left")
 
     def judge(batches):
         m = shared.value
         for b in batches:
-            keys, texts, whole = [], [], []
-            for k, t in zip(b.column("k"), b.column("t").to_pylist()):
-                if m is not None and m.garbled(t):
-                    r, w = m.restore(t)
-                    keys.append(k.as_py())
-                    texts.append(r)
-                    whole.append(w)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, b.schema.field("k").type), pa.array(texts, pa.string()), pa.array(whole, pa.bool_())], names=["k", "restored", "complete"])
-
-    found = rows.mapInArrow(judge, f"k {kind}, restored string, complete boolean")
-    return found.groupBy(F.col("k").alias(key)).agg(F.min("restored").alias("restored"), F.min("complete").alias("complete"))
+            at, texts, whole = [], [], []
+            for i, (t, sp) in enumerate(zip(b.column("t").to_pylist(), b.column("spared").to_pylist())):
+                me = _identity(t)
+                places = {p for x in sp or [] if x["_same"] == me for p in x["spared"]}
+                if all(p in places for p, _, _ in m.doubtful(t)):
+                    continue
+                r, w = m.restore(t, places)
+                at.append(i)
+                texts.append(r)
+                whole.append(w)
+            yield pa.RecordBatch.from_arrays([b.column("k").take(pa.array(at, pa.int64())), pa.array(texts, pa.string()), pa.array(whole, pa.bool_())], names=["k", "restored", "complete"])
+
+    out = rows.mapInArrow(judge, f"k {kind}, restored string, complete boolean")
+    return out.groupBy(F.col("k").alias(key)).agg(F.min("restored").alias("restored"), F.min("complete").alias("complete"))

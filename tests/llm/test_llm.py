@@ -313,6 +313,31 @@ def test_garbled_edges(spark):
     assert garbled.garbled_documents(df.where("false"), "doc_id", "text").collect() == []
 
 
+def test_garbled_copies_do_not_vouch(spark):
+    """A garbled text that makes up a third of the rows is found and restored in every copy."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").toPandas().drop_duplicates("doc_id").dropna(subset=["text"])
+    base = [(int(k), t) for k, t in zip(docs.doc_id, docs.text)]
+    clean = min(t for t, g in zip(docs.text, docs.lang) if g == "de" and sum(c in "äöüß" for c in t) > 8 and len(t) < 2000 and garbled.garble(t, (("utf-8", "cp1252"),)))
+    bad = garbled.garble(clean, (("utf-8", "cp1252"),))
+    copies = [(10**6 + i, bad) for i in range(250)]
+    df = spark.createDataFrame([r for r in base if r[1] != clean] + copies * 2, "doc_id bigint, text string")
+    assert {k for k, _ in copies} <= {r[0] for r in garbled.garbled_documents(df, "doc_id", "text").collect()}
+    out = [r["restored"] for r in garbled.restored_documents(df, "doc_id", "text").where("doc_id >= 1000000").collect()]
+    assert len(out) == 250 and set(out) == {clean}
+
+
+def test_garbled_context_from_whole_texts(spark, monkeypatch):
+    """Contexts beyond the training sample's characters count, once per distinct text, and a restored form there refutes."""
+    monkeypatch.setattr(garbled, "SAMPLE_CHARS", 400)
+    word = garbled.garble("Brücke", (("utf-8", "cp1252"),))
+    pad = "It was clean at first and José asked for a façade of “stone”. " * 20
+    rows = lambda n, w: [(i, f"{pad} {'abcdefgh'[i]} sign reads {w} here.") for i in range(n)]
+    find = lambda r: {x[0] for x in garbled.garbled_documents(spark.createDataFrame(r, "doc_id bigint, text string"), "doc_id", "text").collect()}
+    assert find(rows(3, word)) == set()
+    assert find(rows(2, word) + [(9, rows(2, word)[1][1])]) == {0, 1, 9}
+    assert find(rows(3, word) + [(8, pad + "sign reads Brücke here.")]) == {0, 1, 2}
+
+
 # --- the queries ---------------------------------------------------------------------------------------------------------
 
 
