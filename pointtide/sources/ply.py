@@ -139,6 +139,19 @@ class _Reader(DataSourceReader):
             yield pa.RecordBatch.from_arrays([c.slice(i, 100_000) for c in cols], names=[s.name for s in self.schema.fields])
 
 
+_WHOLE = [ByteType(), ShortType(), IntegerType(), LongType()]
+
+
+def _wider(a, b):
+    """The smallest type that holds the values of both; whole numbers of over 24 bits beside a float make a double."""
+    if a == b:
+        return a
+    if a in _WHOLE and b in _WHOLE:
+        return max(a, b, key=_WHOLE.index)
+    small = (ByteType(), ShortType(), FloatType())
+    return FloatType() if a in small and b in small else DoubleType()
+
+
 def _arrow(t):
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -201,10 +214,11 @@ class PlyDataSource(DataSource):
         return "ply"
 
     def schema(self):
+        """Properties of all files, in the order in which they first appear, each of a type that holds its values in every file."""
         seen: dict[str, object] = {}
-        for p in _files(self.options["path"])[:1]:
+        for p in _files(self.options["path"]):
             for n, t in read_header(p).fields:
-                seen[n] = _TYPES[t][1]
+                seen[n] = _wider(seen[n], _TYPES[t][1]) if n in seen else _TYPES[t][1]
         return StructType([StructField("path", StringType()), StructField("row", LongType()), *[StructField(n, t) for n, t in seen.items() if n not in ("path", "row")]])
 
     def reader(self, schema):

@@ -23,6 +23,16 @@ def test_round_trip(with_ply, tmp_path, form, monkeypatch):
     assert df.exceptAll(back.select(*[F.col(c).cast("double") for c in df.columns])).count() == 0 and back.count() == 50
 
 
+def test_schema_of_all_files(with_ply, tmp_path):
+    """Properties that later files add are kept, and types are widened to what every file holds."""
+    head = "ply\nformat ascii 1.0\nelement vertex 1\n{}end_header\n{}\n"
+    for name, props, row in (("a", ["int x", "uchar red"], "2 7"), ("b", ["float red", "float x", "double late"], "0.5 1.25 3.5"), ("c", ["uint big", "short x"], "4000000000 -3")):
+        (tmp_path / f"{name}.ply").write_text(head.format("".join(f"property {p}\n" for p in props), row))
+    df = with_ply.read.format("ply").load(str(tmp_path))
+    assert dict(df.dtypes) == {"path": "string", "row": "bigint", "x": "double", "red": "float", "late": "double", "big": "bigint"}
+    assert [tuple(r)[2:] for r in df.orderBy("path").collect()] == [(2.0, 7.0, None, None), (1.25, 0.5, 3.5, None), (-3.0, None, None, 4000000000)]
+
+
 def test_activation_and_sequence(with_ply, tmp_path):
     spark = with_ply
     data = [(f, float(r), 0.0, 0.0, 2.0, 0.1, 0.2, 0.3, -3.0, -4.0, -12.0, 2.0, 0.0, 0.0, 0.0) for f in (3, 4, 6) for r in range(4)]
