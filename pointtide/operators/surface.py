@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .ranking import transmittance
 from .spatial import components, nearest_rows
 
-__all__ = ["ring_of_views", "contribution_scores", "oriented_normals", "recover_colour", "likest_partner"]
+__all__ = ["ring_of_views", "contribution_scores", "scoring_views", "rendered_contributions", "oriented_normals", "recover_colour", "likest_partner"]
 
 
 def ring_of_views(n: int = 8, heights: tuple[float, ...] = (0.0,)) -> list[tuple[tuple[float, ...], tuple[float, ...], tuple[float, ...]]]:
@@ -47,6 +47,127 @@ def contribution_scores(df: DataFrame, groups: list[str], key: str, views: list,
     return t.groupBy(key).agg((F.sum("weight") / len(views)).alias("score"))
 
 
+def scoring_views(centre: np.ndarray, radius: float) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(eye, right, up, forward) of 24 cameras of 45 degrees around a ball: 8 far, 8 near, 4 from above and 4 from below."""
+    far = radius / math.tan(math.radians(22.5)) * 1.05
+    near, eyes = far * 0.45, []
+    for k in range(8):
+        for a, r, h in ((k * math.pi / 4, far, 0.3 * radius), (k * math.pi / 4 + math.pi / 8, near, 0.1 * radius)):
+            eyes.append((math.sin(a) * r, h, math.cos(a) * r))
+    for k in range(4):
+        a = (k + 0.5) * math.pi / 2
+        eyes += [(math.sin(a) * 0.35 * far, h * far, math.cos(a) * 0.35 * far) for h in (0.95, -0.95)]
+    out = []
+    for e in np.array(eyes):
+        f = -e / np.linalg.norm(e)
+        r = np.cross(f, [0.0, 0.0, 1.0] if abs(f[1]) > 0.99 else [0.0, 1.0, 0.0])
+        r /= np.linalg.norm(r)
+        out.append((centre + e, r, np.cross(r, f), f))
+    return out
+
+
+def _footprints(x: np.ndarray, axes: np.ndarray, o: np.ndarray, view: tuple, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, footprint: depth, centre, inverse covariance and pixel bounds) of the records that a view sees, front to back."""
+    eye, right, up, forward = view
+    focal = size / 2 / math.tan(math.radians(22.5))
+    d = x - eye
+    z = d @ forward
+    at = np.flatnonzero((z >= 0.05) & (o >= 1 / 255))
+    z, a, b = z[at], d[at] @ right, d[at] @ up
+    m = np.stack([right, up, forward]) @ axes[at]
+    u = (focal / z)[:, None] * (m[:, 0] - (a / z)[:, None] * m[:, 2])
+    v = (focal / z)[:, None] * (m[:, 1] - (b / z)[:, None] * m[:, 2])
+    # the low-pass of 0.3 pixels
+    xx, xy, yy = (u * u).sum(1) + 0.3, (u * v).sum(1), (v * v).sum(1) + 0.3
+    det = xx * yy - xy * xy
+    sx, sy, reach = size / 2 + focal * a / z, size / 2 - focal * b / z, 3 * np.sqrt(np.maximum(xx, yy))
+    whole = lambda c: np.trunc(np.clip(c, -1e6, 1e6))
+    x0, x1 = np.maximum(0, whole(sx - reach)), np.minimum(size - 1, whole(sx + reach))
+    y0, y1 = np.maximum(0, whole(sy - reach)), np.minimum(size - 1, whole(sy + reach))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        out = np.stack([z, sx, sy, yy / det, -xy / det, xx / det, x0, x1, y0, y1], 1)
+    ok = (det > 0) & (x0 <= x1) & (y0 <= y1)
+    by = np.argsort(z[ok], kind="stable")
+    return at[ok][by], out[ok][by]
+
+
+def _credits(x: np.ndarray, axes: np.ndarray, o: np.ndarray, alive: np.ndarray, views: list, size: int, most: int = 400_000) -> np.ndarray:
+    """Each record's blending weight, summed over the pixels of all views at all instants (columns of ``alive``). Footprints are drawn
+    front to back, up to ``most`` pixels of them at a time."""
+    credit = np.zeros(len(x))
+    masks, times = np.unique(alive, axis=1, return_counts=True)
+    for view in views:
+        row, foot = _footprints(x, axes, o, view, size)
+        shown = [np.flatnonzero(masks[row, j]) for j in range(masks.shape[1])]
+        item = np.concatenate(shown)
+        layer = np.repeat(np.arange(len(shown)), [len(s) for s in shown])
+        through = np.ones(len(shown) * size * size)
+        w = (foot[item, 7] - foot[item, 6] + 1).astype(np.int64)
+        n = w * (foot[item, 9] - foot[item, 8] + 1).astype(np.int64)
+        upto, lo = np.cumsum(n), 0
+        while lo < len(item):
+            hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + most, side="right")))
+            k = np.repeat(np.arange(lo, hi), n[lo:hi])
+            j = np.arange(len(k)) - np.repeat(upto[lo:hi] - n[lo:hi] - (upto[lo - 1] if lo else 0), n[lo:hi])
+            _, sx, sy, a, b, c, x0, _, y0, _ = foot[item[k]].T
+            px, py = x0 + j % w[k], y0 + j // w[k]
+            dx, dy = px + 0.5 - sx, py + 0.5 - sy
+            power = -0.5 * (a * dx * dx + 2 * b * dx * dy + c * dy * dy)
+            alpha = np.minimum(0.99, o[row[item[k]]] * np.exp(np.minimum(power, 0)))
+            ok = (power <= 0) & (alpha >= 1 / 255)
+            k, alpha = k[ok], alpha[ok]
+            pixel = (layer[k] * size + py[ok].astype(np.int64)) * size + px[ok].astype(np.int64)
+            by = np.argsort(pixel, kind="stable")
+            k, alpha, pixel = k[by], alpha[by], pixel[by]
+            if len(k):
+                logs = np.log1p(-alpha)
+                before = np.cumsum(logs) - logs
+                first = np.flatnonzero(np.r_[True, pixel[1:] != pixel[:-1]])
+                t = through[pixel] * np.exp(before - np.repeat(before[first], np.diff(np.r_[first, len(pixel)])))
+                np.add.at(credit, row[item[k]], np.where(t >= 1e-4, alpha * t, 0) * times[layer[k]])
+                last = np.r_[first[1:] - 1, len(pixel) - 1]
+                through[pixel[last]] = t[last] * (1 - alpha[last])
+            lo = hi
+    return credit
+
+
+def rendered_contributions(df: DataFrame, groups: list[str], key: str, size: int = 256, instants: int = 4) -> DataFrame:
+    """(key, score): what each record of a group contributes, in pixels of a view of 1080 lines: its blending weight under its projected
+    Gaussian footprint, summed over the pixels of 24 views at mid-interval instants and divided by the views and the instants at
+    which it lives; -1 where it lives at none.
+
+    ``df`` has x, y, z, sx, sy, sz and o; qx to qw (else unturned); life_start and life_end (else always alive) with ``intervals``, the
+    length of the group (else up to its last life_end). A group is one chunk's records, which the format bounds."""
+    has = set(df.columns)
+    num = lambda c, v: (F.col(c).cast("double") if c in has else F.lit(float(v)) if v is not None else F.lit(None).cast("double")).alias(c)
+    cols = [*((a, 0) for a in ("x", "y", "z", "sx", "sy", "sz", "o", "qx", "qy", "qz")), ("qw", 1), ("life_start", -1e18), ("life_end", 1e18), ("intervals", None)]
+    rows = df.select(*groups, F.col(key).alias("key"), *[num(*c) for c in cols])
+    kind = dict(rows.dtypes)["key"]
+
+    def scores(t: pa.Table) -> pa.Table:
+        from .evaluate import _rotations
+
+        get = lambda *names: np.stack([t.column(c).to_numpy() for c in names], 1)
+        x, q, o = get("x", "y", "z"), get("qx", "qy", "qz", "qw"), get("o")[:, 0]
+        life, length = get("life_start", "life_end"), np.nanmax(np.r_[np.nan_to_num(get("intervals")[:, 0].astype(float)), 0])
+        length = length or life[:, 1].max()
+        at = np.floor((np.arange(instants) + 0.5) / instants * length)
+        alive = (life[:, :1] <= at) & (life[:, 1:] >= at + 1)
+        n = alive.sum(1)
+        out = np.full(len(x), -1.0)
+        if n.any():
+            lo, hi = x[n > 0].min(0), x[n > 0].max(0)
+            views = scoring_views((lo + hi) / 2, max(np.linalg.norm(hi - lo) / 2, 1e-3))
+            norm = np.linalg.norm(q, axis=1)
+            turned = norm > 1e-12  # what has no orientation isn't drawn
+            axes = _rotations(q / np.where(turned, norm, 1)[:, None]) * get("sx", "sy", "sz")[:, None, :]
+            credit = _credits(x, axes, np.where(turned, o, 0), alive, views, size)
+            out = np.where(n > 0, credit / (np.maximum(n, 1) * len(views)) * (1080 / size) ** 2, -1.0)
+        return pa.table({"key": t.column("key"), "score": out})
+
+    return rows.groupBy(*groups).applyInArrow(scores, f"key {kind}, score double").withColumnRenamed("key", key)
+
+
 def oriented_normals(df: DataFrame, groups: list[str], key: str, k: int = 24, passes: int = 4, crease: float = 35.0, pixels: int = 96) -> DataFrame:
     """(key, nx, ny, nz): unit normals. The direction is that of the plane through the k nearest records, weighted by opacity; the side
     is that of the cameras of a ring which see the record in their depth map; records that none sees follow their neighbours, in up

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import Transform
 from ..operators import evaluate as E
-from .base import INTERVALS, SPLATS, TRAJECTORIES, intervals, query, splats, trajectories
+from .base import INTERVALS, SPLATS, TRAJECTORIES, chunks, intervals, query, splats, trajectories
 
 _LASSO = [(-150.0, -1.0), (150.0, -1.5), (260.0, 0.5), (0.0, 1.5), (-150.0, 1.0)]
 
@@ -56,6 +56,14 @@ def contribution_scores(spark, d):
     return c.select("splat_id", F.round("score", 6).alias("score"))
 
 
+def contribution_rendered(spark, d):
+    """The whole score: 24 views at 4 instants, 256 pixels, footprints and lives. A chunk's records fit one task: the format bounds them."""
+    from ..operators.surface import rendered_contributions
+
+    length = chunks(spark, d).select("chunk_id", "intervals")
+    return rendered_contributions(splats(spark, d).join(length, "chunk_id", "left"), ["chunk_id"], "splat_id")
+
+
 def oriented_normals(spark, d):
     from ..operators.surface import oriented_normals as normals
 
@@ -83,7 +91,7 @@ def recovered_colour(spark, d):
     return recover_colour(s, ["chunk_id"], "splat_id", (F.col("r") > F.col("b")) & (F.col("o") > 0.15), F.col("r") >= F.col("b") - 0.015, link=0.2, least=10, extent=0.12, reach=0.4, eighth=0.4)
 
 
-_F = (contribution_scores, oriented_normals, likest_partner, recovered_colour, trajectory_at, lasso_pick, capped_segments, motion_atoms, covariance_bake, median_cut_palette)
+_F = (contribution_scores, contribution_rendered, oriented_normals, likest_partner, recovered_colour, trajectory_at, lasso_pick, capped_segments, motion_atoms, covariance_bake, median_cut_palette)
 QUERIES = {f.__name__: f for f in _F}
 
 

@@ -22,6 +22,46 @@ def test_contribution_of_a_wall(spark):
     assert got == {1: 0.5, 2: 0.0, 3: 0.5}
 
 
+def _drawn(x, axes, o, alive, size):
+    """The reference's loop, record by record and pixel by pixel."""
+    n = alive.sum(1)
+    lo, hi = x[n > 0].min(0), x[n > 0].max(0)
+    focal, credit = size / 2 / np.tan(np.pi / 8), np.zeros(len(x))
+    for eye, r, u, f in S.scoring_views((lo + hi) / 2, np.linalg.norm(hi - lo) / 2):
+        for s in range(alive.shape[1]):
+            t = np.ones((size, size))
+            d = x - eye
+            for i in sorted(np.flatnonzero(alive[:, s]), key=lambda i: d[i] @ f):
+                a, b, z = d[i] @ r, d[i] @ u, d[i] @ f
+                if z < 0.05:
+                    continue
+                m = np.array([[focal / z, 0, -focal * a / z**2], [0, focal / z, -focal * b / z**2]]) @ np.stack([r, u, f]) @ axes[i]
+                cov = m @ m.T + 0.3 * np.eye(2)
+                inv, reach, sx, sy = np.linalg.inv(cov), 3 * np.sqrt(max(cov[0, 0], cov[1, 1])), size / 2 + focal * a / z, size / 2 - focal * b / z
+                for py in range(max(0, int(sy - reach)), min(size - 1, int(sy + reach)) + 1):
+                    for px in range(max(0, int(sx - reach)), min(size - 1, int(sx + reach)) + 1):
+                        v = np.array([px + 0.5 - sx, py + 0.5 - sy])
+                        alpha = min(0.99, o[i] * np.exp(-0.5 * v @ inv @ v))
+                        if t[py, px] >= 1e-4 and alpha >= 1 / 255:
+                            credit[i] += alpha * t[py, px]
+                            t[py, px] *= 1 - alpha
+    return np.where(n > 0, credit / (np.maximum(n, 1) * 24) * (1080 / size) ** 2, -1)
+
+
+def test_rendered_contributions_equal_a_plain_loop(spark):
+    from pointtide.operators.evaluate import _rotations
+
+    rng = np.random.default_rng(3)
+    x, q, s, o = rng.normal(size=(12, 3)), rng.normal(size=(12, 4)), rng.uniform(0.05, 0.6, (12, 3)), rng.uniform(0.2, 1, 12)
+    life = [(0, 16)] * 6 + [(0, 8)] * 3 + [(8, 16)] * 2 + [(3, 5)]  # the last lives at no instant
+    rows = [(1, i, *map(float, [*x[i], *s[i], o[i], *q[i]]), *life[i], 16) for i in range(12)]
+    df = spark.createDataFrame(rows, "g int, k int, x double, y double, z double, sx double, sy double, sz double, o double, qx double, qy double, qz double, qw double, life_start int, life_end int, intervals int")
+    got = dict(map(tuple, S.rendered_contributions(df, ["g"], "k", size=24).collect()))
+    alive = np.array([[a <= t and b >= t + 1 for t in (2, 6, 10, 14)] for a, b in life])
+    want = _drawn(x, _rotations(q / np.linalg.norm(q, axis=1)[:, None]) * s[:, None, :], o, alive, 24)
+    assert got[11] == -1 and np.allclose([got[i] for i in range(12)], want, rtol=1e-6)
+
+
 def test_recovered_colour_never_passes_the_source(spark):
     rng = np.random.default_rng(8)
     data = [(1, i, *map(float, rng.random(3) * [0.2, 0.2, 0.01]), 0.9, 0.6, 0.45, 0.4, 0.6, 0.45, 0.4) for i in range(400)] + [(1, 900, 0.1, 0.1, 0.005, 0.9, 0.5, 0.5, 0.4, 0.56, 0.5, 0.4), (1, 901, 5.0, 5.0, 5.0, 0.9, 0.5, 0.5, 0.4, 0.56, 0.5, 0.4)]
