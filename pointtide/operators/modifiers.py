@@ -19,6 +19,7 @@ from ..functions.geometry import Transform, apply_affine, apply_linear, in_box,
 from ..functions.timeaxis import keyed
 from .ranking import prune_budget
 from .spatial import nth_neighbour_distances, upper_medians
+from .surface import rendered_contributions
 
 __all__ = ["Modifier", "Pipeline", "crop_keeps", "antialias_bake", "bake_size", "KINDS", "REMOVING", "load", "dump"]
 
@@ -162,11 +163,17 @@ class Pipeline:
 
     def run(self, df: DataFrame, frame: float, picks: DataFrame | None = None) -> DataFrame:
         """``df`` (chunk_id, record_id, splat_id, x, y, z, sx, sy, sz, o, r, g, b) after the stack; ``picks`` (chunk_id, record_id)
-        are the records that erase modifiers name."""
+        are the records that erase modifiers name. Pruning ranks by rendered contributions of the records as they come in, which also read
+        qx to qw, life_start, life_end and intervals where ``df`` has them."""
         stack = [m for m in (m.at(frame) for m in self.modifiers) if m is not None]
         of = lambda kind: [m for m in stack if m.kind == kind]
-        for m in of("prune-low-contribution"):
-            df = prune_budget(df, ["chunk_id"], F.col("o") * F.greatest("sx", "sy", "sz"), "splat_id", m.params.get("percent", 15.0), m.params.get("protect_above", 0.25))
+        if of("prune-low-contribution"):
+            # one score for all prune filters; each counts what the others left
+            names = df.columns
+            df = df.join(rendered_contributions(df, ["chunk_id"], "splat_id").withColumnRenamed("score", "_score"), "splat_id")
+            for m in of("prune-low-contribution"):
+                df = prune_budget(df, ["chunk_id"], F.col("_score"), "splat_id", m.params.get("percent", 15.0), m.params.get("protect_above", 0.25))
+            df = df.select(*names)
         if of("erase") and picks is not None:
             df = df.join(picks.select("chunk_id", "record_id").distinct(), ["chunk_id", "record_id"], "left_anti")
         for i, m in enumerate(of("animate-transform")):

@@ -12,7 +12,7 @@ from ..functions.timeaxis import keyed, smoothstep, weight_at
 from ..operators import modifiers as M
 from ..operators.ranking import density_thin, prune_budget
 from ..operators.spatial import nth_neighbour_distances, upper_medians
-from .base import CAPTURES, SPLATS, captures, query, splats
+from .base import CAPTURES, SPLATS, captures, chunks, query, splats
 
 #: The scene of the crop queries: captures stand far apart along x, so volumes are wide there.
 KEEP = {"shape": "cylinder", "radius": 300.0, "radius_z": 3.5, "height": 2.5, "position": (0.0, -1.0, 1.0)}
@@ -145,6 +145,13 @@ def prune_low(spark, d):
     return prune_budget(once, ["chunk_id"], F.col("score"), "splat_id", 10.0, 0.002).select("splat_id")
 
 
+def prune_low_rendered(spark, d):
+    """The records that a prune filter on rendered contributions leaves, by its default budget and protection in pixels."""
+    length = chunks(spark, d).select("chunk_id", "intervals")
+    s = splats(spark, d).join(length, "chunk_id", "left")
+    return M.Pipeline().add("prune-low-contribution").run(s, 0.0).select("splat_id")
+
+
 def purge_isolated(spark, d):
     s = splats(spark, d).select("splat_id", "chunk_id", "x", "y", "z")
     far = nth_neighbour_distances(s, ["chunk_id"], "splat_id", 4)
@@ -166,7 +173,7 @@ def modifier_pipeline(spark, d):
 
 
 _F = (crop_keep_remove, crop_statistics, green_filter, hue_of_colours, colour_matrix_stack, despill_colours, srgb_round_trip, affine_transform, rigid_motion, erase_antijoin, erase_union, mask_intersection,
-      fade_weights, keyframe_linear, smooth_fade, density_thinned, antialias_baked, walk_distance, host_pack, stored_form, prune_low, purge_isolated, modifier_pipeline)
+      fade_weights, keyframe_linear, smooth_fade, density_thinned, antialias_baked, walk_distance, host_pack, stored_form, prune_low, prune_low_rendered, purge_isolated, modifier_pipeline)
 QUERIES = {f.__name__: f for f in _F}
 
 _KEEPS = "(y + 1 >= 0 AND y + 1 <= 2.5 AND x * x / 90000.0::DOUBLE + (z - 1) * (z - 1) / 12.25::DOUBLE <= 1)"

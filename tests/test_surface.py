@@ -62,6 +62,20 @@ def test_rendered_contributions_equal_a_plain_loop(spark):
     assert got[11] == -1 and np.allclose([got[i] for i in range(12)], want, rtol=1e-6)
 
 
+def test_prune_by_contribution(spark):
+    """A large record that others hide goes first, not the small one that is seen."""
+    from pointtide.operators.modifiers import Pipeline
+
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(600, 3))
+    shell = 2 * v / np.linalg.norm(v, axis=1)[:, None]
+    rows = [(1, i, i, *map(float, p), 0.5, 0.5, 0.5, 1.0, 0.5, 0.5, 0.5) for i, p in enumerate(shell)]
+    rows += [(1, 1000, 1000, 0.0, 0.0, 0.0, 0.8, 0.8, 0.8, 1.0, 0.5, 0.5, 0.5), (1, 1001, 1001, 0.0, 4.0, 0.0, 0.05, 0.05, 0.05, 1.0, 0.5, 0.5, 0.5)]
+    df = spark.createDataFrame(rows, "chunk_id int, record_id int, splat_id int, x double, y double, z double, sx double, sy double, sz double, o double, r double, g double, b double")
+    kept = Pipeline().add("prune-low-contribution", {"percent": 0.2}).run(df, 0.0)
+    assert {r[0] for r in df.select("splat_id").exceptAll(kept.select("splat_id")).collect()} == {1000}
+
+
 def test_recovered_colour_never_passes_the_source(spark):
     rng = np.random.default_rng(8)
     data = [(1, i, *map(float, rng.random(3) * [0.2, 0.2, 0.01]), 0.9, 0.6, 0.45, 0.4, 0.6, 0.45, 0.4) for i in range(400)] + [(1, 900, 0.1, 0.1, 0.005, 0.9, 0.5, 0.5, 0.4, 0.56, 0.5, 0.4), (1, 901, 5.0, 5.0, 5.0, 0.9, 0.5, 0.5, 0.4, 0.56, 0.5, 0.4)]
