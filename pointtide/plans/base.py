@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..util import read
+from ..util import finite, read
 
 ABSURD = 1e6
 
@@ -29,6 +29,20 @@ SPLATS = f"""s AS (SELECT DISTINCT {", ".join(_PLAIN)}, opacity::DOUBLE AS o, {"
 FROM splats WHERE isfinite(opacity) AND abs(opacity::DOUBLE) < {ABSURD:.0f} AND {" AND ".join(f"isfinite({n}[{i + 1}]) AND abs({n}[{i + 1}]::DOUBLE) < {ABSURD:.0f}" for n, ps in _PARTS for i in range(len(ps)))})"""
 
 
+def records(*reads: str):
+    """A view like ``splats`` for queries that read the named numbers only: a record is left out if one of these is missing or not
+    finite, whatever its others are, and however large they are. Numbers that are not finite are null."""
+
+    def view(spark, d) -> DataFrame:
+        cols = {"o": F.col("opacity").cast("double")} | {p: F.get(F.col(n), F.lit(i)).cast("double") for n, ps in _PARTS for i, p in enumerate(ps)}
+        s = read(spark, d, "splats")
+        for c in reads:
+            s = s.where(finite(cols[c]))
+        return s.select(*_PLAIN, *[F.when(finite(c), c).alias(n) for n, c in cols.items()]).dropDuplicates(["splat_id"])
+
+    return view
+
+
 def captures(spark, d) -> DataFrame:
     c = read(spark, d, "captures").where((F.col("time_numerator") > 0) & (F.col("time_denominator") > 0))
     return c.select("capture_id", "title", "time_numerator", "time_denominator", "playback_mode", "moving_speed", "tags").dropDuplicates(["capture_id"])

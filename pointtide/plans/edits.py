@@ -74,18 +74,18 @@ def rigid_motion(spark, d):
     )
 
 
-def _picks(spark, d):
+def _picks(spark, d, view=splats):
     """Short-lived records stand for picked ones."""
-    return splats(spark, d).where(F.col("life_end") - F.col("life_start") <= 8).select("chunk_id", "record_id")
+    return view(spark, d).where(F.col("life_end") - F.col("life_start") <= 8).select("chunk_id", "record_id")
 
 
-def erase_antijoin(spark, d):
-    return splats(spark, d).join(_picks(spark, d), ["chunk_id", "record_id"], "left_anti").select("splat_id")
+def erase_antijoin(spark, d, view=splats):
+    return view(spark, d).join(_picks(spark, d, view), ["chunk_id", "record_id"], "left_anti").select("splat_id")
 
 
-def erase_union(spark, d):
-    more = splats(spark, d).where("o < 0.05").select("chunk_id", "record_id")
-    return _picks(spark, d).union(more).distinct()
+def erase_union(spark, d, view=splats):
+    more = view(spark, d).where("o < 0.05").select("chunk_id", "record_id")
+    return _picks(spark, d, view).union(more).distinct()
 
 
 def mask_intersection(spark, d):

@@ -45,16 +45,16 @@ def positions_only(spark, d):
     return s.dropDuplicates(["splat_id"])
 
 
-def active_counts(spark, d):
-    return activity(splats(spark, d), ["capture_id", "chunk_id"])
+def active_counts(spark, d, view=splats):
+    return activity(view(spark, d), ["capture_id", "chunk_id"])
 
 
-def active_peak(spark, d):
-    return active_counts(spark, d).groupBy("capture_id").agg(F.max("active").alias("peak"))
+def active_peak(spark, d, view=splats):
+    return active_counts(spark, d, view).groupBy("capture_id").agg(F.max("active").alias("peak"))
 
 
-def chunk_bounds(spark, d):
-    return axis_bounds(splats(spark, d), ["capture_id", "chunk_id"])
+def chunk_bounds(spark, d, view=splats):
+    return axis_bounds(view(spark, d), ["capture_id", "chunk_id"])
 
 
 def playback_map(spark, d):
@@ -67,9 +67,9 @@ def playback_map(spark, d):
     return rows.select("capture_id", "frame", "mode", F.round(shown, 6).alias("seconds"))
 
 
-def timeline_measure(spark, d):
+def timeline_measure(spark, d, view=splats):
     alive = F.when(alive_at(F.lit(5)), 1).otherwise(0)
-    m = splats(spark, d).rollup("capture_id", "chunk_id").agg(
+    m = view(spark, d).rollup("capture_id", "chunk_id").agg(
         F.count(F.lit(1)).alias("records"), F.sum(alive).alias("visible"), F.round((F.lit(1.0) - F.sum(alive) / F.count(F.lit(1))) * 100, 6).alias("removed_percent"),
         (F.max("y") - F.min("y")).alias("height"),
     )

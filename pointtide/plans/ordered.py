@@ -21,8 +21,8 @@ def visibility_spans(spark, d):
     return I.spans(intervals(spark, d), ["chunk_id"], "interval_no", F.col("stored_size") >= 60000)
 
 
-def run_length_pack(spark, d):
-    return I.id_runs(splats(spark, d).where("o >= 0.3"), ["chunk_id"], "record_id")
+def run_length_pack(spark, d, view=splats):
+    return I.id_runs(view(spark, d).where("o >= 0.3"), ["chunk_id"], "record_id")
 
 
 def hold_edges(spark, d):

@@ -81,22 +81,22 @@ def tag_index(spark, d):
     return t.groupBy("tag").agg(F.count(F.lit(1)).alias("captures"), F.min("capture_id").alias("first"))
 
 
-def scatter_assign(spark, d):
+def scatter_assign(spark, d, view=splats):
     """Points take one of eight variants by a hash of their id, with a phase of its own, and are counted per variant and phase."""
-    s = splats(spark, d).select("splat_id", F.pmod(mix_u32(F.col("splat_id")), F.lit(8)).alias("variant"))
+    s = view(spark, d).select("splat_id", F.pmod(mix_u32(F.col("splat_id")), F.lit(8)).alias("variant"))
     v = spark.range(8).select(F.col("id").alias("variant"), F.round(F.pmod(F.lit(0.1) + F.col("id") / 8 * 0.75, F.lit(1.0)), 6).alias("phase"))
     return s.join(F.broadcast(v), "variant").groupBy("variant", "phase").agg(F.count(F.lit(1)).alias("copies"), F.min("splat_id").alias("first"))
 
 
-def distinct_instants(spark, d):
+def distinct_instants(spark, d, view=splats):
     """Instants asked for, once each: copies share what is computed for their key."""
-    ask = splats(spark, d).select("capture_id", F.round(F.col("life_start") / 30.0, 6).alias("seconds"))
+    ask = view(spark, d).select("capture_id", F.round(F.col("life_start") / 30.0, 6).alias("seconds"))
     return ask.groupBy("capture_id", "seconds").agg(F.count(F.lit(1)).alias("copies"))
 
 
-def dead_reference_check(spark, d):
+def dead_reference_check(spark, d, view=splats):
     """Records whose chunk is unknown, or whose life runs past it."""
-    s = splats(spark, d).join(chunks(spark, d).select("chunk_id", "intervals"), "chunk_id", "left")
+    s = view(spark, d).join(chunks(spark, d).select("chunk_id", "intervals"), "chunk_id", "left")
     return s.where(F.col("intervals").isNull() | (F.col("life_end") > F.col("intervals")) | (F.col("life_start") < 0)).select("splat_id", "chunk_id")
 
 

@@ -1,0 +1,21 @@
+"""Queries of other plans over all records that have the numbers they read. Their namesakes' SQL leaves out a record for any missing,
+non-finite or very large number; these have no SQL."""
+
+from __future__ import annotations
+
+from . import edits, frames, ordered, profile
+from .base import records
+
+#: (query, the numbers without which a record has no part in it). Comparisons and heights pass over nulls by themselves.
+_READS = [
+    (frames.active_counts, ()), (frames.active_peak, ()), (frames.chunk_bounds, ("x", "y", "z")), (frames.timeline_measure, ()), (profile.dead_reference_check, ()), (profile.scatter_assign, ()),
+    (profile.distinct_instants, ()), (ordered.run_length_pack, ()), (edits.erase_antijoin, ()), (edits.erase_union, ()),
+]
+
+
+def _whole(f, reads):
+    return lambda spark, d: f(spark, d, records(*reads))
+
+
+QUERIES = {f"{f.__name__}_whole": _whole(f, reads) for f, reads in _READS}
+SQL: dict[str, str] = {}

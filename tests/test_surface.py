@@ -67,12 +67,12 @@ def test_prune_by_contribution(spark):
     from pointtide.operators.modifiers import Pipeline
 
     rng = np.random.default_rng(5)
-    v = rng.normal(size=(150, 3))
+    v = rng.normal(size=(320, 3))
     shell = 2 * v / np.linalg.norm(v, axis=1)[:, None]
     rows = [(1, i, i, *map(float, p), 0.5, 0.5, 0.5, 1.0, 0.5, 0.5, 0.5) for i, p in enumerate(shell)]
     rows += [(1, 1000, 1000, 0.0, 0.0, 0.0, 0.8, 0.8, 0.8, 1.0, 0.5, 0.5, 0.5), (1, 1001, 1001, 0.0, 4.0, 0.0, 0.05, 0.05, 0.05, 1.0, 0.5, 0.5, 0.5)]
     df = spark.createDataFrame(rows, "chunk_id int, record_id int, splat_id int, x double, y double, z double, sx double, sy double, sz double, o double, r double, g double, b double")
-    kept = Pipeline().add("prune-low-contribution", {"percent": 0.7}).run(df, 0.0)
+    kept = Pipeline().add("prune-low-contribution", {"percent": 0.4}).run(df, 0.0)
     assert {r[0] for r in df.select("splat_id").exceptAll(kept.select("splat_id")).collect()} == {1000}
 
 
