@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.bits import mix_u32, morton3, quantise
 
-__all__ = ["prune_budget", "systematic_sample", "density_thin", "zorder_rank", "transmittance", "trimmed_bounds", "truncated_percentile", "depth_bins"]
+__all__ = ["prune_budget", "systematic_sample", "density_thin", "zorder_rank", "transmittance", "trimmed_bounds", "trim_box", "truncated_percentile", "depth_bins", "depth_order"]
 
 
 def prune_budget(df: DataFrame, groups: list[str], score: Column, key: str, percent: float, protect_above: float) -> DataFrame:
@@ -65,6 +65,15 @@ def trimmed_bounds(df: DataFrame, groups: list[str], value: str, trim: float) ->
     return r.groupBy(*groups).agg(F.min(F.when(F.col("_n") == cut, F.col(value))).alias("low"), F.max(F.when(F.col("_n") == F.col("_all") - 1 - cut, F.col(value))).alias("high"))
 
 
+def trim_box(df: DataFrame, groups: list[str], axes: tuple[str, ...] = ("x", "y", "z"), trim: float = 0.005) -> DataFrame:
+    """``df`` with low_a and high_a of every axis a, without the rows outside the trimmed bounds of any of them."""
+    for a in axes:
+        df = df.join(trimmed_bounds(df, groups, a, trim).withColumnsRenamed({"low": f"low_{a}", "high": f"high_{a}"}), groups)
+    for a in axes:
+        df = df.where(F.col(a).between(F.col(f"low_{a}"), F.col(f"high_{a}")))
+    return df
+
+
 def truncated_percentile(df: DataFrame, groups: list[str], value: str, p: float) -> DataFrame:
     """(groups, value): the element at min(n - 1, floor(n * p)) of the sorted values, without interpolation."""
     w = Window.partitionBy(*groups)
@@ -80,3 +89,19 @@ def depth_bins(df: DataFrame, groups: list[str], depth: str, bins: int = 65536)
     n = df.join(edge, groups).groupBy(*groups, b.cast("bigint").alias("bin")).agg(F.count(F.lit(1)).alias("records"))
     w = Window.partitionBy(*groups).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     return n.withColumn("before", F.coalesce(F.sum("records").over(w), F.lit(0)))
+
+
+def depth_order(df: DataFrame, groups: list[str], depth: str, key: str, bins: int = 65536) -> DataFrame:
+    """(groups, key, bin, front, back): each record's place from front to back by its depth, and from back to front by a counting
+    sort over evenly spaced bins, numbered from the far end, in which records of one bin stay in the order of their keys. Places start
+    at 0."""
+    edge = df.groupBy(*groups).agg(F.min(depth).alias("_lo"), F.max(depth).alias("_hi"))
+    b = F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col("_hi") - F.col("_z")) * (F.lit(float(bins - 1)) / (F.col("_hi") - F.col("_lo"))))).otherwise(F.lit(0)).cast("bigint")
+    r = df.select(*groups, key, F.col(depth).alias("_z")).join(edge, groups).select(*groups, key, "_z", b.alias("bin"))
+    # a record's place is the number in the bins behind, and its place within its bin
+    n = r.groupBy(*groups, "bin").agg(F.count(F.lit(1)).alias("_n"))
+    behind = F.coalesce(F.sum("_n").over(Window.partitionBy(*groups).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    n = n.select(*groups, "bin", behind.alias("_behind"))
+    r = r.withColumn("_in", F.row_number().over(Window.partitionBy(*groups, "bin").orderBy(key)) - 1).join(n, [*groups, "bin"])
+    front = F.row_number().over(Window.partitionBy(*groups).orderBy("_z", key)) - 1
+    return r.select(*groups, key, "bin", front.cast("bigint").alias("front"), (F.col("_behind") + F.col("_in")).cast("bigint").alias("back"))

@@ -10,7 +10,7 @@ from ..operators import islands as I
 from ..operators import ranking as R
 from ..operators.spatial import nearest_level, upper_medians
 from ..util import read
-from .base import CAPTURES, CHUNKS, INTERVALS, SPLATS, TRAJECTORIES, captures, chunks, intervals, query, splats, trajectories
+from .base import CAPTURES, CHUNKS, INTERVALS, SPLATS, TRAJECTORIES, captures, chunks, intervals, query, records, splats, trajectories
 
 
 def identity_segments(spark, d):
@@ -60,6 +60,12 @@ def trimmed_extent(spark, d):
     return s.join(out, "capture_id").where((F.col("y") >= F.col("low")) & (F.col("y") <= F.col("high"))).groupBy("capture_id").agg(F.min("y").alias("low"), F.max("y").alias("high"), F.count(F.lit(1)).alias("kept"))
 
 
+def trimmed_box(spark, d):
+    """The extent of every capture's records that lie within the 0.5 % bounds of all three axes."""
+    t = R.trim_box(records("x", "y", "z")(spark, d).select("capture_id", "x", "y", "z"), ["capture_id"])
+    return t.groupBy("capture_id").agg(*[f(a).alias(f"{n}_{a}") for a in "xyz" for f, n in ((F.min, "low"), (F.max, "high"))], F.count(F.lit(1)).alias("kept"))
+
+
 def front_to_back_alpha(spark, d):
     t = R.transmittance(splats(spark, d), ["chunk_id"], "z", "splat_id", F.col("o") * 0.25)
     return t.select("splat_id", F.round("transmittance", 6).alias("transmittance"), F.round("weight", 6).alias("weight"))
@@ -77,6 +83,11 @@ def depth_bins(spark, d):
     return R.depth_bins(splats(spark, d), ["chunk_id"], "z", 256)
 
 
+def depth_order(spark, d):
+    """Every record's place by depth within its chunk, front to back and, over 65,536 bins, back to front."""
+    return R.depth_order(records("z")(spark, d), ["chunk_id"], "z", "splat_id")
+
+
 def systematic_sample(spark, d):
     return R.systematic_sample(splats(spark, d).select("splat_id", "chunk_id"), ["chunk_id"], "splat_id", 10)
 
@@ -143,8 +154,8 @@ def track_groups(spark, d):
     return c.select("chunk_id", "track", F.row_number().over(Window.partitionBy("track").orderBy("start_tick", "chunk_id")).alias("place"), "lead")
 
 
-_F = (identity_segments, visibility_spans, run_length_pack, hold_edges, temporal_delta, rank_offsets, upper_median, median_per_chunk, truncated_percentile, trimmed_extent, front_to_back_alpha, pick_depth,
-      depth_bins, systematic_sample, even_frames, zorder_rank, latency_median, pack_positions, nearest_opacity_level, motion_widening, quantised_steps, sequence_discovery, track_groups)
+_F = (identity_segments, visibility_spans, run_length_pack, hold_edges, temporal_delta, rank_offsets, upper_median, median_per_chunk, truncated_percentile, trimmed_extent, trimmed_box, front_to_back_alpha, pick_depth,
+      depth_bins, depth_order, systematic_sample, even_frames, zorder_rank, latency_median, pack_positions, nearest_opacity_level, motion_widening, quantised_steps, sequence_discovery, track_groups)
 QUERIES = {f.__name__: f for f in _F}
 
 _T = """, t AS (SELECT *, sum(ln(1 - greatest(0, least(1, o * 0.25)))) OVER (PARTITION BY chunk_id ORDER BY z, splat_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS l FROM s), u AS (SELECT *, exp(coalesce(l, 0)) AS tm, greatest(0, least(1, o * 0.25)) AS a FROM t)

@@ -255,3 +255,26 @@ def test_srgb_and_matrix(spark):
     r = spark.range(1).select(colour.linear_to_srgb(colour.srgb_to_linear(F.lit(0.3))), colour.logit(colour.sigmoid(F.lit(1.5)))).first()
     assert np.allclose(list(r), [0.3, 1.5])
     assert np.allclose(colour.colour_matrix(), np.eye(3)) and np.allclose(colour.fold_matrices([]), np.eye(3))
+
+
+def test_trim_box_of_all_axes(spark):
+    from pointtide.operators.ranking import trim_box
+
+    x = np.random.default_rng(1).normal(size=(1000, 3))
+    df = spark.createDataFrame([(1, i, *map(float, p)) for i, p in enumerate(x)], "g int, k int, x double, y double, z double")
+    s = np.sort(x, axis=0)
+    want = {i for i, p in enumerate(x) if (p >= s[5]).all() and (p <= s[-6]).all()}
+    assert {r["k"] for r in trim_box(df, ["g"]).collect()} == want and len(want) < 990
+
+
+def test_depth_order_gives_every_record_a_place(spark):
+    from pointtide.operators.ranking import depth_order
+
+    z = np.random.default_rng(2).normal(size=500).round(2)
+    df = spark.createDataFrame([(1, i, float(v)) for i, v in enumerate(z)] + [(2, 900 + i, 1.0) for i in range(3)], "g int, k int, z double")
+    for bins in (65536, 16):
+        got = {r["k"]: r for r in depth_order(df, ["g"], "z", "k", bins).collect()}
+        b = np.floor((z.max() - z) * ((bins - 1) / (z.max() - z.min()))).astype(int)
+        assert [got[i]["back"] for i in np.lexsort((np.arange(500), b))] == list(range(500))
+        assert [got[i]["front"] for i in np.lexsort((np.arange(500), z))] == list(range(500))
+        assert [got[900 + i]["back"] for i in range(3)] == [0, 1, 2]
