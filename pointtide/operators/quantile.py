@@ -5,55 +5,56 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..util import join_null_safe, small_enough
+from ..util import cut, join_null_safe
 
 __all__ = ["grouped_median"]
 
-#: Groups of more rows than this go the way of bucket counts; key tables up to BROADCAST_ROWS are broadcast.
+#: Buckets of more rows than this are counted in finer ones before their values are ranked; key tables up to BROADCAST_ROWS are broadcast.
 LIGHT_ROWS = 200_000
 BROADCAST_ROWS = 100_000
-#: Buckets per factor of e.
-FINE = 4096
+#: Buckets per factor of e, at first and in a bucket that holds too many rows.
+COARSE, FINE = 64, 1 << 18
 
 
-def _bucket(v):
-    """A number that never falls as v grows, some thousands of values to every factor of e."""
-    return F.floor(F.signum(v) * F.log1p(F.abs(v) * 1e9) * FINE)
+def _bucket(v, per: int):
+    """A number that never falls as v grows, ``per`` values to every factor of e."""
+    return F.floor(F.signum(v) * F.log1p(F.abs(v) * 1e9) * per)
 
 
-def _heavy(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Counts per bucket give the bucket that holds the middle; only its values are then ranked."""
-    v = df.select(*keys, F.col(value).alias("v"), _bucket(F.col(value)).alias("b"))
-    counts = v.groupBy(*keys, "b").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(*keys)
-    upto = w.orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = counts.withColumn("upto", F.sum("n").over(upto)).withColumn("total", F.sum("n").over(w))
-    lo, hi = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)  # ranks of the two middle values, from 0
-    mid = placed.where((F.col("upto") > lo) & (F.col("upto") - F.col("n") <= hi)).select(*keys, "b", (F.col("upto") - F.col("n")).alias("before"), lo.alias("lo"), hi.alias("hi"))
-    inside = join_null_safe(v, mid, [*keys, "b"], broadcast=small_enough(mid, BROADCAST_ROWS))
-    values = inside.groupBy(*keys, "b", "before", "lo", "hi", "v").agg(F.count(F.lit(1)).alias("n"))
-    within = Window.partitionBy(*keys, "b").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    at = values.withColumn("upto", F.sum("n").over(within) + F.col("before")).withColumn("from", F.col("upto") - F.col("n"))
-    pick = lambda rank: F.max(F.when((F.col("from") <= F.col(rank)) & (F.col(rank) < F.col("upto")), F.col("v")))
-    return at.groupBy(*keys).agg(((pick("lo") + pick("hi")) / 2).alias("median"))
+def _middle(counts: DataFrame, group: list[str], at: str, before=None) -> DataFrame:
+    """The buckets ``at`` that hold the middle ranks of each group: their counts, and how many values come before them."""
+    w = Window.partitionBy(*group)
+    upto = F.sum("_n").over(w.orderBy(at).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    if before is None:
+        total = F.sum("_n").over(w)
+        placed = counts.select("*", upto.alias("_upto"), F.floor((total - 1) / 2).alias("_lo"), F.floor(total / 2).alias("_hi"))
+    else:
+        placed = counts.withColumn("_upto", upto + F.col(before)).drop(before)
+    hit = placed.where((F.col("_upto") > F.col("_lo")) & (F.col("_upto") - F.col("_n") <= F.col("_hi")))
+    return hit.select(*counts.columns if before is None else [c for c in counts.columns if c not in (before, "_lo", "_hi")], (F.col("_upto") - F.col("_n")).alias("_before"), "_lo", "_hi")
 
 
 def grouped_median(df: DataFrame, keys: list[str], values: list[str], light_rows: int = LIGHT_ROWS) -> DataFrame:
     """keys and the exact median (the mean of the two middle values where their number is even) of each column of ``values``
     under its own name; nulls are left aside, a group without values has null.
 
-    Groups of up to ``light_rows`` rows use the built-in aggregate. For larger ones the values are counted per fine
-    logarithmic bucket, and only the bucket of the middle is ranked, so that no task holds a whole group."""
-    picked = df.select(*keys, *[F.col(v).cast("double").alias(v) for v in values])
-    heavy = picked.groupBy(*keys).count().where(F.col("count") > light_rows).select(*keys).persist()
-    if small_enough(heavy, 0):
-        return picked.groupBy(*keys).agg(*[F.percentile(v, F.lit(0.5)).alias(v) for v in values])
-    few = F.broadcast(heavy) if small_enough(heavy, BROADCAST_ROWS) else heavy
-    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"h.{k}")) for k in keys]
-    light = picked.alias("l").join(few.alias("h"), same, "left_anti").groupBy(*keys).agg(*[F.percentile(v, F.lit(0.5)).alias(v) for v in values])
-    big = picked.alias("l").join(few.alias("h"), same, "left_semi")
-    out = heavy
-    for v in values:
-        m = _heavy(big.where(F.col(v).isNotNull()), keys, v).withColumnRenamed("median", v)
-        out = join_null_safe(out, m, keys, "left")
-    return light.unionByName(out.select(*light.columns))
+    Values are counted per logarithmic bucket, which partial aggregation does before anything is shuffled; only the values of the
+    buckets that hold the middle travel and are ranked. A bucket of more than ``light_rows`` rows is first counted in finer ones."""
+    long = df.select(*keys, F.posexplode(F.array(*[F.col(v).cast("double") for v in values])).alias("_i", "_v"))
+    counts = cut(long.groupBy(*keys, "_i", _bucket(F.col("_v"), COARSE).alias("_b")).agg(F.count(F.lit(1)).alias("_n")))
+    mid = cut(_middle(counts.where("_b is not null"), [*keys, "_i"], "_b"))
+    groups, most = mid.agg(F.count(F.lit(1)), F.max("_n")).first()
+    inside = join_null_safe(long.withColumn("_b", _bucket(F.col("_v"), COARSE)), mid.drop("_n"), [*keys, "_i", "_b"], broadcast=groups <= BROADCAST_ROWS)
+    at, start = [*keys, "_i", "_b"], ["_before", "_lo", "_hi"]
+    if (most or 0) > light_rows:
+        inside = inside.withColumn("_c", _bucket(F.col("_v"), FINE)).persist()
+        finer = inside.groupBy(*at, "_c", *start).agg(F.count(F.lit(1)).alias("_n"))
+        finer = cut(_middle(finer, at, "_c", "_before").drop("_n"))
+        inside = join_null_safe(inside.drop(*start), finer, [*at, "_c"], broadcast=finer.count() <= BROADCAST_ROWS)
+        at = [*at, "_c"]
+    ranked = inside.groupBy(*at, *start, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(*at).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)) + F.col("_before")
+    ranked = ranked.withColumn("_upto", upto).withColumn("_from", F.col("_upto") - F.col("_n"))
+    pick = lambda i, rank: F.max(F.when((F.col("_i") == i) & (F.col("_from") <= F.col(rank)) & (F.col(rank) < F.col("_upto")), F.col("_v")))
+    medians = ranked.groupBy(*keys).agg(*[((pick(i, "_lo") + pick(i, "_hi")) / 2).alias(v) for i, v in enumerate(values)])
+    return join_null_safe(counts.select(*keys).distinct(), medians, keys, "left")

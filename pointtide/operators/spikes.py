@@ -1,9 +1,10 @@
 """Implausible readings of measured columns, judged against what is usual at their source (problem 6).
 
-Readings become logarithms over their source's exact median. Their mean per day and hour of the source forms a daily profile
-matrix; robust principal components split it into low-rank normal behaviour and sparse spikes. A reading far from the normal
-level of its day and hour is a candidate, and a candidate beyond the stated factor of the source's median is a case. The
-normal level is held within a factor of 7 ** (1 - NEAR) of the median, so that no case can hide in it. Impossible values and
+Readings become logarithms over their source's exact median. The largest and the least of each day and hour of the source form two
+daily profile matrices; robust principal components split each into low-rank normal behaviour and sparse spikes. The sparse parts
+name the cells (days and hours) in which rows are read again, and there a reading beyond the stated factor of the source's median
+is a case. A cell that isn't named holds none: its extreme is the sum of the sparse part, there at most NEAR of log(factor), and of
+what is left, there at most the rest of log(factor); a cell in which what is left is beyond that is named too. Impossible values and
 constant runs are tested separately.
 
 Defined results: null values are no cases; repeated rows count once; a source without possible readings has no spikes;
@@ -20,17 +21,20 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..util import finite, join_null_safe, small_enough
+from ..util import cut, finite, join_null_safe
 from .quantile import grouped_median
 
-__all__ = ["robust_components", "spikes", "constant_runs", "faulty_readings"]
+__all__ = ["robust_components", "named_cells", "spikes", "with_runs", "constant_runs", "faulty_readings"]
 
 SLOTS = 24
-#: A reading is a candidate if its logarithm is at least this part of log(factor) from the normal level.
+#: Part of log(factor) that the sparse part of a cell must exceed to name it.
 NEAR = 0.25
 BROADCAST_ROWS = 100_000
-#: Rows of an ordering that share one window task.
+#: Rows of an ordering that share one window task, and profile cells that share one decomposition task.
 BLOCK = 8192
+CELLS = 20_000
+#: The fields, by number.
+FIELDS = ["splats.positions", "splats.scales", "trajectories.positions", "chunk_groups.trajectory_max"]
 
 
 def robust_components(m: np.ndarray, rounds: int = 60, tol: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
@@ -55,8 +59,8 @@ def robust_components(m: np.ndarray, rounds: int = 60, tol: float = 1e-5) -> tup
     return low, sparse
 
 
-def _levels(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Normal level per (field, source, day, slot) of the profile cells in pdf."""
+def _named(pdf: pd.DataFrame, most: float) -> pd.DataFrame:
+    """The cells of pdf (field, source, day, slot, high, low) that may hold a reading more than ``most`` from its source's median."""
     pdf = pdf.sort_values(["field", "source", "day", "slot"], ignore_index=True)
     group = pdf.groupby(["field", "source"], sort=False, dropna=False).ngroup().to_numpy()
     day = pdf.groupby(["field", "source", "day"], sort=False, dropna=False).ngroup().to_numpy()
@@ -65,72 +69,75 @@ def _levels(pdf: pd.DataFrame) -> pd.DataFrame:
     row = day - first[group]
     days = np.zeros(group.max() + 1, np.int64)
     np.maximum.at(days, group, row + 1)
-    level = np.zeros(len(pdf))
+    named = np.zeros(len(pdf), bool)
     for n in np.unique(days):
         mine = np.flatnonzero(days[group] == n)
         which, at = np.unique(group[mine], return_inverse=True)
-        m = np.zeros((len(which), n, SLOTS))  # a cell without readings is at the source's median
         where = at, row[mine], pdf.slot.to_numpy()[mine]
-        m[where] = pdf.mean_log.to_numpy()[mine]
-        low, _ = robust_components(m)
-        level[mine] = low[where]
-    return pd.DataFrame({"field": pdf.field, "source": pdf.source, "day": pdf.day, "slot": pdf.slot, "level": level})
+        for side in (pdf.high.to_numpy()[mine], -pdf.low.to_numpy()[mine]):
+            m = np.zeros((len(which), n, SLOTS))  # a cell without readings is at the source's median
+            m[where] = np.clip(side, -3 * most, 3 * most)
+            _, sparse = robust_components(m)
+            named[mine] |= (sparse[where] > most * NEAR) | (m[where] - sparse[where] > most * (1 - NEAR) * (1 - 1e-9))
+    return pdf.loc[named, ["field", "source", "day", "slot"]]
 
 
-def _hint(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if small_enough(df, BROADCAST_ROWS) else df
+def named_cells(cells: DataFrame, factor: float) -> DataFrame:
+    """(field, source, day, slot) of the ``cells`` (those, high, low: the extreme logarithms) in which rows are to be read."""
+    parts = max(16, cells.count() // CELLS + 1)
+    part = F.pmod(F.xxhash64("field", "source"), F.lit(parts)).alias("part")
+    most = math.log(factor)
+    return cells.groupBy(part).applyInPandas(lambda p: _named(p, most), "field int, source bigint, day date, slot int")
 
 
-def spikes(readings: DataFrame, factor: float, parts: int = 32) -> DataFrame:
-    """(field, key) of the spikes among ``readings`` (field, source, key, at timestamp, reading, both): reading over ``factor``
-    times the median of its field and source or, where ``both``, under the factor-th part of it."""
-    readings = readings.where(F.col("reading").isNotNull())
-    medians = grouped_median(readings, ["field", "source"], ["reading"]).withColumnRenamed("reading", "usual").persist()
-    rows = join_null_safe(readings, medians, ["field", "source"], broadcast=small_enough(medians, BROADCAST_ROWS))
-    most = math.log(factor)
-    ratio = F.col("reading") / F.col("usual")
-    log = F.when((F.col("usual") > 0) & (F.col("reading") > 0), F.log(ratio))
+def _beside(rows: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` joined with a small table, which is sent to them if it is small indeed."""
+    few = cut(few)
+    return join_null_safe(rows, few, keys, broadcast=few.count() <= BROADCAST_ROWS)
+
+
+def spikes(readings: DataFrame, factor: float) -> DataFrame:
+    """(field, key) of the spikes among ``readings`` (field, source, key, day, slot, reading, both): reading over ``factor`` times the
+    median of its field and source or, where ``both``, under the factor-th part of it."""
+    readings = readings.where(F.col("reading").isNotNull()).persist()
+    medians = grouped_median(readings, ["field", "source"], ["reading"]).withColumnRenamed("reading", "usual")
+    rows = _beside(readings, medians, ["field", "source"])
+    log = F.when((F.col("usual") > 0) & (F.col("reading") > 0), F.log(F.col("reading") / F.col("usual")))
     # without positive numbers on both sides there is no logarithm; such a reading is as far off as can be
     off = F.coalesce(log, F.when(F.col("reading") == F.col("usual"), 0.0).when(F.col("reading") > F.col("usual"), 99.0).otherwise(-99.0))
-    rows = rows.select("field", "source", "key", "reading", "usual", "both", off.alias("off"), F.to_date("at").alias("day"), F.coalesce(F.hour("at"), F.lit(0)).alias("slot"))
-    clipped = F.greatest(F.lit(-most), F.least(F.lit(most), F.col("off")))
-    cells = rows.groupBy("field", "source", "day", "slot").agg(F.avg(clipped).alias("mean_log"))
-    part = F.pmod(F.xxhash64("field", "source"), F.lit(parts)).alias("part")
-    levels = (
-        cells.groupBy(part).applyInPandas(lambda p: _levels(p), "field string, source bigint, day date, slot int, level double").persist()
-    )
-    joined = rows.alias("r").join(
-        _hint(levels).alias("l"),
-        (F.col("r.field") == F.col("l.field")) & F.col("r.source").eqNullSafe(F.col("l.source")) & F.col("r.day").eqNullSafe(F.col("l.day")) & (F.col("r.slot") == F.col("l.slot")),
-        "left",
-    )
-    room = most * (1 - NEAR)
-    normal = F.greatest(F.lit(-room), F.least(F.lit(room), F.coalesce(F.col("level"), F.lit(0.0))))
-    candidate = F.abs(F.col("off") - normal) >= most * NEAR * (1 - 1e-9)
+    low = F.coalesce(F.min(F.when(F.col("both"), off)), F.lit(0.0))
+    cells = rows.groupBy("field", "source", "day", "slot").agg(F.max(off).alias("high"), low.alias("low"))
+    read = _beside(rows, named_cells(cut(cells), factor), ["field", "source", "day", "slot"])
     over = F.col("reading") > F.col("usual") * factor
     under = F.col("both") & (F.col("reading") < F.col("usual") / factor)
-    return joined.where(candidate & (over | under)).select("r.field", "r.key")
+    return read.where(over | under).select("field", "key")
+
+
+def with_runs(df: DataFrame, groups: list[str], order: str, values: list[str], least: int, key: str) -> DataFrame:
+    """The rows of ``df``, once per ``key``, with ``stuck``: whether the row is in a run of at least ``least`` rows with equal, non-null
+    ``values`` at consecutive integers of ``order`` within ``groups``.
+
+    Windows are over blocks of the ordering that overlap by least - 1, so that a hot group is cut up; repeated rows, whose groups and
+    orders are equal, meet in the same block, and one shuffle serves them and the windows."""
+    o, edge = F.col(order).cast("bigint"), least - 1
+    at, block = F.pmod(o, F.lit(BLOCK)), F.floor(o / BLOCK).cast("bigint")
+    # rows without a place in the order are spread
+    home = F.coalesce(block, -1 - F.pmod(F.xxhash64(key), F.lit(1024)))
+    other = F.when(at < edge, block - 1).when(at >= BLOCK - edge, block + 1)
+    d = df.withColumn("_o", o).withColumn("_block", F.explode(F.array_compact(F.array(home, other)))).withColumn("_own", F.col("_block") == home)
+    d = d.repartition(*groups, "_block").dropDuplicates([*groups, "_block", key])
+    w = Window.partitionBy(*groups, "_block").orderBy("_o")
+    same = F.col("_o") == F.lag("_o").over(w) + 1
+    for v in values:
+        same = same & (F.col(v) == F.lag(v).over(w))
+    d = d.withColumn("_same", F.when(F.coalesce(same, F.lit(False)), 1).otherwise(0))
+    d = d.withColumn("_ends", F.sum("_same").over(w.rowsBetween(-(edge - 1), 0)) == edge)
+    return d.withColumn("stuck", F.max("_ends").over(w.rowsBetween(0, edge))).where("_own").select(*df.columns, "stuck")
 
 
 def constant_runs(df: DataFrame, groups: list[str], order: str, values: list[str], least: int, key: str) -> DataFrame:
-    """key of the rows in runs of at least ``least`` rows with equal, non-null ``values`` at consecutive integers of ``order``
-    within ``groups``. Windows are over blocks of the ordering that overlap by least - 1, so that a hot group is cut up."""
-    o = F.col(order).cast("bigint")
-    edge = least - 1
-    base = df.where(F.col(order).isNotNull()).select(*groups, o.alias("o"), *[F.col(v).alias(f"v{i}") for i, v in enumerate(values)], F.col(key).alias("key"))
-    for i in range(len(values)):
-        base = base.where(F.col(f"v{i}").isNotNull())
-    block = lambda c: F.floor(c / BLOCK).cast("bigint")
-    at = F.pmod(F.col("o"), F.lit(BLOCK))
-    own = base.withColumn("block", block(F.col("o"))).withColumn("own", F.lit(True))
-    near = base.where((at < edge) | (at >= BLOCK - edge)).withColumn("block", block(F.col("o")) + F.when(at < edge, -1).otherwise(1)).withColumn("own", F.lit(False))
-    w = Window.partitionBy(*groups, "block").orderBy("o")
-    same = F.col("o") == F.lag("o").over(w) + 1
-    for i in range(len(values)):
-        same = same & (F.col(f"v{i}") == F.lag(f"v{i}").over(w))
-    flagged = own.union(near).withColumn("same", F.when(F.coalesce(same, F.lit(False)), 1).otherwise(0))
-    ended = flagged.withColumn("ends", F.sum("same").over(w.rowsBetween(-(edge - 1), 0)) == edge)
-    return ended.withColumn("hit", F.max("ends").over(w.rowsBetween(0, edge))).where("own and hit").select("key")
+    """key of the rows that ``with_runs`` finds stuck."""
+    return with_runs(df.select(*groups, order, *values, key), groups, order, values, least, key).where("stuck").select(key)
 
 
 def _all(cols: list[Column], op) -> Column:
@@ -140,25 +147,34 @@ def _all(cols: list[Column], op) -> Column:
     return out
 
 
+def _when(at: str) -> list[Column]:
+    return [F.to_date(at).alias("day"), F.coalesce(F.hour(at), F.lit(0)).alias("slot")]
+
+
+def _reading(rows: DataFrame, field: int, reading: Column, both: bool) -> DataFrame:
+    return rows.select(F.lit(field).alias("field"), "source", "key", "day", "slot", reading.alias("reading"), F.lit(both).alias("both"))
+
+
 def _splats(df: DataFrame):
-    part = lambda name, i: F.when(F.size(name) == 3, F.col(name)[i].cast("double"))
+    part = lambda name, i: F.when(F.size(name) == 3, F.col(name)[i]).cast("float")
     names = ["x", "y", "z"], ["s0", "s1", "s2"]
-    rows = df.select(
-        F.col("splat_id").cast("bigint").alias("key"), F.col("capture_id").cast("bigint").alias("source"), "chunk_id", "record_id", F.col("observed_at").alias("at"),
-        *[part("positions", i).cast("float").alias(n) for i, n in enumerate(names[0])], *[part("scales", i).cast("float").alias(n) for i, n in enumerate(names[1])],
+    rows = df.where("splat_id is not null").select(
+        F.col("splat_id").cast("bigint").alias("key"), F.col("capture_id").cast("bigint").alias("source"), "chunk_id", "record_id", *_when("observed_at"),
+        *[part("positions", i).alias(n) for i, n in enumerate(names[0])], *[part("scales", i).alias(n) for i, n in enumerate(names[1])],
         (F.size("positions") == 3).alias("has_p"), (F.size("scales") == 3).alias("has_s"),
-    ).where("key is not null").dropDuplicates(["key"]).persist()
+    )
+    rows = with_runs(rows, ["chunk_id"], "record_id", names[1], 6, "key").drop("record_id").persist()
     p_ok = _all([finite(F.col(n)) for n in names[0]], lambda a, b: a & b)
     s_ok = _all([finite(F.col(n)) & (F.col(n) > 0) for n in names[1]], lambda a, b: a & b)
     good = rows.where("has_p").where(p_ok)
-    middle = grouped_median(good, ["chunk_id"], names[0]).select(F.col("chunk_id").alias("c"), *[F.col(n).alias(f"m{n}") for n in names[0]])
+    middle = grouped_median(good, ["chunk_id"], names[0]).select("chunk_id", *[F.col(n).alias(f"m{n}") for n in names[0]])
     far = F.sqrt(_all([(F.col(n).cast("double") - F.col(f"m{n}")) ** 2 for n in names[0]], lambda a, b: a + b))
-    positions = good.join(middle, F.col("chunk_id").eqNullSafe(F.col("c"))).select(F.lit("splats.positions").alias("field"), "source", "key", "at", far.alias("reading"), F.lit(False).alias("both"))
+    positions = _reading(_beside(good, middle, ["chunk_id"]), 0, far, False)
     largest = F.greatest(*[F.col(n).cast("double") for n in names[1]])
-    scales = rows.where("has_s").where(s_ok).select(F.lit("splats.scales").alias("field"), "source", "key", "at", largest.alias("reading"), F.lit(True).alias("both"))
-    broken = rows.where(F.col("has_p") & ~p_ok).select(F.lit("splats.positions").alias("field"), "key").union(rows.where(F.col("has_s") & ~s_ok).select(F.lit("splats.scales"), "key"))
-    stuck = constant_runs(rows.where("has_s"), ["chunk_id"], "record_id", names[1], 6, "key").select(F.lit("splats.scales").alias("field"), "key")
-    return positions.union(scales), broken.union(stuck)
+    scales = _reading(rows.where("has_s").where(s_ok), 1, largest, True)
+    bad_p, bad_s = F.col("has_p") & ~p_ok, F.col("has_s") & (~s_ok | F.col("stuck"))
+    broken = rows.where(bad_p | bad_s).select(F.explode(F.array_compact(F.array(F.when(bad_p, 0), F.when(bad_s, 1)))).alias("field"), "key")
+    return positions.union(scales), broken
 
 
 def _trajectories(df: DataFrame):
@@ -174,13 +190,13 @@ def _trajectories(df: DataFrame):
     for k in range(3):
         s = F.sort_array(F.array(*[sample(i, k) for i in range(n)]))
         middle.append((s[n // 2 - 1] + s[n // 2]) / 2)
-    rows = rows.withColumn("whole", whole).select("*", *[m.alias(f"m{k}") for k, m in enumerate(middle)]).persist()
+    rows = rows.withColumn("whole", whole).select("*", *[m.alias(f"m{k}") for k, m in enumerate(middle)])
     far = F.greatest(*[F.sqrt(_all([(sample(i, k) - F.col(f"m{k}")) ** 2 for k in range(3)], lambda a, b: a + b)) for i in range(n)])
-    readings = rows.where("whole").select(F.lit("trajectories.positions").alias("field"), "source", "key", "at", far.alias("reading"), F.lit(False).alias("both"))
     equal = [None, *[_all([F.col("p")[3 * i + k] == F.col("p")[3 * i - 3 + k] for k in range(3)], lambda a, b: a & b) for i in range(1, n)]]
     held = _all([_all([F.coalesce(equal[j], F.lit(False)) for j in range(i, i + 4)], lambda a, b: a & b) for i in range(1, n - 3)], lambda a, b: a | b)
-    broken = rows.where(~F.col("whole") & ~F.exists("p", lambda v: v.isNull()) | held).select(F.lit("trajectories.positions").alias("field"), "key")
-    return readings, broken
+    bad = (~F.col("whole") & ~F.exists("p", lambda v: v.isNull())) | held
+    rows = rows.select("key", "source", *_when("at"), "whole", F.when(F.col("whole"), far).alias("far"), bad.alias("bad")).persist()
+    return _reading(rows.where("whole"), 2, F.col("far"), False), rows.where("bad").select(F.lit(2).alias("field"), "key")
 
 
 def _blocks(df: DataFrame):
@@ -188,21 +204,19 @@ def _blocks(df: DataFrame):
         df.where("block_id is not null")
         .select(F.col("block_id").cast("bigint").alias("key"), F.col("capture_id").cast("bigint").alias("source"), "chunk_index", "group_no", F.col("trajectory_min").alias("least"), F.col("trajectory_max").alias("v"), "ingested_at")
         .groupBy("key").agg(*[F.min(c).alias(c) for c in ("source", "chunk_index", "group_no", "least", "v")], F.min("ingested_at").alias("at"))
-        .persist()
     )
     impossible = ~finite(F.col("v")) | F.coalesce(F.col("v") < F.col("least"), F.lit(False))
-    field = F.lit("chunk_groups.trajectory_max").alias("field")
-    present = rows.where("v is not null")
-    readings = present.where(~impossible).select(field, "source", "key", "at", F.col("v").alias("reading"), F.lit(True).alias("both"))
-    stuck = constant_runs(rows, ["source", "group_no"], "chunk_index", ["v"], 4, "key")
-    return readings, present.where(impossible).select(field, "key").union(stuck.select(field, "key"))
+    rows = rows.select("key", "source", "chunk_index", "group_no", *_when("at"), "v", impossible.alias("impossible"))
+    rows = with_runs(rows, ["source", "group_no"], "chunk_index", ["v"], 4, "key").where("v is not null").persist()
+    return _reading(rows.where("not impossible"), 3, F.col("v"), True), rows.where("impossible or stuck").select(F.lit(3).alias("field"), "key")
 
 
 def faulty_readings(splats: DataFrame, trajectories: DataFrame, chunk_groups: DataFrame, factor: float = 7.0) -> DataFrame:
     """(table_name, row_key, field_name) of every faulty reading of the three tables."""
     found = [_splats(splats), _trajectories(trajectories), _blocks(chunk_groups)]
-    readings = found[0][0].union(found[1][0]).union(found[2][0])
-    cases = spikes(readings, factor)
+    cases = spikes(found[0][0].union(found[1][0]).union(found[2][0]), factor)
     for _, more in found:
         cases = cases.union(more)
-    return cases.distinct().select(F.split_part("field", F.lit("."), F.lit(1)).alias("table_name"), F.col("key").alias("row_key"), F.split_part("field", F.lit("."), F.lit(2)).alias("field_name"))
+    name = F.element_at(F.array(*[F.lit(f) for f in FIELDS]), F.col("field") + 1)
+    part = lambda i: F.split_part(name, F.lit("."), F.lit(i))
+    return cases.distinct().select(part(1).alias("table_name"), F.col("key").alias("row_key"), part(2).alias("field_name"))

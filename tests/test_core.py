@@ -278,3 +278,26 @@ def test_depth_order_gives_every_record_a_place(spark):
         assert [got[i]["back"] for i in np.lexsort((np.arange(500), b))] == list(range(500))
         assert [got[i]["front"] for i in np.lexsort((np.arange(500), z))] == list(range(500))
         assert [got[900 + i]["back"] for i in range(3)] == [0, 1, 2]
+
+
+def _cells(spark):
+    rng = np.random.default_rng(3)
+    day = pd.Timestamp("2025-01-01")
+    high = rng.normal(0.3, 0.05, size=(12, 24)) + np.sin(np.arange(24) / 4) * 0.3
+    low = -high
+    high[4, 7], low[9, 3], high[2, 2] = 3.5, -2.5, 1.4
+    data = [(1, 5, (day + pd.Timedelta(days=d)).date(), h, float(high[d, h]), float(low[d, h])) for d in range(12) for h in range(24)]
+    return data, spark.createDataFrame(data + [(1, None, None, 0, 0.1, -9.0)], "field int, source bigint, day date, slot int, high double, low double")
+
+
+def test_sparse_parts_name_the_cells_that_are_read(spark, monkeypatch):
+    data, df = _cells(spark)
+    named = {(r["source"], r["day"], r["slot"]) for r in spikes.named_cells(df, 7.0).collect()}
+    beyond = {(s, d, h) for _, s, d, h, hi, lo in data if max(hi, -lo) > math.log(7)} | {(None, None, 0)}
+    assert beyond <= named and len(named) < len(data) / 3
+    least = {tuple(x) for x in spikes._named(df.toPandas(), math.log(7))[["day", "slot"]].itertuples(index=False)}
+    monkeypatch.setattr(spikes, "robust_components", lambda m: (m, np.zeros_like(m)))  # no sparse part: only what is beyond the factor
+    none = {tuple(x) for x in spikes._named(df.toPandas(), math.log(7))[["day", "slot"]].itertuples(index=False)}
+    monkeypatch.setattr(spikes, "robust_components", lambda m: (m * 0, m))  # everything sparse: whatever lies above the median
+    every = {tuple(x) for x in spikes._named(df.toPandas(), math.log(7))[["day", "slot"]].itertuples(index=False)}
+    assert len(none) < len(least) < len(every) and {(d, h) for _, d, h in beyond} <= {(None if pd.isna(d) else d, h) for d, h in none}
