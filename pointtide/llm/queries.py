@@ -85,23 +85,31 @@ def p9_restored(spark, d):
 QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_balanced, p4_found, p4_clusters, p4_leaves, p5_percentiles, p7_ids, p8_found, p9_found, p9_restored)}
 #: The SQL of p1 compares all pairs of vectors, that of p4 follows all links; both are bearable on the small tables only. That of p5
 #: ranks all values, which the summaries equal as long as no group has more than they keep.
+_INTERVALS = """WITH RECURSIVE d AS (SELECT chunk_id, interval_no AS i, min(tick) AS tick, min(stored_size) AS sz, min(generation) AS gen, min(take_label) AS label FROM chunk_samples GROUP BY ALL),
+big AS (SELECT chunk_id, count(*) AS n, sum(sz) AS total FROM d GROUP BY chunk_id HAVING sum(sz) > 4000000),
+f AS (SELECT d.chunk_id, i, tick, sz, n, gen, coalesce(last_value(label IGNORE NULLS) OVER w, NULL) AS lab, sum(sz) OVER w AS upto FROM d JOIN big ON d.chunk_id = big.chunk_id WINDOW w AS (PARTITION BY d.chunk_id ORDER BY i ROWS UNBOUNDED PRECEDING)),
+g AS (SELECT *, upto - sz AS before, i > 0 AND (gen <> lag(gen) OVER w OR lab IS DISTINCT FROM lag(lab) OVER w) AS nat FROM f WINDOW w AS (PARTITION BY chunk_id ORDER BY i)),
+ends AS (SELECT chunk_id, i AS e, before AS p, nat FROM g UNION ALL SELECT chunk_id, n, total, true FROM big),
+s AS (SELECT c.chunk_id, c.i AS c, min(a.i) AS s FROM g c JOIN g a ON a.chunk_id = c.chunk_id AND a.i BETWEEN c.i - 2 AND c.i AND (a.i = c.i OR c.upto - a.before <= 4000000) GROUP BY ALL),"""
 SQL: dict[str, str] = {
     "p1_found": """
 WITH t AS (SELECT DISTINCT vec_id AS k, positions::DOUBLE[] AS p FROM trajectories WHERE len(positions) = 24 AND isfinite(list_sum(positions::DOUBLE[]))),
 q AS (SELECT a.k AS a, b.k AS b, list_distance(a.p, b.p) AS d FROM t a JOIN t b ON a.k <> b.k),
 n AS (SELECT a, b FROM q QUALIFY row_number() OVER (PARTITION BY a ORDER BY d, b) <= 5)
 SELECT DISTINCT least(a, b) AS vec_id_a, greatest(a, b) AS vec_id_b FROM n""",
-    "p2_found": """
-WITH RECURSIVE d AS (SELECT chunk_id, interval_no AS i, min(tick) AS tick, min(stored_size) AS sz, min(generation) AS gen, min(take_label) AS label FROM chunk_samples GROUP BY ALL),
-big AS (SELECT chunk_id, count(*) AS n, sum(sz) AS total FROM d GROUP BY chunk_id HAVING sum(sz) > 4000000),
-f AS (SELECT d.chunk_id, i, tick, sz, n, gen, coalesce(last_value(label IGNORE NULLS) OVER w, NULL) AS lab, sum(sz) OVER w AS upto FROM d JOIN big ON d.chunk_id = big.chunk_id WINDOW w AS (PARTITION BY d.chunk_id ORDER BY i ROWS UNBOUNDED PRECEDING)),
-g AS (SELECT *, upto - sz AS before, i > 0 AND (gen <> lag(gen) OVER w OR lab IS DISTINCT FROM lag(lab) OVER w) AS nat FROM f WINDOW w AS (PARTITION BY chunk_id ORDER BY i)),
-ends AS (SELECT chunk_id, i AS e, before AS p, nat FROM g UNION ALL SELECT chunk_id, n, total, true FROM big),
-s AS (SELECT c.chunk_id, c.i AS c, min(a.i) AS s FROM g c JOIN g a ON a.chunk_id = c.chunk_id AND a.i BETWEEN c.i - 2 AND c.i AND (a.i = c.i OR c.upto - a.before <= 4000000) GROUP BY ALL),
+    "p2_found": _INTERVALS + """
 far AS (SELECT s.chunk_id, c, s, max(e) AS far, max(e) FILTER (ends.nat) AS last FROM s JOIN g ON g.chunk_id = s.chunk_id AND g.i = s JOIN ends ON ends.chunk_id = s.chunk_id AND e > c AND (p - g.before <= 4000000 OR e = c + 1) GROUP BY ALL),
 nxt AS (SELECT chunk_id, c, s, coalesce(last, far) AS e FROM far),
 walk AS (SELECT chunk_id, c, s, e FROM nxt WHERE c = 0 UNION ALL SELECT n.chunk_id, n.c, n.s, n.e FROM walk w JOIN nxt n ON n.chunk_id = w.chunk_id AND n.c = w.e)
 SELECT w.chunk_id, g.tick AS piece_start_tick, (w.e - w.s)::BIGINT AS piece_intervals FROM walk w JOIN g ON g.chunk_id = w.chunk_id AND g.i = w.s""",
+    # costs from the last position to the first, each list holding those of the positions behind
+    "p2_balanced": _INTERVALS + """
+o AS (SELECT s.chunk_id, c, s, list(CASE WHEN ends.nat THEN 0 ELSE 4 * 4000000::HUGEINT * 4000000 END + (4000000 - least(p - g.before, 4000000))::HUGEINT * (4000000 - least(p - g.before, 4000000)) ORDER BY e) AS own
+FROM s JOIN g ON g.chunk_id = s.chunk_id AND g.i = s JOIN ends ON ends.chunk_id = s.chunk_id AND e > c AND (p - g.before <= 4000000 OR e = c + 1) GROUP BY ALL),
+w AS (SELECT chunk_id, n AS c, NULL::BIGINT AS s, NULL::BIGINT AS e, [0::HUGEINT] AS cost FROM big
+UNION ALL SELECT chunk_id, c, s, c + len(t) - list_position(list_reverse(t), list_min(t)) + 1, list_prepend(list_min(t), cost) FROM (SELECT o.chunk_id, o.c, o.s, w.cost, [own[k] + w.cost[k] for k in range(1, len(own) + 1)] AS t FROM w JOIN o ON o.chunk_id = w.chunk_id AND o.c = w.c - 1)),
+walk AS (SELECT chunk_id, c, s, e FROM w WHERE c = 0 UNION ALL SELECT n.chunk_id, n.c, n.s, n.e FROM walk v JOIN w n ON n.chunk_id = v.chunk_id AND n.c = v.e AND n.s IS NOT NULL)
+SELECT v.chunk_id, g.tick AS piece_start_tick, (v.e - v.s)::BIGINT AS piece_intervals FROM walk v JOIN g ON g.chunk_id = v.chunk_id AND g.i = v.s""",
     "p4_found": """
 WITH RECURSIVE t AS (SELECT DISTINCT splat_id AS k, positions[1]::DOUBLE AS x, positions[2]::DOUBLE AS y, positions[3]::DOUBLE AS z, color_dc[1]::DOUBLE / 2 AS r, color_dc[2]::DOUBLE / 2 AS g, color_dc[3]::DOUBLE / 2 AS b FROM splats
 WHERE isfinite(positions[1]) AND isfinite(positions[2]) AND isfinite(positions[3]) AND isfinite(color_dc[1]) AND isfinite(color_dc[2]) AND isfinite(color_dc[3])),

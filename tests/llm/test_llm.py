@@ -147,6 +147,16 @@ def test_balanced_pieces_cost_least():
     assert cost(ends) == pytest.approx(best)
 
 
+@pytest.mark.parametrize("later", [0.0, 1.0])
+def test_pieces_do_not_depend_on_segments(spark, later):
+    rng = np.random.default_rng(11)
+    items = {k: [(int(v), int(i // rng.integers(2, 40)), None) for i, v in enumerate(rng.choice([1, 3, 9, 20, 55], rng.integers(60, 160)))] for k in range(14)}
+    items[20] = [(0, 0, None)] * 40 + [(30, 0, None)] * 20 + [(2, 0, "a")] * 30
+    df = _samples(spark, items)
+    cut = lambda n: pairs(pieces.split_oversized(df, "chunk_id", "interval_no", "tick", "stored_size", ("generation", "take_label"), 100, 2, later, segment=n))
+    assert cut(8) == cut(24) == cut(4096)
+
+
 # --- clusters ------------------------------------------------------------------------------------------------------------
 
 
