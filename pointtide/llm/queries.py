@@ -49,13 +49,29 @@ def p4_leaves(spark, d):
     return bisecting_leaves(read(spark, d, "splats"), "splat_id", ALIKE)
 
 
-def p5_percentiles(spark, d):
+PERCENTILES = [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
+
+
+def _percentiles(spark, d, ps, keep):
     from pyspark.sql import functions as F
 
     from .percentiles import percentiles
 
     fields = {f"scale_{i}": F.col("scales")[i] for i in range(3)} | {"opacity": F.col("opacity")}
-    return percentiles(read(spark, d, "splats"), "splat_id", "capture_id", "observed_at", fields, [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99], keep=2000)
+    args = "splat_id", "capture_id", "observed_at", fields, ps
+    return percentiles(read(spark, d, "splats"), *args, keep=keep), args
+
+
+def p5_percentiles(spark, d):
+    return _percentiles(spark, d, PERCENTILES, 2000)[0]
+
+
+def p5_compressed(spark, d):
+    """Summaries of 100 values, so that most are compressed and merged with error; every stated error is held against the true ranks."""
+    from .percentiles import rank_check
+
+    found, args = _percentiles(spark, d, PERCENTILES, 100)
+    return rank_check(read(spark, d, "splats"), found, *args, 100)
 
 
 def p7_ids(spark, d, path=TOKENIZERS + "/byte_bpe_50k.tiktoken"):
@@ -82,7 +98,7 @@ def p9_restored(spark, d):
     return restored_documents(read(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_balanced, p4_found, p4_clusters, p4_leaves, p5_percentiles, p7_ids, p8_found, p9_found, p9_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_balanced, p4_found, p4_clusters, p4_leaves, p5_percentiles, p5_compressed, p7_ids, p8_found, p9_found, p9_restored)}
 #: The SQL of p1 compares all pairs of vectors, that of p4 follows all links; both are bearable on the small tables only. That of p5
 #: ranks all values, which the summaries equal as long as no group has more than they keep.
 _INTERVALS = """WITH RECURSIVE d AS (SELECT chunk_id, interval_no AS i, min(tick) AS tick, min(stored_size) AS sz, min(generation) AS gen, min(take_label) AS label FROM chunk_samples GROUP BY ALL),
@@ -91,6 +107,11 @@ f AS (SELECT d.chunk_id, i, tick, sz, n, gen, coalesce(last_value(label IGNORE N
 g AS (SELECT *, upto - sz AS before, i > 0 AND (gen <> lag(gen) OVER w OR lab IS DISTINCT FROM lag(lab) OVER w) AS nat FROM f WINDOW w AS (PARTITION BY chunk_id ORDER BY i)),
 ends AS (SELECT chunk_id, i AS e, before AS p, nat FROM g UNION ALL SELECT chunk_id, n, total, true FROM big),
 s AS (SELECT c.chunk_id, c.i AS c, min(a.i) AS s FROM g c JOIN g a ON a.chunk_id = c.chunk_id AND a.i BETWEEN c.i - 2 AND c.i AND (a.i = c.i OR c.upto - a.before <= 4000000) GROUP BY ALL),"""
+_VALUES = """WITH s AS (SELECT DISTINCT splat_id, capture_id, observed_at::DATE AS day, scales, opacity FROM splats),
+v AS (SELECT capture_id, day, 'scale_' || i AS field, scales[i + 1]::DOUBLE AS v FROM s, range(3) r(i) WHERE isfinite(scales[i + 1]) UNION ALL SELECT capture_id, day, 'opacity', opacity::DOUBLE FROM s WHERE isfinite(opacity)),
+g AS (SELECT 'day' AS level, capture_id, day, field, list_sort(list(v)) AS l FROM v GROUP BY ALL UNION ALL SELECT 'all', capture_id, NULL, field, list_sort(list(v)) FROM v GROUP BY ALL),
+q AS (SELECT p::DOUBLE AS p FROM (VALUES (0.01), (0.05), (0.25), (0.5), (0.75), (0.95), (0.99)) q(p))
+"""
 SQL: dict[str, str] = {
     "p1_found": """
 WITH t AS (SELECT DISTINCT vec_id AS k, positions::DOUBLE[] AS p FROM trajectories WHERE len(positions) = 24 AND isfinite(list_sum(positions::DOUBLE[]))),
@@ -119,9 +140,7 @@ e AS (SELECT m.k AS a, c.k AS b FROM m JOIN c ON m.nx = c.cx AND m.ny = c.cy AND
 reach AS (SELECT DISTINCT a, a AS b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a),
 l AS (SELECT a AS splat_id, min(b) AS cluster_id FROM reach GROUP BY a)
 SELECT splat_id, cluster_id FROM l QUALIFY count(*) OVER (PARTITION BY cluster_id) >= 6""",
-    "p5_percentiles": """
-WITH s AS (SELECT DISTINCT splat_id, coalesce(capture_id, -1) AS capture_id, observed_at::DATE AS day, scales, opacity FROM splats),
-v AS (SELECT capture_id, day, 'scale_' || i AS field, scales[i + 1]::DOUBLE AS v FROM s, range(3) r(i) WHERE isfinite(scales[i + 1]) UNION ALL SELECT capture_id, day, 'opacity', opacity::DOUBLE FROM s WHERE isfinite(opacity)),
-g AS (SELECT capture_id, day, field, list_sort(list(v)) AS l FROM v GROUP BY ALL UNION ALL SELECT capture_id, NULL, field, list_sort(list(v)) FROM v GROUP BY ALL)
-SELECT capture_id, day, field, len(l)::BIGINT AS n, p::DOUBLE AS p, l[greatest(1, ceil(p::DOUBLE * len(l) - 1e-9))::BIGINT] AS value, 0::BIGINT AS rank_error FROM g, (VALUES (0.01), (0.05), (0.25), (0.5), (0.75), (0.95), (0.99)) q(p)""",
+    "p5_percentiles": _VALUES + """SELECT level, capture_id, day, field, len(l)::BIGINT AS n, p, l[greatest(1, ceil(p * len(l) - 1e-9))::BIGINT] AS value, 0::BIGINT AS rank_error FROM g, q""",
+    # the query counts true ranks itself; here stand the groups and what must hold for each
+    "p5_compressed": _VALUES + """SELECT level, capture_id, day, field, len(l)::BIGINT AS n, p, true AS within, true AS bounded FROM g, q""",
 }

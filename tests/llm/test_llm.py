@@ -202,16 +202,27 @@ def test_summaries_keep_their_word():
         assert _rank_error(every, p, v) <= off <= len(every) * (1 / 50 + 1 / 60)
 
 
+def test_error_grows_with_the_logarithm_of_a_partition(spark):
+    df = spark.range(300_000).selectExpr("id", "1L AS src", "date'2025-01-01' AS at", "hash(id) / 1e9D AS v").coalesce(1)
+    out = percentiles.percentiles(df, "id", "src", "at", {"v": F.col("v")}, [0.01, 0.3, 0.9], keep=100).collect()
+    assert len(out) == 6 and all(0 < r["rank_error"] <= 0.02 * r["n"] for r in out)
+
+
 def test_percentiles(spark):
     rng = np.random.default_rng(5)
     days = [pd.Timestamp("2025-01-01") + pd.Timedelta(days=i) for i in range(3)]
     data = [(i, int(i % 3 == 0), days[i % 2].to_pydatetime(), float(rng.normal()), "s") for i in range(4000)] + [(9000 + i, 5, days[2].to_pydatetime(), v, "s") for i, v in enumerate([None, float("nan"), float("inf")])] + [(9100, None, None, 2.5, "s")]
     df = spark.createDataFrame(data + data[:300], "k bigint, src bigint, at timestamp, v double, source string").repartition(7)
-    out = percentiles.percentiles(df, "k", "src", "at", {"v": F.col("v")}, [0.1, 0.5], keep=100).toPandas()
-    for r in out.itertuples():
-        mine = [d[3] for d in data if (d[1] if d[1] is not None else -1) == r.src and (r.day is None or pd.isna(r.day) or d[2].date() == r.day) and d[3] is not None and np.isfinite(d[3])]
-        assert r.n == len(mine) and _rank_error(np.array(mine), r.p, r.value) <= r.rank_error <= 0.02 * r.n + 1
-    assert set(out.src) == {-1, 0, 1}
+    out = percentiles.percentiles(df, "k", "src", "at", {"v": F.col("v")}, [0.1, 0.5], keep=100).collect()
+    for r in out:
+        mine = [d[3] for d in data if d[1] == r["src"] and (r["level"] == "all" or (d[2] and d[2].date()) == r["day"]) and d[3] is not None and np.isfinite(d[3])]
+        assert r["n"] == len(mine) and _rank_error(np.array(mine), r["p"], r["value"]) <= r["rank_error"] <= 0.02 * r["n"] + 1
+    assert {(r["level"], r["src"], r["day"]) for r in out} == {(g, s, d) for s, some in ((None, [None]), (0, days[:2]), (1, days[:2])) for d in [*[x and x.date() for x in some]] for g in ["day"]} | {("all", s, None) for s in (None, 0, 1)}
+    assert len(out) == 2 * (5 + 3) and any(r["rank_error"] > 0 for r in out)
+    checked = percentiles.rank_check(df, spark.createDataFrame(out, "level string, src bigint, day date, field string, n bigint, p double, value double, rank_error bigint"), "k", "src", "at", {"v": F.col("v")}, [0.1, 0.5], 100).collect()
+    assert len(checked) == len(out) and all(r["within"] and r["bounded"] for r in checked)
+    off = spark.createDataFrame([(*r[:6], r["value"] + 9, *r[7:]) for r in out], "level string, src bigint, day date, field string, n bigint, p double, value double, rank_error bigint")
+    assert not any(r["within"] for r in percentiles.rank_check(df, off, "k", "src", "at", {"v": F.col("v")}, [0.1, 0.5], 100).where("n > 400").collect())
     assert percentiles.percentiles(df.where("false"), "k", "src", "at", {"v": F.col("v")}, [0.5]).count() == 0
 
 
