@@ -303,11 +303,16 @@ def test_chains_invert():
                 assert garbled.invert(g, chain) == t
 
 
-def test_garbled_on_held_out(spark, small):
+@pytest.fixture(scope="module")
+def documents():
+    docs = pd.read_parquet("/root/testdata/sf0.01/documents.parquet").drop_duplicates("doc_id").dropna(subset=["text"])
+    return [(int(k), t, s, g) for k, t, s, g in zip(docs.doc_id, docs.text, docs.source, docs.lang)]
+
+
+def test_garbled_on_held_out(documents):
     """Documents that the first model finds clean are garbled by known chains; those that still find their way back count."""
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").toPandas().drop_duplicates("doc_id").dropna(subset=["text"])
-    texts = docs.text.tolist()
-    model = garbled.train(sorted(texts[:600]))
+    texts = [t for _, t, _, _ in documents]
+    model = garbled.train(texts[:600])
     held = [t for t in texts[600:] if not t.isascii() and not model.garbled(t)]
     chains = [(("utf-8", "cp1252"),), (("utf-8", "latin-1"),), (("cp1252", "cp850"),), (("mac_roman", "cp1252"),), (("cp1251", "koi8-r"),), (("utf-8", "cp1252"), ("utf-8", "cp1252"))]
     made = found = restored = 0
@@ -319,11 +324,52 @@ def test_garbled_on_held_out(spark, small):
             made += 1
             found += model.garbled(g)
             restored += model.restore(g)[0] == t
-    assert made > 100 and found / made > 0.9 and restored / made > 0.6
+    assert made > 100 and found / made > 0.97 and restored / made > 0.6
     alarms = sum(model.garbled(t) for t in texts[600:]) / len(texts[600:])
     assert alarms < 0.1  # about 0.045 are garbled, and words that 600 documents never show are at risk
 
 
+def _spoilt(documents, which, chain):
+    """The documents, those of the places ``which`` garbled, as rows; the originals of these."""
+    rows, was = [], {}
+    for i, (k, t, _, _) in enumerate(documents):
+        g = garbled.garble(t, chain) if i in which else None
+        if g is not None and g != t:
+            was[k] = t
+        rows.append((k, g if k in was else t))
+    return rows, was
+
+
+@pytest.mark.parametrize("chain", [(("utf-8", "cp1252"),), (("cp1252", "cp850"),)])
+def test_a_source_that_is_garbled_by_half(spark, documents, chain):
+    clean = garbled.train([t for _, t, _, _ in documents])
+    mine = [i for i, (_, t, s, g) in enumerate(documents) if s == "set-diary/main" and not t.isascii() and not clean.garbled(t)]
+    rows, was = _spoilt(documents, set(mine[::2]), chain)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {r["doc_id"]: r["restored"] for r in garbled.restored_documents(df, "doc_id", "text").collect()}
+    other = {k for k, t, _, _ in documents if clean.garbled(t)}
+    wide = chain[0][0] == "utf-8"
+    assert len(was) > 25 and len(set(was) & set(found)) >= (0.99 if wide else 0.8) * len(was)
+    assert len(set(found) - set(was) - other) <= 0.005 * len(documents)
+    assert sum(found.get(k) == t for k, t in was.items()) >= (0.9 if wide else 0.5) * len(was)
+
+
+def test_a_garbled_footer_in_many_documents(spark, documents):
+    foot = "© Données réservées à l’équipe de Zoë — naïveté exceptée"
+    bad = garbled.garble(foot, (("utf-8", "cp1252"),))
+    with_foot = {k: f"{t}\n{bad} {k % 97}" for i, (k, t, _, _) in enumerate(documents) if i % 25 == 0}
+    df = spark.createDataFrame([(k, with_foot.get(k, t)) for k, t, _, _ in documents], "doc_id bigint, text string")
+    out = {r["doc_id"]: r["restored"] for r in garbled.restored_documents(df, "doc_id", "text").collect()}
+    assert len(with_foot) >= 38 and set(with_foot) <= set(out)
+    assert sum(out[k].rsplit("\n", 1)[1] == f"{foot} {k % 97}" for k in with_foot) >= 0.95 * len(with_foot)
+
+
+def test_a_lone_character_beside_what_no_decoder_makes(documents):
+    texts = [t for _, t, _, _ in documents] + [f"ﬁne ﬂow ½ ² Ⅳ ㎜ {w}" for w in ("one", "two", "six")]
+    model = garbled.train(texts)
+    assert not any(model.garbled(t) for t in texts[-3:])
+
+
 def test_garbled_edges(spark):
     base = [(i, "It was “clean” at first — José asked for a façade.", "x") for i in range(40)]
     odd = [(100, None, ""), (101, "", ""), (102, "plain", ""), (103, "It was â€œcleanâ€\x9d at first â€” JosÃ© asked", ""), (104, "lost � bytes", ""), (105, "👩‍🎤 안녕하세요", ""), (106, "It was “clean” " * 3000, "")]
@@ -347,18 +393,6 @@ def test_garbled_copies_do_not_vouch(spark):
     assert len(out) == 250 and set(out) == {clean}
 
 
-def test_garbled_context_from_whole_texts(spark, monkeypatch):
-    """Contexts beyond the training sample's characters count, once per distinct text, and a restored form there refutes."""
-    monkeypatch.setattr(garbled, "SAMPLE_CHARS", 400)
-    word = garbled.garble("Brücke", (("utf-8", "cp1252"),))
-    pad = "It was clean at first and José asked for a façade of “stone”. " * 20
-    rows = lambda n, w: [(i, f"{pad} {'abcdefgh'[i]} sign reads {w} here.") for i in range(n)]
-    find = lambda r: {x[0] for x in garbled.garbled_documents(spark.createDataFrame(r, "doc_id bigint, text string"), "doc_id", "text").collect()}
-    assert find(rows(3, word)) == set()
-    assert find(rows(2, word) + [(9, rows(2, word)[1][1])]) == {0, 1, 9}
-    assert find(rows(3, word) + [(8, pad + "sign reads Brücke here.")]) == {0, 1, 2}
-
-
 # --- the queries ---------------------------------------------------------------------------------------------------------
 
 
