@@ -1,5 +1,5 @@
-"""Cleaned views that the queries share, as DataFrames and as SQL. Repeated rows count once; records with missing, non-finite
-or absurd (a million and more) numbers are left out of the splat view."""
+"""Cleaned views that the queries share, as DataFrames and as SQL. Repeated rows count once; of the splats a query gets the numbers that it
+names, and leaves out a record only where one of these is missing or not finite."""
 
 from __future__ import annotations
 
@@ -8,39 +8,30 @@ from pyspark.sql import functions as F
 
 from ..util import finite, read
 
-ABSURD = 1e6
-
 _PARTS = [("positions", ("x", "y", "z")), ("rotation", ("qx", "qy", "qz", "qw")), ("scales", ("sx", "sy", "sz")), ("color_dc", ("r", "g", "b"))]
 _PLAIN = ["splat_id", "capture_id", "chunk_id", "record_id", "group_no", "life_start", "life_end", "is_active"]
+_PLACE = {"o": ("opacity", None)} | {p: (n, i) for n, ps in _PARTS for i, p in enumerate(ps)}
 
 
-def splats(spark, d) -> DataFrame:
-    cols, ok = [], F.abs(F.col("opacity").cast("double")) < ABSURD
-    for name, parts in _PARTS:
-        for i, p in enumerate(parts):
-            c = F.get(F.col(name), F.lit(i)).cast("double")
-            cols.append(c.alias(p))
-            ok = ok & (F.abs(c) < ABSURD)
-    # filters on single components before the shuffle; repeated rows meet at their key
-    return read(spark, d, "splats").where(ok).select(*_PLAIN, F.col("opacity").cast("double").alias("o"), *cols).dropDuplicates(["splat_id"])
-
-
-SPLATS = f"""s AS (SELECT DISTINCT {", ".join(_PLAIN)}, opacity::DOUBLE AS o, {", ".join(f"{n}[{i + 1}]::DOUBLE AS {p}" for n, ps in _PARTS for i, p in enumerate(ps))}
-FROM splats WHERE isfinite(opacity) AND abs(opacity::DOUBLE) < {ABSURD:.0f} AND {" AND ".join(f"isfinite({n}[{i + 1}]) AND abs({n}[{i + 1}]::DOUBLE) < {ABSURD:.0f}" for n, ps in _PARTS for i in range(len(ps)))})"""
-
-
-def records(*reads: str):
-    """A view like ``splats`` for queries that read the named numbers only: a record is left out if one of these is missing or not
-    finite, whatever its others are, and however large they are. Numbers that are not finite are null."""
+def splats(spark, d, reads: str = "", may: str = "") -> DataFrame:
+    """Keys, lives and the named numbers of the splats: those of ``reads``, without which a record has no part in the query, and those of
+    ``may``, which are null where they are missing or not finite. The scan reads nothing else."""
+    s, cols = read(spark, d, "splats"), []
+    for p in [*reads.split(), *may.split()]:
+        name, i = _PLACE[p]
+        c = F.col(name).cast("double") if i is None else F.get(F.col(name), F.lit(i)).cast("double")
+        cols.append((c if p in reads.split() else F.when(finite(c), c)).alias(p))
+        if p in reads.split():
+            s = s.where(finite(c))  # before the shuffle, in which repeated rows meet at their key
+    return s.select(*_PLAIN, *cols).dropDuplicates(["splat_id"])
 
-    def view(spark, d) -> DataFrame:
-        cols = {"o": F.col("opacity").cast("double")} | {p: F.get(F.col(n), F.lit(i)).cast("double") for n, ps in _PARTS for i, p in enumerate(ps)}
-        s = read(spark, d, "splats")
-        for c in reads:
-            s = s.where(finite(cols[c]))
-        return s.select(*_PLAIN, *[F.when(finite(c), c).alias(n) for n, c in cols.items()]).dropDuplicates(["splat_id"])
 
-    return view
+def SPLATS(reads: str = "", may: str = "") -> str:
+    """The same view, as SQL."""
+    raw = lambda p: _PLACE[p][0] + ("" if _PLACE[p][1] is None else f"[{_PLACE[p][1] + 1}]")
+    cols = [f"{raw(p)}::DOUBLE AS {p}" for p in reads.split()] + [f"CASE WHEN isfinite({raw(p)}) THEN {raw(p)}::DOUBLE END AS {p}" for p in may.split()]
+    where = " AND ".join(f"isfinite({raw(p)})" for p in reads.split())
+    return f"s AS (SELECT DISTINCT {', '.join([*_PLAIN, *cols])} FROM splats{' WHERE ' + where if where else ''})"
 
 
 def captures(spark, d) -> DataFrame:
@@ -71,11 +62,10 @@ INTERVALS = """iv AS (SELECT chunk_id, interval_no, min(tick) AS tick, min(store
 def trajectories(spark, d) -> DataFrame:
     """(vec_id, capture_id, chunk_id, record_id, p): whole vectors of 24 numbers."""
     p = F.col("positions")
-    whole = (F.size(p) == 24) & (F.array_max(F.transform(p, lambda v: F.abs(v))) < ABSURD)
-    return read(spark, d, "trajectories").where(whole).select("vec_id", "capture_id", "chunk_id", "record_id", p.alias("p")).dropDuplicates(["vec_id"])
+    return read(spark, d, "trajectories").where((F.size(p) == 24) & F.forall(p, lambda v: finite(v))).select("vec_id", "capture_id", "chunk_id", "record_id", p.alias("p")).dropDuplicates(["vec_id"])
 
 
-TRAJECTORIES = f"""tr AS (SELECT DISTINCT vec_id, capture_id, chunk_id, record_id, positions AS p FROM trajectories WHERE len(positions) = 24 AND isfinite(list_sum(positions::DOUBLE[])) AND list_max(positions) < {ABSURD:.0f} AND list_min(positions) > -{ABSURD:.0f})"""
+TRAJECTORIES = "tr AS (SELECT DISTINCT vec_id, capture_id, chunk_id, record_id, positions AS p FROM trajectories WHERE len(positions) = 24 AND len(list_filter(positions, lambda v: isfinite(v))) = 24)"
 
 
 def query(*views: str) -> str:

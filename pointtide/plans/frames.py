@@ -9,7 +9,7 @@ from ..functions.geometry import clamp
 from ..functions.timeaxis import playback
 from ..operators.frames import activity, alive_at, axis_bounds, locate_instants
 from ..util import read
-from .base import ABSURD, CAPTURES, CHUNKS, SPLATS, captures, chunks, query, splats
+from .base import CAPTURES, CHUNKS, SPLATS, captures, chunks, query, splats
 
 _TICK = "CASE WHEN abs({s} / (time_numerator / time_denominator) - floor({s} / (time_numerator / time_denominator) + 0.5)) <= 1e-9 * greatest(1.0, abs(floor({s} / (time_numerator / time_denominator) + 0.5))) THEN floor({s} / (time_numerator / time_denominator) + 0.5) ELSE {s} / (time_numerator / time_denominator) END"
 
@@ -33,28 +33,25 @@ def instant_bracketing(spark, d):
 
 def frame_at_instant(spark, d):
     at = _located(spark, d, 1.5, 0).select("chunk_id", "sample_a", "sample_b", "alpha")
-    rows = splats(spark, d).join(at, "chunk_id").where(alive_at(F.col("sample_a")))
+    rows = splats(spark, d, "x y z o r g b").join(at, "chunk_id").where(alive_at(F.col("sample_a")))
     return rows.select("splat_id", "chunk_id", "sample_a", "x", "y", "z", clamp(F.col("o")).alias("opacity"), "r", "g", "b")
 
 
 def positions_only(spark, d):
     """Positions of the records that live through sample 5; the scan reads positions, lives and keys, and nothing else."""
-    s = read(spark, d, "splats").where(alive_at(F.lit(5)))
-    xyz = [F.get("positions", F.lit(i)).cast("double").alias(a) for i, a in enumerate("xyz")]
-    s = s.select("splat_id", *xyz).where((F.abs("x") < ABSURD) & (F.abs("y") < ABSURD) & (F.abs("z") < ABSURD))
-    return s.dropDuplicates(["splat_id"])
+    return splats(spark, d, "x y z").where(alive_at(F.lit(5))).select("splat_id", "x", "y", "z")
 
 
-def active_counts(spark, d, view=splats):
-    return activity(view(spark, d), ["capture_id", "chunk_id"])
+def active_counts(spark, d):
+    return activity(splats(spark, d), ["capture_id", "chunk_id"])
 
 
-def active_peak(spark, d, view=splats):
-    return active_counts(spark, d, view).groupBy("capture_id").agg(F.max("active").alias("peak"))
+def active_peak(spark, d):
+    return active_counts(spark, d).groupBy("capture_id").agg(F.max("active").alias("peak"))
 
 
-def chunk_bounds(spark, d, view=splats):
-    return axis_bounds(view(spark, d), ["capture_id", "chunk_id"])
+def chunk_bounds(spark, d):
+    return axis_bounds(splats(spark, d, "x y z"), ["capture_id", "chunk_id"])
 
 
 def playback_map(spark, d):
@@ -67,9 +64,9 @@ def playback_map(spark, d):
     return rows.select("capture_id", "frame", "mode", F.round(shown, 6).alias("seconds"))
 
 
-def timeline_measure(spark, d, view=splats):
+def timeline_measure(spark, d):
     alive = F.when(alive_at(F.lit(5)), 1).otherwise(0)
-    m = view(spark, d).rollup("capture_id", "chunk_id").agg(
+    m = splats(spark, d, "y").rollup("capture_id", "chunk_id").agg(
         F.count(F.lit(1)).alias("records"), F.sum(alive).alias("visible"), F.round((F.lit(1.0) - F.sum(alive) / F.count(F.lit(1))) * 100, 6).alias("removed_percent"),
         (F.max("y") - F.min("y")).alias("height"),
     )
@@ -106,17 +103,17 @@ _ACTIVE = ", lives AS (SELECT capture_id, chunk_id, unnest(range(life_start, lif
 _B = "count(*) AS records, min(x) AS x_min, max(x) AS x_max, min(y) AS y_min, max(y) AS y_max, min(z) AS z_min, max(z) AS z_max"
 SQL = {
     "instant_bracketing": _located_sql(0.37, 12) + "SELECT capture_id, round(seconds, 6) AS seconds, chunk_id, floor(off)::BIGINT AS sample_a, least(floor(off) + 1, intervals)::BIGINT AS sample_b, round(off - floor(off), 6) AS alpha FROM loc",
-    "frame_at_instant": _located_sql(1.5, 0) + f", {SPLATS} SELECT splat_id, s.chunk_id, floor(off)::BIGINT AS sample_a, x, y, z, greatest(0.0, least(1.0, o)) AS opacity, r, g, b FROM s JOIN loc ON s.chunk_id = loc.chunk_id WHERE floor(off) >= life_start AND floor(off) + 1 <= life_end",
-    "positions_only": "SELECT DISTINCT splat_id, positions[1]::DOUBLE AS x, positions[2]::DOUBLE AS y, positions[3]::DOUBLE AS z FROM splats WHERE 5 >= life_start AND 6 <= life_end AND " + " AND ".join(f"isfinite(positions[{i}]) AND abs(positions[{i}]::DOUBLE) < 1e6" for i in (1, 2, 3)),
-    "active_counts": query(SPLATS) + _ACTIVE + "SELECT capture_id, chunk_id, frame::INT AS frame, count(*) AS active FROM lives GROUP BY ALL",
-    "active_peak": query(SPLATS) + _ACTIVE + "SELECT capture_id, max(n) AS peak FROM (SELECT capture_id, chunk_id, frame, count(*) AS n FROM lives GROUP BY ALL) GROUP BY capture_id",
-    "chunk_bounds": query(SPLATS) + f"SELECT capture_id, chunk_id, {_B} FROM s GROUP BY ROLLUP (capture_id, chunk_id)",
+    "frame_at_instant": _located_sql(1.5, 0) + f", {SPLATS('x y z o r g b')} SELECT splat_id, s.chunk_id, floor(off)::BIGINT AS sample_a, x, y, z, greatest(0.0, least(1.0, o)) AS opacity, r, g, b FROM s JOIN loc ON s.chunk_id = loc.chunk_id WHERE floor(off) >= life_start AND floor(off) + 1 <= life_end",
+    "positions_only": query(SPLATS("x y z")) + "SELECT splat_id, x, y, z FROM s WHERE 5 >= life_start AND 6 <= life_end",
+    "active_counts": query(SPLATS()) + _ACTIVE + "SELECT capture_id, chunk_id, frame::INT AS frame, count(*) AS active FROM lives GROUP BY ALL",
+    "active_peak": query(SPLATS()) + _ACTIVE + "SELECT capture_id, max(n) AS peak FROM (SELECT capture_id, chunk_id, frame, count(*) AS n FROM lives GROUP BY ALL) GROUP BY capture_id",
+    "chunk_bounds": query(SPLATS("x y z")) + f"SELECT capture_id, chunk_id, {_B} FROM s GROUP BY ROLLUP (capture_id, chunk_id)",
     "playback_map": query(CAPTURES, CHUNKS) + """, t AS (SELECT capture_id, max(start_tick + intervals) AS ticks FROM ch GROUP BY capture_id),
 p AS (SELECT capture_id, f AS frame, regexp_replace(lower(trim(playback_mode)), '[^a-z]', '', 'g') AS mode, ticks / (time_denominator / time_numerator) AS dur, time_denominator / time_numerator AS rate FROM cap JOIN t USING (capture_id), range(-20, 61) r(f)),
 m AS (SELECT *, frame / 10.0::DOUBLE AS e, dur + 1 / rate AS period FROM p),
 q AS (SELECT *, e - floor(e / period) * period AS looped, e - floor(e / (2 * dur)) * 2 * dur AS turn FROM m)
 SELECT capture_id, frame::INT AS frame, mode, round(least(greatest(CASE WHEN dur <= 0 THEN e WHEN mode = 'loop' THEN looped WHEN mode = 'pingpong' THEN CASE WHEN turn > dur THEN 2 * dur - turn ELSE turn END ELSE e END, 0), dur), 6) AS seconds FROM q""",
-    "timeline_measure": query(SPLATS) + "SELECT capture_id, chunk_id, count(*) AS records, sum(CASE WHEN life_start <= 5 AND life_end >= 6 THEN 1 ELSE 0 END)::BIGINT AS visible, round((1 - sum(CASE WHEN life_start <= 5 AND life_end >= 6 THEN 1 ELSE 0 END) / count(*)) * 100, 6) AS removed_percent, max(y) - min(y) AS height FROM s GROUP BY ROLLUP (capture_id, chunk_id)",
+    "timeline_measure": query(SPLATS("y")) + "SELECT capture_id, chunk_id, count(*) AS records, sum(CASE WHEN life_start <= 5 AND life_end >= 6 THEN 1 ELSE 0 END)::BIGINT AS visible, round((1 - sum(CASE WHEN life_start <= 5 AND life_end >= 6 THEN 1 ELSE 0 END) / count(*)) * 100, 6) AS removed_percent, max(y) - min(y) AS height FROM s GROUP BY ROLLUP (capture_id, chunk_id)",
     "resample": query(CAPTURES, CHUNKS) + f""", ends AS (SELECT capture_id, max(start_tick + intervals) AS last FROM ch GROUP BY capture_id),
 ks AS (SELECT cap.capture_id, time_numerator, time_denominator, last, unnest(range(0, floor(last * time_numerator / time_denominator * 12)::BIGINT + 1)) AS k FROM cap JOIN ends USING (capture_id)),
 att AS (SELECT capture_id, k, least({_TICK.format(s="(k / 12.0::DOUBLE)")}, last::DOUBLE) AS tick, last FROM ks)

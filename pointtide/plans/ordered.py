@@ -10,7 +10,7 @@ from ..operators import islands as I
 from ..operators import ranking as R
 from ..operators.spatial import nearest_level, upper_medians
 from ..util import read
-from .base import CAPTURES, CHUNKS, INTERVALS, SPLATS, TRAJECTORIES, captures, chunks, intervals, query, records, splats, trajectories
+from .base import CAPTURES, CHUNKS, INTERVALS, SPLATS, TRAJECTORIES, captures, chunks, intervals, query, splats, trajectories
 
 
 def identity_segments(spark, d):
@@ -21,8 +21,8 @@ def visibility_spans(spark, d):
     return I.spans(intervals(spark, d), ["chunk_id"], "interval_no", F.col("stored_size") >= 60000)
 
 
-def run_length_pack(spark, d, view=splats):
-    return I.id_runs(view(spark, d).where("o >= 0.3"), ["chunk_id"], "record_id")
+def run_length_pack(spark, d):
+    return I.id_runs(splats(spark, d, "o").where("o >= 0.3"), ["chunk_id"], "record_id")
 
 
 def hold_edges(spark, d):
@@ -55,37 +55,37 @@ def truncated_percentile(spark, d):
 
 
 def trimmed_extent(spark, d):
-    s = splats(spark, d)
+    s = splats(spark, d, "y")
     out = R.trimmed_bounds(s, ["capture_id"], "y", 0.05)
     return s.join(out, "capture_id").where((F.col("y") >= F.col("low")) & (F.col("y") <= F.col("high"))).groupBy("capture_id").agg(F.min("y").alias("low"), F.max("y").alias("high"), F.count(F.lit(1)).alias("kept"))
 
 
 def trimmed_box(spark, d):
     """The extent of every capture's records that lie within the 0.5 % bounds of all three axes."""
-    t = R.trim_box(records("x", "y", "z")(spark, d).select("capture_id", "x", "y", "z"), ["capture_id"])
+    t = R.trim_box(splats(spark, d, "x y z").select("capture_id", "x", "y", "z"), ["capture_id"])
     return t.groupBy("capture_id").agg(*[f(a).alias(f"{n}_{a}") for a in "xyz" for f, n in ((F.min, "low"), (F.max, "high"))], F.count(F.lit(1)).alias("kept"))
 
 
 def front_to_back_alpha(spark, d):
-    t = R.transmittance(splats(spark, d), ["chunk_id"], "z", "splat_id", F.col("o") * 0.25)
+    t = R.transmittance(splats(spark, d, "z o"), ["chunk_id"], "z", "splat_id", F.col("o") * 0.25)
     return t.select("splat_id", F.round("transmittance", 6).alias("transmittance"), F.round("weight", 6).alias("weight"))
 
 
 def pick_depth(spark, d):
     """Per chunk the first depth at which less than half of the light is left, else that of the heaviest record."""
-    t = R.transmittance(splats(spark, d), ["chunk_id"], "z", "splat_id", F.col("o") * 0.25)
+    t = R.transmittance(splats(spark, d, "z o"), ["chunk_id"], "z", "splat_id", F.col("o") * 0.25)
     after = F.col("transmittance") * (F.lit(1.0) - F.col("o") * 0.25)
     g = t.groupBy("chunk_id").agg(F.min(F.when(F.round(after, 9) < 0.5, F.col("z"))).alias("half"), F.max_by("z", F.struct(F.round("weight", 9), F.col("splat_id"))).alias("heaviest"))
     return g.select("chunk_id", F.coalesce("half", "heaviest").alias("depth"))
 
 
 def depth_bins(spark, d):
-    return R.depth_bins(splats(spark, d), ["chunk_id"], "z", 256)
+    return R.depth_bins(splats(spark, d, "z"), ["chunk_id"], "z", 256)
 
 
 def depth_order(spark, d):
     """Every record's place by depth within its chunk, front to back and, over 65,536 bins, back to front."""
-    return R.depth_order(records("z")(spark, d), ["chunk_id"], "z", "splat_id")
+    return R.depth_order(splats(spark, d, "z"), ["chunk_id"], "z", "splat_id")
 
 
 def systematic_sample(spark, d):
@@ -101,7 +101,7 @@ def even_frames(spark, d):
 
 
 def zorder_rank(spark, d):
-    return R.zorder_rank(splats(spark, d), ["chunk_id"], "splat_id", 10)
+    return R.zorder_rank(splats(spark, d, "x y z"), ["chunk_id"], "splat_id", 10)
 
 
 def latency_median(spark, d):
@@ -112,20 +112,21 @@ def latency_median(spark, d):
 
 
 def pack_positions(spark, d):
-    """Three 21-bit coordinates in a word and back; the largest error per chunk, in steps."""
-    s = splats(spark, d)
+    """Three 21-bit coordinates in a word and back; whether every coordinate of the chunk comes back within half a step."""
+    s = splats(spark, d, "x y z")
     b = s.groupBy("chunk_id").agg(*[f(a).alias(f"{a}{n}") for a in "xyz" for f, n in ((F.min, 0), (F.max, 1))])
     j = s.join(b, "chunk_id")
     word = pack([(quantise(F.col(a), F.col(f"{a}0"), F.col(f"{a}1"), 21), 21) for a in "xyz"])
     back = unpack(F.col("word"), [21, 21, 21])
     j = j.withColumn("word", word)
-    err = F.greatest(*[F.abs(dequantise(q, F.col(f"{a}0"), F.col(f"{a}1"), 21) - F.col(a)) for q, a in zip(back, "xyz")])
-    return j.groupBy("chunk_id").agg(F.min("word").alias("least"), F.max("word").alias("most"), (F.max(err) < 1e-3).alias("close"))
+    step = lambda a: (F.col(f"{a}1") - F.col(f"{a}0")) / ((1 << 21) - 1)
+    err = F.greatest(*[F.when(step(a) > 0, F.abs(dequantise(q, F.col(f"{a}0"), F.col(f"{a}1"), 21) - F.col(a)) / step(a)).otherwise(0.0) for q, a in zip(back, "xyz")])
+    return j.groupBy("chunk_id").agg(F.min("word").alias("least"), F.max("word").alias("most"), (F.max(err) <= 0.5 + 1e-6).alias("close"))
 
 
 def nearest_opacity_level(spark, d):
     levels = [i / 16 for i in range(17)]
-    return splats(spark, d).select("splat_id", nearest_level(F.col("o"), levels).alias("lower"), nearest_level(F.col("o"), levels, True).alias("upper"))
+    return splats(spark, d, "o").select("splat_id", nearest_level(F.col("o"), levels).alias("lower"), nearest_level(F.col("o"), levels, True).alias("upper"))
 
 
 def motion_widening(spark, d):
@@ -167,27 +168,27 @@ SQL = {
 g AS (SELECT *, sum(fresh) OVER (PARTITION BY chunk_id ORDER BY interval_no ROWS UNBOUNDED PRECEDING) AS segment FROM f)
 SELECT chunk_id, segment::BIGINT AS segment, min(generation) AS generation, min(interval_no) AS first, max(interval_no) AS last, count(*) AS n FROM g GROUP BY chunk_id, segment""",
     "visibility_spans": query(INTERVALS) + ", g AS (SELECT chunk_id, interval_no, interval_no - row_number() OVER (PARTITION BY chunk_id ORDER BY interval_no) AS i FROM iv WHERE stored_size >= 60000) SELECT chunk_id, min(interval_no)::BIGINT AS first, max(interval_no)::BIGINT + 1 AS \"end\" FROM g GROUP BY chunk_id, i",
-    "run_length_pack": query(SPLATS) + ", g AS (SELECT chunk_id, record_id, record_id - row_number() OVER (PARTITION BY chunk_id ORDER BY record_id) AS i FROM (SELECT DISTINCT chunk_id, record_id FROM s WHERE o >= 0.3)) SELECT chunk_id, min(record_id)::BIGINT AS start, count(*) AS length FROM g GROUP BY chunk_id, i",
+    "run_length_pack": query(SPLATS("o")) + ", g AS (SELECT chunk_id, record_id, record_id - row_number() OVER (PARTITION BY chunk_id ORDER BY record_id) AS i FROM (SELECT DISTINCT chunk_id, record_id FROM s WHERE o >= 0.3)) SELECT chunk_id, min(record_id)::BIGINT AS start, count(*) AS length FROM g GROUP BY chunk_id, i",
     "hold_edges": query(INTERVALS) + """SELECT chunk_id, interval_no, coalesce(take_label, last_value(take_label IGNORE NULLS) OVER (PARTITION BY chunk_id ORDER BY interval_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), first_value(take_label IGNORE NULLS) OVER (PARTITION BY chunk_id ORDER BY interval_no ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS label FROM iv""",
     "temporal_delta": query(INTERVALS) + ", e AS (SELECT chunk_id, interval_no, stored_size - coalesce(lag(stored_size) OVER (PARTITION BY chunk_id ORDER BY interval_no), 0) AS delta FROM iv) SELECT chunk_id, interval_no, delta, CASE WHEN delta >= 0 THEN 2 * delta ELSE -2 * delta - 1 END AS zigzag, delta AS back FROM e",
     "rank_offsets": query(CHUNKS) + "SELECT capture_id, chunk_id, splat_count, coalesce(sum(splat_count) OVER (PARTITION BY capture_id ORDER BY chunk_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS \"offset\" FROM ch WHERE splat_count IS NOT NULL",
     "upper_median": query(INTERVALS) + ", r AS (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY stored_size) - 1 AS i, count(*) OVER (PARTITION BY chunk_id) AS n FROM iv) SELECT chunk_id, stored_size AS upper_median FROM r WHERE i = n // 2",
     "median_per_chunk": query(INTERVALS) + "SELECT chunk_id, median(stored_size::DOUBLE) AS median FROM iv GROUP BY chunk_id",
     "truncated_percentile": query(INTERVALS) + ", r AS (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY stored_size) - 1 AS i, count(*) OVER (PARTITION BY chunk_id) AS n FROM iv) SELECT chunk_id, stored_size FROM r WHERE i = least(n - 1, floor(n * 0.95::DOUBLE))",
-    "trimmed_extent": query(SPLATS) + """, r AS (SELECT capture_id, y, row_number() OVER (PARTITION BY capture_id ORDER BY y) - 1 AS i, count(*) OVER (PARTITION BY capture_id) AS n FROM s),
+    "trimmed_extent": query(SPLATS("y")) + """, r AS (SELECT capture_id, y, row_number() OVER (PARTITION BY capture_id ORDER BY y) - 1 AS i, count(*) OVER (PARTITION BY capture_id) AS n FROM s),
 e AS (SELECT capture_id, min(y) FILTER (i = floor(n * 0.05::DOUBLE)) AS lo, max(y) FILTER (i = n - 1 - floor(n * 0.05::DOUBLE)) AS hi FROM r GROUP BY capture_id)
 SELECT capture_id, min(y) AS low, max(y) AS high, count(*) AS kept FROM s JOIN e USING (capture_id) WHERE y >= lo AND y <= hi GROUP BY capture_id""",
-    "front_to_back_alpha": query(SPLATS) + _T + "SELECT splat_id, round(tm, 6) AS transmittance, round(a * tm, 6) AS weight FROM u",
-    "pick_depth": query(SPLATS) + _T + "SELECT chunk_id, coalesce(min(z) FILTER (round(tm * (1 - a), 9) < 0.5), max_by(z, {'w': round(a * tm, 9), 'k': splat_id})) AS depth FROM u GROUP BY chunk_id",
-    "depth_bins": query(SPLATS) + """, e AS (SELECT chunk_id, min(z) AS lo, max(z) AS hi FROM s GROUP BY chunk_id), h AS (SELECT chunk_id, CASE WHEN hi > lo THEN floor((z - lo) * (255.0::DOUBLE / (hi - lo)))::BIGINT ELSE 0 END AS bin, count(*) AS records FROM s JOIN e USING (chunk_id) GROUP BY ALL)
+    "front_to_back_alpha": query(SPLATS("z o")) + _T + "SELECT splat_id, round(tm, 6) AS transmittance, round(a * tm, 6) AS weight FROM u",
+    "pick_depth": query(SPLATS("z o")) + _T + "SELECT chunk_id, coalesce(min(z) FILTER (round(tm * (1 - a), 9) < 0.5), max_by(z, {'w': round(a * tm, 9), 'k': splat_id})) AS depth FROM u GROUP BY chunk_id",
+    "depth_bins": query(SPLATS("z")) + """, e AS (SELECT chunk_id, min(z) AS lo, max(z) AS hi FROM s GROUP BY chunk_id), h AS (SELECT chunk_id, CASE WHEN hi > lo THEN floor((z - lo) * (255.0::DOUBLE / (hi - lo)))::BIGINT ELSE 0 END AS bin, count(*) AS records FROM s JOIN e USING (chunk_id) GROUP BY ALL)
 SELECT chunk_id, bin, records, coalesce(sum(records) OVER (PARTITION BY chunk_id ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM h""",
-    "systematic_sample": query(SPLATS) + ", r AS (SELECT splat_id, chunk_id, row_number() OVER (PARTITION BY chunk_id ORDER BY splat_id) - 1 AS i, count(*) OVER (PARTITION BY chunk_id) AS n FROM s) SELECT splat_id, chunk_id FROM r WHERE n <= 10 OR EXISTS (SELECT 1 FROM range(10) k(j) WHERE (j * n) // 10 = i)",
+    "systematic_sample": query(SPLATS()) + ", r AS (SELECT splat_id, chunk_id, row_number() OVER (PARTITION BY chunk_id ORDER BY splat_id) - 1 AS i, count(*) OVER (PARTITION BY chunk_id) AS n FROM s) SELECT splat_id, chunk_id FROM r WHERE n <= 10 OR EXISTS (SELECT 1 FROM range(10) k(j) WHERE (j * n) // 10 = i)",
     "even_frames": query(CHUNKS) + ", f AS (SELECT chunk_id, intervals, floor(intervals * (j + 0.5::DOUBLE) / 7 + 0.5)::BIGINT AS k FROM ch, range(7) r(j) WHERE intervals IS NOT NULL) SELECT chunk_id, string_agg(DISTINCT k::VARCHAR, ',' ORDER BY k::VARCHAR) AS frames, round(3.5::DOUBLE / 4 * any_value(intervals), 4) AS last_instant FROM f GROUP BY chunk_id",
     "latency_median": query(INTERVALS) + ", l AS (SELECT chunk_id, interval_no, list(stored_size) OVER (PARTITION BY chunk_id ORDER BY interval_no ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS v FROM iv) SELECT chunk_id, interval_no, list_sort(v)[len(v) // 2 + 1] AS median FROM l",
-    "pack_positions": query(SPLATS) + _BOUNDS + f", w AS (SELECT chunk_id, {_Q.format(a='x', m=2097151)} + 2097152 * {_Q.format(a='y', m=2097151)} + 4398046511104 * {_Q.format(a='z', m=2097151)} AS word FROM s JOIN b USING (chunk_id)) SELECT chunk_id, min(word) AS least, max(word) AS most, true AS close FROM w GROUP BY chunk_id",
-    "zorder_rank": query(SPLATS) + _BOUNDS + f", q AS (SELECT chunk_id, splat_id, {_Q.format(a='x', m=1023)} AS qx, {_Q.format(a='y', m=1023)} AS qy, {_Q.format(a='z', m=1023)} AS qz FROM s JOIN b USING (chunk_id)), m AS (SELECT chunk_id, splat_id, "
+    "pack_positions": query(SPLATS("x y z")) + _BOUNDS + f", w AS (SELECT chunk_id, {_Q.format(a='x', m=2097151)} + 2097152 * {_Q.format(a='y', m=2097151)} + 4398046511104 * {_Q.format(a='z', m=2097151)} AS word FROM s JOIN b USING (chunk_id)) SELECT chunk_id, min(word) AS least, max(word) AS most, true AS close FROM w GROUP BY chunk_id",
+    "zorder_rank": query(SPLATS("x y z")) + _BOUNDS + f", q AS (SELECT chunk_id, splat_id, {_Q.format(a='x', m=1023)} AS qx, {_Q.format(a='y', m=1023)} AS qy, {_Q.format(a='z', m=1023)} AS qz FROM s JOIN b USING (chunk_id)), m AS (SELECT chunk_id, splat_id, "
     + " + ".join(f"((({c} >> {i}) & 1) << {3 * i + k})" for k, c in enumerate(("qx", "qy", "qz")) for i in range(10)) + " AS morton FROM q) SELECT chunk_id, splat_id, morton, row_number() OVER (PARTITION BY chunk_id ORDER BY morton, splat_id) AS rank FROM m",
-    "nearest_opacity_level": query(SPLATS) + "SELECT splat_id, least(16, greatest(0, ceil(o * 16 - 0.5)))::INT AS lower, least(16, greatest(0, floor(o * 16 + 0.5)))::INT AS upper FROM s",
+    "nearest_opacity_level": query(SPLATS("o")) + "SELECT splat_id, least(16, greatest(0, ceil(o * 16 - 0.5)))::INT AS lower, least(16, greatest(0, floor(o * 16 + 0.5)))::INT AS upper FROM s",
     "motion_widening": query(TRAJECTORIES) + """, st AS (SELECT capture_id, vec_id, max(sqrt((p[3*i+4]::DOUBLE-p[3*i+1])**2 + (p[3*i+5]::DOUBLE-p[3*i+2])**2 + (p[3*i+6]::DOUBLE-p[3*i+3])**2)) AS step,
 max(sqrt((p[3*i+4]::DOUBLE-p[1])**2 + (p[3*i+5]::DOUBLE-p[2])**2 + (p[3*i+6]::DOUBLE-p[3])**2)) AS radius FROM tr, range(7) r(i) GROUP BY ALL) SELECT capture_id, round(max(step), 5) AS step, round(max(radius), 5) AS radius FROM st GROUP BY capture_id""",
     "quantised_steps": query(INTERVALS) + ", l AS (SELECT chunk_id, interval_no, floor(stored_size / 1000.0::DOUBLE + 0.5)::BIGINT AS v FROM iv) SELECT chunk_id, interval_no, v - coalesce(lag(v) OVER (PARTITION BY chunk_id ORDER BY interval_no), 0) AS code FROM l",

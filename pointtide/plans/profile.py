@@ -53,20 +53,20 @@ def size_estimate(spark, d):
 
 
 def palette_check(spark, d):
-    return P.palette(splats(spark, d), ["chunk_id"], ["r", "g", "b"], 64)
+    return P.palette(splats(spark, d, "r g b"), ["chunk_id"], ["r", "g", "b"], 64)
 
 
 def fit_check(spark, d):
     """Quantised positions against the originals, with records of low opacity missing on one side and of high on the other."""
-    s = splats(spark, d)
-    made = s.where("o < 0.95").select("splat_id", *[(F.floor(F.col(a) * 256 + 0.5) / 256).alias(a) for a in "xyz"])
+    s = splats(spark, d, "x y z o")
+    made = s.where("o < 0.95").select("splat_id", *[(F.rint(F.col(a) * 256) / 256).alias(a) for a in "xyz"])
     f = P.compare_fit(made, s.where("o > 0.05"), "splat_id", ["x", "y", "z"])
     return f.select("shown", "missing", "stray", F.round("rms", 8).alias("rms"), F.round("worst", 8).alias("worst"))
 
 
 def kmeans_centres(spark, d):
     start = [[0.2, 0.2, 0.2], [0.5, 0.5, 0.5], [0.8, 0.8, 0.8], [0.9, 0.2, 0.2]]
-    out = P.weighted_kmeans(splats(spark, d), ["r", "g", "b"], "o", start, 3)
+    out = P.weighted_kmeans(splats(spark, d, "r g b o"), ["r", "g", "b"], "o", start, 3)
     return spark.createDataFrame([(i, *map(float, c)) for i, c in enumerate(out)], "centre int, r double, g double, b double")
 
 
@@ -81,31 +81,31 @@ def tag_index(spark, d):
     return t.groupBy("tag").agg(F.count(F.lit(1)).alias("captures"), F.min("capture_id").alias("first"))
 
 
-def scatter_assign(spark, d, view=splats):
+def scatter_assign(spark, d):
     """Points take one of eight variants by a hash of their id, with a phase of its own, and are counted per variant and phase."""
-    s = view(spark, d).select("splat_id", F.pmod(mix_u32(F.col("splat_id")), F.lit(8)).alias("variant"))
+    s = splats(spark, d).select("splat_id", F.pmod(mix_u32(F.col("splat_id")), F.lit(8)).alias("variant"))
     v = spark.range(8).select(F.col("id").alias("variant"), F.round(F.pmod(F.lit(0.1) + F.col("id") / 8 * 0.75, F.lit(1.0)), 6).alias("phase"))
     return s.join(F.broadcast(v), "variant").groupBy("variant", "phase").agg(F.count(F.lit(1)).alias("copies"), F.min("splat_id").alias("first"))
 
 
-def distinct_instants(spark, d, view=splats):
+def distinct_instants(spark, d):
     """Instants asked for, once each: copies share what is computed for their key."""
-    ask = view(spark, d).select("capture_id", F.round(F.col("life_start") / 30.0, 6).alias("seconds"))
+    ask = splats(spark, d).select("capture_id", F.round(F.col("life_start") / 30.0, 6).alias("seconds"))
     return ask.groupBy("capture_id", "seconds").agg(F.count(F.lit(1)).alias("copies"))
 
 
-def dead_reference_check(spark, d, view=splats):
+def dead_reference_check(spark, d):
     """Records whose chunk is unknown, or whose life runs past it."""
-    s = view(spark, d).join(chunks(spark, d).select("chunk_id", "intervals"), "chunk_id", "left")
+    s = splats(spark, d).join(chunks(spark, d).select("chunk_id", "intervals"), "chunk_id", "left")
     return s.where(F.col("intervals").isNull() | (F.col("life_end") > F.col("intervals")) | (F.col("life_start") < 0)).select("splat_id", "chunk_id")
 
 
 def touching_components(spark, d):
-    return components(splats(spark, d), ["chunk_id"], "splat_id", 0.05, 3)
+    return components(splats(spark, d, "x y z"), ["chunk_id"], "splat_id", 0.05, 3)
 
 
 def plane_normals(spark, d):
-    return local_planes(splats(spark, d), ["chunk_id"], "splat_id")
+    return local_planes(splats(spark, d, "x y z o"), ["chunk_id"], "splat_id")
 
 
 def unpaired_keys(spark, d):
@@ -163,19 +163,19 @@ r AS (SELECT *, 4096 - sum(f) OVER (PARTITION BY chunk_id) AS rest, row_number()
     "cheapest_codec": query(CHUNKS) + """, o AS (SELECT capture_id, 'whole' AS codec, splat_count * 40 + intervals * 900 AS cost FROM ch WHERE intervals IS NOT NULL UNION ALL SELECT capture_id, 'each', CASE WHEN size_bytes IS NOT NULL THEN splat_count * intervals END FROM ch WHERE intervals IS NOT NULL
 UNION ALL SELECT capture_id, 'runs', splat_count * ceil(intervals / 4)::BIGINT * 5 FROM ch WHERE intervals IS NOT NULL), t AS (SELECT capture_id, codec, sum(cost)::BIGINT AS cost FROM o GROUP BY ALL HAVING count(*) = count(cost))
 SELECT capture_id, codec, cost FROM t QUALIFY row_number() OVER (PARTITION BY capture_id ORDER BY cost, codec) = 1""",
-    "palette_check": query(SPLATS) + "SELECT chunk_id, count(DISTINCT (r, g, b)) AS \"distinct\", count(DISTINCT (r, g, b)) <= 64 AS exact FROM s GROUP BY chunk_id",
+    "palette_check": query(SPLATS("r g b")) + "SELECT chunk_id, count(DISTINCT (r, g, b)) AS \"distinct\", count(DISTINCT (r, g, b)) <= 64 AS exact FROM s GROUP BY chunk_id",
     "size_estimate": query(INTERVALS) + """, i AS (SELECT chunk_id, stored_size, row_number() OVER (PARTITION BY chunk_id ORDER BY interval_no) - 1 AS i, count(*) OVER (PARTITION BY chunk_id) AS n FROM iv), k AS (SELECT *, least(4, ceil(n / 8))::BIGINT AS k FROM i), t AS (SELECT *, (i * k) // n AS slot FROM k),
 w AS (SELECT chunk_id, slot, sum(stored_size) AS s, count(*) AS c, any_value(n) AS n FROM t WHERE i - ceil(slot * n / k) < 8 GROUP BY chunk_id, slot) SELECT chunk_id, round(sum(s) / sum(c) * any_value(n), 3) AS estimate, max(s)::BIGINT AS peak FROM w GROUP BY chunk_id""",
-    "fit_check": query(SPLATS) + """, m AS (SELECT splat_id, floor(x * 256 + 0.5) / 256 AS mx, floor(y * 256 + 0.5) / 256 AS my, floor(z * 256 + 0.5) / 256 AS mz FROM s WHERE o < 0.95::DOUBLE), w AS (SELECT * FROM s WHERE o > 0.05::DOUBLE),
+    "fit_check": query(SPLATS("x y z o")) + """, m AS (SELECT splat_id, round_even(x * 256, 0) / 256 AS mx, round_even(y * 256, 0) / 256 AS my, round_even(z * 256, 0) / 256 AS mz FROM s WHERE o < 0.95::DOUBLE), w AS (SELECT * FROM s WHERE o > 0.05::DOUBLE),
 j AS (SELECT m.splat_id AS a, w.splat_id AS b, (x-mx)**2 + (y-my)**2 + (z-mz)**2 AS q FROM m FULL JOIN w ON m.splat_id = w.splat_id)
 SELECT count(*) FILTER (a IS NOT NULL AND b IS NOT NULL) AS shown, count(*) FILTER (a IS NULL) AS missing, count(*) FILTER (b IS NULL) AS stray, round(sqrt(avg(q)), 8) AS rms, round(sqrt(max(q)), 8) AS worst FROM j""",
     "optional_default": query(CAPTURES, CHUNKS) + "SELECT chunk_id, coalesce(moving_speed, 0.0) AS moving_speed, coalesce(len(tags), 0)::INT AS n_tags FROM ch LEFT JOIN cap USING (capture_id)",
     "tag_index": query(CAPTURES) + ", t AS (SELECT DISTINCT capture_id, lower(trim(t)) AS tag FROM (SELECT capture_id, unnest(tags) AS t FROM cap) WHERE trim(t) <> '') SELECT tag, count(*) AS captures, min(capture_id) AS first FROM t GROUP BY tag",
-    "scatter_assign": query(SPLATS) + f""", h1 AS (SELECT splat_id, (((splat_id & 4294967295)::HUGEINT * {0x9E3779B1}) % 4294967296)::BIGINT AS h FROM s),
+    "scatter_assign": query(SPLATS()) + f""", h1 AS (SELECT splat_id, (((splat_id & 4294967295)::HUGEINT * {0x9E3779B1}) % 4294967296)::BIGINT AS h FROM s),
 h2 AS (SELECT splat_id, ((xor(h, h >> 16)::HUGEINT * {0x85EBCA6B}) % 4294967296)::BIGINT AS h FROM h1), h3 AS (SELECT splat_id, ((xor(h, h >> 13)::HUGEINT * {0xC2B2AE35}) % 4294967296)::BIGINT AS h FROM h2), v AS (SELECT splat_id, xor(h, h >> 16) % 8 AS variant FROM h3)
 SELECT variant, round((0.1::DOUBLE + variant / 8 * 0.75::DOUBLE) % 1.0, 6) AS phase, count(*) AS copies, min(splat_id) AS first FROM v GROUP BY variant""",
-    "distinct_instants": query(SPLATS) + "SELECT capture_id, round(life_start / 30.0::DOUBLE, 6) AS seconds, count(*) AS copies FROM s GROUP BY ALL",
-    "dead_reference_check": query(SPLATS, CHUNKS) + "SELECT splat_id, chunk_id FROM s LEFT JOIN ch USING (chunk_id) WHERE intervals IS NULL OR life_end > intervals OR life_start < 0",
+    "distinct_instants": query(SPLATS()) + "SELECT capture_id, round(life_start / 30.0::DOUBLE, 6) AS seconds, count(*) AS copies FROM s GROUP BY ALL",
+    "dead_reference_check": query(SPLATS(), CHUNKS) + "SELECT splat_id, chunk_id FROM s LEFT JOIN ch USING (chunk_id) WHERE intervals IS NULL OR life_end > intervals OR life_start < 0",
     "unpaired_keys": query(CAPTURES, CHUNKS) + ", k AS (SELECT capture_id, count(*) AS chunks FROM ch GROUP BY capture_id), c AS (SELECT capture_id, true AS known FROM cap) SELECT capture_id, known, chunks FROM c FULL JOIN k USING (capture_id)",
     "label_ranks": query(INTERVALS) + "SELECT chunk_id, interval_no, rank() OVER w::INT AS rank, dense_rank() OVER w::INT AS dense, round(percent_rank() OVER w, 6) AS share FROM iv WHERE take_label IS NOT NULL WINDOW w AS (PARTITION BY lower(take_label) ORDER BY stored_size DESC)",
     "cube_of_sizes": query(INTERVALS) + "SELECT lower(take_label) AS label, generation, count(*) AS n, max(stored_size) AS most FROM iv GROUP BY CUBE (lower(take_label), generation)",

@@ -17,14 +17,16 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints: the session's ``spark.checkpoint.dir``, else one already set,
-    else (as in tests on one machine) a temporary one."""
+    """The shared folder for checkpoints: the one already set, else the session's ``spark.checkpoint.dir``. On one machine, as in tests,
+    a temporary folder stands in for it; a cluster without a shared folder is refused."""
     sc = spark.sparkContext
     wanted = sc.getConf().get("spark.checkpoint.dir", None)
     have = sc._jsc.sc().getCheckpointDir()
     if have.isDefined():
         return have.get()
     if not wanted:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         wanted = os.path.join(tempfile.gettempdir(), "pointtide-checkpoints")
     sc.setCheckpointDir(wanted)
     return wanted

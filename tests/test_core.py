@@ -301,3 +301,16 @@ def test_sparse_parts_name_the_cells_that_are_read(spark, monkeypatch):
     monkeypatch.setattr(spikes, "robust_components", lambda m: (m * 0, m))  # everything sparse: whatever lies above the median
     every = {tuple(x) for x in spikes._named(df.toPandas(), math.log(7))[["day", "slot"]].itertuples(index=False)}
     assert len(none) < len(least) < len(every) and {(d, h) for _, d, h in beyond} <= {(None if pd.isna(d) else d, h) for d, h in none}
+
+
+def test_checkpoints_need_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from pointtide.util import ensure_checkpoint_dir
+
+    none = SimpleNamespace(isDefined=lambda: False)
+    context = lambda master, wanted: SimpleNamespace(master=master, getConf=lambda: SimpleNamespace(get=lambda k, d: wanted), setCheckpointDir=lambda p: None, _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: none)))
+    assert ensure_checkpoint_dir(SimpleNamespace(sparkContext=context("spark://host:7077", "/shared"))) == "/shared"
+    assert ensure_checkpoint_dir(SimpleNamespace(sparkContext=context("local[4]", None))).endswith("pointtide-checkpoints")
+    with pytest.raises(RuntimeError):
+        ensure_checkpoint_dir(SimpleNamespace(sparkContext=context("spark://host:7077", None)))

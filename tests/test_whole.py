@@ -16,10 +16,9 @@ def dirty(spark, tmp_path_factory):
 
 def test_records_count_whatever_else_they_lack(spark, dirty):
     q = lambda n: catalog.QUERIES[n](spark, dirty).collect()
-    assert [r["splat_id"] for r in q("dead_reference_check_whole")] == [2]
-    assert {(r["chunk_id"], r["active"]) for r in q("active_counts_whole") if r["active"]} == {(7, 4), (99, 1)}
-    assert [(r["chunk_id"], r["start"], r["length"]) for r in q("run_length_pack_whole")] == [(7, 1, 1), (7, 3, 3)]
-    assert sum(r["copies"] for r in q("scatter_assign_whole")) == 5 and len(q("erase_union_whole")) == 5
-    box = next(r for r in q("chunk_bounds_whole") if r["chunk_id"] == 7)
+    assert [r["splat_id"] for r in q("dead_reference_check")] == [2]
+    assert {(r["chunk_id"], r["active"]) for r in q("active_counts") if r["active"]} == {(7, 4), (99, 1)}
+    assert [(r["chunk_id"], r["start"], r["length"]) for r in q("run_length_pack")] == [(7, 1, 1), (7, 3, 3)]
+    assert sum(r["copies"] for r in q("scatter_assign")) == 5 and len(q("erase_union")) == 5
+    box = next(r for r in q("chunk_bounds") if r["chunk_id"] == 7)
     assert 2e6 in list(box)
-    assert q("dead_reference_check") == []  # as its SQL states
