@@ -26,10 +26,12 @@ __all__ = ["SPAN", "words", "fingerprints", "shares_span", "leaked"]
 
 SPAN = 12
 GRAM = 8
-#: Evaluation items up to this number are sent to every task; more are joined by fingerprint.
-CARRIED_ITEMS = 5_000
+#: Evaluation items up to this number, and this many characters together, are sent to every worker; more are joined by fingerprint.
+CARRIED_ITEMS, CARRIED_CHARS = 5_000, 20_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _known: dict[str, int] = {}
+#: The index of the items that a worker was last sent, by their broadcast.
+_held: dict[int, tuple] = {}
 
 
 def words(text: str | None) -> list[str]:
@@ -97,7 +99,7 @@ def leaked(corpus: DataFrame, key: str, text: str, items: DataFrame, item_key: s
     docs = corpus.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).where("k is not null and t is not null")
     held = items.select(F.col(item_key).alias("i"), F.col(item_text).cast("string").alias("t")).where("i is not null and t is not null").distinct()
     kinds = dict(docs.dtypes)["k"], dict(held.dtypes)["i"]
-    if small_enough(held, carried_items):
+    if small_enough(held, carried_items) and (held.agg(F.sum(F.length("t"))).first()[0] or 0) <= CARRIED_CHARS:
         rows = held.toArrow()
         found = _carried(docs, list(zip(rows.column("i").to_pylist(), rows.column("t").to_pylist())), kinds)
     else:
@@ -106,8 +108,14 @@ def leaked(corpus: DataFrame, key: str, text: str, items: DataFrame, item_key: s
 
 
 def _carried(docs: DataFrame, items: list, kinds) -> DataFrame:
+    sent = docs.sparkSession.sparkContext.broadcast(items)
+
     def search(batches):
-        texts, h, who, at = _index(items)
+        items = sent.value
+        if id(items) not in _held:
+            _held.clear()
+            _held[id(items)] = items, _index(items)
+        texts, h, who, at = _held[id(items)][1]
         for b in batches:
             keys, found = [], []
             for k, t in zip(b.column("k").to_pylist(), b.column("t").to_pylist()):
@@ -129,11 +137,9 @@ def _carried(docs: DataFrame, items: list, kinds) -> DataFrame:
 def _prints(rows: DataFrame, key: str, kind: str) -> DataFrame:
     def take(batches):
         for b in batches:
-            for k, t in zip(b.column(key).to_pylist(), b.column("t").to_pylist()):
-                h, _ = fingerprints(words(t))
-                if len(h):
-                    u = np.unique(h)
-                    yield pa.RecordBatch.from_arrays([pa.array([k] * len(u), b.schema.field(key).type), pa.array(u)], names=[key, "h"])
+            found = [np.unique(fingerprints(words(t))[0]) for t in b.column("t").to_pylist()]
+            row = np.repeat(np.arange(len(found)), [len(h) for h in found])
+            yield pa.RecordBatch.from_arrays([b.column(key).take(pa.array(row)), pa.array(np.concatenate([np.empty(0, np.int64), *found]))], names=[key, "h"])
 
     return rows.mapInArrow(take, f"{key} {kind}, h bigint")
 

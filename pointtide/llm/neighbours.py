@@ -25,6 +25,8 @@ __all__ = ["Lists", "neighbour_lists", "similar_pairs", "brute_force"]
 
 LIST_ROWS = 400
 SAMPLE_ROWS = 80_000
+#: A list of more rows than this is split once more by the task that holds it.
+SPLIT_ROWS = 8 * LIST_ROWS
 #: A vector is replicated to every list whose centre is at most so many times as far as the nearest.
 REPLICATE = 1.10
 DEGREE = 48
@@ -169,6 +171,45 @@ def _nearest(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, k:
     return np.concatenate(rows), np.concatenate(cols), np.concatenate(dist)
 
 
+def _search(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, k: int):
+    """What ``_nearest`` gives, for lists of any length: a list of more than SPLIT_ROWS is split once more, here where its rows are. Queries
+    near each other share a search of the parts around them, whose k-th distances rule out all parts farther away by their radii."""
+    if len(x) <= SPLIT_ROWS:
+        return _nearest(q, qid, x, xid, k)
+    some = x[:: max(1, len(x) // SAMPLE_ROWS)]
+    tree = fit_tree(some, max(8.0, LIST_ROWS * len(some) / len(x)))
+    row, leaf, _ = tree.leaves(x)
+    order = np.argsort(leaf, kind="stable")
+    names, first = np.unique(leaf[order], return_index=True)
+    parts = np.split(row[order], first[1:])
+    centre = np.array([x[p].mean(0) for p in parts])
+    radius = np.array([np.sqrt(_square(x[p] - c).max()) for p, c in zip(parts, centre)])
+    many = np.array([len(p) for p in parts])
+    at, qleaf, _ = tree.leaves(q)
+    rows, cols, dist = [], [], []
+    for g in np.unique(qleaf):
+        mine = at[qleaf == g]
+        mid = q[mine].mean(0)
+        far = np.sqrt(_square(centre - mid))
+        least = far - radius - np.sqrt(_square(q[mine] - mid).max())
+        near = np.argsort(far, kind="stable")
+        used = near[: int(np.searchsorted(np.cumsum(many[near]), 2 * LIST_ROWS + k)) + 1]
+        while True:
+            here = np.concatenate([parts[p] for p in used])
+            r, c, dd = _nearest(q[mine], qid[mine], x[here], xid[here], k)
+            full = np.bincount(r, minlength=len(mine)) >= min(k, len(x) - 1)
+            reach = np.sqrt(dd.max()) * (1 + 1e-9) if full.all() else np.inf
+            need = np.flatnonzero(least <= reach)
+            if np.isin(need, used).all():
+                break
+            used = np.union1d(need, used)
+        rows.append(mine[r])
+        cols.append(here[c])
+        dist.append(dd)
+    by = np.argsort(np.concatenate(rows), kind="stable")
+    return np.concatenate(rows)[by], np.concatenate(cols)[by], np.concatenate(dist)[by]
+
+
 def _listed(row, values, n):
     """A list array of ``values``, grouped by ascending ``row``."""
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))]).astype(np.int32)), pa.array(values))
@@ -193,7 +234,7 @@ def neighbour_lists(sites: DataFrame, rows: int, d: int, k: int, list_rows: int
         q = np.flatnonzero(own)
         if not len(q):
             return pa.table({"id": pa.array([], pa.int64()), "vec": pa.array([], pa.list_(pa.float32())), "dist": pa.array([], pa.list_(pa.float64())), "other": pa.array([], pa.list_(pa.int64()))})
-        row, col, dist = _nearest(x[q], ids[q], x, ids, k)
+        row, col, dist = _search(x[q], ids[q], x, ids, k)
         return pa.table({"id": ids[q], "vec": t.column("vec").take(pa.array(q)), "dist": _listed(row, dist, len(q)), "other": _listed(row, ids[col], len(q))})
 
     def route(batches):
@@ -214,7 +255,7 @@ def neighbour_lists(sites: DataFrame, rows: int, d: int, k: int, list_rows: int
             return pa.table({"id": pa.array([], pa.int64()), "dist": pa.array([], pa.list_(pa.float64())), "other": pa.array([], pa.list_(pa.int64()))})
         q, qid, most = _vectors(left.column("vec"), d), left.column("id").to_numpy(), left.column("most").to_numpy()
         x, ids = _vectors(right.column("vec"), d), right.column("id").to_numpy()
-        row, col, dist = _nearest(q, qid, x, ids, k)
+        row, col, dist = _search(q, qid, x, ids, k)
         good = dist <= most[row] * (1 + 1e-9)
         row, col, dist = row[good], col[good], dist[good]
         has, row = np.unique(row, return_inverse=True)

@@ -46,7 +46,7 @@ def p4_clusters(spark, d):
 def p4_leaves(spark, d):
     from .clusters import bisecting_leaves
 
-    return bisecting_leaves(read(spark, d, "splats"), "splat_id", ALIKE)
+    return bisecting_leaves(read(spark, d, "splats"), "splat_id", ALIKE, leaf_rows=2_000, compact=0.25)
 
 
 PERCENTILES = [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]

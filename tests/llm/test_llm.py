@@ -58,6 +58,20 @@ def test_neighbours(spark, list_rows):
     assert len(got & want) / len(want) > 0.99 and len(got - want) <= 0.01 * len(want)
 
 
+def test_a_long_list_is_split_where_it_is(monkeypatch):
+    rng = np.random.default_rng(12)
+    x = np.concatenate([rng.normal(size=(900, 5)) + c * 4 for c in range(3)] + [np.ones((30, 5)) * 50, rng.normal(size=(9, 5)) * 1000])
+    ids = rng.permutation(len(x)) * 7
+    monkeypatch.setattr(neighbours, "SPLIT_ROWS", 100)
+    monkeypatch.setattr(neighbours, "LIST_ROWS", 40)
+    row, col, dist = neighbours._search(x, ids, x, ids, 5)
+    want = neighbours.brute_force(x, ids, 5)
+    got = [[] for _ in x]
+    for i, j in zip(row, col):
+        got[i].append(int(ids[j]))
+    assert got == want and (np.diff(row) >= 0).all()
+
+
 def test_neighbours_of_few(spark):
     assert pairs(neighbours.similar_pairs(_vectors(spark, []), "key", "v", 2, 5)) == set()
     one = [(1, [0.0, 0.0], "", 0, 0.0)]
@@ -180,6 +194,28 @@ def test_clusters(spark, leaf_rows):
     assert sum(r["members"] for r in leaves) == len(x) + 1
 
 
+@pytest.mark.parametrize("dense", [2, 8])
+def test_dense_places_are_linked_as_by_all_pairs(dense):
+    rng = np.random.default_rng(13)
+    x = np.concatenate([rng.normal(size=(300, 3)) * 0.02, rng.normal(size=(200, 3)) * 0.02 + [0.2, 0, 0], rng.random((300, 3)), np.full((9, 3), 5e9), [[5e9, 5e9, 5e9 + 1024]]])
+    near = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)) <= 0.06
+    want = clusters.min_labels(len(x), *np.nonzero(np.triu(near, 1)))
+    assert clusters.alike_labels(x, 0.06, dense).tolist() == want.tolist()
+    assert clusters.alike_labels(x[:0], 0.06).tolist() == []
+
+
+def test_many_records_within_the_linking_distance():
+    import time
+
+    rng = np.random.default_rng(14)
+    x = rng.normal(size=(200_000, 6))
+    x *= 0.03 * rng.random((len(x), 1)) ** (1 / 6) / np.linalg.norm(x, axis=1)[:, None]
+    x[-1000:] += [1, 0, 0, 0, 0, 0]
+    began = time.time()
+    label = clusters.alike_labels(x, 0.06)
+    assert np.bincount(label)[label].tolist() == [199_000] * 199_000 + [1000] * 1000 and time.time() - began < 30
+
+
 # --- percentiles ---------------------------------------------------------------------------------------------------------
 
 
