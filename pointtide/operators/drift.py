@@ -1,9 +1,11 @@
 """Schemas that drift between the files of a sequence (problem 3).
 
-The header of each frame is compared with that of the frame before. Where names go and others come in one frame, the values
-of their vertices are profiled against each other: the mean step from the old to the new column in units of the old one's
-spread, with the likeness of names and types to settle ties. A minimum-cost bipartite matching per frame picks the renames.
-Chains of renames form one property, whose types are followed over time; its values go to one column of the unified table.
+The header of each frame is compared with that of the frame before. Where names go and others come in one frame, their columns are
+profiled: one pass over the vertices gives each a sketch (count, mean, spread, least and largest value), and pairs whose
+sketches are too far apart for the values to carry on are ruled out. The others are compared vertex by vertex: the mean step
+from the old to the new column in units of the old one's spread. A minimum-cost bipartite matching per frame over steps, with the
+likeness of names and types to settle ties, picks the renames. Chains of renames form one property, whose types are followed
+over time; its values go to one column of the unified table.
 
 Defined results: repeated rows count once; a frame written under several file ids is one frame, whose types are those that
 any of them states and whose values are those of the smallest file id; null names are ignored, null types say nothing; lines
@@ -31,7 +33,12 @@ TYPE_SPELLINGS = {
 }
 #: Mean step, in standard deviations of the old column, up to which the values carry on.
 CARRIES_ON = 0.15
+#: Distance of the means, in standard deviations of the old column, and factor between the spreads, up to which sketches leave a pair
+#: to be compared. Where the values carry on over all vertices, the means differ by no more than the mean step, which is CARRIES_ON.
+SKETCH_MEAN, SKETCH_SPREAD = 0.75, 3.0
 BROADCAST_ROWS = 50_000
+#: Rows of scored pairs that share one matching task.
+MATCH_ROWS = 20_000
 
 
 def canonical_type(c):
@@ -74,6 +81,10 @@ def best_matching(cost: np.ndarray) -> list[tuple[int, int]]:
     return [(b, a) for a, b in pairs] if flip else pairs
 
 
+def _hint(df: DataFrame, few: bool) -> DataFrame:
+    return F.broadcast(df) if few else df
+
+
 def _match(pdf: pd.DataFrame) -> pd.DataFrame:
     out = []
     for (seq, frame), g in pdf.groupby(["sequence_id", "frame_no"], sort=False):
@@ -147,35 +158,52 @@ class Drift:
             pair.select(*keys, F.col("old_at.file_id").alias("file_id"), F.col("old_at.ordinal").alias("ordinal"), F.col("old").alias("name"), F.lit(True).alias("past"))
             .union(pair.select(*keys, "new_at.file_id", "new_at.ordinal", "new", F.lit(False))).distinct()
         )
+        # a line is taken apart once for all columns that are asked of its file
+        ask = ask.groupBy("file_id").agg(F.collect_list(F.struct(*keys, "name", "past", "ordinal")).alias("asked"))
         few = small_enough(ask, BROADCAST_ROWS)
         values = (
             self.vertices.join(F.broadcast(ask) if few else ask, "file_id")
-            .select(*keys, "name", "past", "row_no", F.expr("try_cast(get(split(trim(regexp_replace(line, '\\\\s+', ' ')), ' '), ordinal) as double)").alias("v"))
-            .where(F.col("v").isNotNull() & ~F.isnan("v"))
-            .groupBy(*keys, "name", "past", "row_no").agg(F.min("v").alias("v"))
+            .select("row_no", "asked", F.split(F.trim(F.regexp_replace("line", r"\s+", " ")), " ").alias("cell"))
+            .select("row_no", F.explode(F.transform("asked", lambda q: F.struct(q[keys[0]].alias(keys[0]), q[keys[1]].alias(keys[1]), q["name"].alias("name"), q["past"].alias("past"), F.get("cell", q["ordinal"]).try_cast("double").alias("v")))).alias("q"))
+            .select("row_no", "q.*").where(F.col("v").isNotNull() & ~F.isnan("v")).persist()
         )
-        old = values.where("past").select(*keys, "row_no", F.col("name").alias("old"), F.col("v").alias("a"))
-        new = values.where("not past").select(*keys, "row_no", F.col("name").alias("new"), F.col("v").alias("b"))
+        survivors = cut(self._alike_sketches(pair, values))
+        few = small_enough(survivors, BROADCAST_ROWS)
+        side = lambda past, name, v: values.where("past" if past else "not past").join(_hint(survivors.select(*keys, F.col(name).alias("name")).distinct(), few), [*keys, "name"], "left_semi").groupBy(*keys, F.col("name").alias(name), "row_no").agg(F.min("v").alias(v))
         tiny = F.lit(1e-9)
         compared = (
-            old.join(new, [*keys, "row_no"]).groupBy(*keys, "old", "new")
+            side(True, "old", "a").join(side(False, "new", "b"), [*keys, "row_no"]).join(_hint(survivors.select(*keys, "old", "new"), few), [*keys, "old", "new"], "left_semi")
+            .groupBy(*keys, "old", "new")
             .agg((F.avg(F.abs(F.col("a") - F.col("b"))) / F.greatest(F.stddev_pop("a"), F.avg(F.abs("a")) * tiny, tiny)).alias("step"))
             .where(F.col("step") <= CARRIES_ON)
         )
         unlike = F.levenshtein(F.lower("old"), F.lower("new")) / F.greatest(F.length("old"), F.length("new"), F.lit(1))
         scored = compared.join(pair, [*keys, "old", "new"]).select(*keys, "old", "new", "step", unlike.alias("unlike"), F.when(F.col("old_type") != F.col("new_type"), 1.0).otherwise(0.0).alias("retype"))
         kinds = dict(self.files.dtypes)
-        return scored.groupBy(F.pmod(F.xxhash64(*keys), F.lit(64)).alias("part")).applyInPandas(
+        scored = cut(scored)
+        parts = scored.count() // MATCH_ROWS + 8
+        return scored.groupBy(F.pmod(F.xxhash64(*keys), F.lit(parts)).alias("part")).applyInPandas(
             lambda p: _match(p), f"sequence_id {kinds['sequence_id']}, frame_no {kinds['frame_no']}, old string, new string"
         )
 
-    def unified(self) -> DataFrame:
-        """(sequence_id, frame_no, row_no, one column per property): every vertex of every frame once. A property is named as its
-        line was first named; whole numbers throughout give bigint, else double. A name that differs from an earlier column's
-        only in case, or equals a key's, gets a number behind it. The list of columns goes to the driver; its length is that of
-        the schema."""
+    def _alike_sketches(self, pair: DataFrame, values: DataFrame) -> DataFrame:
+        """The pairs whose columns' sketches leave it open that the values carry on."""
+        keys = ["sequence_id", "frame_no"]
+        sketch = cut(values.groupBy(*keys, "name", "past").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd"), F.min("v").alias("low"), F.max("v").alias("high")))
+        one = lambda past, name, p: sketch.where("past" if past else "not past").select(*keys, F.col("name").alias(name), *[F.col(c).alias(f"{p}_{c}") for c in ("n", "mean", "sd", "low", "high")])
+        both = pair.join(one(True, "old", "a"), [*keys, "old"]).join(one(False, "new", "b"), [*keys, "new"])
+        # a few outlying values move means and spreads, but not where the bulk of both columns lies apart
+        unit = F.greatest("a_sd", F.abs("a_mean") * 1e-6, F.lit(1e-9))
+        level = F.abs(F.col("a_mean") - F.col("b_mean")) <= unit * SKETCH_MEAN
+        spread = (F.col("b_sd") <= unit * SKETCH_SPREAD) & (F.col("b_sd") * SKETCH_SPREAD >= F.col("a_sd"))
+        meet = (F.col("a_low") <= F.col("b_high") + unit) & (F.col("b_low") <= F.col("a_high") + unit)
+        # means over different vertices may differ by more; such pairs are always compared
+        same = F.least("a_n", "b_n") >= F.greatest("a_n", "b_n") * 0.9
+        return both.where(~same | (level & spread & meet)).select(*pair.columns)
+
+    def _rows(self) -> tuple[DataFrame, DataFrame]:
+        """(the vertices of every frame once, with their words and the ordinals of their properties; the properties of all lines)."""
         named = self.lines.groupBy("line").agg(F.min_by("name", "frame_no").alias("property"), F.coalesce(F.bool_and(F.col("type").rlike("^u?int(8|16|32)$")), F.lit(False)).alias("whole"))
-        cols = named.groupBy("property").agg(F.bool_and("whole").alias("whole")).orderBy("property").collect()
         frames = self.files.groupBy("sequence_id", "frame_no").agg(F.min("file_id").alias("file_id"))
         lines = self.lines.join(named, "line").select("sequence_id", "frame_no", "name", "property")
         place = self.properties.join(frames, "file_id").select("file_id", "sequence_id", "frame_no", F.col("prop_name").alias("name"), "ordinal").join(lines, ["sequence_id", "frame_no", "name"])
@@ -184,6 +212,21 @@ class Drift:
         layout = place.groupBy("file_id", "sequence_id", "frame_no").agg(F.map_from_entries(F.collect_list(F.struct("property", "ordinal"))).alias("layout"))
         rows = self.vertices.join(layout, "file_id").withColumn("cell", F.split(F.trim(F.regexp_replace("line", r"\s+", " ")), " "))
         rows = rows.groupBy("sequence_id", "frame_no", "row_no").agg(F.min_by(F.struct("cell", "layout"), "file_id").alias("r"))
+        return rows, named
+
+    def cells(self) -> DataFrame:
+        """(sequence_id, frame_no, row_no, property, value): the unified table by cells, as doubles; a value that doesn't parse is null."""
+        rows, named = self._rows()
+        cell = F.explode("r.layout").alias("property", "ordinal")
+        return rows.select("sequence_id", "frame_no", "row_no", "r.cell", cell).select("sequence_id", "frame_no", "row_no", "property", F.get("cell", F.col("ordinal")).try_cast("double").alias("value"))
+
+    def unified(self) -> DataFrame:
+        """(sequence_id, frame_no, row_no, one column per property): every vertex of every frame once. A property is named as its
+        line was first named; whole numbers throughout give bigint, else double. A name that differs from an earlier column's
+        only in case, or equals a key's, gets a number behind it. The list of columns goes to the driver; its length is that of
+        the schema."""
+        rows, named = self._rows()
+        cols = named.groupBy("property").agg(F.bool_and("whole").alias("whole")).orderBy("property").collect()
         used, out = {"sequence_id", "frame_no", "row_no"}, []
         for c in cols:
             name, n = c["property"], 2

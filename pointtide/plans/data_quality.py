@@ -25,14 +25,17 @@ def p3_unified(spark, d):
     return _drift(spark, d).unified()
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_unified, p6_found)}
+def p3_cells(spark, d):
+    """The unified table by cells."""
+    return _drift(spark, d).cells()
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_unified, p3_cells, p6_found)}
 
 _CANON = "CASE lower(trim(prop_type)) WHEN 'char' THEN 'int8' WHEN 'uchar' THEN 'uint8' WHEN 'short' THEN 'int16' WHEN 'ushort' THEN 'uint16' WHEN 'int' THEN 'int32' WHEN 'uint' THEN 'uint32' WHEN 'float' THEN 'float32' WHEN 'double' THEN 'float64' ELSE nullif(lower(trim(prop_type)), '') END"
 
-SQL = {
-    # without the matching: on these tables no property carries on into two others
-    "p3_found": f"""
-WITH RECURSIVE f AS (SELECT DISTINCT file_id, sequence_id AS q, frame_no AS k FROM ply_files),
+# without sketches and matching: on these tables no property carries on into two others
+_DRIFT = f"""WITH RECURSIVE f AS (SELECT DISTINCT file_id, sequence_id AS q, frame_no AS k FROM ply_files),
 fr AS (SELECT q, k, min(file_id) AS file, row_number() OVER (PARTITION BY q ORDER BY k) AS n FROM f GROUP BY q, k),
 p AS (SELECT file_id, prop_name AS name, min(ordinal) AS o, max({_CANON}) AS type FROM ply_properties WHERE prop_name IS NOT NULL GROUP BY ALL),
 h AS (SELECT q, n, fr.k, name, max(type) AS type, min(file_id) AS file, min_by(o, file_id) AS o FROM p JOIN f USING (file_id) JOIN fr USING (q, k) GROUP BY ALL),
@@ -41,12 +44,18 @@ gone AS (SELECT h.*, fr.k AS k2 FROM h JOIN fr ON fr.q = h.q AND fr.n = h.n + 1
 v AS (SELECT DISTINCT file_id, row_no, string_split(trim(regexp_replace(line, '\\s+', ' ', 'g')), ' ') AS w FROM ply_vertices WHERE line IS NOT NULL),
 pair AS (SELECT g.q, c.n, c.k, g.name AS old, c.name AS new, TRY_CAST(va.w[g.o + 1] AS DOUBLE) AS a, TRY_CAST(vb.w[c.o + 1] AS DOUBLE) AS b FROM gone g JOIN came c ON c.q = g.q AND c.n = g.n + 1 JOIN v va ON va.file_id = g.file JOIN v vb ON vb.file_id = c.file AND vb.row_no = va.row_no),
 ren AS (SELECT q, n, k, old, new FROM pair GROUP BY ALL HAVING avg(abs(a - b)) / greatest(stddev_pop(a), avg(abs(a)) * 1e-9, 1e-9) <= 0.15),
-st AS (SELECT q, n, k, name, type AS known, false AS re FROM h WHERE n = 1 UNION ALL SELECT q, n, k, name, type, false FROM came WHERE NOT EXISTS (SELECT 1 FROM ren WHERE ren.q = came.q AND ren.n = came.n AND ren.new = came.name)
-UNION ALL SELECT h.q, h.n, h.k, h.name, coalesce(h.type, st.known), coalesce(h.type <> st.known, false) FROM st JOIN h ON h.q = st.q AND h.n = st.n + 1 AND (h.name = st.name OR EXISTS (SELECT 1 FROM ren WHERE ren.q = h.q AND ren.n = h.n AND ren.old = st.name AND ren.new = h.name)))
-SELECT q AS sequence_id, k AS frame_no, 'renamed' AS change_kind, new AS prop_name FROM ren
+st AS (SELECT q, n, k, name, type AS known, false AS re, name AS first FROM h WHERE n = 1 UNION ALL SELECT q, n, k, name, type, false, name FROM came WHERE NOT EXISTS (SELECT 1 FROM ren WHERE ren.q = came.q AND ren.n = came.n AND ren.new = came.name)
+UNION ALL SELECT h.q, h.n, h.k, h.name, coalesce(h.type, st.known), coalesce(h.type <> st.known, false), st.first FROM st JOIN h ON h.q = st.q AND h.n = st.n + 1 AND (h.name = st.name OR EXISTS (SELECT 1 FROM ren WHERE ren.q = h.q AND ren.n = h.n AND ren.old = st.name AND ren.new = h.name)))
+"""
+SQL = {
+    "p3_found": _DRIFT + """SELECT q AS sequence_id, k AS frame_no, 'renamed' AS change_kind, new AS prop_name FROM ren
 UNION ALL SELECT q, k, 'added', name FROM came WHERE NOT EXISTS (SELECT 1 FROM ren WHERE ren.q = came.q AND ren.n = came.n AND ren.new = came.name)
 UNION ALL SELECT q, k2, 'removed', name FROM gone WHERE NOT EXISTS (SELECT 1 FROM ren WHERE ren.q = gone.q AND ren.n = gone.n + 1 AND ren.old = gone.name)
 UNION ALL SELECT q, k, 'retyped', name FROM st WHERE re""",
+    # a property is named as it was first named; every vertex of a frame counts in the file with the smallest id that holds it
+    "p3_cells": _DRIFT + """, fs AS (SELECT q, k, min(file_id) AS file FROM f GROUP BY ALL),
+pr AS (SELECT q, k, any_value(file) AS file, first AS property, min(p.o) AS o FROM st JOIN fs USING (q, k) JOIN p ON p.file_id = fs.file AND p.name = st.name GROUP BY q, k, first)
+SELECT q AS sequence_id, k AS frame_no, row_no, property, min(TRY_CAST(w[o + 1] AS DOUBLE)) AS value FROM pr JOIN v ON v.file_id = pr.file GROUP BY ALL""",
     "p6_found": """
 WITH s AS (SELECT DISTINCT splat_id AS k, capture_id AS c, chunk_id, record_id, positions AS p, scales AS sc FROM splats),
 sp AS (SELECT * FROM s WHERE p IS NOT NULL),

@@ -131,6 +131,24 @@ def test_drift(spark):
     assert {r["a"] for r in u.where("row_no = 3").collect()} == {60}
 
 
+def test_drift_where_columns_compete(spark):
+    """Two new columns carry on from one old one: the nearer is the rename. And a nearest-first choice would leave one old column without
+    a partner that both have."""
+    frames_ = [(1, 1, 0, ""), (2, 1, 1, ""), (3, 2, 0, ""), (4, 2, 1, "")]
+    heads = [(1, 0, "x", "float"), (1, 1, "keep", "int"), (2, 0, "keep", "int"), (2, 1, "far", "float"), (2, 2, "near", "float")]
+    heads += [(3, 0, "p", "float"), (3, 1, "q", "float"), (4, 0, "m", "float"), (4, 1, "n", "float")]
+    lines = []
+    for r in range(40):
+        v = r * 7 % 40
+        lines += [(1, r, f"{v} 1", ""), (2, r, f"1 {v + 0.9} {v + 0.2}", "")]
+        # p is near m and n, q only m
+        lines += [(3, r, f"{v} {v - 1.4}", ""), (4, r, f"{v - 0.1} {v + 0.5}", "")]
+    d = _drift(spark, frames_, heads, lines)
+    assert rows(d.changes) == sorted([(1, 1, "renamed", "near"), (1, 1, "added", "far"), (2, 1, "renamed", "m"), (2, 1, "renamed", "n")], key=repr)
+    assert {(r["sequence_id"], r["old"], r["new"]) for r in d.renames.collect()} == {(1, "x", "near"), (2, "p", "n"), (2, "q", "m")}
+    assert {(r["property"], r["value"]) for r in d.cells().where("sequence_id = 1 and frame_no = 1 and row_no = 3").collect()} == {("keep", 1.0), ("x", 21.2), ("far", 21.9)}
+
+
 def test_drift_of_nothing(spark):
     d = _drift(spark, [], [], [])
     assert rows(d.changes) == [] and d.unified().columns == ["sequence_id", "frame_no", "row_no"]
