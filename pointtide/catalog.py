@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import data_quality, edits, evaluation, frames, ordered, profile, streams
+from .plans import coding, data_quality, edits, evaluation, frames, ordered, profile, streams
 
-_MODULES = (data_quality, edits, evaluation, frames, ordered, profile, streams)
+_MODULES = (coding, data_quality, edits, evaluation, frames, ordered, profile, streams)
 
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}

@@ -77,23 +77,18 @@ def fold_matrices(stack: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def despill(r: Column, g: Column, b: Column, gate: float = 1.0) -> list[Column]:
-    """Green spill removal in two steps. Colours of green hue lose saturation, the more the nearer they are to pure green;
-    what green then stands above a mean of red and blue (drawn to the larger of them by the saturation to the power ``gate``) is
-    taken off, and half of it handed back to red and blue."""
-
-    def wedge(c):
-        h, s, v = c["h"], c["s"], c["v"]
-        calm = s * (F.lit(1.0) - F.sqrt(F.greatest(F.lit(0.0), F.lit(1.0) - F.abs(F.lit(120.0) - h) / 60)))
-        part, sector = h / 60 - F.floor(h / 60), F.floor(h / 60)
-        p, q, t = v * (F.lit(1.0) - calm), v * (F.lit(1.0) - calm * part), v * (F.lit(1.0) - calm * (F.lit(1.0) - part))
-        green = F.coalesce((h >= 60) & (h <= 180), F.lit(False))
-        return F.struct(
-            F.when(green, F.when(sector == 1, q).otherwise(p)).otherwise(c["r"]).alias("r"),
-            F.when(green, F.when(sector == 3, q).otherwise(v)).otherwise(c["g"]).alias("g"),
-            F.when(green, F.when(sector == 1, p).when(sector == 2, t).otherwise(v)).otherwise(c["b"]).alias("b"),
-            F.pow(s, F.lit(gate)).alias("w"),
-        )
+def despill(r: Column, g: Column, b: Column, gate: float = 1.0, strength: float = 1.0, green_gain: float = 1.0, chroma: float = 1.0) -> list[Column]:
+    """Green spill removal in two steps. A colour of green hue is pulled towards its largest channel, each channel by the same part of
+    its distance, the more the nearer the hue is to pure green; what green then stands above a mean of red and blue (drawn to the
+    larger of them by the saturation to the power ``gate``) is taken off, and half of it handed back to red and blue.
+
+    ``green_gain`` scales green before; of the result ``strength`` is mixed into the colour, and ``chroma`` scales its distance from
+    its luminance."""
+
+    def pull(c):
+        keep = F.lit(1.0) - F.sqrt(F.greatest(F.lit(0.0), F.lit(1.0) - F.abs(F.lit(120.0) - c["h"]) / 60))
+        part = F.when(F.coalesce((c["h"] >= 60) & (c["h"] <= 180), F.lit(False)), keep).otherwise(F.lit(1.0))
+        return F.struct(*[(c["v"] - (c["v"] - c[n]) * part).alias(n) for n in "rgb"], F.pow(c["s"], F.lit(gate)).alias("w"))
 
     def hand_back(c):
         mean = lambda x, y: (F.lit(1.0) - c["w"]) * (x + y) / 2 + c["w"] * F.greatest(x, y)
@@ -101,6 +96,22 @@ def despill(r: Column, g: Column, b: Column, gate: float = 1.0) -> list[Column]:
         r2, b2, over = F.least(F.lit(1.0), c["r"] + spill * 0.25), F.least(F.lit(1.0), c["b"] + spill * 0.25), spill > 0
         return F.struct(F.when(over, r2).otherwise(c["r"]).alias("r"), F.when(over, mean(r2, b2)).otherwise(c["g"]).alias("g"), F.when(over, b2).otherwise(c["b"]).alias("b"))
 
-    first = bind({"r": r, "g": g, "b": b, "h": hue(r, g, b), "s": saturation(r, g, b), "v": F.greatest(r, g, b)}, wedge)
+    g1 = g if green_gain == 1 else g * green_gain
+    first = bind({"r": r, "g": g1, "b": b, "h": hue(r, g1, b), "s": saturation(r, g1, b), "v": F.greatest(r, g1, b)}, pull)
     out = F.transform(F.array(first), hand_back)[0]
-    return [out["r"], out["g"], out["b"]]
+    made = [out[n] for n in "rgb"]
+    if strength != 1:
+        made = [m * strength + c * (1 - strength) for m, c in zip(made, (r, g, b))]
+    if chroma != 1:
+        light = sum((m * float(w) for m, w in zip(made, LUMA)), F.lit(0.0))
+        made = [light + (m - light) * chroma for m in made]
+    return made
+
+
+def auto_green_gain(df, groups: list[str]):
+    """(groups, gain): half of red and blue over green, summed over colours of middling light and little chroma, held to 0.9 to 1; 1 where
+    there are none."""
+    most, least = F.greatest("r", "g", "b"), F.least("r", "g", "b")
+    grey = (most >= 0.15) & (most <= 0.8) & ((most - least) / most <= 0.2)
+    ratio = F.sum(F.when(grey, (F.col("r") + F.col("b")) / 2)) / F.sum(F.when(grey, F.col("g")))
+    return df.groupBy(*groups).agg(F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.9), ratio)), F.lit(1.0)).alias("gain"))

@@ -13,7 +13,7 @@ from ..functions.geometry import nlerp, quat_multiply, quat_normalise
 
 __all__ = [
     "sample_at", "residual_positions", "cumulative_turns", "evaluate_frame", "rigid_fit", "leave_one_out", "covariance_bake", "harmonics_rotation", "rotate_harmonics",
-    "median_cut", "polygon_contains", "capped_segments", "greedy_cover", "infer_timebase", "morph_timing", "motion_atoms",
+    "median_cut", "polygon_contains", "capped_segments", "budget_segments", "greedy_cover", "infer_timebase", "morph_timing", "motion_atoms",
 ]
 
 
@@ -198,6 +198,29 @@ def capped_segments(df: DataFrame, groups: list[str], order: str, mark: str, mos
     return d.groupBy(*groups, "_run", "_k").agg(F.min("_o").alias("first"), F.max("_o").alias("last"), F.count(F.lit(1)).alias("n")).drop("_run", "_k")
 
 
+def budget_segments(df: DataFrame, groups: list[str], order: str, mark: str, work: str, most: int, budget: int) -> DataFrame:
+    """(groups, first, last, n, total): consecutive rows, cut where ``mark`` changes, after ``most`` rows, and before the sum of ``work``
+    passes ``budget``; a row over the budget stands alone. A cut depends on the one before, but never reaches past a change of the
+    mark: each run of one mark is cut by itself, as a stream of its sorted rows."""
+    d = df.select(*groups, F.col(order).cast("bigint").alias("_o"), F.col(mark).alias("_m"), F.col(work).cast("bigint").alias("_v"))
+    w = Window.partitionBy(*groups).orderBy("_o")
+    d = d.withColumn("_f", F.when(F.row_number().over(w) == 1, 1).when(~F.col("_m").eqNullSafe(F.lag("_m").over(w)), 1).otherwise(0)).withColumn("_run", F.sum("_f").over(w))
+    kinds = dict(d.dtypes)
+
+    def cuts(t: pa.Table) -> pa.Table:
+        t = t.sort_by("_o")
+        o, v = t.column("_o").to_numpy(), t.column("_v").to_numpy()
+        upto, at, first = np.concatenate([[0], np.cumsum(v)]), 0, []
+        while at < len(o):
+            first.append(at)
+            at = min(at + most, max(at + 1, int(np.searchsorted(upto, upto[at] + budget, side="right")) - 1), len(o))
+        a = np.array(first)
+        b = np.append(a[1:], len(o))
+        return pa.table([*[pa.array([t.column(g)[0].as_py()] * len(a), t.column(g).type) for g in groups], o[a], o[b - 1], b - a, upto[b] - upto[a]], names=[*groups, "first", "last", "n", "total"])
+
+    return d.groupBy(*groups, "_run").applyInArrow(cuts, ", ".join(f"{g} {kinds[g]}" for g in groups) + ", first bigint, last bigint, n bigint, total bigint")
+
+
 def greedy_cover(alive: np.ndarray) -> list[int]:
     """Samples that together see every record that is ever alive (records x samples): the middle one first, then always the one that
     sees most of what is left; ties to the earlier."""

@@ -282,12 +282,14 @@ def sequence_of(paths: DataFrame, column: str = "path") -> DataFrame:
     return p.join(ok, keys).where((F.col("frame") >= F.col("first")) & (F.col("frame") <= F.col("last"))).select(*keys, "frame", "path")
 
 
-def chunk_labels(manifest: DataFrame, column: str = "json") -> DataFrame:
-    """(frame, chunk, fresh) of a sequence's manifest {"frames": [{"frame": n, "chunk": label}]}: fresh where the label changes."""
+def chunk_labels(manifest: DataFrame, column: str = "json", groups: list[str] | None = None) -> DataFrame:
+    """(groups, frame, chunk, fresh) of sequences' manifests {"frames": [{"frame": n, "chunk": label}]}, one per row of the groups (or one in
+    all): fresh where the label changes."""
     from pyspark.sql import Window
 
-    f = manifest.select(F.explode(F.from_json(column, "frames array<struct<frame:bigint,chunk:string>>")["frames"]).alias("f")).select("f.frame", "f.chunk")
-    w = Window.partitionBy(F.lit(0)).orderBy("frame")
+    keys = groups or []
+    f = manifest.select(*keys, F.explode(F.from_json(column, "frames array<struct<frame:bigint,chunk:string>>")["frames"]).alias("f")).select(*keys, "f.frame", "f.chunk")
+    w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("frame")
     return f.withColumn("fresh", ~F.col("chunk").eqNullSafe(F.lag("chunk").over(w)) | F.lag("frame").over(w).isNull())
 
 
