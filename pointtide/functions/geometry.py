@@ -116,6 +116,17 @@ def nlerp(a: list[Column], b: list[Column], t: Column) -> list[Column]:
     return quat_normalise([p * (F.lit(1.0) - t) + q * s for p, q in zip(a, b)])
 
 
+def slerp(a: list[Column], b: list[Column], t: float, flat: float = 0.9999995) -> list[Column]:
+    """Interpolation between unit quaternions at even speed along the shorter arc; those nearer than the cosine ``flat`` are mixed
+    linearly."""
+    dot = a[0] * b[0] + a[1] * b[1] + a[2] * b[2] + a[3] * b[3]
+    cos = F.least(F.lit(1.0), F.abs(dot))
+    angle = F.acos(cos)
+    u = F.when(cos > flat, F.lit(1.0 - t)).otherwise(F.sin(angle * (1.0 - t)) / F.sin(angle))
+    v = F.when(cos > flat, F.lit(float(t))).otherwise(F.sin(angle * t) / F.sin(angle)) * F.when(dot < 0, -1.0).otherwise(1.0)
+    return quat_normalise([p * u + q * v for p, q in zip(a, b)])
+
+
 def in_box(x, y, z, width: float, height: float, depth: float) -> Column:
     return (y >= 0) & (y <= height) & (F.abs(x) <= width / 2) & (F.abs(z) <= depth / 2)
 

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from ..functions.geometry import nlerp, quat_multiply, quat_normalise
 
 __all__ = [
-    "sample_at", "residual_positions", "cumulative_turns", "evaluate_frame", "rigid_fit", "leave_one_out", "covariance_bake", "harmonics_rotation", "rotate_harmonics",
-    "median_cut", "polygon_contains", "capped_segments", "budget_segments", "greedy_cover", "infer_timebase", "morph_timing", "motion_atoms",
+    "sample_at", "residual_positions", "cumulative_turns", "evaluate_frame", "rigid_fit", "leave_one_out", "covariance_bake", "covariance_of", "harmonics_rotation", "rotate_harmonics",
+    "median_cut", "polygon_contains", "capped_segments", "budget_segments", "greedy_cover", "infer_timebase", "morph_timing", "motion_atoms", "unit_atoms",
 ]
 
 
@@ -109,6 +109,18 @@ def covariance_bake(df: DataFrame, m: np.ndarray) -> DataFrame:
     return df.mapInArrow(bake, ", ".join(f"`{n}` {'double' if n in cols else t}" for n, t in df.dtypes))
 
 
+def covariance_of(parts: list[Column], m: np.ndarray) -> list[Column]:
+    """xx, xy, xz, yy, yz, zz of the covariance of records (quaternion and sizes, as ``parts``) under the 3x3 map m. A record without
+    orientation is unturned."""
+    x, y, z, w = quat_normalise(parts[:4])
+    r = [
+        [F.lit(1.0) - (y * y + z * z) * 2, (x * y - z * w) * 2, (x * z + y * w) * 2], [(x * y + z * w) * 2, F.lit(1.0) - (x * x + z * z) * 2, (y * z - x * w) * 2],
+        [(x * z - y * w) * 2, (y * z + x * w) * 2, F.lit(1.0) - (x * x + y * y) * 2],
+    ]
+    a = [[sum((r[j][k] * float(m[i, j]) for j in range(3)), F.lit(0.0)) * parts[4 + k] for k in range(3)] for i in range(3)]
+    return [sum((a[i][k] * a[j][k] for k in range(3)), F.lit(0.0)) for i in range(3) for j in range(i, 3)]
+
+
 def _rotations(q: np.ndarray) -> np.ndarray:
     x, y, z, w = q.T
     return np.stack([1 - 2 * (y * y + z * z), 2 * (x * y - z * w), 2 * (x * z + y * w), 2 * (x * y + z * w), 1 - 2 * (x * x + z * z), 2 * (y * z - x * w), 2 * (x * z - y * w), 2 * (y * z + x * w), 1 - 2 * (x * x + y * y)], 1).reshape(-1, 3, 3)
@@ -273,3 +285,17 @@ def motion_atoms(df: DataFrame, group: str, key: str, samples: str, count: int)
     j = j.withColumn("weight", F.when(size > 0, dot / size).otherwise(F.lit(0.0)))
     left = sum(((F.col(f"m{i}") - F.col("weight") * F.col(f"a{i}")) ** 2 for i in range(n)), F.lit(0.0))
     return j.select(key, "weight", F.sqrt(left / (count - 1)).alias("error"))
+
+
+def unit_atoms(count: int) -> list[list[float]]:
+    """Four motions of unit length over ``count`` samples, the first of which rests: an even push along x, y and z, and a swing to the
+    side and back along x."""
+    out = []
+    for k in range(3):
+        v = np.zeros((count - 1, 3))
+        v[:, k] = np.arange(1, count)
+        out.append(v)
+    swing = np.zeros((count - 1, 3))
+    swing[:, 0] = np.round(np.sin(np.arange(1, count) * 2 * math.pi / (count - 1)), 12)
+    out.append(swing)
+    return [(v / np.linalg.norm(v)).round(12).ravel().tolist() for v in out]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,6 +99,7 @@ def weighted_kmeans(df: DataFrame, axes: list[str], weight: str, centres: list[l
     """Lloyd's rounds from given centres: each assigns rows to the nearest centre (ties to the first) and takes weighted means. Centres
     are few and travel as literals; only their sums come back. A centre without rows restarts on the worst-fitted row."""
     d = len(axes)
+    df = df.select(*axes, weight).persist()
     for _ in range(rounds):
         far = [sum(((F.col(a) - c[i]) ** 2 for i, a in enumerate(axes)), F.lit(0.0)) for c in centres]
         best = F.array_min(F.array(*[F.struct(f.alias("d"), F.lit(k).alias("k")) for k, f in enumerate(far)]))
@@ -110,4 +113,28 @@ def weighted_kmeans(df: DataFrame, axes: list[str], weight: str, centres: list[l
             if c is None or any(v is None for v in c):
                 new[k] = list(spare.pop(0)["worst"]) if spare else centres[k]
         centres = new
+    df.unpersist()
     return centres
+
+
+def lloyd_levels(df: DataFrame, groups: list[str], value: str, levels: int, rounds: int = 30, steps: int = 65536) -> DataFrame:
+    """(groups, level, value, n): a group's best levels for a number between 0 and 1, from its quantiles on, by Lloyd's rounds: each value goes
+    to the nearest level (ties to the lower), each level to the mean of its values; one without values stays. Values are counted in
+    ``steps`` first, so that a group of any size is one small table."""
+    v = (F.floor(F.col(value) * steps + 0.5) / steps).alias("_v")
+    counts = df.where(F.col(value).isNotNull()).groupBy(*groups, v).agg(F.count(F.lit(1)).alias("_n"))
+    kinds = dict(counts.dtypes)
+
+    def fit(t: pa.Table) -> pa.Table:
+        t = t.sort_by("_v")
+        x, n = t.column("_v").to_numpy(), t.column("_n").to_numpy()
+        upto = np.cumsum(n)
+        at = x[np.searchsorted(upto, np.floor((np.arange(levels) + 0.5) / levels * upto[-1]), side="right")]
+        size = np.zeros(levels, np.int64)
+        for _ in range(rounds):
+            best = np.abs(x[:, None] - at).round(9).argmin(1)
+            size = np.bincount(best, weights=n, minlength=levels).astype(np.int64)
+            at = np.where(size > 0, np.bincount(best, weights=x * n, minlength=levels) / np.maximum(size, 1), at)
+        return pa.table([*[pa.array([t.column(g)[0].as_py()] * levels, t.column(g).type) for g in groups], pa.array(np.arange(levels), pa.int32()), pa.array(at), pa.array(size)], names=[*groups, "level", "value", "n"])
+
+    return counts.groupBy(*groups).applyInArrow(fit, ", ".join(f"{g} {kinds[g]}" for g in groups) + ", level int, value double, n bigint")

@@ -137,16 +137,19 @@ def upper_medians(df: DataFrame, groups: list[str], value: str) -> DataFrame:
 
 def neighbour_pairs(df: DataFrame, groups: list[str], key: str, radius: float) -> DataFrame:
     """(groups, a, b), a < b: the pairs at most ``radius`` apart, through an equi join of grid cells: one side in its own cell, the
-    other in the cell and the 26 around it."""
+    other in the cell and the 13 around it that come later, so that each pair of cells meets once. Rows beyond the grid's reach share
+    its outermost cells."""
     rows = _blocked(df, groups, key)
-    cell = [F.floor(F.col(a) / radius).cast("bigint").alias(f"c{a}") for a in "xyz"]
+    edge = float(1 << 60)
+    cell = [F.floor(F.greatest(F.lit(-edge), F.least(F.lit(edge), F.col(a) / radius))).cast("bigint").alias(f"c{a}") for a in "xyz"]
     own = rows.select(*groups, F.col("key").alias("a"), "x", "y", "z", *cell)
-    off = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    near = rows.select(*groups, F.col("key").alias("b"), *[F.col(a).alias(f"n{a}") for a in "xyz"], *cell)
-    for a in "xyz":
-        near = near.withColumn(f"o{a}", F.explode(off)).withColumn(f"c{a}", F.col(f"c{a}") + F.col(f"o{a}")).drop(f"o{a}")
+    later = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1) if (i, j, k) >= (0, 0, 0)]
+    moves = F.explode(F.array(*[F.struct(*[F.lit(v).alias(f"o{a}") for v, a in zip(m, "xyz")]) for m in later])).alias("o")
+    near = rows.select(*groups, F.col("key").alias("b"), *[F.col(a).alias(f"n{a}") for a in "xyz"], *cell, moves)
+    near = near.select(*groups, "b", "nx", "ny", "nz", *[(F.col(f"c{a}") + F.col(f"o.o{a}")).alias(f"c{a}") for a in "xyz"], ((F.col("o.ox") == 0) & (F.col("o.oy") == 0) & (F.col("o.oz") == 0)).alias("same"))
     gap = sum(((F.col(a) - F.col(f"n{a}")) ** 2 for a in "xyz"), F.lit(0.0))
-    return own.join(near, [*groups, "cx", "cy", "cz"]).where((F.col("a") < F.col("b")) & (gap <= radius * radius)).select(*groups, "a", "b")
+    met = own.join(near, [*groups, "cx", "cy", "cz"]).where((~F.col("same") | (F.col("a") < F.col("b"))) & (F.col("a") != F.col("b")) & (gap <= radius * radius))
+    return met.select(*groups, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def components(df: DataFrame, groups: list[str], key: str, radius: float, least: int = 1) -> DataFrame:
@@ -183,7 +186,7 @@ def local_planes(df: DataFrame, groups: list[str], key: str, k: int = 24) -> Dat
         c = x[near] - mean[:, None]
         cov = np.einsum("nk,nki,nkj->nij", ww, c, c) / ww.sum(1)[:, None, None]
         val, vec = np.linalg.eigh(cov)
-        flat = np.where(val[:, 1] > 0, 1 - val[:, 0] / np.maximum(val[:, 1], 1e-300), 0.0)
+        flat = np.where(val[:, 1] > 1e-12 * val[:, 2], np.clip(1 - val[:, 0] / np.maximum(val[:, 1], 1e-300), 0, 1), 0.0)
         v = vec[:, :, 0]
         # a normal has no side by itself: its largest component is made positive
         side = np.sign(np.take_along_axis(v, np.abs(v).argmax(1)[:, None], 1))

@@ -65,9 +65,8 @@ def fit_check(spark, d):
 
 
 def kmeans_centres(spark, d):
-    start = [[0.2, 0.2, 0.2], [0.5, 0.5, 0.5], [0.8, 0.8, 0.8], [0.9, 0.2, 0.2]]
-    out = P.weighted_kmeans(splats(spark, d, "r g b o"), ["r", "g", "b"], "o", start, 3)
-    return spark.createDataFrame([(i, *map(float, c)) for i, c in enumerate(out)], "centre int, r double, g double, b double")
+    out = P.weighted_kmeans(splats(spark, d, "r g b o"), ["r", "g", "b"], "o", _START, 3)
+    return spark.createDataFrame([(i, *[round(float(v), 6) for v in c]) for i, c in enumerate(out)], "centre int, r double, g double, b double")
 
 
 def optional_default(spark, d):
@@ -154,7 +153,23 @@ _F = (page_cost_report, dictionary_compaction, frequency_table, directory_digest
       distinct_instants, dead_reference_check, touching_components, plane_normals, unpaired_keys, label_ranks, cube_of_sizes, event_windows, event_sessions, json_props, sort_limit)
 QUERIES = {f.__name__: f for f in _F}
 
+
+
+def _kmeans_sql(start, rounds):
+    sql = query(SPLATS("r g b o")) + ", c0(k, r, g, b) AS (VALUES " + ", ".join(f"({i}, {c[0]}::DOUBLE, {c[1]}::DOUBLE, {c[2]}::DOUBLE)" for i, c in enumerate(start)) + ")"
+    for i in range(rounds):
+        sql += f""", a{i} AS (SELECT s.r, s.g, s.b, o, k FROM s, c{i} c QUALIFY row_number() OVER (PARTITION BY splat_id ORDER BY (s.r-c.r)**2 + (s.g-c.g)**2 + (s.b-c.b)**2, k) = 1), c{i + 1} AS (SELECT k, sum(r*o)/sum(o) AS r, sum(g*o)/sum(o) AS g, sum(b*o)/sum(o) AS b FROM a{i} GROUP BY k)"""
+    return sql + f" SELECT k AS centre, round(r, 6) AS r, round(g, 6) AS g, round(b, 6) AS b FROM c{rounds}"
+
+
+_START = [[0.2, 0.2, 0.2], [0.5, 0.5, 0.5], [0.8, 0.8, 0.8], [0.9, 0.2, 0.2]]
 SQL = {
+    "kmeans_centres": _kmeans_sql(_START, 3),
+    "touching_components": query(SPLATS("x y z")).replace("WITH ", "WITH RECURSIVE ", 1) + """, c AS (SELECT splat_id AS k, chunk_id, x, y, z, floor(x / 0.0501) AS cx, floor(y / 0.0501) AS cy, floor(z / 0.0501) AS cz FROM s), o AS (SELECT i FROM (VALUES (-1), (0), (1)) v(i)),
+m AS (SELECT c.*, cx + a.i AS nx, cy + e.i AS ny, cz + f.i AS nz FROM c, o a, o e, o f),
+e AS (SELECT m.k AS a, c.k AS b FROM m JOIN c ON m.chunk_id = c.chunk_id AND m.nx = c.cx AND m.ny = c.cy AND m.nz = c.cz WHERE m.k <> c.k AND (m.x-c.x)*(m.x-c.x) + (m.y-c.y)*(m.y-c.y) + (m.z-c.z)*(m.z-c.z) <= 0.05::DOUBLE * 0.05::DOUBLE),
+reach AS (SELECT DISTINCT a, a AS b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a), l AS (SELECT a AS splat_id, min(b) AS component FROM reach GROUP BY a)
+SELECT splat_id, component FROM l QUALIFY count(*) OVER (PARTITION BY component) >= 3""",
     "page_cost_report": query(INTERVALS) + "SELECT lower(take_label) AS label, generation, sum(stored_size)::BIGINT AS bytes, count(*) AS rows, grouping(lower(take_label), generation) AS level, round(sum(stored_size) / (SELECT sum(stored_size) FROM iv), 6) AS share FROM iv GROUP BY GROUPING SETS ((lower(take_label), generation), (lower(take_label)), (generation), ())",
     "dictionary_compaction": query(INTERVALS) + "SELECT chunk_id, generation, count(*) AS uses, row_number() OVER (PARTITION BY chunk_id ORDER BY generation) - 1 AS code FROM iv WHERE generation IS NOT NULL GROUP BY chunk_id, generation",
     "frequency_table": query(INTERVALS) + """, n AS (SELECT chunk_id, take_label, count(*) AS n FROM iv WHERE take_label IS NOT NULL GROUP BY ALL), f AS (SELECT *, greatest(1, floor(n * 4096 / sum(n) OVER (PARTITION BY chunk_id))) AS f FROM n),

@@ -24,7 +24,7 @@ def _events(spark, d):
 def identity_stream(spark, d):
     s = _events(spark, d).select(F.col("user_id").alias("key"), _epoch().alias("at"), F.col("event_type").alias("mark"))
     last = lambda t: t.groupBy("key", "generation").agg(F.max_by(F.struct("first", "last", "mark", "n"), "batch").alias("s"))
-    return run_to_table(spark, track_identities(s, GAP), "update", last).select("key", "generation", "s.first", "s.last", "s.mark", "s.n")
+    return run_to_table(spark, track_identities(s, GAP), "update", last).where("generation > 0").select("key", "generation", "s.first", "s.last", "s.mark", "s.n")
 
 
 def window_stream(spark, d):

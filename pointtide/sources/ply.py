@@ -32,6 +32,8 @@ _TYPES = {
 }
 #: A record counts as visible above this opacity, and as present above this largest scale.
 VISIBLE, SMALLEST = 1 / 255, 1e-4
+#: Rows of a text file that are turned into numbers at a time.
+ASCII_ROWS = 50_000
 ROWS_PER_TASK = 1_000_000
 
 
@@ -114,11 +116,17 @@ class _Reader(DataSourceReader):
         with open(part.path, "rb") as f:
             if h.form == "ascii":
                 f.seek(h.size)
-                for i in range(part.rows):
-                    word = f.readline().split()
-                    if len(word) < len(h.fields):
-                        raise ValueError(f"{part.path}: row {i} is short")
-                    data[i] = tuple(float(w) if t in ("float", "double", "float32", "float64") else int(float(w)) for w, (_, t) in zip(word, h.fields))
+                wide, words = len(h.fields), []
+                lines = f.read().split(b"\n")[: part.rows]
+                for i in range(0, part.rows, ASCII_ROWS):
+                    word = [line.split()[:wide] for line in lines[i : i + ASCII_ROWS]]
+                    short = next((j for j, w in enumerate(word) if len(w) < wide), None)
+                    if short is not None or len(word) < min(ASCII_ROWS, part.rows - i):
+                        raise ValueError(f"{part.path}: row {i + (len(word) if short is None else short)} is short")
+                    words.append(np.array(word, dtype=np.bytes_).astype(np.float64))
+                cell = np.concatenate(words) if words else np.zeros((0, wide))
+                for k, name in enumerate(data.dtype.names):
+                    data[name] = cell[:, k]
             else:
                 f.seek(h.size + part.first * h.dtype().itemsize)
                 raw = f.read(part.rows * h.dtype().itemsize)
@@ -179,12 +187,12 @@ class _Writer(DataSourceWriter):
         return _Written(tmp, os.path.join(self.path, name))
 
     def commit(self, messages):
-        if self.overwrite:
-            for p in glob.glob(os.path.join(self.path, "*.ply")):
-                os.remove(p)
+        old = glob.glob(os.path.join(self.path, "*.ply")) if self.overwrite else []
         for m in messages:
             if m is not None:
                 os.replace(m.temporary, m.final)
+        for p in old:  # only when all that is new is in its place
+            os.remove(p)
 
     def abort(self, messages):
         for m in messages:
@@ -264,7 +272,7 @@ def write_sequence(df: DataFrame, path: str, frame: str = "frame", digits: int =
         n = int(pdf[frame].iloc[0])
         final = os.path.join(path, f"frame_{n:0{digits}d}.ply")
         tmp = f"{final}.{uuid.uuid4().hex}"
-        write_file(tmp, names, list(pdf[names].itertuples(index=False, name=None)), form)
+        write_file(tmp, names, pdf[names].to_numpy(), form)
         os.replace(tmp, final)
         return pd.DataFrame({"frame": [n], "file": [final], "rows": [len(pdf)]})
 

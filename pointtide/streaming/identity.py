@@ -6,6 +6,7 @@ import os
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,26 +21,33 @@ _STATE = "generation bigint, first bigint, last bigint, mark string, n bigint"
 
 
 def track_identities(stream: DataFrame, gap: int) -> DataFrame:
-    """Segments of ``stream`` (key, at bigint, mark): a new generation begins where the mark changes or more than ``gap`` passes
+    """Segments of ``stream`` (key, at bigint, mark): a new generation, from 1 on, begins where the mark changes or more than ``gap`` passes
     between two events of a key. Every segment that a batch touches is reported as it then stands (update mode).
 
-    What comes late, before the end of its key's state, is refused: generations only ever grow."""
+    An event from before the end of its key's state comes too late to count, since generations only ever grow: it is reported by
+    itself, as generation 0, and the stream goes on."""
 
     def step(key, batches, state):
-        rows = pd.concat(list(batches)).sort_values(["at", "mark"], kind="stable")
         generation, first, last, mark, n = state.get if state.exists else (0, 0, 0, None, 0)
         out = []
-        for at, m in zip(rows["at"].tolist(), rows["mark"].tolist()):
-            if n and at < last:
-                raise ValueError(f"key {key[0]}: event at {at} after {last}")
-            if n and m == mark and at - last <= gap:
-                last, n = at, n + 1
-            else:
-                if n:
-                    out.append((key[0], generation, first, last, mark, n))
-                generation, first, last, mark, n = generation + 1, at, at, m, 1
-        out.append((key[0], generation, first, last, mark, n))
-        state.update((generation, first, last, mark, n))
+        rows = pd.concat(list(batches)).sort_values(["at", "mark"], kind="stable")
+        late = rows["at"] < last if n else rows["at"] != rows["at"]
+        out += [(key[0], 0, at, at, m, 1) for at, m in zip(rows["at"][late].tolist(), rows["mark"][late].tolist())]
+        rows = rows[~late]
+        if len(rows):
+            at, marks = rows["at"].to_numpy(), rows["mark"].to_numpy(object)
+            before, held = np.append(last, at[:-1]), np.append(np.array([mark], object), marks[:-1])
+            fresh = (marks != held) | (at - before > gap)
+            fresh[0] |= not n
+            start = np.flatnonzero(fresh)
+            ends = np.append(start, len(at))
+            if ends[0] > 0:  # what the state holds goes on
+                last, n = int(at[ends[0] - 1]), n + int(ends[0])
+                out.append((key[0], generation, first, last, mark, n))
+            for i, j in zip(ends, ends[1:]):
+                generation, first, last, mark, n = generation + 1, int(at[i]), int(at[j - 1]), marks[i], int(j - i)
+                out.append((key[0], generation, first, last, mark, n))
+            state.update((generation, first, last, mark, n))
         yield pd.DataFrame(out, columns=["key", "generation", "first", "last", "mark", "n"])
 
     return stream.select("key", "at", "mark").groupBy("key").applyInPandasWithState(step, SEGMENT_SCHEMA, _STATE, "update", GroupStateTimeout.NoTimeout)

@@ -67,3 +67,16 @@ def test_sidecars(spark, tmp_path):
     (tmp_path / "c.tsv").write_text("0\tx\t1\n")
     with pytest.raises(Exception):
         ply.births(spark, str(tmp_path / "c.tsv")).collect()
+
+
+def test_late_events_are_reported_and_the_stream_goes_on(spark, tmp_path):
+    from pointtide.streaming.identity import run_to_table, track_identities
+
+    kinds = "key bigint, at bigint, mark string"
+    batches = [[(1, 10, "a"), (1, 12, "a"), (2, 5, "x")], [(1, 11, "a"), (1, 13, "a"), (1, 40, "a")], [(1, 41, "b"), (2, 6, "x")]]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, kinds).coalesce(1).write.parquet(f"{tmp_path}/{i}")
+    stream = spark.readStream.schema(kinds).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path))
+    last = lambda t: t.groupBy("key", "generation", "first").agg(F.max_by(F.struct("last", "mark", "n"), "batch").alias("s"))
+    out = run_to_table(spark, track_identities(stream, 20), "update", last).select("key", "generation", "first", "s.*").collect()
+    assert {tuple(r) for r in out} == {(1, 0, 11, 11, "a", 1), (1, 1, 10, 13, "a", 3), (1, 2, 40, 40, "a", 1), (1, 3, 41, 41, "b", 1), (2, 1, 5, 6, "x", 2)}
