@@ -143,4 +143,10 @@ SELECT splat_id, cluster_id FROM l QUALIFY count(*) OVER (PARTITION BY cluster_i
     "p5_percentiles": _VALUES + """SELECT level, capture_id, day, field, len(l)::BIGINT AS n, p, l[greatest(1, ceil(p * len(l) - 1e-9))::BIGINT] AS value, 0::BIGINT AS rank_error FROM g, q""",
     # the query counts true ranks itself; here stand the groups and what must hold for each
     "p5_compressed": _VALUES + """SELECT level, capture_id, day, field, len(l)::BIGINT AS n, p, true AS within, true AS bounded FROM g, q""",
+    # words without compatibility decomposition, which no passage of the items needs; it changes what few texts hold of signs
+    "p8_found": """
+WITH d AS (SELECT DISTINCT doc_id AS k, text FROM documents WHERE text IS NOT NULL), i AS (SELECT DISTINCT item_id AS k, text FROM eval_items WHERE text IS NOT NULL),
+dw AS (SELECT k, regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]+') AS w FROM d), iw AS (SELECT k, regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]+') AS w FROM i),
+dg AS (SELECT DISTINCT k, unnest([w[j:j + 11] for j in range(1, len(w) - 10)]) AS g FROM dw WHERE len(w) >= 12), ig AS (SELECT DISTINCT k, unnest([w[j:j + 11] for j in range(1, len(w) - 10)]) AS g FROM iw WHERE len(w) >= 12)
+SELECT DISTINCT dg.k AS doc_id, ig.k AS item_id FROM dg JOIN ig USING (g)""",
 }

@@ -443,7 +443,7 @@ def test_runs(spark, small, name):
 def test_against_sql(spark, small, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    for t in ("trajectories", "chunk_samples", "splats"):
+    for t in ("trajectories", "chunk_samples", "splats", "documents", "eval_items"):
         con.execute(f"create view {t} as select * from read_parquet('{small}/{t}.parquet')")
     df = queries.QUERIES[name](spark, small)
     rel = con.execute(queries.SQL[name])
