@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-__all__ = ["Transform", "apply_affine", "apply_linear", "quat_multiply", "quat_rotate", "quat_normalise", "nlerp", "in_box", "in_cylinder", "largest", "smallest", "clamp"]
+__all__ = ["Transform", "mix_transforms", "keyed_transform", "apply_affine", "apply_linear", "quat_multiply", "quat_rotate", "quat_normalise", "nlerp", "slerp", "in_box", "in_cylinder", "largest", "smallest", "clamp"]
 
 
 def clamp(c: Column, lo: float = 0.0, hi: float = 1.0) -> Column:
@@ -63,6 +63,38 @@ class Transform:
         return cls(tuple(m[:3, 3]), tuple(map(math.degrees, (a, b, c))), tuple(scale), (h[0, 1], h[0, 2], h[1, 2]))
 
 
+def mix_transforms(a: Transform, b: Transform, t: float) -> Transform:
+    """Between two poses: rotations along the shorter arc at even speed, all else linear."""
+    line = lambda p, q: tuple(float(x) * (1 - t) + float(y) * t for x, y in zip(p, q))
+    turn = Transform(rotation=a.rotation).matrix()[:3, :3].T @ Transform(rotation=b.rotation).matrix()[:3, :3]
+    # a part of the turn from one to the other, about its axis
+    angle = math.acos(max(-1.0, min(1.0, (np.trace(turn) - 1) / 2)))
+    if angle < 1e-9:
+        part = np.eye(3)
+    else:
+        val, vec = np.linalg.eigh((turn + turn.T) / 2)
+        axis = vec[:, int(np.argmax(val))]
+        cross = lambda v: np.array([[0, -v[2], v[1]], [v[2], 0, -v[0]], [-v[1], v[0], 0]])
+        if (cross(axis) * (turn - turn.T)).sum() < 0:
+            axis = -axis
+        k = cross(axis)
+        part = np.eye(3) + math.sin(angle * t) * k + (1 - math.cos(angle * t)) * k @ k
+    m = np.eye(4)
+    m[:3, :3] = Transform(rotation=a.rotation).matrix()[:3, :3] @ part
+    return Transform(line(a.position, b.position), Transform.of(m).rotation, line(a.scale, b.scale), line(a.shear, b.shear))
+
+
+def keyed_transform(keys: list[tuple[float, Transform]], frame: float) -> Transform:
+    """The pose at a frame: that of the first or last key outside them, else between the two around it."""
+    keys = sorted(keys, key=lambda k: k[0])
+    if not keys or frame <= keys[0][0]:
+        return keys[0][1] if keys else Transform()
+    for (f, a), (g, b) in zip(keys, keys[1:]):
+        if frame < g:
+            return mix_transforms(a, b, (frame - f) / (g - f))
+    return keys[-1][1]
+
+
 def apply_affine(m: np.ndarray, x: Column, y: Column, z: Column) -> list[Column]:
     """The images of the coordinates under a 4x4 matrix; neutral terms are left out of the plan."""
     return [_terms(m[r, :3], (x, y, z), m[r, 3]) for r in range(3)]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import nlerp, quat_multiply, quat_normalise
 
 __all__ = [
-    "sample_at", "residual_positions", "cumulative_turns", "evaluate_frame", "rigid_fit", "leave_one_out", "covariance_bake", "covariance_of", "harmonics_rotation", "rotate_harmonics",
+    "sample_at", "residual_positions", "cumulative_turns", "evaluate_frame", "rigid_fit", "rigid_fits", "leave_one_out", "covariance_bake", "covariance_of", "harmonics_rotation", "rotate_harmonics",
     "median_cut", "polygon_contains", "capped_segments", "budget_segments", "greedy_cover", "infer_timebase", "morph_timing", "motion_atoms", "unit_atoms",
 ]
 
@@ -75,6 +75,37 @@ def rigid_fit(a: np.ndarray, b: np.ndarray, w: np.ndarray | None = None) -> tupl
     return r, cb - r @ ca
 
 
+def rigid_fits(df: DataFrame, groups: list[str]) -> DataFrame:
+    """(groups, n, r, t, error, shifted, rotation) of the rotation r (nine numbers) and shift t that bring a0..a2 nearest to b0..b2: root mean
+    square of what is left, of what a shift alone would leave, and whether r is a rotation. A group's sums are what travels, in two
+    passes, so that large coordinates lose nothing."""
+    mid = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), *[F.avg(f"{s}{k}").alias(f"m{s}{k}") for s in "ab" for k in range(3)])
+    off = df.join(mid, groups).select(*groups, "n", *[f"m{s}{k}" for s in "ab" for k in range(3)], *[(F.col(f"{s}{k}") - F.col(f"m{s}{k}")).alias(f"d{s}{k}") for s in "ab" for k in range(3)])
+    sums = [F.sum(F.col(f"da{i}") * F.col(f"db{j}")).alias(f"h{i}{j}") for i in range(3) for j in range(3)]
+    size = lambda s: F.sum(sum((F.col(f"d{s}{k}") ** 2 for k in range(3)), F.lit(0.0))).alias(f"q{s}")
+    g = off.groupBy(*groups, "n", *[f"m{s}{k}" for s in "ab" for k in range(3)]).agg(*sums, size("a"), size("b"))
+    kinds = dict(g.dtypes)
+
+    def fit(batches):
+        for b in batches:
+            get = lambda *names: np.stack([b.column(c).to_numpy() for c in names], 1)
+            h = get(*[f"h{i}{j}" for i in range(3) for j in range(3)]).reshape(-1, 3, 3)
+            u, s, v = np.linalg.svd(h)
+            sign = np.sign(np.linalg.det(u @ v))
+            s[:, 2] *= np.where(sign == 0, 1, sign)
+            d = np.repeat(np.eye(3)[None], len(h), 0)
+            d[:, 2, 2] = np.where(sign == 0, 1, sign)
+            r = v.transpose(0, 2, 1) @ d @ u.transpose(0, 2, 1)
+            n, qa, qb = get("n")[:, 0], get("qa")[:, 0], get("qb")[:, 0]
+            t = get("mb0", "mb1", "mb2") - np.einsum("nij,nj->ni", r, get("ma0", "ma1", "ma2"))
+            error = np.sqrt(np.maximum(qa + qb - 2 * s.sum(1), 0) / n)
+            shifted = np.sqrt(np.maximum(qa + qb - 2 * np.trace(h, axis1=1, axis2=2), 0) / n)
+            turn = (np.abs(r @ r.transpose(0, 2, 1) - np.eye(3)).max((1, 2)) < 1e-9) & (np.linalg.det(r) > 0)
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in (*groups, "n")], pa.array(list(r.reshape(-1, 9))), pa.array(list(t)), pa.array(error), pa.array(shifted), pa.array(turn)], names=[*groups, "n", "r", "t", "error", "shifted", "rotation"])
+
+    return g.mapInArrow(fit, ", ".join(f"{c} {kinds[c]}" for c in (*groups, "n")) + ", r array<double>, t array<double>, error double, shifted double, rotation boolean")
+
+
 def leave_one_out(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """How far each marker lies from where the fit of the others puts it."""
     out = np.zeros(len(a))

@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.colour import colour_matrix, despill, fold_matrices, green_matches
-from ..functions.geometry import Transform, apply_affine, apply_linear, in_box, in_cylinder
-from ..functions.timeaxis import keyed
+from ..functions.geometry import Transform, apply_affine, apply_linear, in_box, in_cylinder, keyed_transform
+from .evaluate import covariance_bake
 from .ranking import prune_budget
 from .spatial import nth_neighbour_distances, upper_medians
 from .surface import rendered_contributions
@@ -77,16 +77,23 @@ class Modifier:
                 p[name] = neutral + (p.get(name, neutral) - neutral) * w
         if self.kind == "crop" and p.get("keys"):
             keys = sorted(p["keys"], key=lambda k: k["frame"])
+            if any("rotation" in k for k in keys):
+                pose = keyed_transform([(k["frame"], _pose({**p, **k})) for k in keys], frame)
+                p |= {"position": pose.position, "rotation": pose.rotation, "scale": pose.scale, "shear": pose.shear}
             for name in ("radius", "height", "width", "depth"):
                 seen = [(k["frame"], k[name]) for k in keys if name in k]
                 if seen:
                     p[name] = float(np.interp(frame, *zip(*seen)))
             seen = [(k["frame"], k["position"]) for k in keys if "position" in k]
-            if seen:
+            if seen and not any("rotation" in k for k in keys):
                 p["position"] = [float(np.interp(frame, [f for f, _ in seen], [v[i] for _, v in seen])) for i in range(3)]
         return replace(self, params=p)
 
 
+def _pose(key: dict) -> Transform:
+    return Transform(key.get("position", key.get("offset", (0, 0, 0))), key.get("rotation", (0, 0, 0)), key.get("scale", (1, 1, 1)), key.get("shear", (0, 0, 0)))
+
+
 def bake_size(distance: float = 2.5, height: int = 1080) -> float:
     """World size of the filter that a pixel of a view of 45 degrees from ``distance`` stands for."""
     return float(np.sqrt(0.3) * distance * 2 * np.tan(np.radians(22.5)) / max(1, height))
@@ -176,10 +183,11 @@ class Pipeline:
             df = df.select(*names)
         if of("erase") and picks is not None:
             df = df.join(picks.select("chunk_id", "record_id").distinct(), ["chunk_id", "record_id"], "left_anti")
-        for i, m in enumerate(of("animate-transform")):
-            keys = sorted(m.params["keys"], key=lambda k: k["frame"])
-            for a, axis in enumerate("xyz"):
-                df = df.withColumn(axis, F.col(axis) + keyed(F.lit(float(frame)), [(k["frame"], k["offset"][a]) for k in keys]))
+        for m in of("animate-transform"):
+            pose = keyed_transform([(k["frame"], _pose(k)) for k in m.params.get("keys", [])], frame).matrix()
+            df = df.withColumns(dict(zip("xyz", apply_affine(pose, F.col("x"), F.col("y"), F.col("z")))))
+            if not np.allclose(pose[:3, :3], np.eye(3)) and {"qx", "qy", "qz", "qw"} <= set(df.columns):
+                df = covariance_bake(df, pose[:3, :3])
         colours = of("colour")
         matrix = fold_matrices([m.matrix() for m in colours])
         seen = apply_linear(matrix, F.col("r"), F.col("g"), F.col("b"))
@@ -196,8 +204,9 @@ class Pipeline:
             df = purge_isolated(df, ["chunk_id"], m.params.get("neighbour", 4), m.params.get("median_percent", 700.0))
         if colours:
             # neutral stacks leave the columns alone
-            if any(m.params.get("despill") for m in colours):
-                df = df.withColumns(dict(zip("rgb", despill(F.col("r"), F.col("g"), F.col("b")))))
+            for m in [m for m in colours if m.params.get("despill")]:
+                settings = {k: m.params[k] for k in ("gate", "strength", "green_gain", "chroma") if k in m.params}
+                df = df.withColumns(dict(zip("rgb", despill(F.col("r"), F.col("g"), F.col("b"), **settings))))
             if not np.allclose(matrix, np.eye(3)):
                 df = df.withColumns(dict(zip("rgb", apply_linear(matrix, F.col("r"), F.col("g"), F.col("b")))))
             opacity = float(np.prod([m.params.get("opacity", 1.0) for m in colours]))

@@ -1,13 +1,15 @@
-"""Exact medians per group, without any group having to fit one task."""
+"""Exact order statistics per group, without any group having to fit one task."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..util import cut, join_null_safe
 
-__all__ = ["grouped_median"]
+__all__ = ["grouped_ranks", "grouped_median"]
 
 #: Buckets of more rows than this are counted in finer ones before their values are ranked; key tables up to BROADCAST_ROWS are broadcast.
 LIGHT_ROWS = 200_000
@@ -21,40 +23,48 @@ def _bucket(v, per: int):
     return F.floor(F.signum(v) * F.log1p(F.abs(v) * 1e9) * per)
 
 
-def _middle(counts: DataFrame, group: list[str], at: str, before=None) -> DataFrame:
-    """The buckets ``at`` that hold the middle ranks of each group: their counts, and how many values come before them."""
+def _holding(counts: DataFrame, group: list[str], at: str, ranks: Callable | None, before: str | None = None) -> DataFrame:
+    """The buckets ``at`` that hold the two ranks of each group: their counts, and how many values come before them."""
     w = Window.partitionBy(*group)
     upto = F.sum("_n").over(w.orderBy(at).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    if before is None:
+    if ranks is not None:
         total = F.sum("_n").over(w)
-        placed = counts.select("*", upto.alias("_upto"), F.floor((total - 1) / 2).alias("_lo"), F.floor(total / 2).alias("_hi"))
+        placed = counts.select("*", upto.alias("_upto"), *[F.least(F.greatest(r.cast("bigint"), F.lit(0)), total - 1).alias(n) for r, n in zip(ranks(total), ("_lo", "_hi"))])
     else:
         placed = counts.withColumn("_upto", upto + F.col(before)).drop(before)
-    hit = placed.where((F.col("_upto") > F.col("_lo")) & (F.col("_upto") - F.col("_n") <= F.col("_hi")))
-    return hit.select(*counts.columns if before is None else [c for c in counts.columns if c not in (before, "_lo", "_hi")], (F.col("_upto") - F.col("_n")).alias("_before"), "_lo", "_hi")
+    holds = lambda r: (F.col("_upto") > F.col(r)) & (F.col("_upto") - F.col("_n") <= F.col(r))
+    names = [c for c in counts.columns if c not in (before, "_lo", "_hi")]
+    return placed.where(holds("_lo") | holds("_hi")).select(*names, (F.col("_upto") - F.col("_n")).alias("_before"), "_lo", "_hi")
 
 
-def grouped_median(df: DataFrame, keys: list[str], values: list[str], light_rows: int = LIGHT_ROWS) -> DataFrame:
-    """keys and the exact median (the mean of the two middle values where their number is even) of each column of ``values``
-    under its own name; nulls are left aside, a group without values has null.
+def grouped_ranks(df: DataFrame, keys: list[str], values: list[str], ranks: Callable[[Column], tuple[Column, Column]], light_rows: int = LIGHT_ROWS) -> DataFrame:
+    """keys and, of each column v of ``values``, v_low and v_high: the exact values at two ranks (from 0) that ``ranks`` gives for the number
+    of values, held within it. Nulls are left aside; a group without values has nulls. Numbers must be finite.
 
     Values are counted per logarithmic bucket, which partial aggregation does before anything is shuffled; only the values of the
-    buckets that hold the middle travel and are ranked. A bucket of more than ``light_rows`` rows is first counted in finer ones."""
+    buckets that hold the ranks travel and are ranked. A bucket of more than ``light_rows`` rows is first counted in finer ones."""
     long = df.select(*keys, F.posexplode(F.array(*[F.col(v).cast("double") for v in values])).alias("_i", "_v"))
     counts = cut(long.groupBy(*keys, "_i", _bucket(F.col("_v"), COARSE).alias("_b")).agg(F.count(F.lit(1)).alias("_n")))
-    mid = cut(_middle(counts.where("_b is not null"), [*keys, "_i"], "_b"))
+    mid = cut(_holding(counts.where("_b is not null"), [*keys, "_i"], "_b", ranks))
     groups, most = mid.agg(F.count(F.lit(1)), F.max("_n")).first()
     inside = join_null_safe(long.withColumn("_b", _bucket(F.col("_v"), COARSE)), mid.drop("_n"), [*keys, "_i", "_b"], broadcast=groups <= BROADCAST_ROWS)
     at, start = [*keys, "_i", "_b"], ["_before", "_lo", "_hi"]
     if (most or 0) > light_rows:
         inside = inside.withColumn("_c", _bucket(F.col("_v"), FINE)).persist()
         finer = inside.groupBy(*at, "_c", *start).agg(F.count(F.lit(1)).alias("_n"))
-        finer = cut(_middle(finer, at, "_c", "_before").drop("_n"))
+        finer = cut(_holding(finer, at, "_c", None, "_before").drop("_n"))
         inside = join_null_safe(inside.drop(*start), finer, [*at, "_c"], broadcast=finer.count() <= BROADCAST_ROWS)
         at = [*at, "_c"]
     ranked = inside.groupBy(*at, *start, "_v").agg(F.count(F.lit(1)).alias("_n"))
     upto = F.sum("_n").over(Window.partitionBy(*at).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)) + F.col("_before")
     ranked = ranked.withColumn("_upto", upto).withColumn("_from", F.col("_upto") - F.col("_n"))
     pick = lambda i, rank: F.max(F.when((F.col("_i") == i) & (F.col("_from") <= F.col(rank)) & (F.col(rank) < F.col("_upto")), F.col("_v")))
-    medians = ranked.groupBy(*keys).agg(*[((pick(i, "_lo") + pick(i, "_hi")) / 2).alias(v) for i, v in enumerate(values)])
-    return join_null_safe(counts.select(*keys).distinct(), medians, keys, "left")
+    found = ranked.groupBy(*keys).agg(*[pick(i, r).alias(f"{v}{n}") for i, v in enumerate(values) for r, n in (("_lo", "_low"), ("_hi", "_high"))])
+    return join_null_safe(counts.select(*keys).distinct(), found, keys, "left")
+
+
+def grouped_median(df: DataFrame, keys: list[str], values: list[str], light_rows: int = LIGHT_ROWS) -> DataFrame:
+    """keys and the exact median (the mean of the two middle values where their number is even) of each column of ``values``
+    under its own name; nulls are left aside, a group without values has null."""
+    r = grouped_ranks(df, keys, values, lambda n: (F.floor((n - 1) / 2), F.floor(n / 2)), light_rows)
+    return r.select(*keys, *[((F.col(f"{v}_low") + F.col(f"{v}_high")) / 2).alias(v) for v in values])

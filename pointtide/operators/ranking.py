@@ -6,9 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.bits import mix_u32, morton3, quantise
+from ..util import cut, join_null_safe, small_enough
+from .quantile import grouped_ranks
 
 __all__ = ["prune_budget", "systematic_sample", "density_thin", "zorder_rank", "transmittance", "trimmed_bounds", "trim_box", "truncated_percentile", "depth_bins", "depth_order"]
 
+BROADCAST_ROWS = 100_000
+
 
 def prune_budget(df: DataFrame, groups: list[str], score: Column, key: str, percent: float, protect_above: float) -> DataFrame:
     """``df`` without the rows of least score per group: at most floor(percent of the rows), of those with a score from 0 to below
@@ -59,16 +63,18 @@ def transmittance(df: DataFrame, groups: list[str], depth: str, key: str, alpha:
 
 def trimmed_bounds(df: DataFrame, groups: list[str], value: str, trim: float) -> DataFrame:
     """(groups, low, high): the values at positions floor(n * trim) from either end."""
-    w = Window.partitionBy(*groups)
-    r = df.where(F.col(value).isNotNull()).select(*groups, value).withColumn("_n", F.row_number().over(w.orderBy(value)) - 1).withColumn("_all", F.count(F.lit(1)).over(w))
-    cut = F.floor(F.col("_all") * trim)
-    return r.groupBy(*groups).agg(F.min(F.when(F.col("_n") == cut, F.col(value))).alias("low"), F.max(F.when(F.col("_n") == F.col("_all") - 1 - cut, F.col(value))).alias("high"))
+    return _bounds(df, groups, (value,), trim).select(*groups, F.col(f"{value}_low").alias("low"), F.col(f"{value}_high").alias("high"))
+
+
+def _bounds(df: DataFrame, groups: list[str], values: tuple[str, ...], trim: float) -> DataFrame:
+    off = lambda n: F.floor(n * trim)
+    return grouped_ranks(df, groups, list(values), lambda n: (off(n), n - 1 - off(n)))
 
 
 def trim_box(df: DataFrame, groups: list[str], axes: tuple[str, ...] = ("x", "y", "z"), trim: float = 0.005) -> DataFrame:
     """``df`` with low_a and high_a of every axis a, without the rows outside the trimmed bounds of any of them."""
-    for a in axes:
-        df = df.join(trimmed_bounds(df, groups, a, trim).withColumnsRenamed({"low": f"low_{a}", "high": f"high_{a}"}), groups)
+    t = cut(_bounds(df, groups, axes, trim).select(*groups, *[F.col(f"{a}_{n}").alias(f"{n}_{a}") for a in axes for n in ("low", "high")]))
+    df = join_null_safe(df, t, groups, broadcast=small_enough(t, BROADCAST_ROWS))
     for a in axes:
         df = df.where(F.col(a).between(F.col(f"low_{a}"), F.col(f"high_{a}")))
     return df
@@ -76,9 +82,9 @@ def trim_box(df: DataFrame, groups: list[str], axes: tuple[str, ...] = ("x", "y"
 
 def truncated_percentile(df: DataFrame, groups: list[str], value: str, p: float) -> DataFrame:
     """(groups, value): the element at min(n - 1, floor(n * p)) of the sorted values, without interpolation."""
-    w = Window.partitionBy(*groups)
-    r = df.where(F.col(value).isNotNull()).select(*groups, value).withColumn("_n", F.row_number().over(w.orderBy(value)) - 1).withColumn("_all", F.count(F.lit(1)).over(w))
-    return r.where(F.col("_n") == F.least(F.col("_all") - 1, F.floor(F.col("_all") * p))).select(*groups, value)
+    at = lambda n: F.least(n - 1, F.floor(n * p))
+    r = grouped_ranks(df, groups, [value], lambda n: (at(n), at(n)))
+    return r.where(F.col(f"{value}_low").isNotNull()).select(*groups, F.col(f"{value}_low").cast(dict(df.dtypes)[value]).alias(value))
 
 
 def depth_bins(df: DataFrame, groups: list[str], depth: str, bins: int = 65536) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import connected_components
+from .quantile import grouped_ranks
 
 __all__ = ["nearest_rows", "nth_neighbour_distances", "neighbour_pairs", "components", "upper_medians", "nearest_level", "local_planes"]
 
@@ -130,9 +131,8 @@ def _big_groups(big: DataFrame, groups: list[str], n: int, out: str) -> DataFram
 
 def upper_medians(df: DataFrame, groups: list[str], value: str) -> DataFrame:
     """(groups, upper_median): the element at position n div 2 of the sorted values."""
-    w = Window.partitionBy(*groups)
-    r = df.where(F.col(value).isNotNull()).select(*groups, value).withColumn("_n", F.row_number().over(w.orderBy(value)) - 1).withColumn("_all", F.count(F.lit(1)).over(w))
-    return r.where(F.col("_n") == F.floor(F.col("_all") / 2)).select(*groups, F.col(value).alias("upper_median"))
+    r = grouped_ranks(df, groups, [value], lambda n: (F.floor(n / 2), F.floor(n / 2)))
+    return r.where(F.col(f"{value}_low").isNotNull()).select(*groups, F.col(f"{value}_low").cast(dict(df.dtypes)[value]).alias("upper_median"))
 
 
 def neighbour_pairs(df: DataFrame, groups: list[str], key: str, radius: float) -> DataFrame:

@@ -172,8 +172,23 @@ def modifier_pipeline(spark, d):
     return n.join(out.groupBy("capture_id").agg(F.count(F.lit(1)).alias("kept"), _r(F.avg("o")).alias("opacity"), _r(F.avg("r")).alias("red")), "capture_id", "left").withColumn("removed", F.col("before") - F.coalesce("kept", F.lit(0)))
 
 
+#: A stack in which every kind of modifier that changes records acts.
+WHOLE_STACK = (
+    M.Pipeline().add("prune-low-contribution", {"percent": 10.0, "protect_above": 5.0}).add("erase").add("animate-transform", {"keys": [{"frame": 0, "offset": (0, 0, 0)}, {"frame": 24, "offset": (0.5, 0, 0), "rotation": (0, 2, 0), "scale": (1.0, 1.1, 1.0)}]})
+    .add("colour", {"exposure": 0.25, "saturation": 0.9, "opacity": 0.8, "despill": True, "strength": 0.7}, fade_in=20).add("crop", {**KEEP, "keys": [{"frame": 0, "radius": 100.0}, {"frame": 24, "radius": 500.0}]}).add("crop", {**DROP, "height": 1.0, "depth": 3.0})
+    .add("remove-green", {"minimum_saturation": 0.3, "hue_tolerance": 30.0, "linear": False}).add("purge-isolated", {"neighbour": 4, "median_percent": 250.0}).add("bake-antialiasing", {"distance": 4.0}).add("walk", {"speed": 0.5}).add("audio").add("loop-morph")
+)
+
+
+def modifier_stack(spark, d):
+    """The whole stack at frame 12, record by record."""
+    s = splats(spark, d, "x y z qx qy qz qw sx sy sz o r g b").join(chunks(spark, d).select("chunk_id", "intervals"), "chunk_id", "left")
+    out = WHOLE_STACK.run(s, 12.0, _picks(spark, d))
+    return out.select("splat_id", *[_r(F.col(c), 4).alias(c) for c in ("x", "y", "z", "sx", "sy", "sz", "o", "r", "g", "b")])
+
+
 _F = (crop_keep_remove, crop_statistics, green_filter, hue_of_colours, colour_matrix_stack, despill_colours, srgb_round_trip, affine_transform, rigid_motion, erase_antijoin, erase_union, mask_intersection,
-      fade_weights, keyframe_linear, smooth_fade, density_thinned, antialias_baked, walk_distance, host_pack, stored_form, prune_low, prune_low_rendered, purge_isolated, modifier_pipeline)
+      fade_weights, keyframe_linear, smooth_fade, density_thinned, antialias_baked, walk_distance, host_pack, stored_form, prune_low, prune_low_rendered, purge_isolated, modifier_pipeline, modifier_stack)
 QUERIES = {f.__name__: f for f in _F}
 
 _KEEPS = "(y + 1 >= 0 AND y + 1 <= 2.5 AND x * x / 90000.0::DOUBLE + (z - 1) * (z - 1) / 12.25::DOUBLE <= 1)"

@@ -55,9 +55,8 @@ def truncated_percentile(spark, d):
 
 
 def trimmed_extent(spark, d):
-    s = splats(spark, d, "y")
-    out = R.trimmed_bounds(s, ["capture_id"], "y", 0.05)
-    return s.join(out, "capture_id").where((F.col("y") >= F.col("low")) & (F.col("y") <= F.col("high"))).groupBy("capture_id").agg(F.min("y").alias("low"), F.max("y").alias("high"), F.count(F.lit(1)).alias("kept"))
+    s = R.trim_box(splats(spark, d, "y").where("capture_id is not null"), ["capture_id"], ("y",), 0.05)
+    return s.groupBy("capture_id").agg(F.min("y").alias("low"), F.max("y").alias("high"), F.count(F.lit(1)).alias("kept"))
 
 
 def trimmed_box(spark, d):
@@ -164,6 +163,9 @@ _T = """, t AS (SELECT *, sum(ln(1 - greatest(0, least(1, o * 0.25)))) OVER (PAR
 _Q = "least({m}, greatest(0, floor(CASE WHEN {a}1 > {a}0 THEN ({a} - {a}0) / ({a}1 - {a}0) * {m} ELSE 0 END + 0.5)))::BIGINT"
 _BOUNDS = ", b AS (SELECT chunk_id, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, min(z) AS z0, max(z) AS z1 FROM s GROUP BY chunk_id)"
 SQL = {
+    "trimmed_box": query(SPLATS("x y z")) + ", r AS (SELECT capture_id, x, y, z, count(*) OVER (PARTITION BY capture_id) AS n, " + ", ".join(f"row_number() OVER (PARTITION BY capture_id ORDER BY {a}) - 1 AS i{a}" for a in "xyz") + " FROM s), e AS (SELECT capture_id, " + ", ".join(f"min({a}) FILTER (i{a} = floor(n * 0.005::DOUBLE)) AS l{a}, max({a}) FILTER (i{a} = n - 1 - floor(n * 0.005::DOUBLE)) AS h{a}" for a in "xyz") + " FROM r GROUP BY capture_id) SELECT s.capture_id, " + ", ".join(f"min({a}) AS low_{a}, max({a}) AS high_{a}" for a in "xyz") + ", count(*) AS kept FROM s JOIN e ON e.capture_id IS NOT DISTINCT FROM s.capture_id WHERE x BETWEEN lx AND hx AND y BETWEEN ly AND hy AND z BETWEEN lz AND hz GROUP BY s.capture_id",
+    "depth_order": query(SPLATS("z")) + """, e AS (SELECT chunk_id, min(z) AS lo, max(z) AS hi FROM s GROUP BY chunk_id), b AS (SELECT s.chunk_id, splat_id, z, CASE WHEN hi > lo THEN floor((hi - z) * (65535.0::DOUBLE / (hi - lo)))::BIGINT ELSE 0 END AS bin FROM s JOIN e USING (chunk_id))
+SELECT chunk_id, splat_id, bin, row_number() OVER (PARTITION BY chunk_id ORDER BY z, splat_id) - 1 AS front, row_number() OVER (PARTITION BY chunk_id ORDER BY bin, splat_id) - 1 AS back FROM b""",
     "identity_segments": query(INTERVALS) + """, f AS (SELECT *, CASE WHEN row_number() OVER w = 1 OR generation IS DISTINCT FROM lag(generation) OVER w THEN 1 ELSE 0 END AS fresh FROM iv WINDOW w AS (PARTITION BY chunk_id ORDER BY interval_no)),
 g AS (SELECT *, sum(fresh) OVER (PARTITION BY chunk_id ORDER BY interval_no ROWS UNBOUNDED PRECEDING) AS segment FROM f)
 SELECT chunk_id, segment::BIGINT AS segment, min(generation) AS generation, min(interval_no) AS first, max(interval_no) AS last, count(*) AS n FROM g GROUP BY chunk_id, segment""",

@@ -164,6 +164,11 @@ def _kmeans_sql(start, rounds):
 
 _START = [[0.2, 0.2, 0.2], [0.5, 0.5, 0.5], [0.8, 0.8, 0.8], [0.9, 0.2, 0.2]]
 SQL = {
+    # all ways to choose, which are few for the labels at hand
+    "codec_policy": query(INTERVALS).replace("WITH ", "WITH RECURSIVE ", 1) + """, b AS (SELECT lower(take_label) AS label, sum(stored_size) AS b FROM iv WHERE take_label IS NOT NULL GROUP BY ALL), l AS (SELECT label, b, row_number() OVER (ORDER BY label) AS i FROM b),
+o AS (SELECT i, label, 'raw' AS codec, floor(b::DOUBLE * 1.02::DOUBLE)::BIGINT AS size, 1 AS work FROM l UNION ALL SELECT i, label, 'packed', floor(b::DOUBLE * 1.004::DOUBLE)::BIGINT, 2 FROM l UNION ALL SELECT i, label, 'coded', b::BIGINT, 5 FROM l),
+w AS (SELECT 0::BIGINT AS i, 0::BIGINT AS size, 0 AS work, []::VARCHAR[] AS picks UNION ALL SELECT o.i, w.size + o.size, w.work + o.work, list_append(picks, codec) FROM w JOIN o ON o.i = w.i + 1),
+t AS (SELECT picks FROM w WHERE i = (SELECT max(i) FROM l) AND size <= (SELECT sum(b) FROM l) * 1.01::DOUBLE ORDER BY work, size LIMIT 1) SELECT label, picks[i] AS codec FROM l, t""",
     "kmeans_centres": _kmeans_sql(_START, 3),
     "touching_components": query(SPLATS("x y z")).replace("WITH ", "WITH RECURSIVE ", 1) + """, c AS (SELECT splat_id AS k, chunk_id, x, y, z, floor(x / 0.0501) AS cx, floor(y / 0.0501) AS cy, floor(z / 0.0501) AS cz FROM s), o AS (SELECT i FROM (VALUES (-1), (0), (1)) v(i)),
 m AS (SELECT c.*, cx + a.i AS nx, cy + e.i AS ny, cz + f.i AS nz FROM c, o a, o e, o f),

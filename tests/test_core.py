@@ -332,3 +332,32 @@ def test_checkpoints_need_a_shared_folder_on_a_cluster():
     assert ensure_checkpoint_dir(SimpleNamespace(sparkContext=context("local[4]", None))).endswith("pointtide-checkpoints")
     with pytest.raises(RuntimeError):
         ensure_checkpoint_dir(SimpleNamespace(sparkContext=context("spark://host:7077", None)))
+
+
+def test_poses_between_keys():
+    a, b = geometry.Transform((0, 0, 0), (0, 0, 10)), geometry.Transform((2, 0, 4), (0, 0, 90), (3, 1, 1))
+    mid = geometry.keyed_transform([(0, a), (10, b)], 2.5)
+    assert np.allclose(mid.position, (0.5, 0, 1)) and np.allclose(mid.rotation, (0, 0, 30), atol=1e-6) and np.allclose(mid.scale, (1.5, 1, 1))
+    assert geometry.keyed_transform([(0, a), (10, b)], -3) is a and geometry.keyed_transform([(0, a), (10, b)], 99) is b
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        p, q = (geometry.Transform(rotation=tuple(rng.uniform(-80, 80, 3))) for _ in range(2))
+        m = [geometry.mix_transforms(p, q, t).matrix()[:3, :3] for t in (0.0, 0.3, 1.0)]
+        angle = lambda r, s: math.acos(max(-1, min(1, (np.trace(r.T @ s) - 1) / 2)))
+        assert np.allclose(m[0], p.matrix()[:3, :3]) and np.allclose(m[2], q.matrix()[:3, :3], atol=1e-6)
+        assert angle(m[0], m[1]) == pytest.approx(0.3 * angle(m[0], m[2]), abs=1e-6)
+
+
+def test_every_modifier_of_the_whole_stack_acts(spark, small):
+    from pointtide.plans import edits
+    from pointtide.plans.base import chunks, splats
+
+    s = splats(spark, small, "x y z qx qy qz qw sx sy sz o r g b").join(chunks(spark, small).select("chunk_id", "intervals"), "chunk_id", "left").persist()
+    picks = edits._picks(spark, small).persist()
+    result = lambda p: rows(p.run(s, 12.0, picks).select("splat_id", *[F.round(c, 5) for c in ("x", "y", "sx", "o", "r", "g")]))
+    whole = result(edits.WHOLE_STACK)
+    assert 0 < len(whole) < s.count()
+    for i, m in enumerate(edits.WHOLE_STACK.modifiers):
+        if m.kind not in ("walk", "audio", "loop-morph"):
+            assert result(edits.WHOLE_STACK.remove(i)) != whole, m.kind
+    assert edits.WHOLE_STACK.walked(4.0, 2.0) == 1.0
