@@ -66,18 +66,23 @@ def _recur(size: np.ndarray, natural: np.ndarray, limit: float, overlap: int, la
     unit = max(1, -(-int(limit) // UNITS))
     whole = int(limit) // unit
     away = np.where(nat, 0, CUT * whole * whole if later else 1)
+    # what each later position adds, and the numbers that fall to 0 at a piece's end
+    carry, down, reach, first = cost >> shift, np.arange(len(cost) - 1, -1, -1), far.tolist(), start.tolist()
     for i in range(hi - 1, lo - 1, -1):
-        e = slice(i + 1, far[i] + 1)
+        e, n = slice(i + 1, reach[i] + 1), reach[i] - i
         if later:
-            room = whole - np.minimum((prefix[e] - prefix[start[i]]) // unit, whole)
-            own = away[e] + room * room
+            room = whole - np.minimum((prefix[e] - prefix[first[i]]) // unit, whole)
+            total = away[e] + room * room + carry[e]
+            k = n - 1 - int(total[::-1].argmin())
         else:
-            own = (away[e] * (far[i] - i) + np.arange(far[i] - i - 1, -1, -1)) << shift
-        total = own + (cost[e] >> shift)
-        k = len(total) - 1 - int(np.argmin(total[::-1]))
+            total = (away[e] * n + down[len(down) - n:]) << shift
+            total += carry[e]
+            k = int(total.argmin())
         end[i], cost[i] = i + 1 + k, total[k]
-        if cost[i] > 1 << 61:  # only the positions up to far[i] are asked for from here on
-            cost[i:far[i] + 1] -= cost[i:far[i] + 1].min()
+        carry[i] = cost[i] >> shift
+        if later and cost[i] > 1 << 61:  # only the positions up to reach[i] are asked for from here on
+            cost[i:reach[i] + 1] -= cost[i:reach[i] + 1].min()
+            carry[i:reach[i] + 1] = cost[i:reach[i] + 1]
     return start, far, end, cost
 
 
