@@ -58,7 +58,9 @@ def evaluate_frame(records: DataFrame, motion: DataFrame, alpha: float, sample:
     p = quat_rotate(m, [F.col(a) for a in "xyz"])
     o = F.aggregate("opacity_stages", F.lit(0.0), lambda a, v: a + v)
     colour = [F.lit(0.5) + (F.col("colour_base")[k] + F.aggregate("colour_stages", F.lit(0.0), lambda a, v: a + v[k])) * c0 for k in range(3)]
-    turned = quat_multiply(m, quat_normalise(q))
+    # the interpolated rotation, a unit already, is worked out once
+    turned = F.transform(F.array(F.array(*q)), lambda u: F.array(*quat_multiply(m, [u[k] for k in range(4)])))[0]
+    turned = [turned[k] for k in range(4)]
     return j.select(
         "chunk_id", "record_id", *[(p[k] * s + F.coalesce(F.col("t")[k], F.lit(0.0))).alias(n) for k, n in enumerate("xyz")], *[c.alias(n) for c, n in zip(turned, ("qx", "qy", "qz", "qw"))],
         (F.least(F.lit(1.0), F.greatest(F.lit(0.0), o)) * F.pow(F.lit(2.0), -F.col("opacity_code") / 16.0)).alias("o"), *[c.alias(n) for c, n in zip(colour, "rgb")],
