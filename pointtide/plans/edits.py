@@ -26,6 +26,11 @@ def _r(c, n=6):
     return F.round(c, n)
 
 
+def _near(c, n):
+    """Rounded, but for numbers so large that their last digit is above that place."""
+    return F.when(F.abs(c) < 1e9, F.round(c, n)).otherwise(c)
+
+
 def crop_keep_remove(spark, d):
     return splats(spark, d, "x y z").where(M.crop_keeps([KEEP, DROP])).select("splat_id")
 
@@ -70,7 +75,7 @@ def rigid_motion(spark, d):
     v = quat_rotate(q, [F.col("x"), F.col("y"), F.col("z")])
     turned = quat_multiply(q, quat_normalise([F.col(c) for c in ("qx", "qy", "qz", "qw")]))
     return splats(spark, d, "x y z qx qy qz qw sx").select(
-        "splat_id", *[_r(c * 1.5 + t, 5).alias(n) for c, t, n in zip(v, (0.5, -1.0, 2.0), "xyz")], *[_r(c).alias(n) for c, n in zip(turned, ("qx", "qy", "qz", "qw"))], _r(F.col("sx") * 1.5, 8).alias("sx")
+        "splat_id", *[_near(c * 1.5 + t, 5).alias(n) for c, t, n in zip(v, (0.5, -1.0, 2.0), "xyz")], *[_r(c).alias(n) for c, n in zip(turned, ("qx", "qy", "qz", "qw"))], _r(F.col("sx") * 1.5, 8).alias("sx")
     )
 
 
@@ -238,7 +243,7 @@ SELECT splat_id, round(CASE WHEN r <= 0.04045 THEN r / 12.92 ELSE pow((r + 0.055
     "affine_transform": query(SPLATS("x y z")) + "SELECT splat_id, " + ", ".join(f"round({_lin(_PM[:3, :3], i, 'xyz', _PM[i, 3])}, 5) AS {n}" for i, n in enumerate("xyz")) + " FROM s",
     "rigid_motion": query(SPLATS("x y z qx qy qz qw sx")) + f""", t AS (SELECT *, ({_T['y']}*z - {_T['z']}*y)*2 AS tx, ({_T['z']}*x - {_T['x']}*z)*2 AS ty, ({_T['x']}*y - {_T['y']}*x)*2 AS tz, {_QN} AS n FROM s),
 u AS (SELECT *, qx / n AS bx, qy / n AS by_, qz / n AS bz, qw / n AS bw FROM t)
-SELECT splat_id, {", ".join(f"round(({e.format(**_T)}) * 1.5 + {a}, 5) + 0.0 AS {n}" for e, a, n in zip(_ROT, ("0.5", "-1.0", "2.0"), "xyz"))},
+SELECT splat_id, {", ".join(f"CASE WHEN abs(({e.format(**_T)}) * 1.5 + {a}) < 1e9 THEN round(({e.format(**_T)}) * 1.5 + {a}, 5) ELSE ({e.format(**_T)}) * 1.5 + {a} END + 0.0 AS {n}" for e, a, n in zip(_ROT, ("0.5", "-1.0", "2.0"), "xyz"))},
 round({_T['w']}*bx + {_T['x']}*bw + {_T['y']}*bz - {_T['z']}*by_, 6) + 0.0 AS qx, round({_T['w']}*by_ - {_T['x']}*bz + {_T['y']}*bw + {_T['z']}*bx, 6) + 0.0 AS qy,
 round({_T['w']}*bz + {_T['x']}*by_ - {_T['y']}*bx + {_T['z']}*bw, 6) + 0.0 AS qz, round({_T['w']}*bw - {_T['x']}*bx - {_T['y']}*by_ - {_T['z']}*bz, 6) + 0.0 AS qw, round(sx * 1.5, 8) + 0.0 AS sx FROM u""",
     "erase_antijoin": query(SPLATS()) + "SELECT splat_id FROM s WHERE NOT EXISTS (SELECT 1 FROM s p WHERE p.life_end - p.life_start <= 8 AND p.chunk_id = s.chunk_id AND p.record_id = s.record_id)",
