@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.ordered import carry_forward
+from ..operators.ordered import carry_all
 from ..util import cut, small_enough
 
 __all__ = ["split_oversized", "best_ends"]
@@ -119,8 +119,7 @@ def split_oversized(samples: DataFrame, item: str, order: str, tick: str, size:
     large = rows.groupBy("item").agg(F.sum("size").alias("total"), F.count(F.lit(1)).alias("n")).where(F.col("total") > limit).select("item", "n").persist()
     few = small_enough(large, 100_000)
     rows = rows.join(F.broadcast(large) if few else large, "item")
-    rows = carry_forward(rows, ["item"], "no", F.col("gen"), "gen_before")
-    rows = carry_forward(rows, ["item"], "no", F.col("label"), "label_before")
+    rows = carry_all(rows, ["item"], "no", {"gen_before": F.col("gen"), "label_before": F.col("label")})
     natural = F.coalesce(F.col("gen") != F.col("gen_before"), F.lit(False)) | ~F.coalesce("label", "label_before").eqNullSafe(F.col("label_before"))
     rows = rows.select("item", F.col("no").alias("i"), "tick", "size", natural.alias("natural"), "n").persist()
     out = "item bigint, piece_start_tick bigint, piece_intervals bigint"
