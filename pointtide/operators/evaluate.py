@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import nlerp, quat_multiply, quat_normalise
 
 __all__ = [
-    "sample_at", "residual_positions", "cumulative_turns", "evaluate_frame", "rigid_fit", "rigid_fits", "leave_one_out", "covariance_bake", "covariance_of", "harmonics_rotation", "rotate_harmonics",
+    "sample_at", "residual_positions", "cumulative_turns", "evaluate_frame", "rigid_fit", "rigid_fits", "leave_one_out", "covariance_bake", "covariance_of", "harmonics_rotation", "rotate_harmonics", "harmonics_projection", "project_harmonics",
     "median_cut", "polygon_contains", "capped_segments", "budget_segments", "greedy_cover", "infer_timebase", "morph_timing", "motion_atoms", "unit_atoms",
 ]
 
@@ -192,6 +192,26 @@ def harmonics_rotation(r: np.ndarray, band: int) -> np.ndarray:
     return np.linalg.lstsq(_basis(v, band), _basis(v @ r, band), rcond=None)[0]
 
 
+def harmonics_projection(m: np.ndarray, rows: int = 24, columns: int = 48) -> np.ndarray:
+    """The 15 by 15 matrix that takes harmonics of degree 1 to 3 to those nearest to the same light seen through the 3x3 map m, by
+    quadrature over directions (Gauss's points in height, even ones around)."""
+    z, w = np.polynomial.legendre.leggauss(rows)
+    a = (np.arange(columns) + 0.5) * 2 * math.pi / columns
+    r = np.sqrt(1 - z * z)
+    v = np.stack([np.outer(r, np.cos(a)), np.outer(r, np.sin(a)), np.repeat(z[:, None], columns, 1)], 2).reshape(-1, 3)
+    w = np.repeat(w, columns) * 2 * math.pi / columns
+    u = v @ np.linalg.inv(m).T
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    every = lambda x: np.concatenate([_basis(x, b) for b in (1, 2, 3)], 1)
+    return every(v).T @ (w[:, None] * every(u))
+
+
+def project_harmonics(coefficients: Column, m: np.ndarray) -> Column:
+    """An array of 15 coefficients under the 3x3 map m; the matrix is a literal of the plan."""
+    p = harmonics_projection(m)
+    return F.array(*[sum((F.get(coefficients, F.lit(j)) * float(p[i, j]) for j in range(15)), F.lit(0.0)) for i in range(15)])
+
+
 def rotate_harmonics(coefficients: Column, r: np.ndarray) -> Column:
     """An array of 3, 8 or 15 coefficients turned with r; the matrices are literals of the plan."""
     out, at = [], 0

@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..util import small_enough
 from .graph import connected_components
 from .quantile import grouped_ranks
 
@@ -32,24 +33,26 @@ def _leaves(x: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def nearest_rows(x: np.ndarray, k: int, self_too: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, distances), each n by k: the k nearest rows of every row of x, exactly; ties to the smaller row. Missing ones are -1
-    and infinite."""
+def nearest_rows(x: np.ndarray, k: int, self_too: bool = False, among: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, distances), each n by k: the k nearest rows of every row of x, or of those of ``among``, exactly; ties to the smaller row.
+    Missing ones are -1 and infinite."""
     n = len(x)
     rows, dist = np.full((n, k), -1, np.int64), np.full((n, k), np.inf)
-    if not n:
+    y = x if among is None else among
+    if not n or not len(y):
         return rows, dist
-    leaves = _leaves(x)
-    lo = np.array([x[a].min(0) for a in leaves])
-    hi = np.array([x[a].max(0) for a in leaves])
-    for i, at in enumerate(leaves):
-        gap = np.sqrt((np.maximum(0, np.maximum(lo - hi[i], lo[i] - hi)) ** 2).sum(1))
+    self_too = self_too or among is not None
+    leaves = _leaves(y)
+    lo = np.array([y[a].min(0) for a in leaves])
+    hi = np.array([y[a].max(0) for a in leaves])
+    for at in leaves if among is None else _leaves(x):
+        gap = np.sqrt((np.maximum(0, np.maximum(lo - x[at].max(0), x[at].min(0) - hi)) ** 2).sum(1))
         order = np.argsort(gap, kind="stable")
         size = np.cumsum([len(leaves[j]) for j in order[: 8 + k]])
         first = max(1, int(np.searchsorted(size, k + 1) + 1))
         while True:
             cand = np.sort(np.concatenate([leaves[j] for j in order[:first]]))
-            d = np.sqrt(((x[at][:, None] - x[cand][None]) ** 2).sum(2))
+            d = np.sqrt(((x[at][:, None] - y[cand][None]) ** 2).sum(2))
             if not self_too:
                 d[at[:, None] == cand[None]] = np.inf
             by = np.argsort(d, axis=1, kind="stable")[:, :k]
@@ -101,14 +104,18 @@ def nth_neighbour_distances(df: DataFrame, groups: list[str], key: str, n: int)
 def _big_groups(big: DataFrame, groups: list[str], n: int, out: str) -> DataFrame:
     cuts = big.groupBy(*groups).agg(F.percentile_approx("x", [i / 64 for i in range(1, 64)], 1000).alias("_cuts"))
     placed = big.join(cuts, groups).withColumn("_b", F.size(F.filter("_cuts", lambda c: c <= F.col("x")))).drop("_cuts").persist()
+    # a group's blocks, at most 64, go along with its rows, each of which then names the few blocks that its margin reaches
     spans = placed.groupBy(*groups, "_b").agg(F.min("x").alias("_x0"), F.max("x").alias("_x1"))
+    spans = spans.groupBy(*groups).agg(F.collect_list(F.struct("_b", "_x0", "_x1")).alias("_spans")).persist()
     margin, todo, done = 1 / 256, placed.select(*groups, "key"), None
     while True:
         # every row goes to the blocks whose span, widened by the margin, holds it; only blocks that still ask are kept
         ask = placed.join(todo, [*groups, "key"], "left_semi").select(*groups, "key", "_b")
-        need = ask.select(*groups, "_b").distinct().join(spans, [*groups, "_b"])
+        need = ask.select(*groups, "_b").distinct()
         wide = (F.col("_hi") - F.col("_lo")) * margin
-        near = placed.drop("_b").join(need, groups).where((F.col("x") >= F.col("_x0") - wide) & (F.col("x") <= F.col("_x1") + wide))
+        reached = F.explode(F.filter("_spans", lambda s: (F.col("x") >= s["_x0"] - wide) & (F.col("x") <= s["_x1"] + wide))).alias("_s")
+        near = placed.drop("_b").join(F.broadcast(spans) if small_enough(spans, 10_000) else spans, groups)
+        near = near.select(*placed.drop("_b").columns, reached).select(*placed.drop("_b").columns, "_s._b", "_s._x0", "_s._x1").join(need, [*groups, "_b"], "left_semi")
         asked = near.join(ask.withColumn("_ask", F.lit(True)), [*groups, "key", "_b"], "left").withColumn("_wide", wide)
 
         def part(t: pa.Table) -> pa.Table:

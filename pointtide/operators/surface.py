@@ -269,12 +269,7 @@ def likest_partner(left: DataFrame, right: DataFrame, groups: list[str], key: st
         f = lambda q: np.stack([*[q.column(c).to_numpy() for c in "xyz"], *[colour * np.clip(q.column(c).to_numpy(), 0, 1) for c in "rgb"]], 1)
         o = np.argsort(u.column("key").to_numpy(), kind="stable")
         x, y = f(t), f(u)[o]
-        best, dist = np.empty(len(x), np.int64), np.empty(len(x))
-        step = max(1, 2_000_000 // len(y))
-        for lo in range(0, len(x), step):
-            d = ((x[lo:lo + step, None] - y[None]) ** 2).sum(2)
-            best[lo:lo + step] = d.argmin(1)
-            dist[lo:lo + step] = np.sqrt(d.min(1))
+        best, dist = (c[:, 0] for c in nearest_rows(x, 1, among=y))
         return pa.table({"key": t.column("key"), "partner": u.column("key").take(pa.array(o[best])), "distance": dist})
 
     return a.groupBy(*groups).cogroup(b.groupBy(*groups)).applyInArrow(match, f"key {kind}, partner {kind}, distance double").withColumnRenamed("key", key)

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.colour import C0
 from ..functions.geometry import Transform
 from ..operators import evaluate as E
-from .base import CAPTURES, CHUNKS, INTERVALS, SPLATS, captures, chunks, intervals, query, splats
+from ..util import read
+from .base import CAPTURES, CHUNKS, INTERVALS, SPLATS, TRAJECTORIES, captures, chunks, intervals, query, splats, trajectories
 
 _Q = ("qx", "qy", "qz", "qw")
 #: A motion that chunks of odd number make: shift, unit quaternion, size.
@@ -58,6 +59,54 @@ def turned_harmonics(spark, d):
     return s.select("splat_id", (F.round(F.aggregate("t", F.lit(0.0), lambda a, v: a + v), 5) + 0.0).alias("total"), kept.alias("kept"))
 
 
+_AFFINE = Transform(rotation=(10, 20, 30), scale=(1.0, 1.5, 0.75)).matrix()[:3, :3]
+
+
+def projected_harmonics(spark, d):
+    """Harmonics under a map that also stretches: their sum, and that of their squares."""
+    s = splats(spark, d, "qx qy qz").select("splat_id", E.project_harmonics(_coefficients(15), _AFFINE).alias("t"))
+    return s.select("splat_id", (F.round(F.aggregate("t", F.lit(0.0), lambda a, v: a + v), 5) + 0.0).alias("total"), (F.round(F.aggregate("t", F.lit(0.0), lambda a, v: a + v * v), 6) + 0.0).alias("square"))
+
+
+def detail_levels(spark, d):
+    """How much of a record can be shown: 1 its place, 2 with opacity, colour, size and rotation, 3 with a path of its own as well."""
+    s = splats(spark, d, "x y z", "o r g b sx sy sz qx qy qz qw")
+    whole = F.lit(True)
+    for c in ("o", "r", "g", "b", "sx", "sy", "sz", *_Q):
+        whole = whole & F.col(c).isNotNull()
+    t = trajectories(spark, d).select("chunk_id", "record_id").distinct().withColumn("path", F.lit(True))
+    j = s.join(t, ["chunk_id", "record_id"], "left")
+    return j.select("splat_id", F.when(whole & F.coalesce("path", F.lit(False)), 3).when(whole, 2).otherwise(1).alias("level"))
+
+
+def type_policy(spark, d):
+    """What a reader does with each property of a file: reads it, skips one of an unknown type, or refuses the file for one that must be there."""
+    from ..operators.drift import TYPE_SPELLINGS, canonical_type
+
+    known = canonical_type(F.col("prop_type")).isin(*sorted(set(TYPE_SPELLINGS.values())))
+    p = read(spark, d, "ply_properties").where("file_id is not null and prop_name is not null").groupBy("file_id", "prop_name").agg(F.max(F.coalesce(known, F.lit(False))).alias("known"))
+    return p.select("file_id", "prop_name", F.when(F.col("known"), "read").when(F.col("prop_name").isin("x", "y", "z"), "refuse").otherwise("skip").alias("policy"))
+
+
+def births_log(spark, d):
+    """A log of births as tab-separated text, read back and put in the order of its frames."""
+    line = F.concat_ws("\t", F.col("interval_no").cast("string"), F.col("chunk_id").cast("string"), F.col("generation").cast("string"))
+    log = intervals(spark, d).where("interval_no is not null and chunk_id is not null and generation is not null").select(line.alias("line"))
+    b = log.select(F.from_csv("line", "frame bigint, row bigint, generation bigint", {"sep": "\t", "mode": "FAILFAST"}).alias("b")).select("b.*")
+    return b.select("frame", "row", "generation", F.row_number().over(Window.partitionBy("frame").orderBy("row")).alias("place"))
+
+
+def gain_shapes(spark, d):
+    """Each path's motion as a gain and the best correlated of four shapes, with its sign."""
+    m = [F.col("p")[3 + i].cast("double") - F.col("p")[i % 3].cast("double") for i in range(21)]
+    t = trajectories(spark, d).select("vec_id", *[c.alias(f"m{i}") for i, c in enumerate(m)]).where(F.greatest(*[F.abs(f"m{i}") for i in range(21)]) < 1000)
+    gain = F.sqrt(sum((F.col(f"m{i}") ** 2 for i in range(21)), F.lit(0.0)))
+    dots = [sum((F.col(f"m{i}") * float(v) for i, v in enumerate(a) if v), F.lit(0.0)) for a in E.unit_atoms(8)]
+    best = F.array_max(F.array(*[F.struct(F.round(F.abs(x), 6).alias("d"), F.lit(-k).alias("k"), x.alias("w")) for k, x in enumerate(dots)]))
+    t = t.withColumn("gain", gain).withColumn("best", best)
+    return t.select("vec_id", F.round("gain", 4).alias("gain"), (-F.col("best.k")).alias("shape"), F.when(F.col("best.w") < 0, -1).otherwise(1).alias("sign"), F.round(F.when(F.col("gain") > 0, F.col("best.d") / F.col("gain")).otherwise(0.0), 4).alias("correlation"))
+
+
 def depth_buffer(spark, d):
     """Records in front, seen along z: not behind the nearest of their own and the eight neighbouring tiles of a tenth by more than 0.3."""
     s = splats(spark, d, "x y z").where("abs(x) < 1e6 and abs(y) < 1e6 and abs(z) < 1e6").select("chunk_id", "splat_id", "z", F.floor(F.col("x") * 10).alias("px"), F.floor(F.col("y") * 10).alias("py"))
@@ -128,7 +177,7 @@ def metadata_report(spark, d):
     return j.select("capture_id", text.alias("line"))
 
 
-_F = (evaluated_frame, summed_harmonics, turned_harmonics, depth_buffer, colour_levels, chroma_harmonics, cache_window, pages_kept, page_policies, joined_groups, metadata_report)
+_F = (evaluated_frame, summed_harmonics, turned_harmonics, projected_harmonics, detail_levels, type_policy, births_log, gain_shapes, depth_buffer, colour_levels, chroma_harmonics, cache_window, pages_kept, page_policies, joined_groups, metadata_report)
 QUERIES = {f.__name__: f for f in _F}
 
 
@@ -147,7 +196,16 @@ def _turn_sql() -> str:
 
 _X, _Y, _Z, _W = (f"{v!r}::DOUBLE" for v in _TURN)
 _IN = "chunk_id IS NOT NULL AND record_id IS NOT NULL"
+_P = E.harmonics_projection(_AFFINE)
+_PROJECTED = "[" + ", ".join("(" + " + ".join(f"c[{j + 1}] * {float(_P[i, j])!r}::DOUBLE" for j in range(15)) + ")" for i in range(15)) + "]"
+_ATOMS = E.unit_atoms(8)
 SQL = {
+    "projected_harmonics": query(SPLATS("qx qy qz")) + f", c AS (SELECT splat_id, {_c(15)} AS c FROM s), t AS (SELECT splat_id, {_PROJECTED} AS t FROM c) SELECT splat_id, round(list_sum(t), 5) + 0.0 AS total, round(list_sum([v * v for v in t]), 6) + 0.0 AS square FROM t",
+    "detail_levels": query(SPLATS("x y z", "o r g b sx sy sz qx qy qz qw"), TRAJECTORIES) + ", t AS (SELECT DISTINCT chunk_id, record_id, true AS path FROM tr) SELECT splat_id, CASE WHEN w AND coalesce(path, false) THEN 3 WHEN w THEN 2 ELSE 1 END AS level FROM (SELECT *, " + " AND ".join(f"{c} IS NOT NULL" for c in ("o", "r", "g", "b", "sx", "sy", "sz", *_Q)) + " AS w FROM s) LEFT JOIN t USING (chunk_id, record_id)",
+    "type_policy": """WITH p AS (SELECT file_id, prop_name, max(CASE WHEN lower(trim(prop_type)) IN ('char', 'int8', 'uchar', 'uint8', 'short', 'int16', 'ushort', 'uint16', 'int', 'int32', 'uint', 'uint32', 'float', 'float32', 'double', 'float64') THEN 1 ELSE 0 END) AS known FROM ply_properties WHERE file_id IS NOT NULL AND prop_name IS NOT NULL GROUP BY ALL)
+SELECT file_id, prop_name, CASE WHEN known = 1 THEN 'read' WHEN prop_name IN ('x', 'y', 'z') THEN 'refuse' ELSE 'skip' END AS policy FROM p""",
+    "births_log": query(INTERVALS) + "SELECT interval_no::BIGINT AS frame, chunk_id AS row, generation::BIGINT AS generation, row_number() OVER (PARTITION BY interval_no ORDER BY chunk_id)::INT AS place FROM iv WHERE interval_no IS NOT NULL AND chunk_id IS NOT NULL AND generation IS NOT NULL",
+    "gain_shapes": query(TRAJECTORIES) + ", m AS (SELECT vec_id, [" + ", ".join(f"p[{4 + i}]::DOUBLE - p[{i % 3 + 1}]::DOUBLE" for i in range(21)) + "] AS m FROM tr), k AS (SELECT * FROM m WHERE list_max([abs(v) for v in m]) < 1000), d AS (SELECT vec_id, sqrt(list_sum([v * v for v in m])) AS gain, " + ", ".join("(" + " + ".join(f"m[{i + 1}] * {float(v)!r}::DOUBLE" for i, v in enumerate(a) if v) + f") AS d{j}" for j, a in enumerate(_ATOMS)) + " FROM k), b AS (SELECT *, CASE " + " ".join("WHEN " + " AND ".join(f"round(abs(d{j}), 6) >= round(abs(d{k}), 6)" for k in range(4) if k != j) + f" THEN {j}" for j in range(4)) + " END AS shape FROM d) SELECT vec_id, round(gain, 4) AS gain, shape, CASE WHEN [d0, d1, d2, d3][shape + 1] < 0 THEN -1 ELSE 1 END AS sign, round(CASE WHEN gain > 0 THEN round(abs([d0, d1, d2, d3][shape + 1]), 6) / gain ELSE 0 END, 4) AS correlation FROM b",
     "evaluated_frame": query(SPLATS(" ".join(("x y z o r g b", *_Q))), CHUNKS) + f""", p AS (SELECT chunk_id, record_id, life_start, life_end, x, y, z, o, r, g, b, {", ".join(_Q)}, {", ".join(f"coalesce(lead({c}) OVER w, {c}) AS n{c}" for c in _Q)} FROM s WHERE {_IN} AND o >= 0 AND o <= 1 AND abs(x) < 1e6 AND abs(y) < 1e6 AND abs(z) < 1e6 WINDOW w AS (PARTITION BY chunk_id ORDER BY record_id, splat_id)),
 a AS (SELECT *, CASE WHEN {" + ".join(f"{c} * n{c}" for c in _Q)} < 0 THEN -0.25 ELSE 0.25 END::DOUBLE AS v FROM p WHERE life_start <= 5 AND life_end >= 6), l AS (SELECT *, {", ".join(f"{c} * 0.75 + n{c} * v AS m{c}" for c in _Q)} FROM a), n AS (SELECT *, sqrt({" + ".join(f"m{c} * m{c}" for c in _Q)}) AS n FROM l),
 u AS (SELECT *, {", ".join(f"CASE WHEN n > 0 THEN m{c} / n ELSE {'1' if c == 'qw' else '0'} END AS u{c}" for c in _Q)}, chunk_id IN (SELECT chunk_id FROM ch WHERE chunk_id % 2 = 1) AS moved FROM n),

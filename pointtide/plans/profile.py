@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.bits import mix_u32
 from ..operators import profile as P
 from ..operators.spatial import components, local_planes
-from ..util import read
+from ..util import join_null_safe, read
 from .base import CAPTURES, CHUNKS, INTERVALS, SPLATS, captures, chunks, intervals, query, splats
 
 
@@ -115,9 +115,15 @@ def unpaired_keys(spark, d):
 
 
 def label_ranks(spark, d):
-    w = Window.partitionBy("label").orderBy(F.desc("stored_size"))
+    """Ranks of the intervals of each label by size, through counts per size: the window is over a label's different sizes, not its rows."""
     i = intervals(spark, d).select("chunk_id", "interval_no", F.lower("take_label").alias("label"), "stored_size").where("label is not null")
-    return i.select("chunk_id", "interval_no", F.rank().over(w).alias("rank"), F.dense_rank().over(w).alias("dense"), F.round(F.percent_rank().over(w), 6).alias("share"))
+    n = i.groupBy("label", "stored_size").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("label")
+    by = w.orderBy(F.desc("stored_size"))
+    before = F.coalesce(F.sum("n").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    share = F.when(F.sum("n").over(w) > 1, before / (F.sum("n").over(w) - 1)).otherwise(0.0)
+    n = n.select("label", "stored_size", (before + 1).cast("int").alias("rank"), F.row_number().over(by).alias("dense"), F.round(share, 6).alias("share"))
+    return join_null_safe(i, n, ["label", "stored_size"]).select("chunk_id", "interval_no", "rank", "dense", "share")
 
 
 def cube_of_sizes(spark, d):

@@ -361,3 +361,12 @@ def test_every_modifier_of_the_whole_stack_acts(spark, small):
         if m.kind not in ("walk", "audio", "loop-morph"):
             assert result(edits.WHOLE_STACK.remove(i)) != whole, m.kind
     assert edits.WHOLE_STACK.walked(4.0, 2.0) == 1.0
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.tuples(*[st.floats(-50, 50)] * 3), min_size=1, max_size=120), st.lists(st.tuples(*[st.floats(-50, 50)] * 3), min_size=1, max_size=120))
+def test_nearest_rows_among_others(a, b):
+    x, y = np.array(a), np.array(b)
+    near, d = spatial.nearest_rows(x, 1, among=y)
+    full = np.sqrt(((x[:, None] - y[None]) ** 2).sum(2))
+    assert np.array_equal(d[:, 0], full.min(1)) and np.array_equal(near[:, 0], full.argmin(1))

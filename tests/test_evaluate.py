@@ -72,3 +72,32 @@ def test_small_ones(spark):
     assert E.morph_timing(0.1, 30, 0, 1) == [(31, 0.25), (32, 0.5), (33, 0.75)] and [f for f, _ in E.morph_timing(-0.1, 30, 0, 1)] == [27, 28, 29] and E.morph_timing(-9, 30, 0, 0) == []
     p = spark.createDataFrame([(0.5, 0.5), (2.0, 0.5), (0.5, 3.0)], "x double, y double")
     assert p.where(E.polygon_contains(F.col("x"), F.col("y"), [(0, 0), (1, 0), (1, 1), (0, 1)])).count() == 1
+
+
+def test_projection_of_harmonics_is_their_rotation_where_the_map_is_one():
+    from pointtide.functions.geometry import Transform
+
+    r = Transform(rotation=(20, -35, 70)).matrix()[:3, :3]
+    p = E.harmonics_projection(r)
+    at = 0
+    for band in (1, 2, 3):
+        n = 2 * band + 1
+        assert np.allclose(p[at : at + n, at : at + n], E.harmonics_rotation(r, band), atol=1e-6)
+        at += n
+    assert np.allclose(E.harmonics_projection(3.0 * r), p)
+
+
+def test_rigid_fits_equal_the_fit_of_one_group(spark):
+    rng = np.random.default_rng(4)
+    data = []
+    for g in range(3):
+        a = rng.normal(size=(12, 3)) * 5 + 100 * g
+        r, t = E.rigid_fit(a, rng.normal(size=(12, 3)))
+        b = a @ r.T + t + rng.normal(size=(12, 3)) * 0.1
+        data += [(g, *map(float, p), *map(float, q)) for p, q in zip(a, b)]
+    got = {r["g"]: r for r in E.rigid_fits(spark.createDataFrame(data, "g int, a0 double, a1 double, a2 double, b0 double, b1 double, b2 double"), ["g"]).collect()}
+    for g in range(3):
+        x = np.array([d[1:] for d in data if d[0] == g])
+        r, t = E.rigid_fit(x[:, :3], x[:, 3:])
+        left = np.sqrt((((x[:, :3] @ r.T + t) - x[:, 3:]) ** 2).sum(1).mean())
+        assert np.allclose(np.reshape(got[g]["r"], (3, 3)), r) and np.allclose(got[g]["t"], t, atol=1e-6) and abs(got[g]["error"] - left) < 1e-6 and got[g]["rotation"]
