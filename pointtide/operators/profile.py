@@ -95,9 +95,9 @@ def compare_fit(made: DataFrame, wanted: DataFrame, key: str, axes: list[str]) -
     )
 
 
-def weighted_kmeans(df: DataFrame, axes: list[str], weight: str, centres: list[list[float]], rounds: int = 5, fixed: int = 0) -> list[list[float]]:
+def weighted_kmeans(df: DataFrame, axes: list[str], weight: str, centres: list[list[float]], rounds: int = 5, fixed: int = 0, restart: bool = True) -> list[list[float]]:
     """Lloyd's rounds from given centres: each assigns rows to the nearest centre (ties to the first) and takes weighted means. Centres
-    are few and travel as literals; only their sums come back. A centre without rows restarts on the worst-fitted row; the first ``fixed`` centres stay as they are."""
+    are few and travel as literals; only their sums come back. A centre without rows restarts on the worst-fitted row, or stays without ``restart``; the first ``fixed`` centres stay as they are."""
     d = len(axes)
     df = df.select(*axes, weight).persist()
     for _ in range(rounds):
@@ -111,7 +111,7 @@ def weighted_kmeans(df: DataFrame, axes: list[str], weight: str, centres: list[l
         spare = sorted(got, key=lambda r: -r["gap"])
         for k, c in enumerate(new):
             if c is None or any(v is None for v in c):
-                new[k] = list(spare.pop(0)["worst"]) if spare else centres[k]
+                new[k] = list(spare.pop(0)["worst"]) if spare and restart else centres[k]
         centres = [*centres[:fixed], *new[fixed:]]
     df.unpersist()
     return centres

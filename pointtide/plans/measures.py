@@ -100,7 +100,7 @@ def _motions(spark, d):
 
 def curve_centres(spark, d):
     """Centres of whole motions by two rounds of k-means, the first centre held at rest."""
-    out = P.weighted_kmeans(_motions(spark, d).withColumn("w", F.lit(1.0)), [f"m{i}" for i in range(21)], "w", _START, 2, fixed=1)
+    out = P.weighted_kmeans(_motions(spark, d).withColumn("w", F.lit(1.0)), [f"m{i}" for i in range(21)], "w", _START, 2, fixed=1, restart=False)
     return spark.createDataFrame([(k, round(float(sum(c)), 4), round(float(sum(v * v for v in c)), 4)) for k, c in enumerate(out)], "centre int, total double, square double")
 
 
