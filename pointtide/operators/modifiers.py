@@ -222,7 +222,7 @@ class Pipeline:
 def purge_isolated(df: DataFrame, groups: list[str], neighbour: int = 4, median_percent: float = 700.0) -> DataFrame:
     """Rows whose ``neighbour``-th nearest other row of the group is not farther than the share of the group's upper median of
     that distance. Groups of no more rows than ``neighbour``, or whose median is 0, keep all."""
-    far = nth_neighbour_distances(df, groups, "splat_id", neighbour)
+    far = nth_neighbour_distances(df, groups, "splat_id", neighbour).persist()
     mid = upper_medians(far, groups, "distance")
     bad = far.join(mid, groups).where((F.col("upper_median") > 0) & (F.col("distance") > F.col("upper_median") * (median_percent / 100.0)))
     return df.join(bad.select("splat_id"), "splat_id", "left_anti")

@@ -37,14 +37,16 @@ def _holding(counts: DataFrame, group: list[str], at: str, ranks: Callable | Non
     return placed.where(holds("_lo") | holds("_hi")).select(*names, (F.col("_upto") - F.col("_n")).alias("_before"), "_lo", "_hi")
 
 
-def grouped_ranks(df: DataFrame, keys: list[str], values: list[str], ranks: Callable[[Column], tuple[Column, Column]], light_rows: int = LIGHT_ROWS) -> DataFrame:
+def grouped_ranks(df: DataFrame, keys: list[str], values: list[str], ranks: Callable[[Column], tuple[Column, Column]], light_rows: int = LIGHT_ROWS, every: bool = True) -> DataFrame:
     """keys and, of each column v of ``values``, v_low and v_high: the exact values at two ranks (from 0) that ``ranks`` gives for the number
-    of values, held within it. Nulls are left aside; a group without values has nulls. Numbers must be finite.
+    of values, held within it. Nulls are left aside; a group without values has nulls, or no row without ``every``. Numbers must be
+    finite. ``df`` is gone through two or three times; what is costly to work out should be kept.
 
     Values are counted per logarithmic bucket, which partial aggregation does before anything is shuffled; only the values of the
     buckets that hold the ranks travel and are ranked. A bucket of more than ``light_rows`` rows is first counted in finer ones."""
     long = df.select(*keys, F.posexplode(F.array(*[F.col(v).cast("double") for v in values])).alias("_i", "_v"))
-    counts = cut(long.groupBy(*keys, "_i", _bucket(F.col("_v"), COARSE).alias("_b")).agg(F.count(F.lit(1)).alias("_n")))
+    counts = long.groupBy(*keys, "_i", _bucket(F.col("_v"), COARSE).alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = cut(counts) if every else counts
     mid = cut(_holding(counts.where("_b is not null"), [*keys, "_i"], "_b", ranks))
     groups, most = mid.agg(F.count(F.lit(1)), F.max("_n")).first()
     inside = join_null_safe(long.withColumn("_b", _bucket(F.col("_v"), COARSE)), mid.drop("_n"), [*keys, "_i", "_b"], broadcast=groups <= BROADCAST_ROWS)
@@ -60,11 +62,11 @@ def grouped_ranks(df: DataFrame, keys: list[str], values: list[str], ranks: Call
     ranked = ranked.withColumn("_upto", upto).withColumn("_from", F.col("_upto") - F.col("_n"))
     pick = lambda i, rank: F.max(F.when((F.col("_i") == i) & (F.col("_from") <= F.col(rank)) & (F.col(rank) < F.col("_upto")), F.col("_v")))
     found = ranked.groupBy(*keys).agg(*[pick(i, r).alias(f"{v}{n}") for i, v in enumerate(values) for r, n in (("_lo", "_low"), ("_hi", "_high"))])
-    return join_null_safe(counts.select(*keys).distinct(), found, keys, "left")
+    return join_null_safe(counts.select(*keys).distinct(), found, keys, "left") if every else found
 
 
-def grouped_median(df: DataFrame, keys: list[str], values: list[str], light_rows: int = LIGHT_ROWS) -> DataFrame:
+def grouped_median(df: DataFrame, keys: list[str], values: list[str], light_rows: int = LIGHT_ROWS, every: bool = True) -> DataFrame:
     """keys and the exact median (the mean of the two middle values where their number is even) of each column of ``values``
-    under its own name; nulls are left aside, a group without values has null."""
-    r = grouped_ranks(df, keys, values, lambda n: (F.floor((n - 1) / 2), F.floor(n / 2)), light_rows)
+    under its own name; nulls are left aside, a group without values has null, or no row without ``every``."""
+    r = grouped_ranks(df, keys, values, lambda n: (F.floor((n - 1) / 2), F.floor(n / 2)), light_rows, every)
     return r.select(*keys, *[((F.col(f"{v}_low") + F.col(f"{v}_high")) / 2).alias(v) for v in values])

@@ -68,7 +68,7 @@ def trimmed_bounds(df: DataFrame, groups: list[str], value: str, trim: float) ->
 
 def _bounds(df: DataFrame, groups: list[str], values: tuple[str, ...], trim: float) -> DataFrame:
     off = lambda n: F.floor(n * trim)
-    return grouped_ranks(df, groups, list(values), lambda n: (off(n), n - 1 - off(n)))
+    return grouped_ranks(df, groups, list(values), lambda n: (off(n), n - 1 - off(n)), every=False)
 
 
 def trim_box(df: DataFrame, groups: list[str], axes: tuple[str, ...] = ("x", "y", "z"), trim: float = 0.005) -> DataFrame:
@@ -83,7 +83,7 @@ def trim_box(df: DataFrame, groups: list[str], axes: tuple[str, ...] = ("x", "y"
 def truncated_percentile(df: DataFrame, groups: list[str], value: str, p: float) -> DataFrame:
     """(groups, value): the element at min(n - 1, floor(n * p)) of the sorted values, without interpolation."""
     at = lambda n: F.least(n - 1, F.floor(n * p))
-    r = grouped_ranks(df, groups, [value], lambda n: (at(n), at(n)))
+    r = grouped_ranks(df, groups, [value], lambda n: (at(n), at(n)), every=False)
     return r.where(F.col(f"{value}_low").isNotNull()).select(*groups, F.col(f"{value}_low").cast(dict(df.dtypes)[value]).alias(value))
 
 

@@ -138,7 +138,7 @@ def _big_groups(big: DataFrame, groups: list[str], n: int, out: str) -> DataFram
 
 def upper_medians(df: DataFrame, groups: list[str], value: str) -> DataFrame:
     """(groups, upper_median): the element at position n div 2 of the sorted values."""
-    r = grouped_ranks(df, groups, [value], lambda n: (F.floor(n / 2), F.floor(n / 2)))
+    r = grouped_ranks(df, groups, [value], lambda n: (F.floor(n / 2), F.floor(n / 2)), every=False)
     return r.where(F.col(f"{value}_low").isNotNull()).select(*groups, F.col(f"{value}_low").cast(dict(df.dtypes)[value]).alias("upper_median"))
 
 

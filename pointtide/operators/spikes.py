@@ -100,7 +100,7 @@ def spikes(readings: DataFrame, factor: float) -> DataFrame:
     """(field, key) of the spikes among ``readings`` (field, source, key, day, slot, reading, both): reading over ``factor`` times the
     median of its field and source or, where ``both``, under the factor-th part of it."""
     readings = readings.where(F.col("reading").isNotNull()).persist()
-    medians = grouped_median(readings, ["field", "source"], ["reading"]).withColumnRenamed("reading", "usual")
+    medians = grouped_median(readings, ["field", "source"], ["reading"], every=False).withColumnRenamed("reading", "usual")
     rows = _beside(readings, medians, ["field", "source"])
     log = F.when((F.col("usual") > 0) & (F.col("reading") > 0), F.log(F.col("reading") / F.col("usual")))
     # without positive numbers on both sides there is no logarithm; such a reading is as far off as can be
@@ -167,7 +167,7 @@ def _splats(df: DataFrame):
     p_ok = _all([finite(F.col(n)) for n in names[0]], lambda a, b: a & b)
     s_ok = _all([finite(F.col(n)) & (F.col(n) > 0) for n in names[1]], lambda a, b: a & b)
     good = rows.where("has_p").where(p_ok)
-    middle = grouped_median(good, ["chunk_id"], names[0]).select("chunk_id", *[F.col(n).alias(f"m{n}") for n in names[0]])
+    middle = grouped_median(good, ["chunk_id"], names[0], every=False).select("chunk_id", *[F.col(n).alias(f"m{n}") for n in names[0]])
     far = F.sqrt(_all([(F.col(n).cast("double") - F.col(f"m{n}")) ** 2 for n in names[0]], lambda a, b: a + b))
     positions = _reading(_beside(good, middle, ["chunk_id"]), 0, far, False)
     largest = F.greatest(*[F.col(n).cast("double") for n in names[1]])

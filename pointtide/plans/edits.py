@@ -159,7 +159,7 @@ def prune_low_rendered(spark, d):
 
 def purge_isolated(spark, d):
     s = splats(spark, d, "x y z").select("splat_id", "chunk_id", "x", "y", "z")
-    far = nth_neighbour_distances(s, ["chunk_id"], "splat_id", 4)
+    far = nth_neighbour_distances(s, ["chunk_id"], "splat_id", 4).persist()
     mid = upper_medians(far, ["chunk_id"], "distance")
     return far.join(mid, "chunk_id").where((F.col("upper_median") > 0) & (F.col("distance") > F.col("upper_median") * 1.5)).select("splat_id", _r(F.col("distance")).alias("distance"))
 
