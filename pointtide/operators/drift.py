@@ -50,6 +50,11 @@ def canonical_type(c):
     return out
 
 
+def _words(line: str):
+    """The words of a line, whatever white space parts them."""
+    return F.split(F.btrim(F.col(line), F.lit(" \t\n\r\f\v")), r"\s+")
+
+
 def best_matching(cost: np.ndarray) -> list[tuple[int, int]]:
     """Pairs (row, column) of least total cost that match every row or every column, by shortest augmenting paths."""
     flip = cost.shape[0] > cost.shape[1]
@@ -163,7 +168,7 @@ class Drift:
         few = small_enough(ask, BROADCAST_ROWS)
         values = (
             self.vertices.join(F.broadcast(ask) if few else ask, "file_id")
-            .select("row_no", "asked", F.split(F.trim(F.regexp_replace("line", r"\s+", " ")), " ").alias("cell"))
+            .select("row_no", "asked", _words("line").alias("cell"))
             .select("row_no", F.explode(F.transform("asked", lambda q: F.struct(q[keys[0]].alias(keys[0]), q[keys[1]].alias(keys[1]), q["name"].alias("name"), q["past"].alias("past"), F.get("cell", q["ordinal"]).try_cast("double").alias("v")))).alias("q"))
             .select("row_no", "q.*").where(F.col("v").isNotNull() & ~F.isnan("v")).persist()
         )
@@ -210,7 +215,7 @@ class Drift:
         # of two properties of one file with the same first name, the one at the smaller ordinal counts
         place = place.groupBy("file_id", "sequence_id", "frame_no", "property").agg(F.min("ordinal").alias("ordinal"))
         layout = place.groupBy("file_id", "sequence_id", "frame_no").agg(F.map_from_entries(F.collect_list(F.struct("property", "ordinal"))).alias("layout"))
-        rows = self.vertices.join(layout, "file_id").withColumn("cell", F.split(F.trim(F.regexp_replace("line", r"\s+", " ")), " "))
+        rows = self.vertices.join(layout, "file_id").withColumn("cell", _words("line"))
         rows = rows.groupBy("sequence_id", "frame_no", "row_no").agg(F.min_by(F.struct("cell", "layout"), "file_id").alias("r"))
         return rows, named
 
