@@ -227,13 +227,15 @@ def recover_colour(df: DataFrame, groups: list[str], key: str, seed: Column, can
 
     Seeds within ``link`` of each other form surfaces; those of ``least`` seeds and a diagonal above ``extent`` are references. Up to
     sixteen references within ``reach`` (the eighth within ``eighth``) give a colour per luminance, weighted by opacity over squared
-    distance; the shift is held to 0.2 and never passes the source. Both steps meet their neighbours through cells of a grid."""
+    distance; the shift is held to 0.2 and never passes the source. Both steps meet their neighbours through cells of a grid, whose
+    outermost cells hold what lies beyond it."""
     s = df.where(seed).select(*groups, key, "x", "y", "z", "o", "r", "g", "b")
     part = components(s, groups, key, link, least)
     ref = s.join(part, key)
     good = ref.groupBy("component").agg(sum(((F.max(a) - F.min(a)) ** 2 for a in "xyz"), F.lit(0.0)).alias("q")).where(F.col("q") > extent * extent).select("component")
     ref = ref.join(good, "component")
-    cell = lambda a: F.floor(F.col(a) / reach).cast("bigint")
+    edge = float(1 << 60)
+    cell = lambda a: F.floor(F.greatest(F.lit(-edge), F.least(F.lit(edge), F.col(a) / reach))).cast("bigint")
     light = F.col("r") * 0.2126 + F.col("g") * 0.7152 + F.col("b") * 0.0722
     ref = ref.select(*groups, *[F.col(a).alias(f"_{a}") for a in "xyz"], F.col("o").alias("_o"), *[(F.col(c) / light).alias(f"_{c}") for c in "rgb"], *[cell(a).alias(f"c{a}") for a in "xyz"])
     own = df.where(candidate).withColumn("_light", light)

@@ -84,6 +84,15 @@ def test_recovered_colour_never_passes_the_source(spark):
     assert set(got) == {900} and 0 < got[900]["dr"] <= 0.95 * 0.06 + 1e-9 and got[900]["dg"] == 0
 
 
+def test_recovered_colour_takes_any_finite_position(spark):
+    far = [(1e25, 0.0, 0.0), (-3.4e38, 0.1, 3.4e38), (4e17, -4e17, 0.0)]
+    rng = np.random.default_rng(9)
+    data = [(1, i, *map(float, rng.random(3) * [0.2, 0.2, 0.01]), 0.9, 0.6, 0.45, 0.4, 0.6, 0.45, 0.4) for i in range(400)]
+    data += [(1, 900 + i, *p, 0.9, 0.5, 0.5, 0.4, 0.56, 0.5, 0.4) for i, p in enumerate([(0.1, 0.1, 0.005), *far])] + [(1, 500 + i, *p, 0.9, 0.6, 0.45, 0.4, 0.6, 0.45, 0.4) for i, p in enumerate(far)]
+    df = spark.createDataFrame(data, "chunk int, k int, x double, y double, z double, o double, r double, g double, b double, r0 double, g0 double, b0 double")
+    assert {r["k"] for r in S.recover_colour(df, ["chunk"], "k", F.col("k") < 900, F.col("k") >= 900).collect()} == {900}
+
+
 def test_partners(spark):
     a = spark.createDataFrame([(1, 1, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0), (2, 9, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0)], "g int, k int, x double, y double, z double, r double, g2 double, b double")
     b = spark.createDataFrame([(1, 5, 0.01, 0.0, 0.0, 0.0, 1.0, 0.0), (1, 6, 0.02, 0.0, 0.0, 1.0, 0.0, 0.0), (1, 7, 0.02, 0.0, 0.0, 1.0, 0.0, 0.0)], a.schema)
