@@ -93,6 +93,28 @@ def test_recovered_colour_takes_any_finite_position(spark):
     assert {r["k"] for r in S.recover_colour(df, ["chunk"], "k", F.col("k") < 900, F.col("k") >= 900).collect()} == {900}
 
 
+def test_recovered_colour_equals_a_plain_loop(spark):
+    """Two surfaces, one of them where the grid ends, and a patch too small to lead."""
+    rng = np.random.default_rng(10)
+    x = np.concatenate([rng.random((300, 3)) * [0.2, 0.2, 0.01], rng.random((20, 3)) * 0.01 + 3, np.tile([1e18, 0, 0], (300, 1)) + rng.random((300, 3)) * [0, 0.2, 0.01]])
+    c, o, n = np.tile([0.6, 0.45, 0.4], (620, 1)) * rng.uniform(0.8, 1.1, (620, 1)), rng.uniform(0.2, 1, 620), 40
+    y, now, was = np.concatenate([x[:n], x[300:310], x[-n:]]) + [0, 0.004, 0], np.tile([0.5, 0.5, 0.4], (90, 1)), np.tile([0.56, 0.45, 0.4], (90, 1))
+    rows = [(1, i, *map(float, [*x[i], o[i], *c[i], *c[i]])) for i in range(620)] + [(1, 1000 + i, *map(float, [*y[i], 0.9, *now[i], *was[i]])) for i in range(90)]
+    df = spark.createDataFrame(rows, "chunk int, k int, x double, y double, z double, o double, r double, g double, b double, r0 double, g0 double, b0 double")
+    got = {r["k"]: [r["dr"], r["dg"], r["db"]] for r in S.recover_colour(df, ["chunk"], "k", F.col("k") < 1000, F.col("k") >= 1000).collect()}
+    ref, light, want = np.r_[0:300, 320:620], np.array([0.2126, 0.7152, 0.0722]), {}
+    for i in range(90):
+        q = ((x[ref] - y[i]) ** 2).sum(1)
+        near = np.argsort(q)[:16]
+        near = near[q[near] < 0.055**2]
+        if len(near) < 8 or q[near[7]] >= 0.05**2:
+            continue
+        w = o[ref[near]] / np.maximum(q[near], 0.002**2)
+        shift = np.clip((w[:, None] * c[ref[near]] / (c[ref[near]] @ light)[:, None]).sum(0) / w.sum() * (now[i] @ light) - now[i], -0.2, 0.2)
+        want[1000 + i] = 0.95 * np.clip(shift, np.minimum(was[i] - now[i], 0), np.maximum(was[i] - now[i], 0))
+    assert set(got) == set(want) and len(want) > 60 and all(np.allclose(got[k], want[k], atol=1e-9) for k in want)
+
+
 def test_partners(spark):
     a = spark.createDataFrame([(1, 1, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0), (2, 9, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0)], "g int, k int, x double, y double, z double, r double, g2 double, b double")
     b = spark.createDataFrame([(1, 5, 0.01, 0.0, 0.0, 0.0, 1.0, 0.0), (1, 6, 0.02, 0.0, 0.0, 1.0, 0.0, 0.0), (1, 7, 0.02, 0.0, 0.0, 1.0, 0.0, 0.0)], a.schema)
