@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -47,34 +48,41 @@ def contribution_scores(df: DataFrame, groups: list[str], key: str, views: list,
     return t.groupBy(key).agg((F.sum("weight") / len(views)).alias("score"))
 
 
-def scoring_views(centre: np.ndarray, radius: float) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(eye, right, up, forward) of 24 cameras of 45 degrees around a ball: 8 far, 8 near, 4 from above and 4 from below."""
-    far = radius / math.tan(math.radians(22.5)) * 1.05
-    near, eyes = far * 0.45, []
+@lru_cache(maxsize=1)
+def _unit_views() -> tuple[np.ndarray, np.ndarray]:
+    """(eyes, turns) of 24 cameras of 45 degrees around the unit ball: 8 far, 8 near, 4 from above and 4 from below; the rows of a turn
+    are right, up and forward."""
+    far = 1 / math.tan(math.radians(22.5)) * 1.05
+    near, eyes, turns = far * 0.45, [], []
     for k in range(8):
-        for a, r, h in ((k * math.pi / 4, far, 0.3 * radius), (k * math.pi / 4 + math.pi / 8, near, 0.1 * radius)):
+        for a, r, h in ((k * math.pi / 4, far, 0.3), (k * math.pi / 4 + math.pi / 8, near, 0.1)):
             eyes.append((math.sin(a) * r, h, math.cos(a) * r))
     for k in range(4):
         a = (k + 0.5) * math.pi / 2
         eyes += [(math.sin(a) * 0.35 * far, h * far, math.cos(a) * 0.35 * far) for h in (0.95, -0.95)]
-    out = []
     for e in np.array(eyes):
         f = -e / np.linalg.norm(e)
         r = np.cross(f, [0.0, 0.0, 1.0] if abs(f[1]) > 0.99 else [0.0, 1.0, 0.0])
         r /= np.linalg.norm(r)
-        out.append((centre + e, r, np.cross(r, f), f))
-    return out
+        turns.append((r, np.cross(r, f), f))
+    return np.array(eyes), np.array(turns)
 
 
-def _footprints(x: np.ndarray, axes: np.ndarray, o: np.ndarray, view: tuple, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, footprint: depth, centre, inverse covariance and pixel bounds) of the records that a view sees, front to back."""
-    eye, right, up, forward = view
+def scoring_views(centre: np.ndarray, radius: float) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(eye, right, up, forward) of 24 cameras of 45 degrees around a ball: 8 far, 8 near, 4 from above and 4 from below."""
+    eyes, turns = _unit_views()
+    return [(centre + radius * e, *t) for e, t in zip(eyes, turns)]
+
+
+def _footprints(x: np.ndarray, axes: np.ndarray, o: np.ndarray, views: list, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(view, row, footprint: centre, inverse covariance, what it was divided by and pixel bounds) of the records that the views see,
+    each view's front to back."""
+    eyes, turns = np.stack([v[0] for v in views]), np.stack([np.stack(v[1:]) for v in views])
     focal = size / 2 / math.tan(math.radians(22.5))
-    d = x - eye
-    z = d @ forward
-    at = np.flatnonzero((z >= 0.05) & (o >= 1 / 255))
-    z, a, b = z[at], d[at] @ right, d[at] @ up
-    m = np.stack([right, up, forward]) @ axes[at]
+    p = (x - eyes[:, None]) @ turns.transpose(0, 2, 1)
+    view, at = np.nonzero((p[:, :, 2] >= 0.05) & (o >= 1 / 255))
+    a, b, z = p[view, at].T
+    m = turns[view] @ axes[at]
     u = (focal / z)[:, None] * (m[:, 0] - (a / z)[:, None] * m[:, 2])
     v = (focal / z)[:, None] * (m[:, 1] - (b / z)[:, None] * m[:, 2])
     # the low-pass of 0.3 pixels
@@ -85,50 +93,77 @@ def _footprints(x: np.ndarray, axes: np.ndarray, o: np.ndarray, view: tuple, siz
     x0, x1 = np.maximum(0, whole(sx - reach)), np.minimum(size - 1, whole(sx + reach))
     y0, y1 = np.maximum(0, whole(sy - reach)), np.minimum(size - 1, whole(sy + reach))
     with np.errstate(divide="ignore", invalid="ignore"):
-        out = np.stack([z, sx, sy, yy / det, -xy / det, xx / det, x0, x1, y0, y1], 1)
-    ok = (det > 0) & (x0 <= x1) & (y0 <= y1)
-    by = np.argsort(z[ok], kind="stable")
-    return at[ok][by], out[ok][by]
-
-
-def _credits(x: np.ndarray, axes: np.ndarray, o: np.ndarray, alive: np.ndarray, views: list, size: int, most: int = 400_000) -> np.ndarray:
-    """Each record's blending weight, summed over the pixels of all views at all instants (columns of ``alive``). Footprints are drawn
-    front to back, up to ``most`` pixels of them at a time."""
-    credit = np.zeros(len(x))
+        out = np.stack([sx, sy, yy / det, -xy / det, xx / det, det, x0, x1, y0, y1], 1)
+    ok = np.flatnonzero((det > 0) & (x0 <= x1) & (y0 <= y1))
+    by = ok[np.lexsort((z[ok], view[ok]))]
+    return view[by], at[by], out[by]
+
+
+def _pixels(foot: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(item, x, y, alpha) of the pixels in which a footprint has an alpha of 1/255 or more, item by item. A line of a footprint is drawn
+    where its ellipse crosses it, a pixel wider on both sides; one too thin to say where, over its whole width."""
+    rows = (foot[:, 9] - foot[:, 8] + 1).astype(np.int64)
+    item = np.repeat(np.arange(len(foot)), rows)
+    py = np.arange(len(item)) - np.repeat(np.cumsum(rows) - rows, rows) + foot[item, 8]
+    sx, sy, a, b, c, det, x0, x1, _, _ = foot[item].T
+    dy = py + 0.5 - sy
+    with np.errstate(all="ignore"):
+        half = np.sqrt(np.maximum(a * (2 * np.log(255 * o)[item]) - dy * dy / det, 0)) / a
+        mid = sx - 0.5 - b * dy / a
+        sure = a * c * det < 1e8
+        left = np.where(sure & np.isfinite(mid - half), np.maximum(x0, np.ceil(mid - half) - 1), x0)
+        right = np.where(sure & np.isfinite(mid + half), np.minimum(x1, np.floor(mid + half) + 1), x1)
+    n = np.maximum(right - left + 1, 0).astype(np.int64)
+    line = np.repeat(np.arange(len(item)), n)
+    px = np.arange(len(line)) + np.repeat(left - (np.cumsum(n) - n), n)
+    dx = px + 0.5 - sx[line]
+    power = -0.5 * ((a[line] * dx + (2 * b * dy)[line]) * dx + (c * dy * dy)[line])
+    k = item[line]
+    alpha = np.minimum(0.99, o[k] * np.exp(np.minimum(power, 0)))
+    ok = np.flatnonzero((power <= 0) & (alpha >= 1 / 255))
+    return k[ok], px[ok].astype(np.int64), py[line[ok]].astype(np.int64), alpha[ok]
+
+
+def _credits(x: np.ndarray, axes: np.ndarray, o: np.ndarray, alive: np.ndarray, views: list, size: int, most: int = 200_000, spare: dict | None = None) -> np.ndarray:
+    """Each record's blending weight, summed over the pixels of all views at all instants (columns of ``alive``). The nearest footprints
+    of all views are drawn at once, then the second ones, and so on; their pixels are worked out up to ``most`` at a time. ``spare`` keeps
+    the pictures for the next call, which finds them clear."""
     masks, times = np.unique(alive, axis=1, return_counts=True)
-    for view in views:
-        row, foot = _footprints(x, axes, o, view, size)
-        shown = [np.flatnonzero(masks[row, j]) for j in range(masks.shape[1])]
-        item = np.concatenate(shown)
-        layer = np.repeat(np.arange(len(shown)), [len(s) for s in shown])
-        through = np.ones(len(shown) * size * size)
-        w = (foot[item, 7] - foot[item, 6] + 1).astype(np.int64)
-        n = w * (foot[item, 9] - foot[item, 8] + 1).astype(np.int64)
-        upto, lo = np.cumsum(n), 0
-        while lo < len(item):
-            hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + most, side="right")))
-            k = np.repeat(np.arange(lo, hi), n[lo:hi])
-            j = np.arange(len(k)) - np.repeat(upto[lo:hi] - n[lo:hi] - (upto[lo - 1] if lo else 0), n[lo:hi])
-            _, sx, sy, a, b, c, x0, _, y0, _ = foot[item[k]].T
-            px, py = x0 + j % w[k], y0 + j // w[k]
-            dx, dy = px + 0.5 - sx, py + 0.5 - sy
-            power = -0.5 * (a * dx * dx + 2 * b * dx * dy + c * dy * dy)
-            alpha = np.minimum(0.99, o[row[item[k]]] * np.exp(np.minimum(power, 0)))
-            ok = (power <= 0) & (alpha >= 1 / 255)
-            k, alpha = k[ok], alpha[ok]
-            pixel = (layer[k] * size + py[ok].astype(np.int64)) * size + px[ok].astype(np.int64)
-            by = np.argsort(pixel, kind="stable")
-            k, alpha, pixel = k[by], alpha[by], pixel[by]
-            if len(k):
-                logs = np.log1p(-alpha)
-                before = np.cumsum(logs) - logs
-                first = np.flatnonzero(np.r_[True, pixel[1:] != pixel[:-1]])
-                t = through[pixel] * np.exp(before - np.repeat(before[first], np.diff(np.r_[first, len(pixel)])))
-                np.add.at(credit, row[item[k]], np.where(t >= 1e-4, alpha * t, 0) * times[layer[k]])
-                last = np.r_[first[1:] - 1, len(pixel) - 1]
-                through[pixel[last]] = t[last] * (1 - alpha[last])
-            lo = hi
-    return credit
+    times = times.astype(float)
+    view, row, foot = _footprints(x, axes, o, views, size)
+    shown = masks.any(1)[row]
+    view, row, foot = view[shown], row[shown], foot[shown]
+    rank = np.arange(len(view)) - np.searchsorted(view, view)
+    by = np.argsort(rank, kind="stable")
+    view, row, foot, rank = view[by], row[by], foot[by], rank[by]
+    live, credit = masks[row].astype(float), np.zeros(len(row))
+    spare = {} if spare is None else spare
+    shape = (len(views) * size * size, masks.shape[1])
+    through = spare.pop(shape, None)
+    through = np.ones(shape) if through is None else through
+    cells = through.view(f"V{8 * shape[1]}")[:, 0]  # a pixel at all instants, moved as one
+    clear = np.ones(shape[1]).view(cells.dtype)
+    upto, lo, drawn = np.cumsum((foot[:, 7] - foot[:, 6] + 1) * (foot[:, 9] - foot[:, 8] + 1)), 0, []
+    while lo < len(row):
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + most, side="right")))
+        k, px, py, alpha = _pixels(foot[lo:hi], o[row[lo:hi]])
+        k += lo
+        pixel = (view[k] * size + py) * size + px
+        lit = live.take(k, 0)
+        left, seen = np.subtract(1, lit * alpha[:, None]), np.empty_like(lit)
+        ends = np.searchsorted(k, np.r_[lo + np.flatnonzero(np.diff(rank[lo:hi], prepend=-1)), hi])
+        for i, j in zip(ends[:-1].tolist(), ends[1:].tolist()):
+            through.take(pixel[i:j], 0, seen[i:j], "clip")
+            cells.put(pixel[i:j], np.multiply(seen[i:j], left[i:j], out=left[i:j]).view(cells.dtype))
+        lit *= seen >= 1e-4
+        credit += np.bincount(k, alpha * np.einsum("nj,nj,j->n", seen, lit, times), len(row))
+        drawn.append(pixel)
+        lo = hi
+    if sum(map(len, drawn)) < len(through):
+        for pixel in drawn:
+            cells.put(pixel, clear)
+        spare[shape] = through
+    return np.bincount(row, credit, len(x))
 
 
 def rendered_contributions(df: DataFrame, groups: list[str], key: str, size: int = 256, instants: int = 4) -> DataFrame:
@@ -142,7 +177,7 @@ def rendered_contributions(df: DataFrame, groups: list[str], key: str, size: int
     num = lambda c, v: (F.col(c).cast("double") if c in has else F.lit(float(v)) if v is not None else F.lit(None).cast("double")).alias(c)
     cols = [*((a, 0) for a in ("x", "y", "z", "sx", "sy", "sz", "o", "qx", "qy", "qz")), ("qw", 1), ("life_start", -1e18), ("life_end", 1e18), ("intervals", None)]
     rows = df.select(*groups, F.col(key).alias("key"), *[num(*c) for c in cols])
-    kind = dict(rows.dtypes)["key"]
+    kind, spare = dict(rows.dtypes)["key"], {}
 
     def scores(t: pa.Table) -> pa.Table:
         from .evaluate import _rotations
@@ -161,7 +196,7 @@ def rendered_contributions(df: DataFrame, groups: list[str], key: str, size: int
             norm = np.linalg.norm(q, axis=1)
             turned = norm > 1e-12  # what has no orientation isn't drawn
             axes = _rotations(q / np.where(turned, norm, 1)[:, None]) * get("sx", "sy", "sz")[:, None, :]
-            credit = _credits(x, axes, np.where(turned, o, 0), alive, views, size)
+            credit = _credits(x, axes, np.where(turned, o, 0), alive, views, size, spare=spare)
             out = np.where(n > 0, credit / (np.maximum(n, 1) * len(views)) * (1080 / size) ** 2, -1.0)
         return pa.table({"key": t.column("key"), "score": out})
 
