@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.timeaxis import ticks_at
 
-__all__ = ["alive_at", "locate_instants", "activity", "axis_bounds"]
+__all__ = ["alive_at", "locate_instants", "instants_per_chunk", "activity", "axis_bounds"]
 
 
 def alive_at(sample: Column, start: str = "life_start", end: str = "life_end") -> Column:
@@ -36,6 +36,34 @@ def locate_instants(chunks: DataFrame, instants: DataFrame) -> DataFrame:
     )
 
 
+def instants_per_chunk(chunks: DataFrame, captures: DataFrame, rate: int) -> DataFrame:
+    """(capture_id, chunk_id, frames, first_frame, last_sample): how many of the instants k / ``rate`` seconds that fit a capture
+    ``locate_instants`` puts into each chunk, the first k, and sample_a of the last one. ``captures`` has capture_id, time_numerator and
+    time_denominator.
+
+    Ticks grow with k, so that a chunk's instants are a range of k: its ends are worked out, and no instant becomes a row."""
+    ends = chunks.groupBy("capture_id").agg(F.max(F.col("start_tick") + F.col("intervals")).alias("last"))
+    num, den = F.col("time_numerator"), F.col("time_denominator")
+    c = chunks.select("capture_id", "chunk_id", "start_tick", "intervals").join(captures.select("capture_id", "time_numerator", "time_denominator").join(ends, "capture_id"), "capture_id")
+    c = c.withColumn("_most", F.floor(F.col("last") * num / den * rate)).where("_most >= 0").withColumn("_end", F.col("start_tick") + F.col("intervals"))
+    tick = lambda k: ticks_at(k / float(rate), num, den)
+
+    def first(bound: Column) -> Column:
+        """The first k whose tick is not below ``bound``: about where a tick is taken for it, then exactly."""
+        bound = bound.cast("double")
+        about = (bound - F.least(F.lit(0.5), F.greatest(F.lit(1.0), F.abs(bound)) * 1e-9)) * (num / den) * rate
+        about = F.floor(F.greatest(F.lit(0.0), F.least(F.col("_most") + 1.0, about)))
+        near = F.transform(F.sequence(about - 3, about + 3), lambda k: F.greatest(k, F.lit(0)))
+        return F.least(F.col("_most") + 1, F.array_min(F.filter(near, lambda k: tick(k) >= bound)))
+
+    rest = F.when(F.col("_end") == F.col("last"), F.col("_most") + 1).otherwise(first(F.col("_end")))
+    # a generator, so that the plan works the ends out once
+    ends = F.explode(F.array(F.struct(first(F.col("start_tick")).alias("first"), rest.alias("next")))).alias("_at")
+    c = c.where(F.col("start_tick") <= F.col("last")).select("*", ends).withColumns({"_first": F.col("_at.first"), "_next": F.col("_at.next")}).where("_next > _first")
+    offset = F.least(F.least(tick(F.col("_next") - 1), F.col("last").cast("double")) - F.col("start_tick"), F.col("intervals").cast("double"))
+    return c.select("capture_id", "chunk_id", (F.col("_next") - F.col("_first")).alias("frames"), F.col("_first").cast("int").alias("first_frame"), F.floor(offset).cast("bigint").alias("last_sample"))
+
+
 def activity(records: DataFrame, keys: list[str], start: str = "life_start", end: str = "life_end") -> DataFrame:
     """keys, frame, active: how many records live through each frame. Lives become steps up and down that are summed in order, so
     that a life costs two rows, not one per frame."""

@@ -264,6 +264,19 @@ def test_islands_and_activity(spark):
     assert rows(frames.activity(lives, ["g"])) == [(1, 0, 1), (1, 1, 1), (1, 2, 2), (1, 3, 1), (1, 4, 1)]
 
 
+def test_instants_per_chunk(spark):
+    """As by a row per instant, for odd rates and for gaps, overlaps, empty and backward chunks; and without one in a capture of ten thousand million instants."""
+    rates = [(1, 30), (1001, 30000), (7, 11), (3, 1), (1, 240), (1, 12)]
+    c = spark.createDataFrame([(i, *r) for i, r in enumerate(rates)] + [(9, 1, 1)], "capture_id bigint, time_numerator int, time_denominator int")
+    at = [(0, 17), (17, 100), (120, 30), (140, 1), (150, 0), (200, -5), (-3, 9), (201, 99)]
+    ch = spark.createDataFrame([(10 * i + j, i, *a) for i in range(len(rates)) for j, a in enumerate(at)] + [(90, 9, 0, 10**9), (91, 9, 10**8, 100)], "chunk_id bigint, capture_id bigint, start_tick bigint, intervals bigint")
+    got = {tuple(r) for r in frames.instants_per_chunk(ch, c, 12).collect()}
+    assert {r for r in got if r[0] == 9} == {(9, 90, 12 * 10**9 + 1, 0, 10**9), (9, 91, 1200, 12 * 10**8 - 1, 99)}  # a twelfth of a tick is within a billionth there
+    k = c.where("capture_id < 9").select("*", F.explode(F.sequence(F.lit(0), F.floor(F.lit(300) * F.col("time_numerator") / F.col("time_denominator") * 12))).alias("k")).withColumn("seconds", F.col("k") / 12.0)
+    want = frames.locate_instants(ch, k).groupBy("capture_id", "chunk_id").agg(F.count("*"), F.min("k"), F.max("sample_a"))
+    assert {r for r in got if r[0] < 9} == set(map(tuple, want.collect()))
+
+
 def test_pareto_choice():
     o = {"a": [("raw", 102, 1.0), ("coded", 100, 5.0)], "b": [("raw", 1100, 1.0), ("coded", 1000, 9.0)]}
     assert profile.pareto_choice(o, 0.01) == {"a": "raw", "b": "coded"}
