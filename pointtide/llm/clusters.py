@@ -1,10 +1,10 @@
 """Groups of mutually similar records (problem 4).
 
 A bisecting k-means tree splits the space at the node of the largest dispersion until each leaf fits one task or is compact.
-It is fitted on a bounded sample and walked by every record; a record nearer than half the linking distance to a splitting
+To link records it is fitted on a bounded sample, which only divides the work, and walked by every record; a record nearer than half the linking distance to a splitting
 plane goes to both sides, so that every pair of alike records meets in some leaf. Each leaf links its alike pairs exactly,
 and the leaves' groups are joined through the records they share. In a dense place one record stands for those of a small cell
-around it, so that any number of records within the linking distance of each other are linked without listing their pairs.
+around it, so that any number of records within the linking distance of each other are linked without listing their pairs. Where the leaves themselves are the result (``bisecting_leaves``), all records fit the tree.
 
 Defined results: records with null, short or non-finite vectors take no part; repeated rows (same id) count once; equal
 vectors under different ids are alike; ties in "most typical" go to the smaller id; an empty table gives an empty result;
@@ -19,8 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components, min_labels
+from ..operators.quantile import grouped_ranks
 from ..util import finite, small_enough
-from .tree import Tree, fit_tree
+from .tree import Tree, fit_tree, power_direction
 
 __all__ = ["points", "similarity_clusters", "describe_clusters", "bisecting_leaves", "alike_pairs", "alike_labels"]
 
@@ -28,6 +29,8 @@ __all__ = ["points", "similarity_clusters", "describe_clusters", "bisecting_leav
 LEAF_ROWS = 12_000
 SAMPLE_ROWS = 60_000
 BROADCAST_ROWS = 100_000
+#: Records whose part of the tree one task grows.
+TASK_ROWS = 250_000
 #: Rows of a cell of diagonal eps from which on one row stands for it.
 DENSE = 8
 
@@ -328,24 +331,123 @@ def _nearest(rows: DataFrame, group: str, typical: int) -> DataFrame:
     return sums.join(top, group)
 
 
-def bisecting_leaves(df: DataFrame, key: str, parts: list[tuple[str, int, float]], leaf_rows: int = LEAF_ROWS, sample_rows: int = SAMPLE_ROWS, compact: float = 0.0, typical: int = 3) -> DataFrame:
-    """The leaves of the bisecting k-means tree: leaf, members, radius about the leaf's centre, and its most typical records.
-    Repeated rows count once."""
+def _sums(one: DataFrame, names: list[str], matrix, tree: Tree, planes: dict, squares: bool) -> dict:
+    """{(leaf, side): rows, sums of their offsets from the plane's point, of the products of these, and the largest square distance}: of all
+    rows in the leaves of ``planes`` (leaf: point, direction), by the side of the plane that they lie on. A task sends one row for each."""
+    d = len(names)
+
+    def add(batches):
+        total = {}
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = matrix(b)
+            _, at, _ = _ordered(*tree.leaves(x))
+            for leaf in np.intersect1d(at, list(planes)).tolist():
+                point, w = planes[leaf]
+                o = x[at == leaf] - point
+                side = o @ w > 0
+                for which in (False, True):
+                    p = o[side == which]
+                    if len(p):
+                        q = (p * p).sum(1).max()
+                        v = np.concatenate([[len(p)], p.sum(0), (p.T @ p).ravel() if squares else []])
+                        had = total.get((leaf, which))
+                        total[leaf, which] = (v, q) if had is None else (had[0] + v, max(had[1], q))
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in total], pa.int32()), pa.array([k[1] for k in total]), pa.array([v.tolist() for v, _ in total.values()], pa.list_(pa.float64())), pa.array([float(q) for _, q in total.values()])], names=["leaf", "side", "v", "q"])
+
+    out = {}
+    for r in one.select(*names).mapInArrow(add, "leaf int, side boolean, v array<double>, q double").collect():
+        had = out.get((r["leaf"], r["side"]), (0, 0.0))
+        out[r["leaf"], r["side"]] = (had[0] + np.array(r["v"]), max(had[1], r["q"]))
+    return {k: (int(v[0]), v[1:d + 1], v[d + 1:].reshape(d, d) if squares else None, q) for k, (v, q) in out.items()}
+
+
+def _ordered(row: np.ndarray, leaf: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    by = np.argsort(row, kind="stable")
+    return row[by], leaf[by], home[by]
+
+
+def _top_tree(one: DataFrame, names: list[str], matrix, most: float, radius: float, rounds: int = 6) -> tuple[Tree, dict]:
+    """The upper part of the tree that ``fit_tree`` grows on all rows, worked out by sums over them, down to nodes of at most ``most``
+    rows; and {leaf: its mean} of the larger ones that are not split, as they lie within ``radius`` of it or are all equal."""
+    d = len(names)
+    tree, whole, todo, before = Tree(np.zeros((0, d)), np.zeros(0), [], [], np.zeros((1, d))), {}, [0], {}
+    while todo:
+        got = _sums(one, names, matrix, tree, {k: (np.zeros(d), np.zeros(d)) for k in todo}, False)
+        big = {k: got[k, False][1] / got[k, False][0] for k in todo if (k, False) in got and got[k, False][0] > most}
+        # about the mean, now that it is known: the direction of the largest spread
+        about = _sums(one, names, matrix, tree, {k: (m, np.zeros(d)) for k, m in big.items()}, True) if big else {}
+        planes, last, done = {}, {}, {}
+        for k, m in big.items():
+            n, _, squares, q = about[k, False]
+            w = power_direction(squares) if q > radius * radius and n != before.get(k) else None
+            if w is None:
+                whole[k] = m
+            else:
+                planes[k] = (m, w)
+        for turn in range(rounds + 1):
+            if not planes:
+                break
+            halves = _sums(one, names, matrix, tree, planes, False)
+            for k in list(planes):
+                if (k, False) not in halves or (k, True) not in halves:
+                    del planes[k]
+                    whole[k] = big[k]
+                    continue
+                n = (halves[k, False][0], halves[k, True][0])
+                a, b = (planes[k][0] + halves[k, s][1] / halves[k, s][0] for s in (False, True))
+                if turn == rounds or last.get(k) == n and np.allclose(done[k], (a, b), rtol=1e-12, atol=0):
+                    del planes[k]
+                else:
+                    planes[k] = ((a + b) / 2, b - a)
+                last[k], done[k] = n, (a, b)
+        split = {k: ab for k, ab in done.items() if k not in whole}
+        tree, todo = tree.grown(split)
+        before = dict(zip(todo, (about[k, False][0] for k in split for _ in range(2))))
+    return tree, whole
+
+
+def bisecting_leaves(df: DataFrame, key: str, parts: list[tuple[str, int, float]], leaf_rows: int = LEAF_ROWS, task_rows: int = TASK_ROWS, compact: float = 0.0, typical: int = 3) -> DataFrame:
+    """The leaves of the bisecting k-means tree over all records: leaf, members, radius about the leaf's mean, and its most typical records.
+    Repeated rows count once. Nodes of more than ``task_rows`` records are split by sums over the cluster, each of the others by one
+    task, down to the leaves. Numbers beyond the 1st and 99th percentiles by more than their span count as that."""
+    from pyspark.sql import Window
+
     factors = np.array([f for _, n, f in parts for _ in range(n)], dtype=np.float64)
     d = len(factors)
-    pts = points(df, key, parts)
-    tree, low, high = _fit(pts, df.count(), factors, leaf_rows, sample_rows, compact)
-    one = pts.groupBy("id").agg(*[F.first(f"p{i}").alias(f"p{i}") for i in range(d)])
-    names = one.columns
-    centres = tree.centres
+    names = [f"p{i}" for i in range(d)]
+    one = points(df, key, parts).groupBy("id").agg(*[F.first(c).alias(c) for c in names]).persist()
+    ends = grouped_ranks(one.select(F.lit(0).alias("g"), *names), ["g"], names, lambda n: (F.floor((n - 1) * 0.01), F.ceil((n - 1) * 0.99)), every=False).first()
+    low, high = (np.array([ends[f"{c}_{e}"] if ends else 0.0 for c in names]) * factors for e in ("low", "high"))
+    low, high = np.minimum(low, high), np.maximum(low, high)
+    reach = np.maximum(high - low, 1e-6)
+    low, high = low - reach, high + reach
+    matrix = lambda b: np.clip(_matrix(b, d, factors), low, high)
+    most = max(8.0, leaf_rows)
+    tree, whole = _top_tree(one, names, matrix, max(task_rows, most), compact)
 
     def walk(batches):
         for b in batches:
             if b.num_rows:
-                x = np.clip(_matrix(b, d, factors), low, high)
-                at, leaf, _ = tree.leaves(x)
-                far = ((x[at] - centres[leaf]) ** 2).sum(1)
-                yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(at)), pa.array(leaf.astype(np.int32)), pa.array(far)], names=["id", "leaf", "far"])
-
-    rows = one.select(names).mapInArrow(walk, "id bigint, leaf int, far double")
-    return _nearest(rows, "leaf", typical)
+                x = matrix(b)
+                _, node, _ = _ordered(*tree.leaves(x))
+                far = np.full(len(x), np.nan)
+                for k in np.intersect1d(node, list(whole)).tolist():
+                    far[node == k] = ((x[node == k] - whole[k]) ** 2).sum(1)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(node.astype(np.int32)), pa.array(far)], names=["id", *names, "node", "far"])
+
+    def finish(t: pa.Table) -> pa.Table:
+        t = t.sort_by("id").combine_chunks()
+        x = np.clip(np.stack([t.column(c).to_numpy() for c in names], 1).astype(np.float64) * factors, low, high)
+        part = fit_tree(x, most, compact)
+        _, leaf, _ = _ordered(*part.leaves(x))
+        return pa.table({"node": t.column("node"), "leaf": leaf, "id": t.column("id"), "far": ((x - part.centres[leaf]) ** 2).sum(1)})
+
+    placed = one.select("id", *names).mapInArrow(walk, f"id bigint, {', '.join(f'{c} float' for c in names)}, node int, far double")
+    rows = placed.where(F.isnan("far")).select("id", *names, "node").groupBy("node").applyInArrow(finish, "node int, leaf bigint, id bigint, far double")
+    rows = rows.union(placed.where(~F.isnan("far")).select("node", F.lit(0).cast("bigint"), "id", "far")) if whole else rows
+    found = _nearest(rows.select((F.col("node").cast("bigint") * (1 << 32) + F.col("leaf")).alias("_leaf"), "id", "far"), "_leaf", typical)
+    # one row for each leaf, some 500 for a million records
+    return found.select((F.row_number().over(Window.orderBy("_leaf")) - 1).alias("leaf"), "members", "radius", "typical")

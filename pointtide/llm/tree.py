@@ -1,4 +1,4 @@
-"""Bisecting k-means trees: fitted on a bounded sample, walked by every row."""
+"""Bisecting k-means trees, walked by every row."""
 
 from __future__ import annotations
 
@@ -6,7 +6,22 @@ import heapq
 
 import numpy as np
 
-__all__ = ["Tree", "fit_tree", "two_means"]
+__all__ = ["Tree", "fit_tree", "two_means", "power_direction"]
+
+
+def power_direction(squares: np.ndarray) -> np.ndarray | None:
+    """About the direction of the largest spread, by a few power steps on the sums of products of offsets from the mean."""
+    spread = np.diag(squares)
+    if not spread.max() > 0:
+        return None
+    w = np.where(spread == spread.max(), 1.0, 0.1)
+    for _ in range(6):
+        w = squares @ w
+        size = np.linalg.norm(w)
+        if not size > 0:
+            return None
+        w /= size
+    return w
 
 
 def two_means(x: np.ndarray, rounds: int = 6) -> tuple[np.ndarray, np.ndarray] | None:
@@ -72,6 +87,27 @@ class Tree:
         return np.concatenate(rows), np.concatenate(leaf), np.concatenate(home)
 
 
+    def grown(self, split: dict) -> tuple["Tree", list[int]]:
+        """The tree with each leaf of ``split`` parted half-way between its two centres, and the new leaves' numbers. The other leaves
+        keep theirs."""
+        normal, offset, left, right, new = list(self.normal), list(self.offset), list(self.left), list(self.right), []
+        leaves = len(self.offset) + 1
+        for k, (a, b) in split.items():
+            w = (b - a) / np.linalg.norm(b - a)
+            here = len(offset)
+            for side in (left, right):
+                for i, child in enumerate(side):
+                    if child == -k - 1:
+                        side[i] = here
+            normal.append(w)
+            offset.append(float(w @ ((a + b) / 2)))
+            left.append(-k - 1)
+            right.append(-leaves - 1)
+            new += [k, leaves]
+            leaves += 1
+        return Tree(np.array(normal).reshape(-1, self.normal.shape[1]), np.array(offset), left, right, self.centres), new
+
+
 def fit_tree(x: np.ndarray, most: float, radius: float = 0.0, leaves: int = 1 << 20) -> Tree:
     """Splits the node of the largest dispersion (sum of squares about its mean) again and again, until each leaf holds at
     most ``most`` rows of x or lies within ``radius`` of its mean, or there are ``leaves`` leaves."""

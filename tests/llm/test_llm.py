@@ -194,6 +194,26 @@ def test_clusters(spark, leaf_rows):
     assert sum(r["members"] for r in leaves) == len(x) + 1
 
 
+def test_leaves_come_from_all_records(spark):
+    """More records than a sample holds: no leaf has more of them than it should, and none is split that has no more."""
+    at = lambda i: F.array((F.pmod(F.xxhash64("id", F.lit(i)), F.lit(1 << 20)) / (1 << 20)).cast("float"))
+    df = spark.range(70_000).select(F.col("id").alias("k"), at(1).alias("a"), at(2).alias("b"))
+    leaves = clusters.bisecting_leaves(df, "k", [("a", 1, 1.0), ("b", 1, 0.5)], leaf_rows=20).collect()
+    assert sum(r["members"] for r in leaves) == 70_000 and max(r["members"] for r in leaves) <= 20
+
+
+def test_leaves_are_the_same_in_one_task_and_over_the_cluster(spark):
+    rng = np.random.default_rng(15)
+    x = np.concatenate([rng.normal(size=(1500, 2)) * [3, 1], np.full((400, 2), 2.5), [[3e38, -3e38]]])
+    df = spark.createDataFrame([(i, [float(a)], [float(b)]) for i, (a, b) in enumerate(x)], "k bigint, a array<float>, b array<float>")
+    said = []
+    for rows in (10_000, 300):
+        leaves = clusters.bisecting_leaves(df, "k", [("a", 1, 1.0), ("b", 1, 0.5)], leaf_rows=100, task_rows=rows, compact=0.01).collect()
+        said.append(sorted((r["members"], round(r["radius"], 9), r["typical"]) for r in leaves))
+        assert sorted(r["leaf"] for r in leaves) == list(range(len(leaves)))
+    assert said[0] == said[1] and sum(m for m, _, _ in said[0]) == len(x) and said[0][-1][0] == 400
+
+
 @pytest.mark.parametrize("dense", [2, 8])
 def test_dense_places_are_linked_as_by_all_pairs(dense):
     rng = np.random.default_rng(13)
