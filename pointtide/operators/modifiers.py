@@ -175,9 +175,9 @@ class Pipeline:
         stack = [m for m in (m.at(frame) for m in self.modifiers) if m is not None]
         of = lambda kind: [m for m in stack if m.kind == kind]
         if of("prune-low-contribution"):
-            # one score for all prune filters; each counts what the others left
+            # one score for all prune filters, drawn once however often the stack reads it; each counts what the others left
             names = df.columns
-            df = df.join(rendered_contributions(df, ["chunk_id"], "splat_id").withColumnRenamed("score", "_score"), "splat_id")
+            df = df.join(rendered_contributions(df, ["chunk_id"], "splat_id").withColumnRenamed("score", "_score").persist(), "splat_id")
             for m in of("prune-low-contribution"):
                 df = prune_budget(df, ["chunk_id"], F.col("_score"), "splat_id", m.params.get("percent", 15.0), m.params.get("protect_above", 0.25))
             df = df.select(*names)

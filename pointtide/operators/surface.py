@@ -182,6 +182,7 @@ def rendered_contributions(df: DataFrame, groups: list[str], key: str, size: int
     def scores(t: pa.Table) -> pa.Table:
         from .evaluate import _rotations
 
+        t = t.sort_by("key")  # records of equal depth are drawn in the order of their keys
         get = lambda *names: np.stack([t.column(c).to_numpy() for c in names], 1)
         x, q, o = get("x", "y", "z"), get("qx", "qy", "qz", "qw"), get("o")[:, 0]
         life, length = get("life_start", "life_end"), np.nanmax(np.r_[np.nan_to_num(get("intervals")[:, 0].astype(float)), 0])

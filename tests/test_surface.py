@@ -110,6 +110,26 @@ def test_prune_by_contribution(spark):
     assert {r[0] for r in df.select("splat_id").exceptAll(kept.select("splat_id")).collect()} == {1000}
 
 
+def test_a_stack_draws_each_chunk_once(spark, tmp_path, monkeypatch):
+    from pointtide.operators import modifiers as M
+
+    log = str(tmp_path / "drawn")
+
+    def noted(df, groups, key):
+        def scores(t):
+            with open(log, "a") as f:
+                f.write("drawn\n")
+            return t.select(["splat_id"]).append_column("score", t.column("o"))
+
+        return df.select(*groups, key, "o").groupBy(*groups).applyInArrow(scores, "splat_id int, score double")
+
+    monkeypatch.setattr(M, "rendered_contributions", noted)
+    rows = [(c, i, 100 * c + i, float(i), 0.0, 0.0, 0.1, 0.1, 0.1, i / 40, 0.5, 0.5, 0.5) for c in range(3) for i in range(40)]
+    df = spark.createDataFrame(rows, "chunk_id int, record_id int, splat_id int, x double, y double, z double, sx double, sy double, sz double, o double, r double, g double, b double")
+    out = M.Pipeline().add("prune-low-contribution", {"percent": 10.0}).add("prune-low-contribution", {"percent": 5.0}).add("purge-isolated", {"neighbour": 2}).run(df, 0.0)
+    assert out.count() == 3 * (40 - 4 - 1) and open(log).read().count("drawn") == 3
+
+
 def test_recovered_colour_never_passes_the_source(spark):
     rng = np.random.default_rng(8)
     data = [(1, i, *map(float, rng.random(3) * [0.2, 0.2, 0.01]), 0.9, 0.6, 0.45, 0.4, 0.6, 0.45, 0.4) for i in range(400)] + [(1, 900, 0.1, 0.1, 0.005, 0.9, 0.5, 0.5, 0.4, 0.56, 0.5, 0.4), (1, 901, 5.0, 5.0, 5.0, 0.9, 0.5, 0.5, 0.4, 0.56, 0.5, 0.4)]
