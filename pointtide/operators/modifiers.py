@@ -175,19 +175,21 @@ class Pipeline:
         stack = [m for m in (m.at(frame) for m in self.modifiers) if m is not None]
         of = lambda kind: [m for m in stack if m.kind == kind]
         if of("prune-low-contribution"):
-            # one score for all prune filters, drawn once however often the stack reads it; each counts what the others left
-            names = df.columns
-            df = df.join(rendered_contributions(df, ["chunk_id"], "splat_id").withColumnRenamed("score", "_score").persist(), "splat_id")
+            # one score for all prune filters, drawn once however often the stack reads it; each counts what the others left. Keys and
+            # scores alone go through the filters, so that the records themselves are read once, after what the stack leaves out of them
+            score = rendered_contributions(df, ["chunk_id"], "splat_id").withColumnRenamed("score", "_score")
+            left = _kept(df.select("chunk_id", "splat_id").join(score, "splat_id"))
             for m in of("prune-low-contribution"):
-                df = prune_budget(df, ["chunk_id"], F.col("_score"), "splat_id", m.params.get("percent", 15.0), m.params.get("protect_above", 0.25))
-            df = df.select(*names)
+                left = prune_budget(left, ["chunk_id"], F.col("_score"), "splat_id", m.params.get("percent", 15.0), m.params.get("protect_above", 0.25))
+            df = df.join(left.select("splat_id"), "splat_id", "left_semi").select(*df.columns)
         if of("erase") and picks is not None:
             df = df.join(picks.select("chunk_id", "record_id").distinct(), ["chunk_id", "record_id"], "left_anti")
+        turns = []
         for m in of("animate-transform"):
             pose = keyed_transform([(k["frame"], _pose(k)) for k in m.params.get("keys", [])], frame).matrix()
             df = df.withColumns(dict(zip("xyz", apply_affine(pose, F.col("x"), F.col("y"), F.col("z")))))
             if not np.allclose(pose[:3, :3], np.eye(3)) and {"qx", "qy", "qz", "qw"} <= set(df.columns):
-                df = covariance_bake(df, pose[:3, :3])
+                turns.append(pose[:3, :3])
         colours = of("colour")
         matrix = fold_matrices([m.matrix() for m in colours])
         seen = apply_linear(matrix, F.col("r"), F.col("g"), F.col("b"))
@@ -200,8 +202,10 @@ class Pipeline:
                 keep = keep & ~green_matches(*(seen if above else [F.col(c) for c in "rgb"]), p.get("minimum_saturation", 0.5), p.get("hue_tolerance", 45.0), p.get("linear", True))
         if of("crop") or of("remove-green"):
             df = df.where(keep)
+        for turn in turns:  # crops and green filters don't read what this changes
+            df = covariance_bake(df, turn)
         for m in of("purge-isolated"):
-            df = purge_isolated(df, ["chunk_id"], m.params.get("neighbour", 4), m.params.get("median_percent", 700.0))
+            df = purge_isolated(_kept(df), ["chunk_id"], m.params.get("neighbour", 4), m.params.get("median_percent", 700.0))
         if colours:
             # neutral stacks leave the columns alone
             for m in [m for m in colours if m.params.get("despill")]:
@@ -219,6 +223,13 @@ class Pipeline:
         return df
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """``df``, worked out once and now: readers that start together, on several machines, would each work it out."""
+    df = df.persist()
+    df.count()
+    return df
+
+
 def purge_isolated(df: DataFrame, groups: list[str], neighbour: int = 4, median_percent: float = 700.0) -> DataFrame:
     """Rows whose ``neighbour``-th nearest other row of the group is not farther than the share of the group's upper median of
     that distance. Groups of no more rows than ``neighbour``, or whose median is 0, keep all."""

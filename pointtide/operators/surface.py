@@ -74,134 +74,269 @@ def scoring_views(centre: np.ndarray, radius: float) -> list[tuple[np.ndarray, n
     return [(centre + radius * e, *t) for e, t in zip(eyes, turns)]
 
 
-def _footprints(x: np.ndarray, axes: np.ndarray, o: np.ndarray, views: list, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(view, row, footprint: centre, inverse covariance, what it was divided by and pixel bounds) of the records that the views see,
-    each view's front to back."""
-    eyes, turns = np.stack([v[0] for v in views]), np.stack([np.stack(v[1:]) for v in views])
-    focal = size / 2 / math.tan(math.radians(22.5))
-    p = (x - eyes[:, None]) @ turns.transpose(0, 2, 1)
-    view, at = np.nonzero((p[:, :, 2] >= 0.05) & (o >= 1 / 255))
-    a, b, z = p[view, at].T
-    m = turns[view] @ axes[at]
-    u = (focal / z)[:, None] * (m[:, 0] - (a / z)[:, None] * m[:, 2])
-    v = (focal / z)[:, None] * (m[:, 1] - (b / z)[:, None] * m[:, 2])
-    # the low-pass of 0.3 pixels
-    xx, xy, yy = (u * u).sum(1) + 0.3, (u * v).sum(1), (v * v).sum(1) + 0.3
-    det = xx * yy - xy * xy
-    sx, sy, reach = size / 2 + focal * a / z, size / 2 - focal * b / z, 3 * np.sqrt(np.maximum(xx, yy))
-    whole = lambda c: np.trunc(np.clip(c, -1e6, 1e6))
-    x0, x1 = np.maximum(0, whole(sx - reach)), np.minimum(size - 1, whole(sx + reach))
-    y0, y1 = np.maximum(0, whole(sy - reach)), np.minimum(size - 1, whole(sy + reach))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        out = np.stack([sx, sy, yy / det, -xy / det, xx / det, det, x0, x1, y0, y1], 1)
-    ok = np.flatnonzero((det > 0) & (x0 <= x1) & (y0 <= y1))
-    by = ok[np.lexsort((z[ok], view[ok]))]
-    return view[by], at[by], out[by]
-
-
-def _pixels(foot: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(item, x, y, alpha) of the pixels in which a footprint has an alpha of 1/255 or more, item by item. A line of a footprint is drawn
-    where its ellipse crosses it, a pixel wider on both sides; one too thin to say where, over its whole width."""
-    rows = (foot[:, 9] - foot[:, 8] + 1).astype(np.int64)
-    item = np.repeat(np.arange(len(foot)), rows)
-    py = np.arange(len(item)) - np.repeat(np.cumsum(rows) - rows, rows) + foot[item, 8]
-    sx, sy, a, b, c, det, x0, x1, _, _ = foot[item].T
-    dy = py + 0.5 - sy
+def _footprints(x: np.ndarray, axes: np.ndarray, o: np.ndarray, chunk: np.ndarray, eyes: np.ndarray, turns: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(group, row, footprint: centre, inverse covariance, its determinant and pixel bounds, a row each) of the records that the views see,
+    group by group, each front to back. ``eyes`` has a view's eye per chunk; a chunk's view is a group, numbered view by view."""
+    focal, n = size / 2 / math.tan(math.radians(22.5)), len(x)
+    x, e, t = np.ascontiguousarray(x.T), eyes.transpose(2, 0, 1)[:, :, chunk], turns.transpose(1, 2, 0)[..., None]
+    axes = np.ascontiguousarray(axes.transpose(1, 2, 0))
     with np.errstate(all="ignore"):
-        half = np.sqrt(np.maximum(a * (2 * np.log(255 * o)[item]) - dy * dy / det, 0)) / a
-        mid = sx - 0.5 - b * dy / a
-        sure = a * c * det < 1e8
-        left = np.where(sure & np.isfinite(mid - half), np.maximum(x0, np.ceil(mid - half) - 1), x0)
-        right = np.where(sure & np.isfinite(mid + half), np.minimum(x1, np.floor(mid + half) + 1), x1)
-    n = np.maximum(right - left + 1, 0).astype(np.int64)
+        d = [x[i] - e[i] for i in range(3)]
+        p = [d[0] * t[k, 0] + d[1] * t[k, 1] + d[2] * t[k, 2] for k in range(3)]
+        view, at = np.nonzero((p[2] >= 0.05) & (o >= 1 / 255))
+        by = view * n + at
+        a, b, z = (c.ravel()[by] for c in p)
+        m = [[t[k, 0] * axes[0, j] + t[k, 1] * axes[1, j] + t[k, 2] * axes[2, j] for j in range(3)] for k in range(3)]
+        scale, a, b = focal / z, a / z, b / z
+        u, v = ([scale * (m[k][j].ravel()[by] - c * m[2][j].ravel()[by]) for j in range(3)] for k, c in ((0, a), (1, b)))
+        uu, vv, xy = (f[0] * g[0] + f[1] * g[1] + f[2] * g[2] for f, g in ((u, u), (v, v), (u, v)))
+        xx, yy = uu + 0.3, vv + 0.3  # the low-pass of 0.3 pixels
+        # xx * yy - xy * xy, of which nothing is left where one axis is by far the longest
+        det = sum((u[i] * v[j] - u[j] * v[i]) ** 2 for i, j in ((0, 1), (0, 2), (1, 2))) + 0.3 * (uu + vv) + 0.09
+        sx, sy, reach = size / 2 + focal * a, size / 2 - focal * b, 3 * np.sqrt(np.maximum(xx, yy))
+        whole = lambda c: np.trunc(np.clip(c, -1e6, 1e6))
+        x0, x1 = np.maximum(0, whole(sx - reach)), np.minimum(size - 1, whole(sx + reach))
+        y0, y1 = np.maximum(0, whole(sy - reach)), np.minimum(size - 1, whole(sy + reach))
+        ok = np.flatnonzero((det > 0) & (x0 <= x1) & (y0 <= y1))
+        group = view * eyes.shape[1] + chunk[at]
+        ok = ok[np.lexsort((z[ok], group[ok]))]
+        foot = np.stack([c[ok] for c in (sx, sy, yy / det, -xy / det, xx / det, det, x0, x1, y0, y1)])
+    return group[ok], at[ok], foot
+
+
+def _pixels(group: np.ndarray, foot: np.ndarray, o: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(item, pixel of its group's picture, alpha) of the pixels in which a footprint has an alpha of 1/255 or more, item by item. A line of
+    a footprint is drawn where its ellipse crosses it, a little wider on both sides; one too thin to say where, over its whole width."""
+    sx, sy, a, b, c, det, x0, x1, y0, y1 = foot
+    rows = (y1 - y0 + 1).astype(np.int64)
+    item = np.repeat(np.arange(len(rows)), rows)
+    py = np.arange(len(item)) + np.repeat(y0.astype(np.int64) - (np.cumsum(rows) - rows), rows)
+    dy = py + 0.5 - sy[item]
+    most = np.log(255 * o)  # an alpha of 1/255 lies so far down
+    with np.errstate(all="ignore"):
+        half = np.sqrt(np.maximum((2 * a * most)[item] - dy * dy / det[item], 0)) / a[item]
+        mid = (sx - 0.5)[item] - (b / a)[item] * dy
+        sure = (a * c * det < 1e8)[item]
+        left = np.where(sure & np.isfinite(mid - half), np.maximum(x0[item], np.ceil(mid - half - 0.01)), x0[item]).astype(np.int64)
+        right = np.where(sure & np.isfinite(mid + half), np.minimum(x1[item], np.floor(mid + half + 0.01)), x1[item]).astype(np.int64)
+    n = np.maximum(right - left + 1, 0)
     line = np.repeat(np.arange(len(item)), n)
-    px = np.arange(len(line)) + np.repeat(left - (np.cumsum(n) - n), n)
-    dx = px + 0.5 - sx[line]
-    power = -0.5 * ((a[line] * dx + (2 * b * dy)[line]) * dx + (c * dy * dy)[line])
-    k = item[line]
-    alpha = np.minimum(0.99, o[k] * np.exp(np.minimum(power, 0)))
-    ok = np.flatnonzero((power <= 0) & (alpha >= 1 / 255))
-    return k[ok], px[ok].astype(np.int64), py[line[ok]].astype(np.int64), alpha[ok]
-
-
-def _credits(x: np.ndarray, axes: np.ndarray, o: np.ndarray, alive: np.ndarray, views: list, size: int, most: int = 200_000, spare: dict | None = None) -> np.ndarray:
-    """Each record's blending weight, summed over the pixels of all views at all instants (columns of ``alive``). The nearest footprints
-    of all views are drawn at once, then the second ones, and so on; their pixels are worked out up to ``most`` at a time. ``spare`` keeps
-    the pictures for the next call, which finds them clear."""
-    masks, times = np.unique(alive, axis=1, return_counts=True)
-    times = times.astype(float)
-    view, row, foot = _footprints(x, axes, o, views, size)
-    shown = masks.any(1)[row]
-    view, row, foot = view[shown], row[shown], foot[shown]
-    rank = np.arange(len(view)) - np.searchsorted(view, view)
-    by = np.argsort(rank, kind="stable")
-    view, row, foot, rank = view[by], row[by], foot[by], rank[by]
-    live, credit = masks[row].astype(float), np.zeros(len(row))
-    spare = {} if spare is None else spare
-    shape = (len(views) * size * size, masks.shape[1])
-    through = spare.pop(shape, None)
-    through = np.ones(shape) if through is None else through
-    cells = through.view(f"V{8 * shape[1]}")[:, 0]  # a pixel at all instants, moved as one
-    clear = np.ones(shape[1]).view(cells.dtype)
-    upto, lo, drawn = np.cumsum((foot[:, 7] - foot[:, 6] + 1) * (foot[:, 9] - foot[:, 8] + 1)), 0, []
+    px = (left - (np.cumsum(n) - n)).take(line)
+    px += np.arange(len(line))
+    dx = px - (sx - 0.5)[item].take(line)
+    q = (a / 2)[item].take(line)
+    q *= dx
+    q += (b[item] * dy).take(line)
+    q *= dx
+    q += ((c / 2)[item] * dy * dy).take(line)
+    over = most[item].take(line)
+    over -= q
+    px += (group[item] * (size * size) + py * size).take(line)
+    ok = (q >= 0) & (over >= 0)
+    if not ok.all():
+        px, over, line = px[ok], over[ok], line[ok]
+    alpha = np.exp(over, out=over)
+    alpha /= 255
+    return item.take(line), px, np.minimum(alpha, 0.99, out=alpha)
+
+
+def _blend(pixel: np.ndarray, alpha: np.ndarray, item: np.ndarray, lit: np.ndarray, picture: np.ndarray | None = None) -> np.ndarray:
+    """Each item's alphas times what is let through to them, front to back within a pixel, summed over its pixels and the instants at which
+    it lives (rows of ``lit``). Pixels that are hit once need no more than a sort; of the others the second hits are taken at once, then the
+    third ones, and so on. ``picture``, where given, has what earlier hits let through, and is carried on."""
+    bits = len(pixel).bit_length()
+    key = pixel << bits
+    key |= np.arange(len(pixel))
+    key.sort()
+    spot = key >> bits
+    start = np.flatnonzero(np.r_[True, spot[1:] != spot[:-1]][: len(key)])
+    count = np.diff(start, append=len(key))
+    lives = lit.sum(1)
+    if picture is None:
+        credit = np.bincount(item, alpha, len(lit)) * lives
+        start, count = start[count > 1], count[count > 1]
+        through = np.ones((len(start), lit.shape[1]))
+    else:
+        credit = np.zeros(len(lit))
+        through = picture.take(spot[start], 0)
+    deep = np.argsort(-count, kind="stable")
+    start, count, through = start[deep], -count[deep], through.take(deep, 0)
+    for layer in range(-int(count[0]) if len(count) else 0):
+        n = int(np.searchsorted(count, -layer))  # the pixels with more hits than these
+        hit, seen = key[start[:n] + layer] & ((1 << bits) - 1), through[:n]
+        k, a = item.take(hit), alpha.take(hit)
+        now = lit.take(k, 0)
+        if picture is not None:
+            credit += np.bincount(k, a * np.einsum("ns,ns->n", now, seen * (seen >= 1e-4)), len(lit))
+        elif layer:
+            credit += np.bincount(k, a * (np.einsum("ns,ns->n", now, seen * (seen >= 1e-4)) - lives.take(k)), len(lit))
+        now *= -a[:, None]
+        now += 1
+        seen *= now
+    if picture is not None:
+        picture[spot[start]] = through
+    return credit
+
+
+def _sheets(foot: np.ndarray, o: np.ndarray, lit: np.ndarray, taken: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """(credit, pixels, alphas) of the wide footprints of one view, front to back: what they earn where nothing else is drawn, and their
+    pixels and alphas where ``taken``, the picture of the other footprints, is set."""
+    credit, pixels, alphas, size = np.zeros(foot.shape[1]), [], [], len(taken)
+    through = np.ones((lit.shape[1], size, size)) if foot.shape[1] > 1 else None
+    for i, (sx, sy, a, b, c, _, *box) in enumerate(foot.T):
+        x0, x1, y0, y1 = map(int, box)
+        here = (slice(y0, y1 + 1), slice(x0, x1 + 1))
+        dx, dy = np.arange(x0, x1 + 1) + 0.5 - sx, np.arange(y0, y1 + 1) + 0.5 - sy
+        q = a / 2 * dx + (b * dy)[:, None]
+        q *= dx
+        q += (c / 2 * dy * dy)[:, None]
+        alpha = np.log(255 * o[i]) - q
+        ok = (q >= 0) & (alpha >= 0)
+        np.exp(alpha, out=alpha, where=ok)
+        alpha /= 255
+        np.minimum(alpha, 0.99, out=alpha)
+        alpha *= ok
+        y, x = np.nonzero(taken[here] & ok)
+        pixels.append((y + y0) * size + x + x0)
+        alphas.append(alpha[y, x])
+        alpha[y, x] = 0
+        if through is None:
+            credit[i] = alpha.sum() * lit[i].sum()
+            continue
+        left = 1 - alpha
+        for s in np.flatnonzero(lit[i]):
+            seen = through[s][here]
+            credit[i] += np.einsum("yx,yx,yx->", alpha, seen, seen >= 1e-4)
+            seen *= left
+    return credit, pixels, alphas
+
+
+#: Pixels from which a footprint is drawn as a whole rectangle.
+WIDE = 1500
+
+
+def _drawn(x: np.ndarray, axes: np.ndarray, o: np.ndarray, alive: np.ndarray, chunk: np.ndarray, eyes: np.ndarray, turns: np.ndarray, size: int, most: int = 200_000, spare: dict | None = None) -> np.ndarray:
+    """Each record's blending weight, summed over the pixels of its chunk's views at all instants (columns of ``alive``). Whole views are
+    drawn side by side, up to ``most`` pixels of footprints at a time, of wide ones only what others meet; a view of more is drawn in parts,
+    over one picture. ``spare`` keeps that picture for the next call, which finds it clear."""
+    group, row, foot = _footprints(x, axes, np.where(alive.any(1), o, 0), chunk, eyes, turns, size)
+    lit, o, credit = alive.astype(float)[row], o[row], np.zeros(len(row))
+    spare, shape = {} if spare is None else spare, (size * size, alive.shape[1])
+    box = (foot[7] - foot[6] + 1) * (foot[9] - foot[8] + 1)
+    wide = box >= WIDE
+    small = np.bincount(group, np.where(wide, 0, box), group[-1] + 1 if len(group) else 0)
+    upto = np.cumsum(np.where(wide, np.minimum(box, small[group]), box))
+    lo, begun = 0, False
     while lo < len(row):
         hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + most, side="right")))
-        k, px, py, alpha = _pixels(foot[lo:hi], o[row[lo:hi]])
-        k += lo
-        pixel = (view[k] * size + py) * size + px
-        lit = live.take(k, 0)
-        left, seen = np.subtract(1, lit * alpha[:, None]), np.empty_like(lit)
-        ends = np.searchsorted(k, np.r_[lo + np.flatnonzero(np.diff(rank[lo:hi], prepend=-1)), hi])
-        for i, j in zip(ends[:-1].tolist(), ends[1:].tolist()):
-            through.take(pixel[i:j], 0, seen[i:j], "clip")
-            cells.put(pixel[i:j], np.multiply(seen[i:j], left[i:j], out=left[i:j]).view(cells.dtype))
-        lit *= seen >= 1e-4
-        credit += np.bincount(k, alpha * np.einsum("nj,nj,j->n", seen, lit, times), len(row))
-        drawn.append(pixel)
+        picture = None
+        if begun or (hi < len(row) and group[hi] == group[hi - 1]):
+            first, end = (int(np.searchsorted(group, group[g], side)) for g, side in ((min(hi, len(row) - 1), "left"), (lo, "right")))
+            if not begun and first > lo:
+                hi = first
+            else:
+                hi = min(hi, end)
+                picture = spare[shape] = spare[shape] if shape in spare else np.ones(shape)
+        thin = np.arange(lo, hi) if picture is not None else lo + np.flatnonzero(~wide[lo:hi])
+        item, pixel, alpha = _pixels(group[thin] - group[lo], foot[:, thin], o[thin], size)
+        item = thin[item] - lo
+        if len(thin) < hi - lo:
+            items, pixels, alphas = [item], [pixel], [alpha]
+            broad = lo + np.flatnonzero(wide[lo:hi])
+            of, begin = np.unique(group[broad], return_index=True)
+            cut = np.searchsorted(pixel // (size * size), [of - group[lo], of - group[lo] + 1])
+            for g, w, i, j in zip(of.tolist(), np.split(broad, begin[1:]), *cut.tolist()):
+                base = (g - group[lo]) * (size * size)
+                taken = np.zeros(size * size, bool)
+                taken[pixel[i:j] - base] = True
+                credit[w], at, a = _sheets(foot[:, w], o[w], lit[w], taken.reshape(size, size))
+                items.append(np.repeat(w - lo, [len(p) for p in at]))
+                pixels += [p + base for p in at]
+                alphas += a
+            item, pixel, alpha = map(np.concatenate, (items, pixels, alphas))
+            by = np.argsort(item, kind="stable")
+            item, pixel, alpha = item[by], pixel[by], alpha[by]
+        credit[lo:hi] += _blend(pixel, alpha, item, lit[lo:hi], picture)
+        if picture is not None:
+            begun = hi < end
+            if not begun:
+                picture[:] = 1
         lo = hi
-    if sum(map(len, drawn)) < len(through):
-        for pixel in drawn:
-            cells.put(pixel, clear)
-        spare[shape] = through
     return np.bincount(row, credit, len(x))
 
 
+def _credits(x: np.ndarray, axes: np.ndarray, o: np.ndarray, alive: np.ndarray, views: list, size: int, most: int = 200_000, spare: dict | None = None) -> np.ndarray:
+    """The weights of one chunk's records in the given views."""
+    return _drawn(x, axes, o, alive, np.zeros(len(x), np.int64), np.stack([v[0] for v in views])[:, None], np.stack([np.stack(v[1:]) for v in views]), size, most, spare)
+
+
+def _scores(t: pa.Table, start: np.ndarray, size: int, instants: int, spare: dict) -> np.ndarray:
+    """The scores of whole groups, which begin at ``start``."""
+    from .evaluate import _rotations
+
+    get = lambda *names: np.stack([t.column(c).to_numpy() for c in names], 1)
+    x, q, o = get("x", "y", "z"), get("qx", "qy", "qz", "qw"), get("o")[:, 0]
+    chunk = np.repeat(np.arange(len(start)), np.diff(start, append=len(x)))
+    life, length = get("life_start", "life_end"), np.maximum(np.maximum.reduceat(np.nan_to_num(get("intervals")[:, 0].astype(float)), start), 0)
+    length = np.where(length == 0, np.maximum.reduceat(life[:, 1], start), length)
+    at = np.floor((np.arange(instants) + 0.5) / instants * length[:, None])[chunk]
+    alive = (life[:, :1] <= at) & (life[:, 1:] >= at + 1)
+    n = alive.sum(1)
+    lo, hi = (f.reduceat(np.where(n[:, None] > 0, x, far), start) for f, far in ((np.minimum, np.inf), (np.maximum, -np.inf)))
+    unit, turns = _unit_views()
+    with np.errstate(all="ignore"):  # a group of which nothing lives has no views
+        eyes = (lo + hi) / 2 + np.maximum(np.linalg.norm(hi - lo, axis=1) / 2, 1e-3)[:, None] * unit[:, None]
+    norm = np.linalg.norm(q, axis=1)
+    turned = norm > 1e-12  # what has no orientation isn't drawn
+    axes = _rotations(q / np.where(turned, norm, 1)[:, None]) * get("sx", "sy", "sz")[:, None, :]
+    credit = _drawn(x, axes, np.where(turned, o, 0), alive, chunk, eyes, turns, size, spare=spare)
+    return np.where(n > 0, credit / (np.maximum(n, 1) * len(turns)) * (1080 / size) ** 2, -1.0)
+
+
+#: Records that are drawn together, but that a group of more is drawn whole.
+DRAWN_ROWS = 500
+
+
 def rendered_contributions(df: DataFrame, groups: list[str], key: str, size: int = 256, instants: int = 4) -> DataFrame:
     """(key, score): what each record of a group contributes, in pixels of a view of 1080 lines: its blending weight under its projected
     Gaussian footprint, summed over the pixels of 24 views at mid-interval instants and divided by the views and the instants at
     which it lives; -1 where it lives at none.
 
     ``df`` has x, y, z, sx, sy, sz and o; qx to qw (else unturned); life_start and life_end (else always alive) with ``intervals``, the
-    length of the group (else up to its last life_end). A group is one chunk's records, which the format bounds."""
+    length of the group (else up to its last life_end). A group is one chunk's records, which the format bounds; small ones are drawn
+    several at a time, as they come along in a sorted partition."""
     has = set(df.columns)
     num = lambda c, v: (F.col(c).cast("double") if c in has else F.lit(float(v)) if v is not None else F.lit(None).cast("double")).alias(c)
     cols = [*((a, 0) for a in ("x", "y", "z", "sx", "sy", "sz", "o", "qx", "qy", "qz")), ("qw", 1), ("life_start", -1e18), ("life_end", 1e18), ("intervals", None)]
-    rows = df.select(*groups, F.col(key).alias("key"), *[num(*c) for c in cols])
+    # records of equal depth are drawn in the order of their keys; a group begins at its first
+    first = F.row_number().over(Window.partitionBy(*groups).orderBy(key)) == 1
+    rows = df.select(F.col(key).alias("key"), *[num(*c) for c in cols], first.alias("first"))
     kind, spare = dict(rows.dtypes)["key"], {}
 
-    def scores(t: pa.Table) -> pa.Table:
-        from .evaluate import _rotations
-
-        t = t.sort_by("key")  # records of equal depth are drawn in the order of their keys
-        get = lambda *names: np.stack([t.column(c).to_numpy() for c in names], 1)
-        x, q, o = get("x", "y", "z"), get("qx", "qy", "qz", "qw"), get("o")[:, 0]
-        life, length = get("life_start", "life_end"), np.nanmax(np.r_[np.nan_to_num(get("intervals")[:, 0].astype(float)), 0])
-        length = length or life[:, 1].max()
-        at = np.floor((np.arange(instants) + 0.5) / instants * length)
-        alive = (life[:, :1] <= at) & (life[:, 1:] >= at + 1)
-        n = alive.sum(1)
-        out = np.full(len(x), -1.0)
-        if n.any():
-            lo, hi = x[n > 0].min(0), x[n > 0].max(0)
-            views = scoring_views((lo + hi) / 2, max(np.linalg.norm(hi - lo) / 2, 1e-3))
-            norm = np.linalg.norm(q, axis=1)
-            turned = norm > 1e-12  # what has no orientation isn't drawn
-            axes = _rotations(q / np.where(turned, norm, 1)[:, None]) * get("sx", "sy", "sz")[:, None, :]
-            credit = _credits(x, axes, np.where(turned, o, 0), alive, views, size, spare=spare)
-            out = np.where(n > 0, credit / (np.maximum(n, 1) * len(views)) * (1080 / size) ** 2, -1.0)
-        return pa.table({"key": t.column("key"), "score": out})
-
-    return rows.groupBy(*groups).applyInArrow(scores, f"key {kind}, score double").withColumnRenamed("key", key)
+    def drawn(t: pa.Table, start: np.ndarray):
+        end, at = np.r_[start[1:], t.num_rows], 0
+        while at < len(start):
+            to = max(at + 1, int(np.searchsorted(end, start[at] + DRAWN_ROWS, side="right")))
+            part = t.slice(start[at], end[to - 1] - start[at])
+            yield from pa.table({"key": part.column("key"), "score": _scores(part, start[at:to] - start[at], size, instants, spare)}).to_batches()
+            at = to
+
+    def scores(batches):
+        held = []  # the last group so far, which may go on
+        for batch in batches:
+            start = np.flatnonzero(batch.column("first").to_numpy(zero_copy_only=False))
+            if len(start):
+                t = pa.Table.from_batches([*held, batch]).combine_chunks()
+                start += t.num_rows - batch.num_rows
+                start = np.r_[0, start] if held else start
+                yield from drawn(t.slice(0, start[-1]), start[:-1])
+                held = t.slice(start[-1]).to_batches()
+            else:
+                held.append(batch)
+        if held:
+            yield from drawn(pa.Table.from_batches(held).combine_chunks(), np.zeros(1, np.int64))
+
+    return rows.mapInArrow(scores, f"key {kind}, score double").withColumnRenamed("key", key)
 
 
 def oriented_normals(df: DataFrame, groups: list[str], key: str, k: int = 24, passes: int = 4, crease: float = 35.0, pixels: int = 96) -> DataFrame:

@@ -96,6 +96,63 @@ def test_a_group_is_drawn_in_time():
     assert time.process_time() - began < 0.6
 
 
+def test_wide_footprints_are_drawn_whole(monkeypatch):
+    """Rectangles among small footprints, before and behind them, in two chunks at once."""
+    from pointtide.operators.evaluate import _rotations
+
+    rng = np.random.default_rng(11)
+    x, q, o = rng.normal(size=(40, 3)), rng.normal(size=(40, 4)), rng.uniform(0.003, 1, 40)
+    axes = _rotations(q / np.linalg.norm(q, axis=1)[:, None]) * (10 ** rng.uniform(-2, 0.7, (40, 3)))[:, None, :]
+    alive, chunk = rng.random((40, 4)) < 0.7, np.repeat([0, 1], 20)
+    ends = [(x[(chunk == c) & alive.any(1)].min(0), x[(chunk == c) & alive.any(1)].max(0)) for c in (0, 1)]
+    views = [S.scoring_views((lo + hi) / 2, np.linalg.norm(hi - lo) / 2) for lo, hi in ends]
+    eyes, turns = np.stack([[v[0] for v in c] for c in views], 1), np.stack([np.stack(v[1:]) for v in views[0]])
+    want = np.concatenate([_drawn(x[chunk == c], axes[chunk == c], o[chunk == c], alive[chunk == c], 16) for c in (0, 1)]) * np.maximum(alive.sum(1), 1) * 24 / (1080 / 16) ** 2
+    for wide, most in ((30, 10**6), (200, 10**6), (30, 500), (1, 10**6)):
+        monkeypatch.setattr(S, "WIDE", wide)
+        got = S._drawn(x, axes, o, alive, chunk, eyes, turns, 16, most)
+        assert np.allclose(got[alive.any(1)], want[alive.any(1)], rtol=1e-9)
+
+
+def test_a_needle_keeps_its_width():
+    """A record of one axis of 3e38, whose determinant as a difference of products is rounding alone."""
+    from fractions import Fraction
+
+    axes = np.array([[[2e38, 0.02, 0.01], [1e38, 0.03, -0.05], [2e38, -0.04, 0.02]]])
+    foot = S._footprints(np.zeros((1, 3)), axes, np.ones(1), np.zeros(1, int), np.array([[[0.0, 0.0, -4.0]]]), np.eye(3)[None], 64)[2][:, 0]
+    f = Fraction(64 / 2 / np.tan(np.pi / 8)) / 4
+    u, v = ([f * Fraction(float(c)) for c in axes[0, k]] for k in (0, 1))
+    xx, xy, yy = sum(c * c for c in u) + Fraction(0.3), sum(c * d for c, d in zip(u, v)), sum(c * c for c in v) + Fraction(0.3)
+    det = xx * yy - xy * xy
+    assert np.allclose(foot[2:6], [float(c) for c in (yy / det, -xy / det, xx / det, det)], rtol=1e-9, atol=0)
+
+
+def test_groups_are_scored_across_batches(spark):
+    """Groups that end within a batch, at its end and beyond it, one of them without a name, score as they do alone."""
+    rng = np.random.default_rng(12)
+    rows = [(g, i, *map(float, [*rng.normal(size=3), *rng.uniform(0.05, 0.3, 3), rng.uniform(0.2, 1)])) for g, n in ((None, 3), (1, 7), (2, 25), (3, 1), (4, 14)) for i in range(1000 * (g or 0), 1000 * (g or 0) + n)]
+    df = spark.createDataFrame(rows, "g int, k int, x double, y double, z double, sx double, sy double, sz double, o double").coalesce(1)
+    alone = [r for g in (None, 1, 2, 3, 4) for r in S.rendered_contributions(df.where(F.col("g").eqNullSafe(g)), ["g"], "k", size=24).collect()]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        got = dict(map(tuple, S.rendered_contributions(df, ["g"], "k", size=24).collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == 50 and all(np.isclose(got[k], v) for k, v in alone)
+
+
+def test_a_stack_bakes_what_its_crops_leave(spark, monkeypatch):
+    from pointtide.operators import modifiers as M
+
+    baked, bake = [], M.covariance_bake
+    monkeypatch.setattr(M, "covariance_bake", lambda df, m: baked.append(df.count()) or bake(df, m))
+    rows = [(1, i, i, float(i), 0.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.1, 0.2, 0.3, 0.5, 0.5, 0.5, 0.5) for i in range(40)]
+    df = spark.createDataFrame(rows, "chunk_id int, record_id int, splat_id int, x double, y double, z double, qx double, qy double, qz double, qw double, sx double, sy double, sz double, o double, r double, g double, b double")
+    p = M.Pipeline().add("animate-transform", {"keys": [{"frame": 0, "offset": (1, 0, 0), "rotation": (0, 0, 90)}]}).add("crop", {"shape": "box", "width": 4.0, "height": 10.0, "depth": 2.0})
+    kept = p.run(df, 0.0)
+    assert kept.count() == baked[0] < 40 and all(r["sx"] == np.float64(0.3) or abs(r["sx"] - 0.3) < 1e-9 for r in kept.collect())
+
+
 def test_prune_by_contribution(spark):
     """A large record that others hide goes first, not the small one that is seen."""
     from pointtide.operators.modifiers import Pipeline
