@@ -398,34 +398,37 @@ def recover_colour(df: DataFrame, groups: list[str], key: str, seed: Column, can
 
     Seeds within ``link`` of each other form surfaces; those of ``least`` seeds and a diagonal above ``extent`` are references. Up to
     sixteen references within ``reach`` (the eighth within ``eighth``) give a colour per luminance, weighted by opacity over squared
-    distance; the shift is held to 0.2 and never passes the source. Both steps meet their neighbours through cells of a grid, whose
-    outermost cells hold what lies beyond it."""
+    distance, equally near ones in the order of their keys; the shift is held to 0.2 and never passes the source. Surfaces are found through
+    cells of a grid, references by the task that holds the group: one chunk's records, which the format bounds."""
     s = df.where(seed).select(*groups, key, "x", "y", "z", "o", "r", "g", "b")
     part = components(s, groups, key, link, least)
-    ref = s.join(part, key)
-    good = ref.groupBy("component").agg(sum(((F.max(a) - F.min(a)) ** 2 for a in "xyz"), F.lit(0.0)).alias("q")).where(F.col("q") > extent * extent).select("component")
-    ref = ref.join(good, "component")
-    edge = float(1 << 60)
-    cell = lambda a: F.floor(F.greatest(F.lit(-edge), F.least(F.lit(edge), F.col(a) / reach))).cast("bigint")
+    span = sum(((F.max(a) - F.min(a)) ** 2 for a in "xyz"), F.lit(0.0))
+    good = s.select(key, "x", "y", "z").join(part, key).groupBy("component").agg(span.alias("q")).where(F.col("q") > extent * extent).select("component")
+    ref = s.join(part.join(good, "component").select(key), key, "left_semi")
     light = F.col("r") * 0.2126 + F.col("g") * 0.7152 + F.col("b") * 0.0722
-    ref = ref.select(*groups, *[F.col(a).alias(f"_{a}") for a in "xyz"], F.col("o").alias("_o"), *[(F.col(c) / light).alias(f"_{c}") for c in "rgb"], *[cell(a).alias(f"c{a}") for a in "xyz"])
-    own = df.where(candidate).withColumn("_light", light)
-    near = own
-    for a in "xyz":
-        near = near.withColumn(f"_s{a}", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).withColumn(f"c{a}", cell(a) + F.col(f"_s{a}"))
-    gap = sum(((F.col(a) - F.col(f"_{a}")) ** 2 for a in "xyz"), F.lit(0.0))
-    hit = near.join(ref, [*groups, "cx", "cy", "cz"]).withColumn("_q", gap).where(F.col("_q") < reach * reach)
-    hit = hit.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy("_q", "_x", "_y", "_z"))).where("_n <= 16")
-    w = F.col("_o") / F.greatest(F.col("_q"), F.lit(0.002 * 0.002))
-    cols = ["r", "g", "b", "r0", "g0", "b0", "_light"]
-    g = hit.groupBy(key, *cols).agg(F.max(F.when(F.col("_n") == 8, F.col("_q"))).alias("_q8"), *[(F.sum(w * F.col(f"_{c}")) / F.sum(w)).alias(f"_t{c}") for c in "rgb"])
-    g = g.where(F.col("_q8") < eighth * eighth)
-    out = []
-    for c in "rgb":
-        now, was = F.col(c), F.col(f"{c}0")
-        shift = F.greatest(F.lit(-0.2), F.least(F.lit(0.2), F.col(f"_t{c}") * F.col("_light") - now))
-        out.append((F.greatest(F.least(was - now, F.lit(0.0)), F.least(F.greatest(was - now, F.lit(0.0)), shift)) * 0.95).alias(f"d{c}"))
-    return g.select(key, *out)
+    # what has no luminance has no colour per luminance, and leads nothing
+    ref = ref.where(light > 0)
+    own = df.where(candidate)
+    put = lambda df, *cols: df.where(" and ".join([*(f"{g} is not null" for g in groups), *(f"abs({a}) < double('infinity')" for a in "xyz")])).select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)], F.col(key).alias("key"), *[F.col(c).cast("double").alias(c) for c in ("x", "y", "z", *cols)])
+    ref, own = put(ref, "o", "r", "g", "b"), put(own, "r", "g", "b", "r0", "g0", "b0")
+    kind, luma = dict(own.dtypes)["key"], np.array([0.2126, 0.7152, 0.0722])
+
+    def led(t: pa.Table, u: pa.Table) -> pa.Table:
+        get = lambda q, *names: np.stack([q.column(c).to_numpy() for c in names], 1)
+        t, u = (t, u.sort_by("key")) if t.num_rows and u.num_rows else (t.slice(0, 0), u.slice(0, 0))  # of equally near ones the first
+        x, y, c, o = get(t, "x", "y", "z"), get(u, "x", "y", "z"), get(u, "r", "g", "b"), u.column("o").to_numpy()
+        at, _ = nearest_rows(x, 16, among=y)
+        q = np.where(at >= 0, ((x[:, None] - y[at]) ** 2).sum(2), np.inf) if len(y) else np.full(at.shape, np.inf)
+        ok = np.flatnonzero((q[:, 7] < min(eighth, reach) ** 2) if len(x) else [])
+        at, q, now, was = at[ok], q[ok], get(t, "r", "g", "b")[ok], get(t, "r0", "g0", "b0")[ok]
+        w = np.where(q < reach * reach, o[at] / np.maximum(q, 0.002 * 0.002), 0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            aim = (w[:, :, None] * (c / (c @ luma)[:, None])[at]).sum(1) / w.sum(1)[:, None] * (now @ luma)[:, None]
+        shift = 0.95 * np.clip(np.clip(aim - now, -0.2, 0.2), np.minimum(was - now, 0), np.maximum(was - now, 0))
+        return pa.table({"key": t.column("key").take(pa.array(ok)), **dict(zip(("dr", "dg", "db"), shift.T))})
+
+    names = [f"_g{i}" for i in range(len(groups))]
+    return own.groupBy(*names).cogroup(ref.groupBy(*names)).applyInArrow(led, f"key {kind}, dr double, dg double, db double").withColumnRenamed("key", key)
 
 
 def likest_partner(left: DataFrame, right: DataFrame, groups: list[str], key: str, colour: float = 0.05) -> DataFrame:

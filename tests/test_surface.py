@@ -226,6 +226,26 @@ def test_recovered_colour_equals_a_plain_loop(spark):
     assert set(got) == set(want) and len(want) > 60 and all(np.allclose(got[k], want[k], atol=1e-9) for k in want)
 
 
+def test_recovered_colour_ties_go_by_key(spark):
+    """Of 24 references equally far on either side, or at one place, the 16 of the smallest keys lead."""
+    line = [(1, 100 + i, 0.01 * i + 0.5, 0.0, 0.0, 0.9, 0.6, 0.45, 0.4, 0.6, 0.45, 0.4) for i in range(300)]
+    near = [(1, i, -0.0078125 if i % 3 else 0.0078125, 0.0, 0.0, 0.9, 0.5 + 0.01 * i, 0.45, 0.4, 0.6, 0.45, 0.4) for i in range(24)]
+    step = [(1, 50 + i, 0.015 * (i + 4), 0.0, 0.0, 0.9, 0.6, 0.45, 0.4, 0.6, 0.45, 0.4) for i in range(30)] + [(1, 99, 0.0275, 0.055, 0.0, 0.9, 0.6, 0.45, 0.4, 0.6, 0.45, 0.4)]
+    own = (1, 900, 0.0, 0.0, 0.0, 0.9, 0.5, 0.5, 0.4, 1.0, 0.0, 0.0)
+    df = spark.createDataFrame([*line, *near[::-1], *step, own], "chunk int, k int, x double, y double, z double, o double, r double, g double, b double, r0 double, g0 double, b0 double")
+    (got,) = S.recover_colour(df, ["chunk"], "k", F.col("k") < 900, F.col("k") >= 900, link=0.06).collect()
+    light, c = np.array([0.2126, 0.7152, 0.0722]), np.array([near[i][6:9] for i in range(16)])
+    want = 0.95 * ((c / (c @ light)[:, None]).mean(0) * ([0.5, 0.5, 0.4] @ light) - [0.5, 0.5, 0.4])
+    assert np.allclose(got["dr"], want[0], atol=1e-12) and np.allclose(got["dg"], want[1], atol=1e-12)
+
+
+def test_recovered_colour_passes_over_seeds_without_luminance(spark):
+    data = [(1, i, 0.01 * i, 0.0, 0.0, 0.9, *c, *c) for i in range(300) for c in [(0.0, 0.0, 0.0) if i % 5 == 0 else (0.6, 0.45, 0.4)]]
+    df = spark.createDataFrame([*data, (1, 900, 1.0, 0.001, 0.0, 0.9, 0.5, 0.5, 0.4, 0.56, 0.45, 0.4)], "chunk int, k int, x double, y double, z double, o double, r double, g double, b double, r0 double, g0 double, b0 double")
+    (got,) = S.recover_colour(df, ["chunk"], "k", F.col("k") < 900, F.col("k") >= 900).collect()
+    assert np.isclose(got["dr"], 0.95 * 0.06) and np.isclose(got["dg"], 0.95 * (0.45 * 0.49252 / (0.6 * 0.2126 + 0.45 * 0.7152 + 0.4 * 0.0722) - 0.5), atol=1e-3)
+
+
 def test_partners(spark):
     a = spark.createDataFrame([(1, 1, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0), (2, 9, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0)], "g int, k int, x double, y double, z double, r double, g2 double, b double")
     b = spark.createDataFrame([(1, 5, 0.01, 0.0, 0.0, 0.0, 1.0, 0.0), (1, 6, 0.02, 0.0, 0.0, 1.0, 0.0, 0.0), (1, 7, 0.02, 0.0, 0.0, 1.0, 0.0, 0.0)], a.schema)
